@@ -12,8 +12,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieveworks import on_workers
+
 #: A side of a join is broadcast only when its rows, times their width, stay below this.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 12 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -64,6 +66,7 @@ def text_bytes(column: str = "text") -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    on_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
