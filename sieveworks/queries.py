@@ -1,0 +1,420 @@
+"""The registered queries of the scanner, each with the DuckDB SQL of the same result.
+
+On the given tables only one rule of the default pack finds anything. So besides the scans of the
+documents, operators run over findings and texts that are derived from whole tables by expressions that
+both engines understand (SEED, TEXTS): made up, but the same on both sides.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sieveworks import on_workers
+from sieveworks.functions import text as T
+from sieveworks.operators import candidates, correlate, filters, match, randomness, redact, suppress, triage, validate
+from sieveworks.operators.decode import decoded_passes
+from sieveworks.plans.predicates import compile_predicate
+from sieveworks.plans.ruleset import Allowlist, Required, Rule, RuleSet, default_rules
+from sieveworks.plans.scan import ScanOptions, normal_content, scan
+from sieveworks.sources.content import fragments, table_content
+from sieveworks.sources.patches import patch_content
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+GENERIC = default_rules().enable(["generic-api-key"])
+#: The generic rule's pattern in RE2's dialect, quoted for SQL.
+_RX = GENERIC.rules[0].regex.replace("'", "''")
+
+#: Made-up findings, one for each order.
+SEED = {
+    "finding_id": "o_orderkey",
+    "input_id": "o_custkey",
+    "path": "concat('src/', cast(o_custkey % 50 as string), '/f', cast(o_orderkey % 13 as string), CASE WHEN o_orderkey % 11 = 0 THEN '.png' ELSE '.txt' END)",
+    "rule_at": "cast(o_orderkey % 6 as int)",
+    "rule_id": "CASE o_orderkey % 6 WHEN 0 THEN 'generic-api-key' WHEN 1 THEN 'aws-access-token' WHEN 2 THEN 'github-pat' WHEN 3 THEN 'user-name' WHEN 4 THEN 'jwt' ELSE 'private-key' END",
+    "description": "concat('rule ', cast(o_orderkey % 6 as string))",
+    "start_line": "cast(o_orderkey % 7 + 1 as int)",
+    "end_line": "cast(o_orderkey % 7 + 1 as int)",
+    "start_column": "cast(o_orderkey % 23 + 1 as int)",
+    "end_column": "cast(o_orderkey % 23 + 33 as int)",
+    "secret": "concat(CASE WHEN o_orderkey % 17 = 0 THEN '=' ELSE '' END, substr(md5(cast(o_custkey % 400 as string)), 1, cast(8 + o_orderkey % 25 as int)))",
+    "match": "concat('key: ', CASE WHEN o_orderkey % 17 = 0 THEN '=' ELSE '' END, substr(md5(cast(o_custkey % 400 as string)), 1, cast(8 + o_orderkey % 25 as int)), chr(13), chr(10))",
+    "line": "concat('  key: ', md5(cast(o_custkey % 400 as string)), CASE WHEN o_orderkey % 9 = 0 THEN ' # gitleaks:allow' ELSE '' END)",
+    "commit": "CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE sha1(cast(o_custkey % 20 as string)) END",
+    "severity": "CASE o_orderkey % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END",
+    "validation_state": "CASE o_orderkey % 5 WHEN 0 THEN 'structurally-valid' WHEN 1 THEN 'invalid' WHEN 2 THEN 'active' ELSE 'unknown' END",
+    "provenance_type": "CASE o_orderkey % 4 WHEN 0 THEN 'git-index' WHEN 1 THEN 'git-worktree' WHEN 2 THEN 'git-worktree' ELSE 'file' END",
+}
+_SEED_SQL = "seed AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in SEED.items()) + " FROM orders)"
+#: Made-up texts, one for each customer.
+TEXTS = {
+    "input_id": "c_custkey",
+    "path": "concat('src/', c_mktsegment, '/', cast(c_custkey as string), '.txt')",
+    "text": "concat('user = \"', c_name, '\"', chr(10), 'api_token = \"', md5(cast(c_custkey as string)), '\"', CASE WHEN c_custkey % 9 = 0 THEN ' # gitleaks:allow' ELSE '' END, chr(10), 'note: key of ', c_mktsegment, chr(10))",
+}
+_TEXTS_SQL = "texts AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in TEXTS.items()) + " FROM customer)"
+_ENTROPY = "coalesce(list_sum(list_transform(list_distinct(string_split({s}, '')), c -> -((length({s}) - length(replace({s}, c, ''))) / cast(strlen({s}) as double)) * log2((length({s}) - length(replace({s}, c, ''))) / cast(strlen({s}) as double)))), 0)"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    on_workers(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").selectExpr(*[f"{v} AS {k}" for k, v in SEED.items()])
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").selectExpr(*[f"{v} AS {k}" for k, v in TEXTS.items()])
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table_content(table(spark, sf_dir, "documents"), "doc_id", "text", "documents")
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name, with its SQL."""
+
+    def register(fn: Query) -> Query:
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return register
+
+
+# Scans.
+
+
+@query(
+    f"""WITH hits AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '{_RX}', 0)) AS m, unnest(regexp_extract_all(text, '{_RX}', 1)) AS s FROM documents),
+    scored AS (SELECT doc_id, m, CASE WHEN s = '' THEN m ELSE s END AS secret, text FROM hits),
+    e AS (SELECT *, {_ENTROPY.format(s="secret")} AS entropy FROM scored)
+    SELECT doc_id AS input_id, 'generic-api-key' AS rule_id, secret, round(entropy, 6) AS entropy, sha256(secret) AS secret_sha256 FROM e
+    WHERE entropy > 3.5 AND NOT regexp_matches(secret, '^[a-zA-Z_.-]+$')"""
+)
+def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(documents(spark, sf_dir), default_rules())
+    return found.select("input_id", "rule_id", "secret", F.round("entropy", 6).alias("entropy"), "secret_sha256")
+
+
+@query()
+def scan_documents_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(documents(spark, sf_dir), default_rules(), ScanOptions(mode="native", max_decode_depth=2)).drop("randomness", "required_findings")
+
+
+@query(
+    f"""WITH {_TEXTS_SQL} SELECT input_id, path, md5(input_id::VARCHAR) AS secret, 2 AS start_line, 2 AS start_column, 46 AS end_column,
+    path || ':generic-api-key:2' AS fingerprint FROM texts WHERE NOT contains(text, 'gitleaks:allow')
+    AND {_ENTROPY.format(s="md5(input_id::VARCHAR)")} > 3.5"""
+)
+def scan_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(texts(spark, sf_dir), GENERIC)
+    return found.select("input_id", "path", "secret", "start_line", "start_column", "end_column", "fingerprint")
+
+
+_KEYWORDS = GENERIC.rules[0].keywords
+
+
+@query(f"SELECT doc_id AS input_id, 0 AS rule_at FROM documents WHERE {' OR '.join(f'''contains(lower(text), '{k}')''' for k in _KEYWORDS)}")
+def keyword_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates.candidates(normal_content(documents(spark, sf_dir)), GENERIC).select("input_id", "rule_at")
+
+
+@query(f"SELECT doc_id AS input_id, len(regexp_extract_all(text, '{_RX}', 0)) AS matches FROM documents WHERE len(regexp_extract_all(text, '{_RX}', 0)) > 0")
+def rule_match_generic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = candidates.candidates(decoded_passes(normal_content(documents(spark, sf_dir)), 0, False), GENERIC)
+    return match.matches(found, GENERIC, False).groupBy("input_id").agg(F.count("*").alias("matches"))
+
+
+@query(f"SELECT doc_id AS input_id, unnest(list_transform(list_zip(regexp_extract_all(text, '{_RX}', 0), regexp_extract_all(text, '{_RX}', 1)), x -> CASE WHEN x[2] = '' THEN x[1] ELSE x[2] END)) AS secret FROM documents")
+def secret_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = candidates.candidates(decoded_passes(normal_content(documents(spark, sf_dir)), 0, False), GENERIC)
+    return match.matches(found, GENERIC, False).select("input_id", "secret")
+
+
+@query(
+    f"""WITH {_TEXTS_SQL}, at AS (SELECT input_id, text, instr(text, md5(input_id::VARCHAR)) AS p FROM texts)
+    SELECT input_id, length(text[1:p-1]) - length(replace(text[1:p-1], chr(10), '')) + 1 AS start_line,
+    strlen(string_split(text[1:p-1], chr(10))[-1]) + 2 AS strict_column, length(string_split(text[1:p-1], chr(10))[-1]) + 1 AS native_column FROM at"""
+)
+def line_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.instr("text", F.md5(F.col("input_id").cast("string").cast("binary"))) - 1
+    line, strict = match.line_and_column(F.col("text"), at, False)
+    _, native = match.line_and_column(F.col("text"), at, True)
+    return texts(spark, sf_dir).select("input_id", line.alias("start_line"), strict.alias("strict_column"), native.alias("native_column"))
+
+
+# Scoring.
+
+
+@query(f"WITH {_SEED_SQL} SELECT finding_id, round({_ENTROPY.format(s='secret')}, 6) AS entropy FROM seed")
+def entropy_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seed(spark, sf_dir).select("finding_id", F.round(T.entropy(F.col("secret")), 6).alias("entropy"))
+
+
+@query(f"WITH {_SEED_SQL} SELECT finding_id FROM seed WHERE round({_ENTROPY.format(s='secret')}, 9) > 3.0")
+def entropy_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = seed(spark, sf_dir).withColumn("entropy", F.round(T.entropy(F.col("secret")), 9)).withColumn("min_entropy", F.lit(3.0))
+    return filters.drop_low_entropy(rows).select("finding_id")
+
+
+@query(f"WITH {_SEED_SQL} SELECT finding_id, CASE WHEN commit <> '' THEN commit || ':' ELSE '' END || path || ':' || rule_id || ':' || start_line AS fingerprint FROM seed")
+def strict_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seed(spark, sf_dir).select("finding_id", T.strict_fingerprint(F.col("commit"), F.col("path"), F.col("rule_id"), F.col("start_line")).alias("fingerprint"))
+
+
+@query(f"WITH {_SEED_SQL} SELECT finding_id, 'sieve:v1:' || sha256('{T.FINGERPRINT_FORMAT[1]}' || chr(0) || path || chr(0) || rule_id || chr(0) || sha256(secret) || chr(0)) AS fingerprint FROM seed")
+def stable_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nothing = F.array().cast("array<string>")
+    return seed(spark, sf_dir).select("finding_id", T.stable_fingerprint(F.col("path"), F.col("rule_id"), T.sha256(F.col("secret")), nothing).alias("fingerprint"))
+
+
+@query(f"WITH {_SEED_SQL} SELECT finding_id, CASE severity WHEN 'critical' THEN '8.0' WHEN 'high' THEN '7.0' WHEN 'medium' THEN '5.0' ELSE '3.0' END AS score FROM seed")
+def security_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seed(spark, sf_dir).select("finding_id", T.security_severity(F.col("severity")).alias("score"))
+
+
+@query(f"WITH {_SEED_SQL} SELECT finding_id, 'https://git.example.org/a/b/blob/' || commit || '/' || path || '#L' || start_line AS link FROM seed WHERE commit <> ''")
+def scm_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remote = T.remote_https(F.lit("git@git.example.org:a/b.git"))
+    link = T.scm_link(F.lit("github"), remote, F.col("commit"), F.col("path"), F.col("start_line"), F.col("end_line"))
+    return seed(spark, sf_dir).select("finding_id", link.alias("link")).where("link is not null")
+
+
+@query()
+def randomness_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = seed(spark, sf_dir).select("finding_id", randomness.score(F.col("secret")).alias("score"))
+    return rows.withColumn("classification", randomness.classify(F.col("score")))
+
+
+# Filters.
+
+_LISTS = RuleSet(
+    (
+        Rule("generic-api-key", regex="x", allowlists=(Allowlist(stopwords=("abc", "1F")),)),
+        Rule("aws-access-token", regex="x", allowlists=(Allowlist(regexes=("^[0-4]",)),)),
+        Rule("github-pat", regex="x", allowlists=(Allowlist(condition="AND", regexes=("^key: [a-f]",), regex_target="match", paths=(r"\.png$",)),)),
+        *(Rule(f"rule-{i}", regex="x") for i in range(3)),
+    ),
+    allowlists=(Allowlist(paths=("^src/7/",)),),
+)
+
+
+@query(
+    f"""WITH {_SEED_SQL} SELECT finding_id FROM seed WHERE NOT (path LIKE 'src/7/%' OR rule_at = 0 AND (contains(secret, 'abc') OR contains(secret, '1f'))
+    OR rule_at = 1 AND regexp_matches(secret, '^[0-4]') OR rule_at = 2 AND regexp_matches(match, '^key: [a-f]') AND path LIKE '%.png')"""
+)
+def allowlists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.drop_allowed(seed(spark, sf_dir).withColumn("rule_pack", F.lit("")), _LISTS).select("finding_id")
+
+
+@query(f"WITH {_SEED_SQL} SELECT finding_id FROM seed WHERE NOT contains(line, 'gitleaks:allow')")
+def inline_allow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.drop_inline_allowed(seed(spark, sf_dir)).select("finding_id")
+
+
+@query(f"WITH {_SEED_SQL} SELECT finding_id FROM seed WHERE path NOT LIKE '%.png' AND path NOT LIKE 'src/7/%'")
+def path_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = RuleSet((), allowlists=(Allowlist(paths=(r"\.png$", "^src/7$")),))
+    return candidates.drop_allowed_paths(seed(spark, sf_dir), rules).select("finding_id")
+
+
+_PREDICATE = '(path_is || finding.severity == "low") && !(finding.secret matches "^[0-9]") && finding.start_column >= 5'.replace("path_is", 'source.path ends_with ".png"')
+
+
+@query(f"WITH {_SEED_SQL} SELECT finding_id FROM seed WHERE NOT ((path LIKE '%.png' OR severity = 'low') AND NOT regexp_matches(secret, '^[0-9]') AND start_column >= 5)")
+def predicate_dsl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seed(spark, sf_dir).where(~compile_predicate(_PREDICATE)).select("finding_id")
+
+
+@query(f"WITH {_SEED_SQL} SELECT finding_id FROM seed WHERE validation_state IN ('structurally-valid', 'active')")
+def validation_state_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.keep_states(seed(spark, sf_dir), filters.VERIFIED).select("finding_id")
+
+
+# Suppression.
+
+
+@query("SELECT min(doc_id) AS doc_id, sha256(text) AS sha256, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY sha256(text)")
+def content_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    return docs.groupBy("sha256").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+@query("WITH listed AS (SELECT DISTINCT sha256(d.text) AS h FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 0 AND d.text IS NOT NULL) SELECT doc_id AS input_id FROM documents WHERE text IS NOT NULL AND sha256(text) NOT IN (SELECT h FROM listed)")
+def content_hash_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = documents(spark, sf_dir).where("text is not null").join(table(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("input_id")), "input_id", "left_semi")
+    return suppress.drop_contents(documents(spark, sf_dir).where("text is not null"), listed.select(T.sha256(F.col("text")).alias("sha256"))).select("input_id")
+
+
+@query(
+    f"""WITH {_SEED_SQL}, entries AS (SELECT DISTINCT CASE WHEN commit <> '' AND finding_id % 2 = 0 THEN commit || ':' ELSE '' END || path || ':' || rule_id || ':' || start_line AS e FROM seed WHERE finding_id % 10 < 3)
+    SELECT finding_id FROM seed WHERE path || ':' || rule_id || ':' || start_line NOT IN (SELECT e FROM entries)
+    AND (commit = '' OR commit || ':' || path || ':' || rule_id || ':' || start_line NOT IN (SELECT e FROM entries))"""
+)
+def ignore_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = seed(spark, sf_dir)
+    local = F.concat_ws(":", "path", "rule_id", "start_line")
+    entry = F.when((F.col("commit") != "") & (F.col("finding_id") % 2 == 0), F.concat_ws(":", F.col("commit"), local)).otherwise(local)
+    return suppress.drop_ignored(rows, rows.where("finding_id % 10 < 3").select(entry.alias("entry")).distinct()).select("finding_id")
+
+
+_BASE = "author email date message".split()
+_SAME = " AND ".join(f"a.{c} = b.{c}" for c in ("rule_id", "description", "start_line", "end_line", "start_column", "end_column", "path", "commit"))
+
+
+def _with_base(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.lit("") for c in _BASE} | {"entropy": F.length("secret") / 10.0})
+
+
+@query(f"WITH {_SEED_SQL} SELECT finding_id FROM seed a WHERE NOT EXISTS (SELECT 1 FROM seed b WHERE b.finding_id % 3 = 1 AND {_SAME} AND a.match = b.match AND a.secret = b.secret)")
+def baseline_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _with_base(seed(spark, sf_dir))
+    return suppress.drop_baselined(rows, rows.where("finding_id % 3 = 1")).select("finding_id")
+
+
+@query(f"WITH {_SEED_SQL} SELECT finding_id FROM seed a WHERE NOT EXISTS (SELECT 1 FROM seed b WHERE b.finding_id % 3 = 1 AND {_SAME} AND a.match = b.match AND a.secret = b.secret)")
+def baseline_portable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _with_base(seed(spark, sf_dir))
+    other = rows.where("finding_id % 3 = 1").withColumn("match", T.normal_lines(F.col("match"))).withColumn("entropy", F.lit(0.0))
+    return suppress.drop_baselined(rows, other, portable=True).select("finding_id")
+
+
+# Correlation.
+
+
+@query(
+    f"""WITH {_SEED_SQL} SELECT finding_id FROM seed a WHERE NOT contains(rule_id, 'generic') OR NOT EXISTS
+    (SELECT 1 FROM seed b WHERE NOT contains(b.rule_id, 'generic') AND a.input_id = b.input_id AND a.commit = b.commit AND a.start_line = b.start_line AND contains(b.secret, a.secret))"""
+)
+def generic_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correlate.prefer_specific(seed(spark, sf_dir)).select("finding_id")
+
+
+_REQUIRED = RuleSet((Rule("generic-api-key", regex="x", required=(Required("user-name", 3, None), Required("jwt"))), *(Rule(f"r{i}", regex="x") for i in range(2)), Rule("user-name", regex="x", required=()), Rule("jwt", regex="x")))
+
+
+@query(
+    f"""WITH {_SEED_SQL} SELECT finding_id, 2 AS evidence FROM seed a WHERE rule_at = 0
+    AND EXISTS (SELECT 1 FROM seed b WHERE b.rule_id = 'user-name' AND a.input_id = b.input_id AND abs(a.start_line - b.start_line) <= 3)
+    AND EXISTS (SELECT 1 FROM seed b WHERE b.rule_id = 'jwt' AND a.input_id = b.input_id)
+    UNION ALL SELECT finding_id, 0 AS evidence FROM seed WHERE rule_at <> 0"""
+)
+def required_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correlate.require_rules(seed(spark, sf_dir), _REQUIRED).select("finding_id", F.size("required_findings").alias("evidence"))
+
+
+@query(
+    f"""WITH {_SEED_SQL}, keyed AS (SELECT *, path || ':' || rule_id AS fp FROM seed), n AS (SELECT *, row_number() OVER (PARTITION BY fp, provenance_type ORDER BY finding_id) AS k FROM keyed)
+    SELECT t.finding_id, coalesce(i.finding_id, t.finding_id) AS position, CASE WHEN i.finding_id IS NULL THEN 'git-worktree' ELSE 'git-index+worktree' END AS provenance_type
+    FROM n t LEFT JOIN n i ON i.fp = t.fp AND i.k = t.k AND i.provenance_type = 'git-index' WHERE t.provenance_type = 'git-worktree'
+    UNION ALL SELECT finding_id, finding_id, provenance_type FROM n i WHERE provenance_type = 'git-index' AND NOT EXISTS (SELECT 1 FROM n t WHERE t.provenance_type = 'git-worktree' AND t.fp = i.fp AND t.k = i.k)
+    UNION ALL SELECT finding_id, finding_id, provenance_type FROM n WHERE provenance_type = 'file'"""
+)
+def snapshot_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = seed(spark, sf_dir).select("finding_id", F.concat_ws(":", "path", "rule_id").alias("fingerprint"), "provenance_type", F.col("finding_id").alias("position"))
+    return correlate.merge_snapshots(rows).select("finding_id", "position", "provenance_type")
+
+
+@query(f"WITH {_SEED_SQL} SELECT path, rule_id, secret, min(finding_id) AS first FROM seed GROUP BY input_id, path, rule_id, start_line, end_line, start_column, end_column, match, secret")
+def fragment_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Here the path is a part of the position, too.
+    rows = seed(spark, sf_dir).withColumn("decode_path", F.array(F.col("path")))
+    rows = rows.select(*correlate.DEDUP_KEY, "path", F.col("finding_id").alias("fragment"))
+    return correlate.drop_repeats(rows).select("path", "rule_id", "secret", F.col("fragment").alias("first"))
+
+
+# Redaction and validation.
+
+
+@query(f"WITH {_SEED_SQL} SELECT finding_id, 'REDACTED' AS secret, replace(match, secret, 'REDACTED') AS match FROM seed")
+def redact_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = seed(spark, sf_dir).withColumns({"decode_path": F.array().cast("array<string>"), "secret_sha256": F.lit(""), "match_sha256": F.lit("")})
+    return redact.redact(rows, 100).select("finding_id", "secret", "match")
+
+
+@query(f"WITH {_SEED_SQL} SELECT finding_id, secret[1:cast(round_even(strlen(secret) * 0.75, 0) AS INT)] || '...' AS secret FROM seed")
+def redact_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seed(spark, sf_dir).select("finding_id", redact.mask(F.col("secret"), 25).alias("secret"))
+
+
+@query(f"WITH {_SEED_SQL} SELECT finding_id, CASE WHEN rule_id IN ('aws-access-token', 'github-pat', 'jwt', 'private-key') THEN 'invalid' ELSE 'unknown' END AS validation_state FROM seed")
+def offline_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.validate(seed(spark, sf_dir)).select("finding_id", "validation_state")
+
+
+@query(f"WITH {_SEED_SQL} SELECT finding_id, CASE WHEN regexp_matches(secret, '^[=+@-]') THEN '''' || secret ELSE secret END AS secret FROM seed")
+def report_csv_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seed(spark, sf_dir).select("finding_id", T.csv_guard(F.col("secret")).alias("secret"))
+
+
+# Triage.
+
+
+@query(f"WITH {_SEED_SQL} SELECT rule_id, count(*) AS findings FROM seed GROUP BY rule_id ORDER BY findings DESC, rule_id LIMIT 8")
+def top_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triage.top(seed(spark, sf_dir), "rule_id")
+
+
+@query(f"WITH {_SEED_SQL} SELECT path, count(*) AS findings FROM seed GROUP BY path ORDER BY findings DESC, path LIMIT 8")
+def top_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triage.top(seed(spark, sf_dir), "path")
+
+
+@query(f"WITH {_SEED_SQL} SELECT count(*) AS findings, count(DISTINCT path) AS files, count(DISTINCT rule_id) AS rules, count(DISTINCT nullif(commit, '')) AS commits FROM seed")
+def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triage.summary(seed(spark, sf_dir))
+
+
+@query(f"WITH {_SEED_SQL} SELECT severity, rule_id, count(*) AS findings FROM seed GROUP BY ROLLUP (severity, rule_id)")
+def severity_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triage.severity_rollup(seed(spark, sf_dir))
+
+
+@query(f"WITH {_SEED_SQL} SELECT finding_id FROM seed WHERE contains(path, '/f1.') OR contains(rule_id, '/f1.')")
+def triage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = seed(spark, sf_dir).withColumns({"fingerprint": F.lit(""), "confidence": F.lit("high")})
+    return triage.search(rows, "/F1.").select("finding_id")
+
+
+@query("SELECT 50.0 AS percent, quantile_disc(o_totalprice, 0.5) AS value FROM orders UNION ALL SELECT 95.0, quantile_disc(o_totalprice, 0.95) FROM orders")
+def percentile_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triage.nearest_rank(table(spark, sf_dir, "orders"), "o_totalprice", [50, 95])
+
+
+# What SQL cannot say: rows only.
+
+
+@query()
+def decode_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = texts(spark, sf_dir).withColumn("text", F.concat(F.lit("encoded="), F.base64(F.col("text").cast("binary"))))
+    return scan(coded, GENERIC, ScanOptions(max_decode_depth=2)).select("input_id", "secret", "start_line", "start_column", "end_column", "tags")
+
+
+@query()
+def structured_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = texts(spark, sf_dir).withColumn("text", F.concat(F.lit('db_password: "'), F.md5(F.col("input_id").cast("string").cast("binary")), F.lit('"\n')))
+    return scan(rows, default_rules().enable(["password-assignment"]), ScanOptions(mode="native")).select("input_id", "rule_id", "secret", "start_line", "start_column")
+
+
+@query()
+def text_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fragments(documents(spark, sf_dir), 10_000, 2_500).select("path", "fragment", "start_offset", "start_line", F.length("text").alias("length"))
+
+
+@query()
+def git_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    patch = F.concat(
+        F.lit("commit "), F.sha1(F.col("path").cast("binary")), F.lit("\nAuthor: A B <a@example.org>\nDate:   2024-01-01T00:00:00Z\n\n    change\n\ndiff --git a/x b/x\n--- a/x\n+++ b/"),
+        F.col("path"), F.lit("\n@@ -0,0 +1,3 @@\n+"), F.replace(F.rtrim("text"), F.lit("\n"), F.lit("\n+")), F.lit("\n"),
+    )
+    content = patch_content(texts(spark, sf_dir).select(patch.alias("text")))
+    return scan(content, GENERIC).select("path", "commit", "rule_id", "secret", "start_line", "fingerprint")

@@ -1,0 +1,196 @@
+import pytest
+from pyspark.sql import Row
+
+from sieveworks.operators import suppress
+from sieveworks.operators.rule_qa import check_examples, check_rules
+from sieveworks.plans.ruleset import RuleError, default_rules, parse
+from sieveworks.plans.scan import ScanOptions, scan
+
+
+def found(spark, rules, files, *columns, **options):
+    content = spark.createDataFrame(list(files.items()), "path string, text string")
+    out = scan(content, parse(rules), ScanOptions(**options)).orderBy("path", "start_line", "start_column")
+    return [tuple(r) for r in out.select(*columns).collect()]
+
+
+POSITION = ("rule_id", "start_line", "end_line", "start_column", "end_column")
+
+
+def test_position_and_entropy_on_the_first_line(spark):
+    rules = """[[rules]]\nid = "t"\nregex = 'oracle-secret-[0-9]{5}'\nkeywords = ["oracle"]"""
+    rows = found(spark, rules, {"source.txt": 'const value = "oracle-secret-12345"'}, *POSITION, "entropy", "fingerprint")
+    assert rows[0][:5] == ("t", 1, 1, 16, 34)
+    assert rows[0][5] == pytest.approx(3.6818807, abs=1e-6)
+    assert rows[0][6] == "source.txt:t:1"
+
+
+def test_columns_after_the_first_line_begin_at_two(spark):
+    rules = """[[rules]]\nid = "t"\nregex = 'baseline-secret-[0-9]{5}'"""
+    text = 'old = "baseline-secret-11111"\nnew = "baseline-secret-22222"'
+    assert found(spark, rules, {"a": text}, *POSITION)[1] == ("t", 2, 2, 9, 29)
+    assert found(spark, rules, {"a": text}, *POSITION, mode="native")[1] == ("t", 2, 2, 8, 29)
+
+
+def test_ascii_classes_and_unicode_folding(spark):
+    rules = """
+[[rules]]
+id = "ascii"
+regex = '\\w+-token'
+[[rules]]
+id = "fold"
+regex = '(?i)fold-(δ)'
+[[rules]]
+id = "posix"
+regex = '[[:alpha:]]{3}[]{]x'
+"""
+    rows = found(spark, rules, {"a": "word-token\nfold-Δ\nabc{x é-token"}, "rule_id", "start_line", "secret")
+    assert ("ascii", 1, "word-token") in rows and ("fold", 2, "Δ") in rows and ("posix", 3, "abc{x") in rows
+    assert not [r for r in rows if r[0] == "ascii" and r[1] == 3]
+
+
+def test_rune_entropy_is_divided_by_bytes(spark):
+    rules = """[[rules]]\nid = "fold"\nregex = '(?i)fold-(δ)'"""
+    assert found(spark, rules, {"a": "fold-Δ"}, "entropy")[0][0] == pytest.approx(0.5)
+
+
+def test_secret_group_first_group_and_allowlists(spark):
+    rules = """
+[[rules]]
+id = "first"
+regex = 'k=(?:(a\\d+)|(b\\d+))'
+[[rules]]
+id = "second"
+regex = 'k=(\\w)(\\d+)'
+secretGroup = 2
+[[rules.allowlists]]
+stopwords = ["77"]
+"""
+    rows = found(spark, rules, {"x": "k=b12 k=a77"}, "rule_id", "secret")
+    assert sorted(rows) == [("first", "a77"), ("first", "b12"), ("second", "12")]
+
+
+def test_generic_yields_to_specific_and_inline_marks_allow(spark):
+    rules = """
+[[rules]]
+id = "provider-token"
+regex = 'oracle-secret-[0-9]{5}'
+[[rules]]
+id = "generic-token"
+regex = 'secret-[0-9]{5}'
+"""
+    files = {"a": 'token = "oracle-secret-12345";', "b": "secret-12345 # gitleaks:allow"}
+    assert found(spark, rules, files, "path", "rule_id") == [("a", "provider-token")]
+    assert len(found(spark, rules, files, "path", ignore_inline_marks=True)) == 2
+
+
+COMPOSITE = """
+[[rules]]
+id = "password"
+regex = 'password="(\\w+)"'
+[[rules.required]]
+id = "user"
+withinLines = 2
+[[rules]]
+id = "user"
+regex = 'username="(\\w+)"'
+skipReport = true
+"""
+
+
+def test_required_rules(spark):
+    near, far = 'username="alice"\npassword="secret"', 'username="alice"\n\n\n\npassword="secret"'
+    rows = found(spark, COMPOSITE, {"near": near, "far": far}, "path", "rule_id", "required_findings")
+    assert [(r[0], r[1]) for r in rows] == [("near", "password")]
+    assert rows[0][2] == [Row(rule_id="user", start_line=1, secret="alice")]
+
+
+def test_filter_runs_before_correlation(spark):
+    rules = COMPOSITE + "filter = 'finding.secret == \"alice\"'\n"
+    text = 'username="alice"\npassword="secret"'
+    assert found(spark, rules, {"a": text}, "rule_id", mode="native") == []
+    assert len(found(spark, rules, {"a": text}, "rule_id")) == 1
+
+
+@pytest.mark.parametrize(("text", "kind"), [("dG9rZW4tMTIzNDU=", "base64"), ("".join(f"\\u{ord(c):04x}" for c in "token-12345"), "unicode"), ("%74oken-12345", "percent"), ("746f6b656e2d3132333435", "hex")])
+def test_decoding(spark, text, kind):
+    rules = """[[rules]]\nid = "t"\nregex = 'token-[0-9]{5}'\nkeywords = ["token-"]"""
+    files = {"a": f"first\nencoded={text} tail"}
+    assert found(spark, rules, files, "secret") == []
+    assert found(spark, rules, files, "secret", "tags", "start_line", "start_column", max_decode_depth=5) == [("token-12345", [f"decoded:{kind}"], 2, 10)]
+
+
+def test_nested_decoding(spark):
+    import base64
+
+    twice = base64.b64encode(base64.b64encode(b"my token-12345 here")).decode()
+    rules = """[[rules]]\nid = "t"\nregex = 'token-[0-9]{5}'"""
+    assert found(spark, rules, {"a": f"x {twice}"}, "secret", "start_column", max_decode_depth=1) == []
+    assert found(spark, rules, {"a": f"x {twice}"}, "secret", "start_column", max_decode_depth=3) == [("token-12345", 3)]
+
+
+def test_path_rules_and_path_allowlist(spark):
+    rules = """
+[[allowlists]]
+paths = ['^vendor$']
+[[rules]]
+id = "file"
+path = '\\.p12$'
+[[rules]]
+id = "t"
+regex = 'tok-\\d+'
+path = '\\.cfg$'
+"""
+    files = {"a/key.p12": "", "a/x.cfg": "tok-1", "a/x.txt": "tok-1", "vendor/x.cfg": "tok-1"}
+    assert sorted(found(spark, rules, files, "path", "rule_id", "start_line")) == [("a/key.p12", "file", 0), ("a/x.cfg", "t", 1)]
+
+
+def test_detectors(spark):
+    rules = "\n".join(f'[[rules]]\nid = "{d}"\ndetector = "{d}"' for d in ("password-assignment", "docker-auth", "kubernetes-secret", "npmrc-auth", "jwk", "mcp-config"))
+    files = {
+        "p": "db_password = 'Abc-123-def-456'\npasswd: short",
+        "d": '{"auths": {"r.example.org": {"auth": "dXNlcjpwYXNzd29yZA=="}}}',
+        "k": "kind: Secret\ndata:\n  token: c2VjcmV0\n---\nkind: ConfigMap\ndata:\n  token: plain",
+        "n": "//registry.example.org/:_authToken=abcdef123456",
+        "j": '{"keys": [{"kty": "oct", "k": "c2VjcmV0LWtleS1ieXRlcw"}]}',
+        "m": '{"mcpServers": {"a": {"env": {"API_TOKEN": "abcdef-123456"}}}}',
+    }
+    rows = found(spark, rules, files, "path", "rule_id", "secret", mode="native")
+    assert sorted(rows) == sorted([
+        ("p", "password-assignment", "Abc-123-def-456"), ("d", "docker-auth", "dXNlcjpwYXNzd29yZA=="), ("k", "kubernetes-secret", "c2VjcmV0"),
+        ("n", "npmrc-auth", "abcdef123456"), ("j", "jwk", "c2VjcmV0LWtleS1ieXRlcw"), ("m", "mcp-config", "abcdef-123456"),
+    ])
+
+
+def test_rule_set_errors_and_layers():
+    with pytest.raises(RuleError):
+        parse('[[rules]]\nid = "a"\nregex = "x"\n[[rules]]\nid = "a"\nregex = "y"')
+    with pytest.raises(RuleError):
+        parse('[[rules]]\nid = "a"\nregex = "(x)"\nsecretGroup = 2')
+    with pytest.raises(RuleError):
+        parse('[[rules]]\nid = "a"\nregex = "x"\n[[rules.required]]\nid = "b"')
+    one = parse('[extend]\nuseDefault = true\ndisabledRules = ["jwt"]\n[[rules]]\nid = "github-pat"\ntags = ["x"]')
+    assert "jwt" not in one.by_id and one.by_id["github-pat"].tags == ("x",) and one.by_id["github-pat"].regex
+    assert one.fingerprint != default_rules().fingerprint
+    with pytest.raises(RuleError):
+        default_rules().enable(["nothing"])
+
+
+def test_rule_checks(spark):
+    rules = parse('[[rules]]\nid = "a"\nregex = "tok-.*"\nexamples = ["tok-1", "no"]\nnegativeExamples = ["x", "tok-2"]')
+    assert {(r.rule_id, r.kind) for r in check_rules(spark, rules).collect()} == {("a", "warning")}
+    assert sorted((r.example, r.wanted) for r in check_examples(spark, rules).collect()) == [("no", True), ("tok-2", False)]
+
+
+def test_baseline_of_a_scan_suppresses_it(spark):
+    rules = parse("""[[rules]]\nid = "t"\nregex = 'tok-\\d+'""")
+    content = spark.createDataFrame([("a", "tok-1\ntok-2")], "path string, text string")
+    all_found = scan(content, rules)
+    assert suppress.drop_baselined(all_found, all_found.where("secret = 'tok-1'")).select("secret").collect() == [Row(secret="tok-2")]
+    withheld = all_found.withColumns({"match": all_found.match.substr(0, 0), "secret": all_found.secret.substr(0, 0)})
+    assert suppress.drop_baselined(withheld, all_found).count() == 0
+
+
+def test_empty_and_null_content(spark):
+    content = spark.createDataFrame([(None, None), ("a", "")], "path string, text string")
+    assert scan(content, default_rules()).count() == 0
+    assert scan(content.limit(0), default_rules(), ScanOptions(mode="native", max_decode_depth=2)).count() == 0
