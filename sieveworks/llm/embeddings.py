@@ -146,11 +146,12 @@ def _links(k: int, tables: int, dtype: str, cosine: float):
                     used, inverse = np.unique(np.concatenate([i, j]), return_inverse=True)
                     codes = buckets(x[used], k, tables)
                     for lo in range(0, len(i), 65536):
-                        a, b = inverse[lo : lo + 65536], inverse[len(i) + lo : len(i) + lo + 65536]
-                        ca, ki = codes[a], key[gi[lo : lo + 65536]]
+                        hi = min(lo + 65536, len(i))
+                        a, b = inverse[lo:hi], inverse[len(i) + lo : len(i) + hi]
+                        ca, ki = codes[a], key[gi[lo:hi]]
                         first = (ca == codes[b]).argmax(1)
                         new = ca[np.arange(len(a)), first] == ki
-                        pi, pj = gi[lo : lo + 65536][new], gj[lo : lo + 65536][new]
+                        pi, pj = gi[lo:hi][new], gj[lo:hi][new]
                         np.add.at(links, pi, n[pj])
                         np.add.at(links, pj, n[pi])
                         edges += _spanning(pi, pj)

@@ -28,6 +28,8 @@ from .base import join_checked, materialize
 SEEN, EQUAL = 3, 0.95
 #: Longer lists of children are aligned by kind: children of one kind then count as one.
 LONG_LIST = 48
+#: Elements nested deeper than this are aligned as one text with what holds them.
+DEPTH = 60
 
 # What tags, roles and parts of class names and ids say about an element.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -171,11 +173,11 @@ class Slot:
 
     __slots__ = ("digest", "key", "members", "slots", "words")
 
-    def __init__(self, members: list[Node], in_article: bool):
+    def __init__(self, members: list[Node], in_article: bool, depth: int = 0):
         self.members, self.key = members, members[0].key
         inner = in_article or _is_article(members[0])
-        runs = _runs(members[0], inner) if len(members) == 1 else []
-        self.slots = [Slot(r, inner) for r in runs]
+        runs = _runs(members[0], inner) if len(members) == 1 and depth < DEPTH else []
+        self.slots = [Slot(r, inner, depth + 1) for r in runs]
         own = blocks(members, inner, {id(x) for r in runs for x in r})
         text = "\n".join(own)
         self.digest, self.words = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")), len(text.split())
