@@ -225,9 +225,10 @@ def _scored(n: float, v: float, weights: dict[int, np.ndarray]):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         block, (_, (cv, cw, cvw)) = _all_counts(left, right)
         w = span[np.clip(_bucket(cv), low, high) - low]
-        # An unseen context leaves its share to the lower orders.
-        p2 = np.where(cv > 0, cvw / np.maximum(cv, 1), cw / max(n, 1))
-        p = w[:, 0] * p2 + w[:, 1] * cw / max(n, 1) + w[:, 2] / (v + 1)
+        # An order that has seen nothing leaves its share to the next lower one.
+        p1 = cw / n if n else np.full(len(cw), 1 / (v + 1))
+        p2 = np.where(cv > 0, cvw / np.maximum(cv, 1), p1)
+        p = w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] / (v + 1)
         base = np.log10((cw + 0.5) / (n + 0.5 * (v + 1)))
         sums = [np.add.reduceat(x, block.starts) for x in (np.log10(p), base, (cw > 0).astype(np.int64))]
         return pa.table({"doc_id": pa.array(block.doc_id, pa.int64()), "held_out": block.held_out, "n_tokens": block.size, "n_known": sums[2], "base_score": sums[1], "score": sums[0]})
