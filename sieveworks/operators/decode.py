@@ -27,7 +27,7 @@ ENCODINGS = {
 CONCAT = re.compile(r'"(?:[^"\\\n]|\\.)*"(?:\s*\+\s*"(?:[^"\\\n]|\\.)*")+|(?i:string)\.Concat\(\s*"(?:[^"\\\n]|\\.)*"(?:\s*,\s*"(?:[^"\\\n]|\\.)*")+\s*\)')
 _LITERAL = re.compile(r'"((?:[^"\\\n]|\\.)*)"')
 MIN_CONCAT = 8
-PASS = "input_id long, path string, text string, commit string, author string, email string, date string, message string, symlink_file string, provenance_type string, decode_path array<string>, original string, segments array<struct<start:int,end:int,from:int,to:int>>"
+PASS = "input_id long, path string, text string, commit string, author string, email string, date string, message string, symlink_file string, provenance_type string, source_line int, decode_path array<string>, original string, segments array<struct<start:int,end:int,from:int,to:int>>"
 
 
 def _plain(b: bytes) -> str | None:
@@ -135,7 +135,7 @@ def _passes(depth: int, native: bool):
 
 _TEXTS = ["path", "text", "commit", "author", "email", "date", "message", "symlink_file", "provenance_type"]
 _SEGMENT = pa.struct([(n, pa.int32()) for n in ("start", "end", "from", "to")])
-_ARROW = pa.schema([("input_id", pa.int64()), *[(t, pa.string()) for t in _TEXTS], ("decode_path", pa.list_(pa.string())), ("original", pa.string()), ("segments", pa.list_(_SEGMENT))])
+_ARROW = pa.schema([("input_id", pa.int64()), *[(t, pa.string()) for t in _TEXTS], ("source_line", pa.int32()), ("decode_path", pa.list_(pa.string())), ("original", pa.string()), ("segments", pa.list_(_SEGMENT))])
 
 
 def decoded_passes(inputs: DataFrame, depth: int, native: bool) -> DataFrame:
@@ -145,7 +145,7 @@ def decoded_passes(inputs: DataFrame, depth: int, native: bool) -> DataFrame:
         return inputs.withColumns(
             {"decode_path": F.array().cast("array<string>"), "original": F.lit(None).cast("string"), "segments": F.expr("cast(array() as array<struct<start:int,end:int,from:int,to:int>>)")}
         )
-    return inputs.withColumn("input_id", F.col("input_id").cast("long")).select("input_id", *_TEXTS).mapInArrow(_passes(depth, native), PASS)
+    return inputs.withColumn("input_id", F.col("input_id").cast("long")).select("input_id", *_TEXTS, "source_line").mapInArrow(_passes(depth, native), PASS)
 
 
 def original_offset(offset: Column, segments: Column, end: bool) -> Column:

@@ -1,7 +1,7 @@
 """The scan: content and a rule set to findings, as one lazy plan.
 
-content(path, text) may carry input_id, commit, author, email, date, message, symlink_file and
-provenance_type; what is missing is filled in. Steps: path allowlists and prefilters, candidate
+content(path, text) may carry input_id, commit, author, email, date, message, symlink_file,
+provenance_type and start_line (of a fragment); what is missing is filled in. Steps: path allowlists and prefilters, candidate
 rules by keyword, matches, entropy, allowlists, inline marks, filters, required rules, unreported
 rules, generic precedence. Only the last three shuffle, and only findings, never texts.
 """
@@ -58,8 +58,10 @@ def normal_content(content: DataFrame) -> DataFrame:
         out = out.withColumn(c, F.coalesce(F.col(c).cast(kind), F.lit("")) if c in content.columns else F.lit(""))
     out = out.withColumn("path", F.coalesce(F.col("path").cast("string"), F.lit(""))).withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     if "input_id" not in content.columns:
-        out = out.withColumn("input_id", F.xxhash64("path", "commit"))
-    return out.select("input_id", "path", "text", *OPTIONAL)
+        out = out.withColumn("input_id", F.xxhash64("path", "commit", *(["start_line"] if "start_line" in content.columns else [])))
+    # Where a fragment of a larger text begins there.
+    first = F.coalesce(F.col("start_line").cast("int"), F.lit(1)) if "start_line" in content.columns else F.lit(1)
+    return out.withColumn("source_line", first).select("input_id", "path", "text", *OPTIONAL, "source_line")
 
 
 def path_findings(content: DataFrame, rules: RuleSet) -> DataFrame:
@@ -80,6 +82,7 @@ def scan(content: DataFrame, rules: RuleSet, options: ScanOptions = ScanOptions(
     found = matches(candidates(passes, rules), rules, options.native).drop("text")
     if options.native and any(r.detector for r in rules.rules):
         found = found.unionByName(detected(candidates(passes, rules), rules).drop("text"))
+    found = found.withColumns({c: F.col(c) + F.col("source_line") - 1 for c in ("start_line", "end_line")})
     found = found.withColumn("entropy", byte_entropy(F.col("secret")) if options.native else entropy(F.col("secret")))
     found = drop_low_entropy(found)
     found = drop_allowed(found, rules)

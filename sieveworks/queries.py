@@ -58,7 +58,7 @@ TEXTS = {
     "text": "concat('user = \"', c_name, '\"', chr(10), 'api_token = \"', md5(cast(c_custkey as string)), '\"', CASE WHEN c_custkey % 9 = 0 THEN ' # gitleaks:allow' ELSE '' END, chr(10), 'note: key of ', c_mktsegment, chr(10))",
 }
 _TEXTS_SQL = "texts AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in TEXTS.items()) + " FROM customer)"
-_ENTROPY = "coalesce(list_sum(list_transform(list_distinct(string_split({s}, '')), c -> -((length({s}) - length(replace({s}, c, ''))) / cast(strlen({s}) as double)) * log2((length({s}) - length(replace({s}, c, ''))) / cast(strlen({s}) as double)))), 0)"
+_ENTROPY = "coalesce(list_sum(list_transform(list_distinct(string_split({s}, '')), lambda c: -((length({s}) - length(replace({s}, c, ''))) / cast(strlen({s}) as double)) * log2((length({s}) - length(replace({s}, c, ''))) / cast(strlen({s}) as double)))), 0)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -111,7 +111,7 @@ def scan_documents_native(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_TEXTS_SQL} SELECT input_id, path, md5(input_id::VARCHAR) AS secret, 2 AS start_line, 2 AS start_column, 46 AS end_column,
+    f"""WITH {_TEXTS_SQL} SELECT input_id, path, md5(input_id::VARCHAR) AS secret, 2 AS start_line, 2 AS start_column, 47 AS end_column,
     path || ':generic-api-key:2' AS fingerprint FROM texts WHERE NOT contains(text, 'gitleaks:allow')
     AND {_ENTROPY.format(s="md5(input_id::VARCHAR)")} > 3.5"""
 )
@@ -134,16 +134,16 @@ def rule_match_generic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.matches(found, GENERIC, False).groupBy("input_id").agg(F.count("*").alias("matches"))
 
 
-@query(f"SELECT doc_id AS input_id, unnest(list_transform(list_zip(regexp_extract_all(text, '{_RX}', 0), regexp_extract_all(text, '{_RX}', 1)), x -> CASE WHEN x[2] = '' THEN x[1] ELSE x[2] END)) AS secret FROM documents")
+@query(f"SELECT doc_id AS input_id, unnest(list_transform(list_zip(regexp_extract_all(text, '{_RX}', 0), regexp_extract_all(text, '{_RX}', 1)), lambda x: CASE WHEN x[2] = '' THEN x[1] ELSE x[2] END)) AS secret FROM documents")
 def secret_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = candidates.candidates(decoded_passes(normal_content(documents(spark, sf_dir)), 0, False), GENERIC)
     return match.matches(found, GENERIC, False).select("input_id", "secret")
 
 
 @query(
-    f"""WITH {_TEXTS_SQL}, at AS (SELECT input_id, text, instr(text, md5(input_id::VARCHAR)) AS p FROM texts)
+    f"""WITH {_TEXTS_SQL}, spot AS (SELECT input_id, text, instr(text, md5(input_id::VARCHAR)) AS p FROM texts)
     SELECT input_id, length(text[1:p-1]) - length(replace(text[1:p-1], chr(10), '')) + 1 AS start_line,
-    strlen(string_split(text[1:p-1], chr(10))[-1]) + 2 AS strict_column, length(string_split(text[1:p-1], chr(10))[-1]) + 1 AS native_column FROM at"""
+    strlen(string_split(text[1:p-1], chr(10))[-1]) + 2 AS strict_column, length(string_split(text[1:p-1], chr(10))[-1]) + 1 AS native_column FROM spot"""
 )
 def line_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.instr("text", F.md5(F.col("input_id").cast("string").cast("binary"))) - 1

@@ -24,13 +24,15 @@ RULES = """[[rules]]\nid = "t"\ndescription = "tok"\nregex = 'tok-[a-z<>&]+'\nke
 def test_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "a b.txt").write_text("tok-abc")
-    (tmp_path / "sub/.hidden").write_text("tok-def")
+    (tmp_path / "sub/plain").write_text("tok-def")
+    (tmp_path / "sub/.hidden").write_text("tok-hid")
     (tmp_path / "wide.txt").write_bytes("tok-wide".encode("utf-16"))
     (tmp_path / "bin").write_bytes(b"tok-no\0")
     (tmp_path / "big.txt").write_text("tok-big" * 100)
     (tmp_path / "skip.log").write_text("tok-log")
     rows = scan(file_content(spark, str(tmp_path), native=True, max_bytes=100, ignore=["*.log"]), parse(RULES), ScanOptions(mode="native"))
-    assert sorted((r.path, r.secret) for r in rows.collect()) == [("a b.txt", "tok-abc"), ("wide.txt", "tok-wide")] or sorted((r.path, r.secret) for r in rows.collect()) == [("a b.txt", "tok-abc"), ("sub/.hidden", "tok-def"), ("wide.txt", "tok-wide")]
+    # Spark's readers pass over names that begin with a dot.
+    assert sorted((r.path, r.secret) for r in rows.collect()) == [("a b.txt", "tok-abc"), ("sub/plain", "tok-def"), ("wide.txt", "tok-wide")]
 
 
 def test_ignore_patterns():
