@@ -9,8 +9,8 @@
    the restored text. Other tokens have one path: themselves without outer punctuation.
 3. Restored words and their first four to six letters are the evidence. Each one's weight is
    its log odds of standing in toxic documents, learned from a bounded sample of labelled rows.
-   The three heaviest pieces of evidence of a document are added up, and a logistic curve,
-   fitted on sums that leave the document's own label out, gives the score.
+   The heaviest piece of evidence of a document and the next two give the score by a logistic
+   curve, fitted on weights that leave the document's own label out.
 """
 
 from __future__ import annotations
@@ -38,10 +38,11 @@ BEAM = 24
 # The letters that digits and symbols stand for.
 STANDS_FOR = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
-    "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i",
+    "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou",
 }
-#: Costs, in natural logarithms: a letter disguised, a character dropped, a run shrunk, a cut.
-DISGUISED, DROPPED, SHRUNK, CUT = 1.0, 2.5, 0.5, 3.0
+#: Costs, in natural logarithms: a letter disguised; a character dropped that looks like a letter, that
+#: may stand for one, or that is plain noise; a run shrunk; a cut.
+DISGUISED, DROPPED, SHRUNK, CUT = 0.7, {"@$€£": 12.0, "!|+(<¡*": 1.2, "": 0.3}, 0.5, 3.0
 
 _OUTER = re.compile(r"^[^\w@$€£]+|[^\w@$€£]+$")
 _ODD = re.compile(r"[^\W\d_]")
@@ -127,7 +128,9 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
                 options.append((c + c, SHRUNK))
         else:
             options = [(x, DISGUISED + SHRUNK * (n > 1)) for x in STANDS_FOR.get(c, "")]
-            options += [("", DROPPED if c in STANDS_FOR else 0.3), (" ", CUT)]
+            options += [(x + x, DISGUISED) for x in STANDS_FOR.get(c, "") if n > 1]
+            kind = "@$€£" if c.isdigit() else next(k for k in DROPPED if c in k or not k)
+            options += [("", DROPPED[kind]), (" ", CUT + 2.5 * (kind == "@$€£"))]
         out.append(options)
     return out
 
@@ -189,7 +192,7 @@ class Restorer(dict):
 def evidence(word: str) -> Iterator[str]:
     yield word
     for n in (4, 5, 6):
-        if len(word) > n:
+        if len(word) >= n:
             yield word[:n] + "-"
 
 
@@ -212,7 +215,7 @@ class ToxicityModel:
 
     def __init__(self, chars: CharModel, counts: dict[str, tuple[int, int]], toxic: int, clean: int):
         self.chars, self.counts, self.toxic, self.clean = chars, counts, toxic, clean
-        self.slope, self.offset = 1.0, -4.0
+        self.slopes, self.offset = (1.0, 0.0), -4.0
         self.weights = {f: w for f in counts if (w := self.weight(f)) >= LEAST_WEIGHT}
 
     def weight(self, f: str, label: int | None = None) -> float:
@@ -231,31 +234,38 @@ class ToxicityModel:
                 best[f] = v
         return sorted(((v, f) for f, v in best.items() if v > 0), reverse=True)
 
-    def fit(self, sums: np.ndarray, labels: np.ndarray) -> None:
-        """A logistic curve over the sums, by Newton steps with a slight ridge."""
-        x = np.stack([sums, np.ones_like(sums)], 1)
-        w = np.array([0.5, -3.0])
-        for _ in range(50):
+    @staticmethod
+    def inputs(found: list[tuple[float, str]]) -> tuple[float, float]:
+        """What the curve sees: the heaviest weight, and the next two together."""
+        return (found[0][0] if found else 0.0, sum(v for v, _ in found[1:3]))
+
+    def fit(self, inputs: np.ndarray, labels: np.ndarray) -> None:
+        """A logistic curve over the inputs, by Newton steps with a slight ridge."""
+        x = np.column_stack([inputs, np.ones(len(inputs))])
+        w = np.array([0.5, 0.0, -3.0])
+        for _ in range(100):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             g = x.T @ (labels - p) - 0.05 * w
-            h = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(2)
+            h = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(3)
             step = np.linalg.solve(h, g)
-            w = w + np.clip(step, -2, 2)
+            w = w + np.clip(step, -1, 1)
             if abs(step).max() < 1e-6:
                 break
-        self.slope, self.offset = float(max(w[0], 0.05)), float(w[1])
+        self.slopes, self.offset = (float(max(w[0], 0.05)), float(max(w[1], 0.0))), float(w[2])
 
     def score(self, found: list[tuple[float, str]]) -> float:
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * sum(v for v, _ in found[:3]) + self.offset))))
+        z = self.offset + sum(a * b for a, b in zip(self.slopes, self.inputs(found), strict=True))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def _loo_sums(model: ToxicityModel):
+def _loo_inputs(model: ToxicityModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model.chars)
         for b in batches:
             labels = b.column("toxic").to_pylist()
-            sums = [sum(v for v, _ in model.found(restorer.words(t.as_py() or ""), y)[:3]) for t, y in zip(b.column("text"), labels, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(sums, pa.float64()), pa.array(labels, pa.int32())], names=["s", "toxic"])
+            x = [model.inputs(model.found(restorer.words(t.as_py() or ""), y)) for t, y in zip(b.column("text"), labels, strict=True)]
+            cols = [pa.array([v[i] for v in x], pa.float64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(labels, pa.int32())], names=["x1", "x2", "toxic"])
 
     return run
 
@@ -276,9 +286,9 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column) -> ToxicityModel:
     counted = rows.mapInArrow(_feature_counts(chars), "f string, t long, c long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     kept = counted.where((F.col("t") >= SUPPORT) & (F.col("t") > F.col("c"))).orderBy(F.desc(F.col("t") - F.col("c")), "f").limit(EVIDENCE)
     model = ToxicityModel(chars, {r.f: (r.t, r.c) for r in kept.collect()}, n.get(1, 0), n.get(0, 0))
-    sums = rows.mapInArrow(_loo_sums(model), "s double, toxic int").collect()
+    seen = rows.mapInArrow(_loo_inputs(model), "x1 double, x2 double, toxic int").collect()
     if n.get(1) and n.get(0):
-        model.fit(np.array([r.s for r in sums]), np.array([r.toxic for r in sums], float))
+        model.fit(np.array([(r.x1, r.x2) for r in seen]), np.array([r.toxic for r in seen], float))
     return model
 
 
