@@ -45,11 +45,16 @@ def drop_allowed_paths(content: DataFrame, rules: RuleSet) -> DataFrame:
     return content
 
 
-def candidate_rules(text: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with these columns, each evaluated once. Plain projections get inlined into every filter and
+    expression above them, over and over if they refer to each other; what a Generate yields does not."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def candidate_rules(low: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     """The positions of the rules that can match: no keyword, or one that stands in the text whatever its
-    case; and a path pattern, if any, that matches. Unrolled over the rules, so that it is generated code
-    over one lower-cased text. The pattern itself is only tried on what this lets through."""
-    low = F.lower(text)
+    case; and a path pattern, if any, that matches. low is the lower-cased text. Unrolled over the rules, so
+    that it is generated code. The pattern itself is only tried on what this lets through."""
     found = []
     for i, r in enumerate(rules):
         if not (r.regex or r.detector):
@@ -64,7 +69,8 @@ def candidate_rules(text: Column, path: Column, rules: tuple[Rule, ...]) -> Colu
 def candidates(content: DataFrame, rules: RuleSet) -> DataFrame:
     """content with a row for each candidate rule, its position in rule_at. The explode (a Generate) keeps
     the optimizer from testing patterns ahead of keywords, which it does to a join."""
-    low = content.withColumn("_rules", candidate_rules(F.col("text"), F.coalesce("path", F.lit("")), rules.rules))
+    low = settled(content, _low=F.lower("text"))
+    low = settled(low, _rules=candidate_rules(F.col("_low"), F.coalesce("path", F.lit("")), rules.rules)).drop("_low")
     out = low.where(F.size("_rules") > 0).select("*", F.explode("_rules").alias("rule_at")).drop("_rules")
     filtered = [(i, r) for i, r in enumerate(rules.rules) if r.prefilter]
     for i, r in filtered:

@@ -46,13 +46,14 @@ def require_rules(findings: DataFrame, rules: RuleSet) -> DataFrame:
 
 def prefer_specific(findings: DataFrame) -> DataFrame:
     """Drops a finding of a generic rule (its id contains "generic") if a finding of another rule in the
-    same input, commit and start line has a secret that contains its secret."""
-    keys = ["input_id", "commit", "start_line"]
+    same input, commit and start line has a secret that contains its secret. A window over the findings
+    of one line, so that the scan below is evaluated once and shuffled once."""
     generic = F.contains("rule_id", F.lit("generic"))
-    specific = findings.where(~generic).select(*[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"_{k}") for k in keys], F.col("secret").alias("_secret"))
-    same = [F.coalesce(F.col(k).cast("string"), F.lit("")) == F.col(f"_{k}") for k in keys]
-    rest = findings.where(generic).join(specific, [*same, F.contains("_secret", F.col("secret"))], "left_anti")
-    return findings.where(~generic).unionByName(rest)
+    line = Window.partitionBy("input_id", F.coalesce("commit", F.lit("")), "start_line")
+    others = F.collect_set(F.when(~generic, F.col("secret"))).over(line)
+    marked = findings.withColumns({"_generic": generic, "_others": others})
+    beaten = F.col("_generic") & F.exists("_others", lambda s: F.contains(s, F.col("secret")))
+    return marked.where(~beaten).drop("_generic", "_others")
 
 
 DEDUP_KEY = ["input_id", "rule_id", "start_line", "end_line", "start_column", "end_column", "match", "secret", "decode_path"]

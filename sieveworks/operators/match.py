@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sieveworks.plans.ruleset import RuleSet
 
+from .candidates import settled
 from .decode import original_offset
 
 MAX_GROUPS = 9
@@ -19,31 +20,28 @@ def rules_table(spark: SparkSession, rules: RuleSet) -> DataFrame:
     return spark.createDataFrame(rows, RULES_SCHEMA)
 
 
-def spans(text: Column, pattern: Column) -> Column:
-    """An array of (at, start, end, match) for each match of the pattern: its number, and the offsets in
-    code points from 0, end excluded. What stands between the matches gives the offsets. Empty matches,
-    which the rule dialect's engine does not report either, are left out of consideration by callers."""
-    hits = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.split(text, pattern, -1)
-
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["next"] + F.char_length(F.get(gaps, i))
-        end = start + F.char_length(F.get(hits, i))
-        one = F.struct(i.alias("at"), start.alias("start"), end.alias("end"), F.get(hits, i).alias("match"))
+def spans(text: Column, pattern: Column, group: Column, n_groups: Column, most: int) -> Column:
+    """An array of (at, start, end, match, secret) for each match of the pattern: its number, the offsets in
+    code points from 0, end excluded, and the secret: the rule's group, or for group 0 the first group
+    that is not empty, or else the whole match. What stands between the matches gives the offsets. most:
+    the largest number of groups that occurs. Every array is made once and walked once."""
+    none = F.array().cast("array<string>")
+    hits = F.regexp_extract_all(text, pattern, F.lit(0)).alias("m")
+    gaps = F.split(text, pattern, -1).alias("g")
+    chosen = F.when(group > 0, F.regexp_extract_all(text, pattern, F.least(group, n_groups))).otherwise(none).alias("c")
+    firsts = [F.when((group == 0) & (n_groups >= k), F.regexp_extract_all(text, pattern, F.lit(k))).otherwise(none).alias(f"s{k}") for k in range(1, min(most, MAX_GROUPS) + 1)]
+    zipped = F.filter(F.arrays_zip(hits, gaps, chosen, *firsts), lambda x: x["m"].isNotNull())
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["next"] + F.char_length(x["g"])
+        end = start + F.char_length(x["m"])
+        free = F.coalesce(*[F.nullif(x[f"s{k + 1}"], F.lit("")) for k in range(len(firsts))], x["m"])
+        secret = F.when(group > 0, F.coalesce(x["c"], F.lit(""))).otherwise(free)
+        one = F.struct(F.size(acc["out"]).alias("at"), start.alias("start"), end.alias("end"), x["m"].alias("match"), secret.alias("secret"))
         return F.struct(end.alias("next"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    zero = F.struct(F.lit(0).alias("next"), F.expr("cast(array() as array<struct<at:int,start:int,end:int,match:string>>)").alias("out"))
-    numbers = F.sequence(F.lit(0), F.size(hits) - 1)
-    return F.when(F.size(hits) > 0, F.aggregate(numbers, zero, step, lambda acc: acc["out"]))
-
-
-def secret_of(text: Column, pattern: Column, at: Column, group: Column, n_groups: Column, most: int) -> Column:
-    """The secret of match number `at`: the rule's group, or for group 0 the first group that is not
-    empty, or else the whole match. most: the largest number of groups that occurs."""
-    nth = lambda g: F.nullif(F.get(F.regexp_extract_all(text, pattern, g), at), F.lit(""))
-    chosen = F.when(group > 0, F.get(F.regexp_extract_all(text, pattern, F.least(group, n_groups)), at))
-    first = F.coalesce(*[F.when(n_groups >= g, nth(F.lit(g))) for g in range(1, max(1, min(most, MAX_GROUPS)) + 1)])
-    return F.when(group > 0, chosen).otherwise(first)
+    zero = F.struct(F.lit(0).alias("next"), F.expr("cast(array() as array<struct<at:int,start:int,end:int,match:string,secret:string>>)").alias("out"))
+    return F.aggregate(zipped, zero, step, lambda acc: acc["out"])
 
 
 def line_and_column(text: Column, offset: Column, native: bool) -> tuple[Column, Column]:
@@ -69,11 +67,11 @@ def matches(candidates: DataFrame, rules: RuleSet, native: bool) -> DataFrame:
     table = rules_table(candidates.sparkSession, rules).where("java <> ''")
     text, pattern = F.col("text"), F.col("java")
     most = max((r.n_groups for r in rules.rules), default=0)
-    hit = candidates.join(F.broadcast(table), "rule_at").withColumn("_span", F.explode(spans(text, pattern)))
-    hit = hit.where("_span.match <> ''").select("*", "_span.*").drop("_span")
-    secret = F.coalesce(secret_of(text, pattern, F.col("at"), F.col("secret_group"), F.col("n_groups"), most), F.when(F.col("secret_group") == 0, F.col("match")), F.lit(""))
+    hit = settled(candidates.join(F.broadcast(table), "rule_at"), _spans=spans(text, pattern, F.col("secret_group"), F.col("n_groups"), most))
+    # Empty matches, which the rule dialect's engine would not report either, are left out.
+    hit = hit.select("*", F.inline("_spans")).where("match <> ''").drop("_spans")
     hit = hit.withColumn("_text", F.coalesce("original", "text"))
-    return positioned(hit.withColumn("secret", secret), native).drop("java", "n_groups", "secret_group")
+    return positioned(hit, native).drop("java", "n_groups", "secret_group")
 
 
 def positioned(hit: DataFrame, native: bool) -> DataFrame:
@@ -86,11 +84,5 @@ def positioned(hit: DataFrame, native: bool) -> DataFrame:
         # The last byte of the last code point.
         width = F.octet_length(F.substring(text, F.col("end"), F.lit(1)))
         last_column = (last_column + width - 1).cast("int")
-    return hit.select(
-        "*",
-        source_lines(text, F.col("start"), F.col("end")).alias("line"),
-        start_line.alias("start_line"),
-        last_line.alias("end_line"),
-        start_column.alias("start_column"),
-        last_column.alias("end_column"),
-    ).drop("start", "end", "at", "original", "segments", "_text")
+    lines = source_lines(text, F.col("start"), F.col("end"))
+    return settled(hit, line=lines, start_line=start_line, end_line=last_line, start_column=start_column, end_column=last_column).drop("start", "end", "at", "original", "segments", "_text")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sieveworks import on_workers
 from sieveworks.functions.text import FINGERPRINT_FORMAT, byte_entropy, entropy, evidence_hash, normal_path, or_default, sha256, stable_fingerprint, strict_fingerprint
-from sieveworks.operators.candidates import candidates, drop_allowed_paths, path_matches
+from sieveworks.operators.candidates import candidates, drop_allowed_paths, path_matches, settled
 from sieveworks.operators.correlate import prefer_specific, require_rules
 from sieveworks.operators.decode import decoded_passes
 from sieveworks.operators.detectors import detected
@@ -83,7 +83,7 @@ def scan(content: DataFrame, rules: RuleSet, options: ScanOptions = ScanOptions(
     if options.native and any(r.detector for r in rules.rules):
         found = found.unionByName(detected(candidates(passes, rules), rules).drop("text"))
     found = found.withColumns({c: F.col(c) + F.col("source_line") - 1 for c in ("start_line", "end_line")})
-    found = found.withColumn("entropy", byte_entropy(F.col("secret")) if options.native else entropy(F.col("secret")))
+    found = settled(found, entropy=byte_entropy(F.col("secret")) if options.native else entropy(F.col("secret")))
     found = drop_low_entropy(found)
     found = drop_allowed(found, rules)
     if not options.ignore_inline_marks:
@@ -102,9 +102,12 @@ def scan(content: DataFrame, rules: RuleSet, options: ScanOptions = ScanOptions(
         found = found.groupBy(*key).agg(best).select(*key, *[F.col(f"_f.{c}").alias(c) for c in rest])
     found = found.withColumn("finding_id", F.xxhash64("input_id", "rule_at", "start_line", "start_column", "end_line", "end_column", "secret", "decode_path"))
     found = require_rules(found, rules).where(~F.col("skip_report"))
-    found = prefer_specific(found)
-    paths = path_findings(inputs, rules)
-    return finished(found, options).unionByName(finished(_as_findings(paths, rules), options))
+    if any("generic" in r.id for r in rules.rules):
+        found = prefer_specific(found)
+    out = finished(found, options)
+    if any(r.path and not r.regex and not r.detector for r in rules.rules):
+        out = out.unionByName(finished(_as_findings(path_findings(inputs, rules), rules), options))
+    return out
 
 
 def _as_findings(paths: DataFrame, rules: RuleSet) -> DataFrame:
