@@ -123,10 +123,14 @@ def token_counts(docs: DataFrame, tokenizer: TokenizerFile, cache: str, limit: i
         return rows.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
 
     first = keyed.groupBy("content").agg(F.min("doc_id").alias("pick"), F.count("*").alias("n"))
-    missing = materialize(first.join(stored(), "content", "left_anti"))
+    first = materialize(first)
+    hits = materialize(first.select("content").join(stored(), "content", "left_semi"))
+    missing = first.join(hits.hint("merge"), "content", "left_anti")
     again = join_checked(keyed.select("content", "doc_id"), missing.where("n > 1").select("content", "pick"), "content", "inner", 80)
     again = again.where("doc_id <> pick").select("content", "doc_id")
-    todo = join_checked(read, missing.select("content"), "content", "left_semi", 64)
+    # Whichever is less: leaving out what is stored, or looking for what is missing.
+    few_hits = 2 * hits.count() < first.count()
+    todo = join_checked(read, hits, "content", "left_anti", 64) if few_hits else join_checked(read, missing.select("content"), "content", "left_semi", 64)
     todo = join_checked(todo, again, ["content", "doc_id"], "left_anti", 80).select("content", "text")
     new = todo.mapInArrow(_counts(tokenizer), "content binary, n_tokens long").distinct()
     new.select("content", F.lit(tokenizer.digest).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
