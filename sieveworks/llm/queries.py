@@ -12,6 +12,7 @@ from . import bpe, embeddings, html_text, language_model, toxicity, url_filter,
 from .base import fold, shared_path, table
 from .decontaminate import leaks
 from .near_dedup import near_duplicates
+from .oracles import ORACLES
 from .token_counts import TokenizerFile, token_counts
 
 #: The listed rules of op1, beside which the pattern rules decide.
@@ -97,4 +98,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_html_extraction,
     )
 }
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES", "TOXIC", "URL_RULES", "toxicity_model"]
