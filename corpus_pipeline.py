@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveworks.llm import bpe, toxicity
-from sieveworks.llm.base import join_checked, shared_path, table
+from sieveworks.llm.base import join_checked, shared_path, small_batches, table
 from sieveworks.llm.decontaminate import drop_leaks
 from sieveworks.llm.near_dedup import keep_one
 from sieveworks.llm.queries import TOXIC, toxicity_model
@@ -22,6 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with one document of each group of near copies, the one with the smallest doc_id."""
+    small_batches(spark)
     return keep_one(docs)
 
 
@@ -33,6 +34,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row (doc_id, n_tokens, ids, round_trip) for each document: the token ids of its whole text as
     little-endian unsigned 32-bit integers, and whether they decode to it."""
+    small_batches(spark)
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     coded = bpe.encode(docs, ranks, public_tokenizers.PATTERN, decode=True, keep_text=True)
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")

@@ -3,6 +3,8 @@ runs of equal keys in sorted batches, and connected components."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from sieveworks import on_workers
 
 #: A side of a join is broadcast only when its rows, times their width, stay below this.
-BROADCAST_BYTES = 12 << 20
+BROADCAST_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,8 +67,32 @@ def text_bytes(column: str = "text") -> Column:
     return F.col(column).cast("string").cast("binary")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow carry at most a thousand rows or 16 MB at a time to Python workers: texts are long, and
+    a batch stands several times in an executor's memory. Values that were set are left alone."""
+    for key, default, value in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", "67108864b", "16m")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", default) == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
+
+
+def released(fn: Callable) -> Callable:
+    """fn, a function from batches to batches, that gives its memory back to the machine when its task
+    ends. Python workers live on from task to task, and allocators would keep what a task had freed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     on_workers(spark)
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -131,7 +157,7 @@ def spread_blocks(df: DataFrame) -> DataFrame:
 def in_runs(df: DataFrame, keys: list[str], fn: Callable, schema: str, partitions: int | None = None) -> DataFrame:
     """mapInArrow of fn over df, dealt and sorted by keys so that equal keys stand together."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(fn, schema)
+    return df.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(released(fn), schema)
 
 
 def forest(n: int, partners: Callable[[int], np.ndarray]) -> list[tuple[int, int]]:

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import text_bytes
+from .base import released, text_bytes
 
 _NEVER = 1 << 62
 
@@ -69,7 +69,7 @@ class PrefixBpe:
     def fits(self, left: int, right: int) -> bool:
         known = self._fit.get((left, right))
         if known is None:
-            if len(self._fit) > 1 << 20:
+            if len(self._fit) > 1 << 17:
                 self._fit.clear()
             known = self._fit[left, right] = self._fits(left, right)
         return known
@@ -135,7 +135,7 @@ class PrefixTable:
 class PieceIds(dict):
     """piece -> its ids as little-endian unsigned 32-bit integers; cleared when it is full."""
 
-    limit = 1 << 19
+    limit = 1 << 18
 
     def __init__(self, bpe: PrefixBpe):
         super().__init__()
@@ -211,9 +211,9 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, decode: bool = False, ke
     table gives no rows. Nothing is shuffled; a task holds one small slice of its rows."""
     schema = "doc_id long, ids binary" + (", decoded binary" if decode else "") + (", text string" if keep_text else "")
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return read.mapInArrow(_encoder(ranks, pattern, decode, keep_text), schema)
+    return read.mapInArrow(released(_encoder(ranks, pattern, decode, keep_text)), schema)
 
 
 def decode(coded: DataFrame, ranks: bytes) -> DataFrame:
     """A row (doc_id, decoded) for each row of coded(doc_id, ids, ...); null ids decode to null."""
-    return coded.select("doc_id", "ids").mapInArrow(_decoder(ranks), "doc_id long, decoded binary")
+    return coded.select("doc_id", "ids").mapInArrow(released(_decoder(ranks)), "doc_id long, decoded binary")

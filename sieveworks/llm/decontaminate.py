@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import join_checked, text_bytes
+from .base import join_checked, released, text_bytes
 from .shingles import WordDigests, shingle_list, words_of
 
 #: Text bytes of the items of one block; a block's index takes about four times as much.
@@ -107,7 +107,7 @@ def leaks(docs: DataFrame, items: DataFrame, percent: int = 80) -> DataFrame:
     for k in range(n):
         block = texts if n == 1 else texts.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k)
         index = ItemIndex([(r.item_id, bytes(r.text)) for r in block.toLocalIterator()], percent)
-        found.append(read.mapInArrow(_search(index), "doc_id long, item_id long, n_item long, n_shared long"))
+        found.append(read.mapInArrow(released(_search(index)), "doc_id long, item_id long, n_item long, n_shared long"))
     pairs = reduce(DataFrame.union, found).distinct()
     return pairs.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 

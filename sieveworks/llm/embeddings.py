@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import components, dealt_blocks, forest, in_runs, join_checked, materialize, spread_blocks, whole_runs
+from .base import components, dealt_blocks, forest, in_runs, join_checked, materialize, released, spread_blocks, whole_runs
 
 #: Step width in units of the normalised vectors, chance to miss a pair at the threshold, and rows of a block.
 WIDTH, MISS, BLOCK = 2.0, 1e-3, 512
@@ -187,13 +187,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     element = vectors.schema["embedding"].dataType.elementType
     dtype = "<f4" if isinstance(element, T.FloatType) else "<f8"
     read = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(F.col("vec_id").isNotNull(), F.col("embedding").cast("array<float>" if dtype == "<f4" else "array<double>")).alias("v"))
-    all_rows = materialize(read.mapInArrow(_classes(dtype), "vec_id long, cls long, vec binary"))
+    all_rows = materialize(read.mapInArrow(released(_classes(dtype)), "vec_id long, cls long, vec binary"))
     valid = all_rows.where("cls is not null")
     reps = materialize(valid.groupBy("cls").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
     k, tables = plan_tables(reps.count(), cosine)
     copied = reps.where("n > 1").withColumnRenamed("rep", "one")
     own = join_checked(valid, copied, "cls", "left", 40).where("one is null or one = vec_id").select("cls", F.coalesce("n", F.lit(1)).alias("n"), "vec").dropDuplicates(["cls"])
-    posts = own.mapInArrow(_posts(k, tables, dtype), "key long, cls long, n long, vec binary")
+    posts = own.mapInArrow(released(_posts(k, tables, dtype)), "key long, cls long, n long, vec binary")
     dealt = spread_blocks(dealt_blocks(posts, ["key"], "cls", BLOCK))
     found = materialize(in_runs(dealt, ["key", "b1", "b2"], _links(k, tables, dtype, cosine), "a long, b long, w long"))
     links = found.where("w is not null").groupBy(F.col("a").alias("cls")).agg(F.sum("w").alias("w"))

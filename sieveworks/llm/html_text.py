@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import join_checked, materialize
+from .base import join_checked, materialize, released
 
 #: A node is template if it was seen on this many differing pages, and its text was equal on this share.
 SEEN, EQUAL = 3, 0.95
@@ -400,9 +400,9 @@ def induce(pages: DataFrame) -> DataFrame:
     some = pages.where("html is not null and html <> ''")
     first = some.groupBy("host").agg(F.min("page_id").alias("page_id")).where("page_id is not null")
     first = join_checked(some, first, ["host", "page_id"], "inner", 64).select("host", "html")
-    trees = materialize(first.mapInArrow(_trees, "host string, tree string").groupBy("host").agg(F.min("tree").alias("tree")))
+    trees = materialize(first.mapInArrow(released(_trees), "host string, tree string").groupBy("host").agg(F.min("tree").alias("tree")))
     counts = join_checked(some.select("host", "html"), trees, "host", "inner", 2048).select("host", "tree", "html")
-    counts = counts.mapInArrow(_alignments, "host string, node int, seen long, equal long")
+    counts = counts.mapInArrow(released(_alignments), "host string, node int, seen long, equal long")
     counts = counts.groupBy("host", "node").agg(F.sum("seen").alias("seen"), F.sum("equal").alias("equal"))
     fixed = counts.where((F.col("seen") >= SEEN) & (F.col("equal") >= EQUAL * F.col("seen")))
     fixed = fixed.groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("template"))
@@ -418,4 +418,4 @@ def main_text(pages: DataFrame) -> DataFrame:
     read = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     read = read.withColumn("host", host_of(F.col("url")))
     wrapped = join_checked(read, induce(read.select("page_id", "host", "html")), "host", "left", 2048)
-    return wrapped.select("page_id", "url", "html", "tree", "template").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    return wrapped.select("page_id", "url", "html", "tree", "template").mapInArrow(released(_extracted), "page_id long, url string, text string, n_chars long")

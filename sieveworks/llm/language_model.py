@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import delete_shared, fold, in_runs, materialize, text_bytes, whole_runs, write_shared
+from .base import delete_shared, fold, in_runs, materialize, released, text_bytes, whole_runs, write_shared
 from .shingles import WordDigests, mix, words_of
 
 #: Text bytes of one block; a task holds about ten times as much.
@@ -154,7 +154,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _asked(blocks: DataFrame, which: Callable, parts: int) -> tuple[DataFrame, str]:
-    asked = blocks.mapInArrow(_ask(which, parts), _ASK)
+    asked = blocks.mapInArrow(released(_ask(which, parts)), _ASK)
     return write_shared(in_runs(asked, ["part"], _answer, _REPLY, parts), "counts")
 
 
@@ -251,7 +251,7 @@ def score(docs: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"blocks_{uuid.uuid4().hex}"
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fold("doc_id", FOLDS).cast("int").alias("fold"), text_bytes().alias("text"))
-    blocks = read.mapInArrow(_blocks, _BLOCK)
+    blocks = read.mapInArrow(released(_blocks), _BLOCK)
     blocks.write.option("compression", "zstd").bucketBy(parts, "block").saveAsTable(name)
     blocks = spark.table(name)
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import components, dealt_blocks, delete_shared, forest, in_runs, join_checked, materialize, spread_blocks, text_bytes, whole_runs, write_shared
+from .base import components, dealt_blocks, delete_shared, forest, in_runs, join_checked, materialize, released, spread_blocks, text_bytes, whole_runs, write_shared
 from .shingles import WordDigests, coordinates, minhash, shingle_set
 
 K, T = 64, 42
@@ -163,14 +163,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     The threshold T suits percent >= 85; below that, links get lost more often."""
     spark = docs.sparkSession
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    sig, path = write_shared(read.mapInArrow(_signatures, _SIGNED), "signatures")
+    sig, path = write_shared(read.mapInArrow(released(_signatures), _SIGNED), "signatures")
     usable = sig.where("n_shingles > 0 and doc_id is not null")
     reps = materialize(usable.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")))
     copied = reps.where("n > 1").select("cls", F.col("doc_id").alias("rep"))
     copies = join_checked(usable.select("cls", "doc_id"), copied, "cls", "inner", 32).where("doc_id <> rep").select("cls", "doc_id").distinct()
     own = join_checked(usable.select("cls", "doc_id", "sig"), copies, ["cls", "doc_id"], "left_anti", 32).select("cls", "sig")
 
-    tokens = own.mapInArrow(_tokens, "cls long, token long")
+    tokens = own.mapInArrow(released(_tokens), "cls long, token long")
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     posted = join_checked(tokens, shared, "token", "inner", 32)
     # The rarest postings of a document come first; of its m shared ones, m - T + 1 are read.
@@ -190,7 +190,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     matched = dealt_blocks(matched.select(F.col("node").alias("cls"), "comp"), ["comp"], "cls", SET_BLOCK)
     matched = matched.join(reps.select("cls", "doc_id"), "cls")
-    sets = join_checked(read.where("doc_id is not null"), matched, "doc_id", "inner", 48).mapInArrow(_sets, "cls long, comp long, nb int, blk int, shingles binary")
+    sets = join_checked(read.where("doc_id is not null"), matched, "doc_id", "inner", 48).mapInArrow(released(_sets), "cls long, comp long, nb int, blk int, shingles binary")
     dealt = in_runs(spread_blocks(sets), ["comp", "b1", "b2"], _linked_runs(percent), "a long, b long")
     links = components(dealt).select(F.col("node").alias("cls"), "comp")
 

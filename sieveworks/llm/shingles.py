@@ -28,7 +28,7 @@ def mix(z: np.ndarray) -> np.ndarray:
 class WordDigests(dict):
     """word -> 64-bit digest, for the words seen lately; cleared when it holds too many."""
 
-    limit = 1 << 19
+    limit = 1 << 18
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:

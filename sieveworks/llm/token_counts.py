@@ -19,14 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import join_checked, materialize
+from .base import join_checked, materialize, released
 from .bpe import piece_pattern
 
 CACHE_SCHEMA = T.StructType(
     [T.StructField("content", T.BinaryType()), T.StructField("tokenizer", T.StringType()), T.StructField("n_tokens", T.LongType())]
 )
 #: Pieces whose counts a worker remembers, and characters of text that it splits at a time.
-PIECES, SLICE_CHARS = 1 << 19, 1 << 19
+PIECES, SLICE_CHARS = 1 << 18, 1 << 19
 
 
 class TokenizerFile:
@@ -132,7 +132,7 @@ def token_counts(docs: DataFrame, tokenizer: TokenizerFile, cache: str, limit: i
     few_hits = 2 * hits.count() < first.count()
     todo = join_checked(read, hits, "content", "left_anti", 64) if few_hits else join_checked(read, missing.select("content"), "content", "left_semi", 64)
     todo = join_checked(todo, again, ["content", "doc_id"], "left_anti", 80).select("content", "text")
-    new = todo.mapInArrow(_counts(tokenizer), "content binary, n_tokens long").distinct()
+    new = todo.mapInArrow(released(_counts(tokenizer)), "content binary, n_tokens long").distinct()
     new.select("content", F.lit(tokenizer.digest).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     out = keyed.join(materialize(stored()).hint("merge"), "content", "left")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

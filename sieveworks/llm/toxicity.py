@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import materialize
+from .base import materialize, released
 
 #: Labelled rows that the classifier is fitted on, at most: those with the least hash of doc_id.
 SAMPLE_ROWS = 12_000
@@ -108,7 +108,7 @@ class CharModel:
 
 def char_model(docs: DataFrame) -> CharModel:
     """Counted over all documents; a task sends at most TRI + BI rows, and so do all together."""
-    counted = docs.select(F.col("text").cast("string")).mapInArrow(_char_counts, "kind int, slot int, n long")
+    counted = docs.select(F.col("text").cast("string")).mapInArrow(released(_char_counts), "kind int, slot int, n long")
     tables = {3: np.zeros(TRI, np.int64), 2: np.zeros(BI, np.int64)}
     for r in counted.groupBy("kind", "slot").agg(F.sum("n").alias("n")).toLocalIterator():
         tables[r.kind][r.slot] = r.n
@@ -164,7 +164,7 @@ def disguised(token: str) -> bool:
 class Restorer(dict):
     """token -> its restored words, for the tokens seen lately."""
 
-    limit = 1 << 18
+    limit = 1 << 17
 
     def __init__(self, model: CharModel):
         super().__init__()
@@ -278,15 +278,17 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column) -> ToxicityModel:
     chars = char_model(docs)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where("doc_id is not null and toxic is not null").where(usable).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
+    # About twice as many as needed, by their hash, so that only these are sorted and sent.
+    share = max(1, labels.count() // (2 * SAMPLE_ROWS))
+    sample = known.where(F.pmod(F.xxhash64(F.lit(4), F.col("doc_id")), F.lit(share)) == 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # Bounded: SAMPLE_ROWS rows of two numbers.
     rows = materialize(texts.join(F.broadcast(sample), "doc_id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic")).repartition(24))
     n = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    counted = rows.mapInArrow(_feature_counts(chars), "f string, t long, c long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    counted = rows.mapInArrow(released(_feature_counts(chars)), "f string, t long, c long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     kept = counted.where((F.col("t") >= SUPPORT) & (F.col("t") > F.col("c"))).orderBy(F.desc(F.col("t") - F.col("c")), "f").limit(EVIDENCE)
     model = ToxicityModel(chars, {r.f: (r.t, r.c) for r in kept.collect()}, n.get(1, 0), n.get(0, 0))
-    seen = rows.mapInArrow(_loo_inputs(model), "x1 double, x2 double, toxic int").collect()
+    seen = rows.mapInArrow(released(_loo_inputs(model)), "x1 double, x2 double, toxic int").collect()
     if n.get(1) and n.get(0):
         model.fit(np.array([(r.x1, r.x2) for r in seen]), np.array([r.toxic for r in seen], float))
     return model
@@ -310,4 +312,4 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     a word). Null and empty texts have the score of no evidence. Repeated rows give repeated results,
     further columns are ignored, an empty table gives no rows."""
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return read.mapInArrow(_scores(model), "doc_id long, score double, hits array<string>")
+    return read.mapInArrow(released(_scores(model)), "doc_id long, score double, hits array<string>")

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import join_checked
+from .base import join_checked, released
 
 #: Pages, and characters of each, that the compression dictionary is trained on; its size.
 DICT_PAGES, DICT_CHARS, DICT_BYTES = 400, 1 << 15, 1 << 16
@@ -62,7 +62,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 def train_dictionary(pages: DataFrame) -> bytes:
     """A compression dictionary from a bounded sample; no bytes where there is too little to learn."""
-    sample = pages.where("html is not null").orderBy(F.xxhash64("page_id", "url"), "page_id").limit(DICT_PAGES)
+    order = F.xxhash64("page_id", "url")
+    # About twice as many as needed, by their hash, so that only these are sorted and sent.
+    share = max(1, pages.count() // (2 * DICT_PAGES))
+    sample = pages.where("html is not null").where(F.pmod(order, F.lit(share)) == 0).orderBy(order, "page_id").limit(DICT_PAGES)
     texts = [r[0].encode("utf-8", "surrogatepass") for r in sample.select(F.substring("html", 1, DICT_CHARS)).collect()]
     try:
         return zstandard.train_dictionary(DICT_BYTES, texts).as_bytes()
@@ -97,7 +100,7 @@ def write_archives(pages: DataFrame, path: str, dictionary: bytes, date: str = "
     several = rows.where(F.octet_length("payload") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
     rows = join_checked(rows, several.select("digest", "first"), "digest", "left", 120)
     rows = rows.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
-    frames = rows.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(_frames(dictionary, date), "value binary")
+    frames = rows.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(released(_frames(dictionary, date)), "value binary")
     frames.select(F.col("value").cast("string")).write.option("lineSep", _BETWEEN).text(path)
 
 
@@ -202,4 +205,4 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     all with payloads=False. An archive is read whole by one task; write_archives makes them no larger
     than the compressed rows of one of its tasks. A damaged archive fails with what is wrong."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("content").mapInArrow(_read(payloads), RECORD)
+    return files.select("content").mapInArrow(released(_read(payloads)), RECORD)
