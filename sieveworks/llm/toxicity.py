@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,15 +73,26 @@ def _tri(a, b, c):
     return (a * 524287 + b * 8191 + c * 131 + (c >> 6)) % TRI
 
 
+def _chunks(column: pa.Array, chars: int = 1 << 20) -> Iterator[list[str]]:
+    """The texts of a column in lists of about so many characters."""
+    held, n = [], 0
+    for t in column:
+        held.append(t.as_py() or "")
+        n += len(held[-1])
+        if n >= chars:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 def _char_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (kind, slot, n) of one task: how often each slot of the tables was hit."""
     tri, bi = np.zeros(TRI, np.int64), np.zeros(BI, np.int64)
     for b in batches:
-        for t in b.column(0):
-            c = _codes(t.as_py() or "").astype(np.int64)
-            if not len(c):
-                continue
-            c = np.concatenate([[_BOUND, _BOUND], c, [_BOUND]])
+        for texts in _chunks(b.column(0)):
+            # Texts parted by boundaries count as they do one by one.
+            c = _codes(f"  {'  '.join(texts)} ").astype(np.int64)
             for i in range(0, len(c) - 2, 1 << 20):
                 x, y, z = c[i : i + (1 << 20)], c[i + 1 : i + (1 << 20) + 1], c[i + 2 : i + (1 << 20) + 2]
                 x, y = x[: len(z)], y[: len(z)]
@@ -101,9 +112,15 @@ class CharModel:
 
     def __init__(self, tri: np.ndarray, bi: np.ndarray):
         self.tri, self.bi = tri.astype(np.float32), bi.astype(np.float32)
+        self.known: dict[tuple[int, int, int], float] = {}
 
     def log(self, a: int, b: int, c: int) -> float:
-        return math.log((self.tri[_tri(a, b, c)] + 0.1) / (self.bi[_bi(a, b)] + 6.0))
+        v = self.known.get((a, b, c))
+        if v is None:
+            if len(self.known) >= TRI:
+                self.known.clear()
+            v = self.known[a, b, c] = math.log((self.tri[_tri(a, b, c)] + 0.1) / (self.bi[_bi(a, b)] + 6.0))
+        return v
 
 
 def char_model(docs: DataFrame) -> CharModel:
@@ -156,9 +173,13 @@ def restore(token: str, model: CharModel) -> str:
 
 def disguised(token: str) -> bool:
     """Letters with something else among them, or a letter three times running."""
-    if not _ODD.search(token):
-        return False
-    return not token.isalpha() or bool(_RUN.search(token))
+    return bool((_RUN if token.isalpha() else _ODD).search(token))
+
+
+def plain(token: str, model: CharModel) -> tuple[str, ...]:
+    """The words of a lower-cased token, restored if it looks disguised."""
+    core = token if token.isalpha() else _OUTER.sub("", token)
+    return tuple(restore(core, model).split()) if disguised(core) else (core,) if core else ()
 
 
 class Restorer(dict):
@@ -173,21 +194,22 @@ class Restorer(dict):
     def __missing__(self, token: str) -> tuple[str, ...]:
         if len(self) >= self.limit:
             self.clear()
-        core = _OUTER.sub("", token)
-        words = tuple(restore(core, self.model).split()) if disguised(core) else (core,) if core else ()
-        self[token] = words
+        words = self[token] = plain(token, self.model)
         return words
 
     def words(self, text: str) -> set[str]:
         """The distinct restored words of a whole text, spaced-out words included."""
         low = text.lower()
-        out: set[str] = set()
+        out: set[str] = set(self.spaced(low))
         for token in set(low.split()):
             out.update(self[token])
-        for m in _SPACED.finditer(low):
-            out.update(restore(re.sub(r"(?<=\S)[ ._*\-](?=\S)", "", m[0]), self.model).split())
         return out
 
+    def spaced(self, low: str) -> list[str]:
+        """The restored words of the letters that stand spaced out in a lower-cased text."""
+        closed = (re.sub(r"(?<=\S)[ ._*\-](?=\S)", "", m[0]) for m in _SPACED.finditer(low))
+        return [w for token in closed for w in restore(token, self.model).split()]
+
 
 def evidence(word: str) -> Iterator[str]:
     yield word
@@ -217,6 +239,7 @@ class ToxicityModel:
         self.chars, self.counts, self.toxic, self.clean = chars, counts, toxic, clean
         self.slopes, self.offset = (1.0, 0.0), -4.0
         self.weights = {f: w for f in counts if (w := self.weight(f)) >= LEAST_WEIGHT}
+        self.starts = {f[:4] for f in self.weights}
 
     def weight(self, f: str, label: int | None = None) -> float:
         """The log odds of a piece of evidence; with a label, as if one such row were left out."""
@@ -226,13 +249,18 @@ class ToxicityModel:
 
     def found(self, words: set[str], label: int | None = None) -> list[tuple[float, str]]:
         """The pieces of evidence in these words, the heaviest first, one for each word."""
-        best: dict[str, float] = {}
+        return sorted(self.pieces(words, label), reverse=True)
+
+    def pieces(self, words: Iterable[str], label: int | None = None) -> set[tuple[float, str]]:
+        """The heaviest piece of evidence of each word that has one above zero."""
+        best = set()
         for w in words:
+            if w[:4] not in self.starts:
+                continue
             held = [(self.weights[f] if label is None else self.weight(f, label), f) for f in evidence(w) if f in self.weights]
-            if held:
-                v, f = max(held)
-                best[f] = v
-        return sorted(((v, f) for f, v in best.items() if v > 0), reverse=True)
+            if held and max(held)[0] > 0:
+                best.add(max(held))
+        return best
 
     @staticmethod
     def inputs(found: list[tuple[float, str]]) -> tuple[float, float]:
@@ -294,11 +322,36 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column) -> ToxicityModel:
     return model
 
 
+class Pieces(dict):
+    """token -> the pieces of evidence in its restored words, for the tokens seen lately."""
+
+    limit = 1 << 17
+
+    def __init__(self, model: ToxicityModel):
+        super().__init__()
+        self.model, self.restorer = model, Restorer(model.chars)
+
+    def __missing__(self, token: str) -> set[tuple[float, str]]:
+        if len(self) >= self.limit:
+            self.clear()
+        v = self[token] = self.model.pieces(plain(token, self.model.chars)) or _NOTHING
+        return v
+
+    def found(self, text: str) -> list[tuple[float, str]]:
+        """What ToxicityModel.found gives for the words of a whole text."""
+        low = text.lower()
+        out = self.model.pieces(self.restorer.spaced(low))
+        return sorted(out.union(*map(self.__getitem__, set(low.split()))), reverse=True)
+
+
+_NOTHING: frozenset = frozenset()
+
+
 def _scores(model: ToxicityModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(model.chars)
+        pieces = Pieces(model)
         for b in batches:
-            found = [model.found(restorer.words(t.as_py() or "")) for t in b.column(1)]
+            found = [pieces.found(t.as_py() or "") for t in b.column(1)]
             scores = pa.array([model.score(f) for f in found], pa.float64())
             hits = pa.array([[f for _, f in x[:3]] for x in found], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([b.column(0), scores, hits], names=["doc_id", "score", "hits"])
