@@ -1,17 +1,19 @@
 """Main text of HTML pages by wrapper induction.
 
-Pages of one host share a template. Every page's DOM tree is aligned with the tree of its host's
-first page by simple tree matching. A node whose text stays the same on pages whose texts differ
-belongs to the template; a node whose text varies is a slot for content. What HTML says by itself
-(menus, footers, forms, adverts and so on, by tag, role or class) is never content.
-
-Every page is aligned on its own, whatever the size of its host, and only counts by host and node are
-added up; a host's pages never meet in one task. Pages that repeat the first page's text say nothing
-about what varies and are not counted, so that a host of copies does not turn its article into template.
+Pages of one host share a template. Every page's DOM tree is aligned with the trees of several pages
+of its host by simple tree matching, element by element. A node whose text stays the same on pages that
+say different things belongs to the template; a node whose text varies is a slot for content. What HTML
+says by itself (menus, footers, forms, adverts and so on, by tag, role or class) is never content, and
+where a page has an article or main element, what lies outside it is not either.
+
+Every page is aligned on its own, whatever the size of its host, and only votes by host and node are
+added up; a host's pages never meet in one task. Pages that repeat the reference's text say nothing
+about what varies and are not counted.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as htmllib
 import json
 import re
@@ -24,10 +26,13 @@ from pyspark.sql import functions as F
 
 from .base import join_checked, materialize, released
 
-#: A node is template if it was seen on this many differing pages, and its text was equal on this share.
-SEEN, EQUAL = 3, 0.95
-#: Longer lists of children are aligned by kind: children of one kind then count as one.
-LONG_LIST = 48
+#: A node is template if more votes than this saw it (inside an article or main element, than the second),
+#: and its text was equal for this share of them.
+SEEN, SEEN_INSIDE, EQUAL = 3, 10, 0.95
+#: Pages of a host that all its pages are aligned with.
+REFERENCES = 4
+#: Larger tables of two lists of children are split at the children that are equal in both.
+CELLS = 48 * 48
 #: Elements nested deeper than this are aligned as one text with what holds them.
 DEPTH = 60
 
@@ -45,6 +50,8 @@ WORDS = set(
     "footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments "
     "commentlist discussion disqus respond replies share sharing social related recommended recommendations pagination pager widget toolbar skip".split()
 )
+UNITS = {"ul", "ol", "dl", "table"}
+PARTS = UNITS | set("li dt dd caption thead tbody tfoot tr td th".split())
 HEADER_WORDS = {"header", "topbar", "topnav"}
 CLOSES_P = BLOCKS - {"caption", "dd", "dt", "li", "tbody", "td", "tfoot", "th", "thead", "tr", "html", "body", "summary", "figcaption"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
@@ -144,23 +151,24 @@ def boilerplate(n: Node, in_article: bool) -> bool:
     return False
 
 
-def _runs(n: Node, in_article: bool) -> list[list[Node]]:
-    """The children that may be content, equal kinds next to each other as one run. Inline elements and
-    strings belong to their parent's text."""
-    runs: list[list[Node]] = []
-    for c in n.children:
-        if isinstance(c, str) or c.tag not in BLOCKS and not any(isinstance(x, Node) for x in c.children) or boilerplate(c, in_article):
-            continue
-        if runs and runs[-1][0].key == c.key:
-            runs[-1].append(c)
-        else:
-            runs.append([c])
-    if len(runs) > LONG_LIST:
-        by: dict[str, list[Node]] = {}
-        for r in runs:
-            by.setdefault(r[0].key, []).extend(r)
-        runs = list(by.values())
-    return runs
+def _unit(n: Node) -> bool:
+    """Whether an element is a list or a table of nothing but items, cells and further such lists. It is
+    one text: an item that recurs says nothing by itself. Tables that lay out a page are none."""
+    if n.tag not in UNITS:
+        return False
+    todo = [n]
+    while todo:
+        for c in todo.pop().children:
+            if isinstance(c, Node):
+                if c.tag in BLOCKS and c.tag not in PARTS:
+                    return False
+                todo.append(c)
+    return True
+
+
+def _kids(n: Node, in_article: bool) -> list[Node]:
+    """The children that may be content. Inline elements and strings belong to their parent's text."""
+    return [c for c in n.children if isinstance(c, Node) and (c.tag in BLOCKS or any(isinstance(x, Node) for x in c.children)) and not boilerplate(c, in_article)]
 
 
 def _is_article(n: Node) -> bool:
@@ -168,27 +176,37 @@ def _is_article(n: Node) -> bool:
 
 
 class Slot:
-    """A run of equal elements in the tree that is aligned: its key, the digest of its text without
-    that of its own slots, and its slots."""
+    """An element in the tree that is aligned: its key, its text without that of its own slots with digest
+    and number of words, its slots, and a digest of it all."""
 
-    __slots__ = ("digest", "key", "members", "slots", "words")
+    __slots__ = ("digest", "inside", "key", "node", "slots", "text", "whole", "words")
 
-    def __init__(self, members: list[Node], in_article: bool, depth: int = 0):
-        self.members, self.key = members, members[0].key
-        inner = in_article or _is_article(members[0])
-        runs = _runs(members[0], inner) if len(members) == 1 and depth < DEPTH else []
-        self.slots = [Slot(r, inner, depth + 1) for r in runs]
-        own = blocks(members, inner, {id(x) for r in runs for x in r})
-        text = "\n".join(own)
-        self.digest, self.words = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")), len(text.split())
+    def __init__(self, node: Node, in_article: bool, depth: int = 0):
+        self.node, self.key = node, node.key
+        self.inside = in_article or _is_article(node)
+        kids = _kids(node, self.inside) if depth < DEPTH and not _unit(node) else []
+        self.slots = [Slot(c, self.inside, depth + 1) for c in kids]
+        self.text = "\n".join(blocks([node], self.inside, {id(c) for c in kids}))
+        self.digest, self.words = xxhash.xxh3_64_intdigest(self.text.encode("utf-8", "surrogatepass")), len(self.text.split())
+        self.whole = xxhash.xxh3_64_intdigest(f"{self.key} {self.digest} {[s.whole for s in self.slots]}".encode("utf-8", "surrogatepass"))
 
     def dump(self) -> list:
-        return [self.key, self.digest, self.words, [s.dump() for s in self.slots]]
+        return [self.key, self.digest, self.words, [s.dump() for s in self.slots], self.whole, self.text]
+
+
+def walk(slot: Slot) -> Iterator[Slot]:
+    """A slot and all below, in preorder."""
+    todo = [slot]
+    while todo:
+        x = todo.pop()
+        yield x
+        todo += reversed(x.slots)
 
 
-def blocks(nodes: list[Node], in_article: bool, without: set[int] = frozenset()) -> list[str]:
+def blocks(nodes: list[Node], in_article: bool, without: set[int] = frozenset(), muted: dict[int, bool] | None = None) -> list[str]:
     """The texts of the blocks under these elements, in page order, without boilerplate and without
-    the elements in `without`."""
+    the elements in `without`. muted tells of elements, and of what is in them down to the next such
+    element, whether their text is left out."""
     out: list[str] = []
     text: list[str] = []
 
@@ -197,14 +215,16 @@ def blocks(nodes: list[Node], in_article: bool, without: set[int] = frozenset())
             out.append(t)
         text.clear()
 
-    todo: list = [(n, in_article, True) for n in reversed(nodes)]
+    muted = muted or {}
+    todo: list = [(n, in_article, True, False) for n in reversed(nodes)]
     while todo:
-        n, inside, first = todo.pop()
+        n, inside, first, mute = todo.pop()
         if n is None:
             flush()
             continue
         if isinstance(n, str):
-            text.append(n)
+            if not mute:
+                text.append(n)
             continue
         if n.tag == "br":
             text.append(" ")
@@ -216,49 +236,120 @@ def blocks(nodes: list[Node], in_article: bool, without: set[int] = frozenset())
         inside = inside or _is_article(n)
         if n.tag in BLOCKS:
             flush()
-            todo.append((None, inside, False))
-        todo += [(c, inside, False) for c in reversed(n.children)]
+            todo.append((None, inside, False, False))
+        mute = muted.get(id(n), mute)
+        todo += [(c, inside, False, mute) for c in reversed(n.children)]
     flush()
     return out
 
 
+_EQUAL_TEXT = 1 << 32
+
+
 def align(a: list, slot: Slot, seen: dict, memo: dict) -> int:
     """Simple tree matching of a stored tree with a page's: the number of matched nodes, and in seen
-    which slot each stored node was matched with."""
+    which slot each stored node was matched with. Of all matchings those with the most equal texts come
+    first, so that a text which recurs among siblings of its kind is matched with itself."""
 
     def weight(x: list, y: Slot) -> int:
         if x[0] != y.key:
             return 0
+        own = 1 + _EQUAL_TEXT * (x[2] > 0 and x[1] == y.digest)
+        return own + below(x, y)[0] if x[3] and y.slots else own
+
+    def below(x: list, y: Slot) -> tuple[int, list]:
         k = (id(x), id(y))
         if k not in memo:
-            memo[k] = 1 + table(x[3], y.slots)[-1][-1]
+            pairs = paired(x[3], y.slots)
+            memo[k] = (sum(weight(p, q) for p, q in pairs), pairs)
         return memo[k]
 
-    def table(xs: list, ys: list[Slot]) -> list[list[int]]:
-        m = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-        for i, x in enumerate(xs):
-            row, up = m[i + 1], m[i]
-            for j, y in enumerate(ys):
-                row[j + 1] = max(row[j], up[j + 1], up[j] + weight(x, y) if x[0] == y.key else 0)
-        return m
+    def paired(xs: list, ys: list[Slot]) -> list[tuple[list, Slot]]:
+        lo, n, m = 0, len(xs), len(ys)
+        while lo < min(n, m) and xs[lo][4] == ys[lo].whole:
+            lo += 1
+        while n > lo and m > lo and xs[n - 1][4] == ys[m - 1].whole:
+            n, m = n - 1, m - 1
+        middle = tabled if (n - lo) * (m - lo) <= CELLS else split
+        return [*zip(xs[:lo], ys[:lo], strict=True), *middle(xs[lo:n], ys[lo:m]), *zip(xs[n:], ys[m:], strict=True)]
+
+    def tabled(xs: list, ys: list[Slot]) -> list[tuple[list, Slot]]:
+        w = [[weight(x, y) for y in ys] for x in xs]
+        rows = [[0] * (len(ys) + 1)]
+        for wi in w:
+            up, row = rows[-1], [0]
+            for j, v in enumerate(wi):
+                row.append(max(row[j], up[j + 1], up[j] + v if v else 0))
+            rows.append(row)
+        out, i, j = [], len(xs), len(ys)
+        while i and j:
+            if w[i - 1][j - 1] and rows[i][j] == rows[i - 1][j - 1] + w[i - 1][j - 1]:
+                out.append((xs[i - 1], ys[j - 1]))
+                i, j = i - 1, j - 1
+            elif rows[i][j] == rows[i - 1][j]:
+                i -= 1
+            else:
+                j -= 1
+        return out[::-1]
+
+    def split(xs: list, ys: list[Slot]) -> list[tuple[list, Slot]]:
+        """Long lists: the longest rising run of children that are equal in both and occur once, and what
+        stands between them by tables, or one after the other where that is too long as well."""
+        ones = [{k: i for k, i in at.items() if i >= 0} for at in (_once(x[4] for x in xs), _once(y.whole for y in ys))]
+        anchors = _rising([(i, ones[1][k]) for k, i in ones[0].items() if k in ones[1]])
+        out, i0, j0 = [], 0, 0
+        for i, j in [*anchors, (len(xs), len(ys))]:
+            p, q = xs[i0:i], ys[j0:j]
+            if len(p) * len(q) <= CELLS:
+                out += tabled(p, q)
+            else:
+                kinds: dict[str, list[Slot]] = {}
+                last = 0
+                for at, y in enumerate(q):
+                    kinds.setdefault(y.key, []).append((at, y))
+                turn = {k: iter(v) for k, v in kinds.items()}
+                for x in p:
+                    hit = next((h for h in turn.get(x[0], ()) if h[0] >= last), None)
+                    if hit:
+                        out.append((x, hit[1]))
+                        last = hit[0] + 1
+            if i < len(xs):
+                out.append((xs[i], ys[j]))
+            i0, j0 = i + 1, j + 1
+        return out
 
     total = weight(a, slot)
     todo = [(a, slot)] if total else []
     while todo:
         x, y = todo.pop()
         seen[id(x)] = y
-        m = table(x[3], y.slots)
-        i, j = len(x[3]), len(y.slots)
-        while i and j:
-            w = weight(x[3][i - 1], y.slots[j - 1])
-            if w and m[i][j] == m[i - 1][j - 1] + w:
-                todo.append((x[3][i - 1], y.slots[j - 1]))
-                i, j = i - 1, j - 1
-            elif m[i][j] == m[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
-    return total
+        if x[3] and y.slots:
+            todo += below(x, y)[1]
+    return total % _EQUAL_TEXT
+
+
+def _once(keys: Iterator[int]) -> dict[int, int]:
+    """key -> its place, or -1 if it occurs more than once."""
+    out: dict[int, int] = {}
+    for i, k in enumerate(keys):
+        out[k] = -1 if k in out else i
+    return out
+
+
+def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A longest part of pairs, sorted by their first numbers, in which the second ones rise too."""
+    ends: list[int] = []
+    at: list[int] = []
+    before: list[int] = []
+    for i, (_, j) in enumerate(pairs):
+        k = bisect.bisect_left(ends, j)
+        ends[k:k + 1], at[k:k + 1] = [j], [i]
+        before.append(at[k - 1] if k else -1)
+    out, i = [], at[-1] if at else -1
+    while i >= 0:
+        out.append(pairs[i])
+        i = before[i]
+    return out[::-1]
 
 
 def preorder(tree: list) -> Iterator[list]:
@@ -290,10 +381,10 @@ def tree_of(page: str) -> Slot:
     root = parse(page)
     holders = top(root)
     if len(holders) == 1:
-        return Slot(holders, False)
+        return Slot(holders[0], False)
     shell = Node("html")
     shell.children = list(holders)
-    return Slot([shell], False)
+    return Slot(shell, False)
 
 
 def _listing(node: Node) -> bool:
@@ -312,28 +403,29 @@ def _listing(node: Node) -> bool:
     return total > 0 and linked > 0.6 * total
 
 
-def extract(page: str | None, tree: list | None, template: set[int]) -> str:
+def extract(page: str | None, wrappers: list[tuple[list, set[int]]]) -> str:
     """The main text of a page: what is neither boilerplate nor in a slot that matches a template
-    node (numbered in preorder) of the host's tree."""
+    node (numbered in preorder) of one of the host's trees."""
     if not page:
         return ""
     slot = tree_of(page)
-    without: set[int] = set()
-    if tree and template:
+    muted: dict[int, bool] = {id(s.node): False for s in walk(slot)}
+    held = {s.digest for s in walk(slot)}
+    for tree, template in wrappers:
+        nodes = list(preorder(tree))
+        if not any(nodes[i][1] in held for i in template):
+            continue
         seen: dict[int, Slot] = {}
         align(tree, slot, seen, {})
-        for i, x in enumerate(preorder(tree)):
-            s = seen.get(id(x))
-            if i in template and s is not None and s.digest == x[1] and not s.slots:
-                without.update(map(id, s.members))
-    inside = _is_article(slot.members[0])
+        for i in template:
+            s = seen.get(id(nodes[i]))
+            if s is not None and s.digest == nodes[i][1]:
+                muted[id(s.node)] = True
+    without: set[int] = set()
+    inside = slot.inside
     if not inside and slot.key != "html":
-        todo = list(slot.slots)
-        while todo:
-            s = todo.pop()
-            todo += s.slots
-            without.update(id(n) for n in s.members if n.tag in ("ul", "ol", "div", "section", "table", "dl") and _listing(n))
-    return "\n\n".join(blocks(slot.members, inside, without))
+        without = {id(s.node) for s in walk(slot) if s is not slot and s.node.tag in ("ul", "ol", "div", "section", "table", "dl") and _listing(s.node)}
+    return "\n\n".join(blocks([slot.node], inside, without, muted))
 
 
 def host_of(url: Column) -> Column:
@@ -344,69 +436,81 @@ def host_of(url: Column) -> Column:
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         trees = [json.dumps(tree_of(h.as_py()).dump()) for h in b.column("html")]
-        yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(trees, pa.string())], names=["host", "tree"])
+        yield pa.RecordBatch.from_arrays([b.column("host"), b.column("content"), pa.array(trees, pa.string())], names=["host", "content", "tree"])
+
+
+class _Loaded(dict):
+    """JSON of a tree -> the tree, for those used lately."""
 
+    limit = 256
 
-def _whole_digest(tree: list) -> int:
-    return hash(tuple(x[1] for x in preorder(tree)))
+    def __missing__(self, raw: str) -> list:
+        if len(self) >= self.limit:
+            self.clear()
+        tree = self[raw] = json.loads(raw)
+        return tree
 
 
 def _alignments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (host, node, seen, equal): on how many pages that differ from the host's first page each
-    of its nodes was found, and with equal text."""
+    """A row (host, content, ref, own, found) for each page and reference tree: whether the page is
+    a copy of the reference, and 4 * node + 2 * inside + equal for
+    each node with words that was found on the page."""
+    trees = _Loaded()
     for b in batches:
-        n: dict[tuple[str, int], list[int]] = {}
-        trees: dict[str, tuple[list, int]] = {}
-        for host, raw, page in zip(b.column("host").to_pylist(), b.column("tree").to_pylist(), b.column("html"), strict=True):
-            if raw not in trees:
-                if len(trees) > 256:
-                    trees.clear()
-                tree = json.loads(raw)
-                trees[raw] = (tree, _whole_digest(tree))
-            tree, whole = trees[raw]
+        rows: list[tuple] = []
+        for host, content, raws, page in zip(b.column("host").to_pylist(), b.column("content").to_pylist(), b.column("trees").to_pylist(), b.column("html"), strict=True):
             slot = tree_of(page.as_py())
-            if _whole_digest(slot.dump()) == whole:
-                continue
-            seen: dict[int, Slot] = {}
-            align(tree, slot, seen, {})
-            for i, x in enumerate(preorder(tree)):
-                s = seen.get(id(x))
-                if s is not None and x[2]:
-                    c = n.setdefault((host, i), [0, 0])
-                    c[0] += 1
-                    c[1] += s.digest == x[1]
-        cols = [pa.array([k[0] for k in n], pa.string()), pa.array([k[1] for k in n], pa.int32())]
-        cols += [pa.array([v[i] for v in n.values()], pa.int64()) for i in (0, 1)]
-        yield pa.RecordBatch.from_arrays(cols, names=["host", "node", "seen", "equal"])
+            slots = list(walk(slot))
+            for ref, raw in enumerate(raws):
+                tree, seen = trees[raw], {}
+                align(tree, slot, seen, {})
+                found, equal, rest = [], set(), []
+                for i, x in enumerate(preorder(tree)):
+                    s = seen.get(id(x))
+                    same = s is not None and s.digest == x[1]
+                    if same:
+                        equal.add(id(s))
+                    elif x[2]:
+                        rest.append(x[5])
+                    if s is not None and x[2]:
+                        found.append(4 * i + 2 * s.inside + same)
+                other = "\n".join(s.text for s in slots if s.words and id(s) not in equal)
+                own = not other and not rest
+                rows.append((host, content, ref, own, found))
+        types = (pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int32()))
+        cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+        yield pa.RecordBatch.from_arrays(cols, names=["host", "content", "ref", "own", "found"])
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    trees = _Loaded()
     for b in batches:
-        trees: dict[str, list] = {}
         texts = []
-        for page, raw, template in zip(b.column("html"), b.column("tree").to_pylist(), b.column("template").to_pylist(), strict=True):
-            if raw is not None and template and raw not in trees:
-                if len(trees) > 256:
-                    trees.clear()
-                trees[raw] = json.loads(raw)
-            texts.append(extract(page.as_py(), trees.get(raw) if template else None, set(template or ())))
+        for page, wrappers in zip(b.column("html"), b.column("wrappers").to_pylist(), strict=True):
+            texts.append(extract(page.as_py(), [(trees[w["tree"]], w["template"]) for w in wrappers or ()]))
         cols = [b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
         yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "text", "n_chars"])
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """A row (host, tree, template) for each host of pages(page_id, host, html): the tree of its first
-    page, by page_id, as JSON, and the preorder numbers of its template nodes."""
-    some = pages.where("html is not null and html <> ''")
-    first = some.groupBy("host").agg(F.min("page_id").alias("page_id")).where("page_id is not null")
-    first = join_checked(some, first, ["host", "page_id"], "inner", 64).select("host", "html")
-    trees = materialize(first.mapInArrow(released(_trees), "host string, tree string").groupBy("host").agg(F.min("tree").alias("tree")))
-    counts = join_checked(some.select("host", "html"), trees, "host", "inner", 2048).select("host", "tree", "html")
-    counts = counts.mapInArrow(released(_alignments), "host string, node int, seen long, equal long")
-    counts = counts.groupBy("host", "node").agg(F.sum("seen").alias("seen"), F.sum("equal").alias("equal"))
-    fixed = counts.where((F.col("seen") >= SEEN) & (F.col("equal") >= EQUAL * F.col("seen")))
-    fixed = fixed.groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("template"))
-    return trees.join(fixed, "host")
+    """A row (host, wrappers) for each host of pages(host, html) that has template nodes: an array of
+    (tree, template), a reference page's tree as JSON and the preorder numbers of its template nodes."""
+    some = pages.where("html is not null and html <> ''").withColumn("content", F.xxhash64("html"))
+    picks = [F.min_by("content", F.xxhash64(F.lit(i), "content")) for i in range(REFERENCES)]
+    picked = some.groupBy("host").agg(F.array_distinct(F.array(*picks)).alias("content")).select("host", F.explode("content").alias("content"))
+    picked = join_checked(some, picked, ["host", "content"], "inner", 64).mapInArrow(released(_trees), "host string, content long, tree string")
+    picked = picked.groupBy("host", "content").agg(F.min("tree").alias("tree"))
+    trees = materialize(picked.groupBy("host").agg(F.sort_array(F.collect_set("tree")).alias("trees")))
+    found = join_checked(some.select("host", "content", "html"), trees, "host", "inner", 16384).select("host", "content", "trees", "html")
+    found = materialize(found.mapInArrow(released(_alignments), "host string, content long, ref int, own boolean, found array<int>"))
+    votes = found.where("not own").withColumn("vote", F.lit(1.0))
+    votes = votes.select("host", "ref", "vote", F.explode("found").alias("at")).groupBy("host", "ref", F.shiftright("at", 1).alias("node"))
+    votes = votes.agg((F.sum("vote") + 1).alias("seen"), (F.sum(F.when(F.col("at") % 2 == 1, F.col("vote")).otherwise(0)) + 1).alias("equal"))
+    least = F.when(F.col("node") % 2 == 1, SEEN_INSIDE).otherwise(SEEN)
+    fixed = votes.where((F.col("seen") > least + 1e-9) & (F.col("equal") >= EQUAL * F.col("seen") - 1e-9))
+    fixed = fixed.groupBy("host", "ref").agg(F.sort_array(F.collect_list(F.shiftright("node", 1))).alias("template"))
+    chosen = fixed.join(trees.select("host", F.posexplode("trees").alias("ref", "tree")), ["host", "ref"])
+    return chosen.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("tree", "template"))).alias("wrappers"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -417,5 +521,5 @@ def main_text(pages: DataFrame) -> DataFrame:
     cut off or nested wrongly is read leniently and never fails."""
     read = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     read = read.withColumn("host", host_of(F.col("url")))
-    wrapped = join_checked(read, induce(read.select("page_id", "host", "html")), "host", "left", 2048)
-    return wrapped.select("page_id", "url", "html", "tree", "template").mapInArrow(released(_extracted), "page_id long, url string, text string, n_chars long")
+    wrapped = join_checked(read, materialize(induce(read.select("host", "html"))), "host", "left", 16384)
+    return wrapped.select("page_id", "url", "html", "wrappers").mapInArrow(released(_extracted), "page_id long, url string, text string, n_chars long")

@@ -244,3 +244,24 @@ def test_alignment_is_simple_tree_matching():
     tree = one.dump()
     assert html_text.align(tree, two, seen, {}) == 4
     assert [seen[id(x)].key if id(x) in seen else None for x in html_text.preorder(tree)] == ["article", "h1", None, "h2", "p"]
+
+
+def worded(i, n=14):
+    return " ".join(f"v{i}k{k}" for k in range(n))
+
+
+def texts_of(spark, rows):
+    return {r.page_id: r.text for r in html_text.main_text(odd_pages(spark, rows)).collect()}
+
+
+def test_constant_siblings_are_found_by_alignment(spark):
+    notice = "<p>Please read our terms before you go on</p>"
+    # Among its kind and in changing places; the least page lacks both; one text is in a plain div.
+    paras = [[f"<p>{worded(10 * i + k)}</p>" for k in range(3)] for i in range(16)]
+    body = ["".join(p if i == 0 else [*p[: i % 3], notice, *p[i % 3 :]]) for i, p in enumerate(paras)]
+    inside = [(i, "http://d.example.org/", f"<body><article><h1>Title {worded(i)}</h1>{body[i]}</article></body>") for i in range(16)]
+    plain = [(100 + i, "http://e.example.org/", f"<body>{'' if i == 0 else '<div>Terms of use hold here</div>'}<div>{worded(900 + i)}</div><div>{worded(950 + i)}</div></body>") for i in range(16)]
+    out = texts_of(spark, inside + plain)
+    for i in range(16):
+        assert out[i].split("\n\n") == [f"Title {worded(i)}", *(worded(10 * i + k) for k in range(3))]
+        assert out[100 + i].split("\n\n") == [worded(900 + i), worded(950 + i)]
