@@ -7,8 +7,9 @@ says by itself (menus, footers, forms, adverts and so on, by tag, role or class)
 where a page has an article or main element, what lies outside it is not either.
 
 Every page is aligned on its own, whatever the size of its host, and only votes by host and node are
-added up; a host's pages never meet in one task. Pages that repeat the reference's text say nothing
-about what varies and are not counted.
+added up; a host's pages never meet in one task. A page that is a near copy of the reference (what
+differs is worded alike) has no vote on it, and pages that are near copies of each other share one, so
+that neither copies nor edited versions of an article turn it into template.
 """
 
 from __future__ import annotations
@@ -19,18 +20,24 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import join_checked, materialize, released
+from .shingles import WordDigests, coordinates, minhash, mix, shingle_set
 
 #: A node is template if more votes than this saw it (inside an article or main element, than the second),
 #: and its text was equal for this share of them.
 SEEN, SEEN_INSIDE, EQUAL = 3, 10, 0.95
 #: Pages of a host that all its pages are aligned with.
 REFERENCES = 4
+#: A page is a near copy of another if what differs has this Jaccard similarity, by pairs of words.
+ALIKE = 0.3
+#: Bands, of two MinHash coordinates each, by which near copies share their vote.
+BANDS = 8
 #: Larger tables of two lists of children are split at the children that are equal in both.
 CELLS = 48 * 48
 #: Elements nested deeper than this are aligned as one text with what holds them.
@@ -451,16 +458,24 @@ class _Loaded(dict):
         return tree
 
 
+def alike(one: str, two: str, digests: WordDigests) -> bool:
+    """Whether two texts are worded alike: by pairs of words, as far as they go."""
+    a, b = (shingle_set(t.encode("utf-8", "surrogatepass"), digests, 2) for t in (one, two))
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= ALIKE * (len(a) + len(b) - both)
+
+
 def _alignments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row (host, content, ref, own, found) for each page and reference tree: whether the page is
-    a copy of the reference, and 4 * node + 2 * inside + equal for
+    """A row (host, content, ref, own, bands, found) for each page and reference tree: whether the page is
+    a near copy of the reference, the bands of what differs, and 4 * node + 2 * inside + equal for
     each node with words that was found on the page."""
-    trees = _Loaded()
+    trees, digests, (mult, add) = _Loaded(), WordDigests(), coordinates(2 * BANDS)
     for b in batches:
         rows: list[tuple] = []
         for host, content, raws, page in zip(b.column("host").to_pylist(), b.column("content").to_pylist(), b.column("trees").to_pylist(), b.column("html"), strict=True):
             slot = tree_of(page.as_py())
             slots = list(walk(slot))
+            known: dict[frozenset, list[int]] = {}
             for ref, raw in enumerate(raws):
                 tree, seen = trees[raw], {}
                 align(tree, slot, seen, {})
@@ -475,11 +490,15 @@ def _alignments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if s is not None and x[2]:
                         found.append(4 * i + 2 * s.inside + same)
                 other = "\n".join(s.text for s in slots if s.words and id(s) not in equal)
-                own = not other and not rest
-                rows.append((host, content, ref, own, found))
-        types = (pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int32()))
+                own = alike(other, "\n".join(rest), digests)
+                key = frozenset(equal)
+                if key not in known:
+                    m = minhash(shingle_set(other.encode("utf-8", "surrogatepass"), digests), mult, add).astype(np.uint64)
+                    known[key] = mix((m[::2] << np.uint64(32) | m[1::2]) + np.arange(BANDS, dtype=np.uint64)).astype(np.int64).tolist()
+                rows.append((host, content, ref, own, known[key], found))
+        types = (pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32()))
         cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
-        yield pa.RecordBatch.from_arrays(cols, names=["host", "content", "ref", "own", "found"])
+        yield pa.RecordBatch.from_arrays(cols, names=["host", "content", "ref", "own", "bands", "found"])
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -494,7 +513,10 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def induce(pages: DataFrame) -> DataFrame:
     """A row (host, wrappers) for each host of pages(host, html) that has template nodes: an array of
-    (tree, template), a reference page's tree as JSON and the preorder numbers of its template nodes."""
+    (tree, template), a reference page's tree as JSON and the preorder numbers of its template nodes.
+
+    A page has one vote on a reference, shared with the pages that differ from it in like words: one
+    over the mean number of pages with the same band, which counts a page of similarity s as s * s."""
     some = pages.where("html is not null and html <> ''").withColumn("content", F.xxhash64("html"))
     picks = [F.min_by("content", F.xxhash64(F.lit(i), "content")) for i in range(REFERENCES)]
     picked = some.groupBy("host").agg(F.array_distinct(F.array(*picks)).alias("content")).select("host", F.explode("content").alias("content"))
@@ -502,8 +524,12 @@ def induce(pages: DataFrame) -> DataFrame:
     picked = picked.groupBy("host", "content").agg(F.min("tree").alias("tree"))
     trees = materialize(picked.groupBy("host").agg(F.sort_array(F.collect_set("tree")).alias("trees")))
     found = join_checked(some.select("host", "content", "html"), trees, "host", "inner", 16384).select("host", "content", "trees", "html")
-    found = materialize(found.mapInArrow(released(_alignments), "host string, content long, ref int, own boolean, found array<int>"))
-    votes = found.where("not own").withColumn("vote", F.lit(1.0))
+    found = materialize(found.mapInArrow(released(_alignments), "host string, content long, ref int, own boolean, bands array<long>, found array<int>"))
+    # The reference and its near copies have one vote together; it is for every node they agree on.
+    banded = found.where("not own").select("host", "content", "ref", F.explode("bands").alias("band"))
+    often = banded.groupBy("host", "ref", "band").agg(F.count("*").alias("n")).where("n > 1")
+    share = join_checked(banded, often, ["host", "ref", "band"], "left", 48).groupBy("host", "content", "ref").agg((1 / F.avg(F.coalesce("n", F.lit(1)))).alias("vote"))
+    votes = join_checked(found.where("not own").select("host", "content", "ref", "found"), share, ["host", "content", "ref"], "inner", 48)
     votes = votes.select("host", "ref", "vote", F.explode("found").alias("at")).groupBy("host", "ref", F.shiftright("at", 1).alias("node"))
     votes = votes.agg((F.sum("vote") + 1).alias("seen"), (F.sum(F.when(F.col("at") % 2 == 1, F.col("vote")).otherwise(0)) + 1).alias("equal"))
     least = F.when(F.col("node") % 2 == 1, SEEN_INSIDE).otherwise(SEEN)

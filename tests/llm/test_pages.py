@@ -265,3 +265,21 @@ def test_constant_siblings_are_found_by_alignment(spark):
     for i in range(16):
         assert out[i].split("\n\n") == [f"Title {worded(i)}", *(worded(10 * i + k) for k in range(3))]
         assert out[100 + i].split("\n\n") == [worded(900 + i), worded(950 + i)]
+
+
+def test_near_copies_do_not_turn_articles_into_template(spark):
+    parts = [worded(k, 40).split() for k in range(4)]
+
+    def version(i):
+        new = [[f"new{i}" if j % 13 == i % 13 and k == i % 4 else w for j, w in enumerate(p)] for k, p in enumerate(parts)]
+        return ["One title for all", "A quote that stays as it is", *(" ".join(p) for p in new)]
+
+    def page(texts, holder):
+        return f"<body><{holder}><h1>{texts[0]}</h1><blockquote>{texts[1]}</blockquote>{''.join(f'<p>{t}</p>' for t in texts[2:])}</{holder}></body>"
+
+    few = {i: ("f", "article", version(i)) for i in range(4)}
+    plain = {100 + i: ("g", "div", version(i)) for i in range(9)}
+    others = {200 + i: ("h", "div", version(i) if i < 80 else [f"Title {worded(i)}", worded(700 + i), worded(800 + i)]) for i in range(84)}
+    made = few | plain | others
+    out = texts_of(spark, [(i, f"http://{h}.example.org/", page(t, holder)) for i, (h, holder, t) in made.items()])
+    assert out == {i: "\n\n".join(t) for i, (_, _, t) in made.items()}
