@@ -69,7 +69,8 @@ _TAG = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: One attribute after the other: its whole name, and its value, quoted or not.
+_ATTR = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
@@ -135,7 +136,7 @@ def parse(page: str) -> Node:
                     role = value.strip().lower()
                 elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
                     role = role or "hidden"
-                elif name != "aria-hidden":
+                elif name in ("class", "id"):
                     cls = f"{cls} {value.lower()}".strip()
         node = Node(tag, cls, role)
         stack[-1].children.append(node)

@@ -283,3 +283,13 @@ def test_near_copies_do_not_turn_articles_into_template(spark):
     made = few | plain | others
     out = texts_of(spark, [(i, f"http://{h}.example.org/", page(t, holder)) for i, (h, holder, t) in made.items()])
     assert out == {i: "\n\n".join(t) for i, (_, _, t) in made.items()}
+
+
+def test_only_whole_attribute_names_count(spark):
+    tags = [
+        'style="overflow:hidden"', 'title="hidden gem"', "data-hidden='false'", "data-role=navigation", 'data-class="sidebar"', 'data-id = "comments"', 'alt="class=ad"', "title='id=footer role=form'",
+        "href=/x?id=sidebar", "data-x=a,class=ad", 'aria-label="role=menu hidden"', "aria-hidden=false", "x:hidden", 'title="a"data-hidden="1"',
+    ]
+    listed = ["hidden", "HIDDEN=''", "aria-hidden = true", 'role="navigation"', "class=ad", "CLASS = 'x sidebar'", 'title="a"id="comments"', "data-x=1 hidden/"]
+    out = texts_of(spark, [(i, f"http://{i}.example.org/", f"<body><div {t}><article><p>Kept text</article></div></body>") for i, t in enumerate(tags + listed)])
+    assert [i for i, t in sorted(out.items()) if t != "Kept text"] == list(range(len(tags), len(tags) + len(listed)))
