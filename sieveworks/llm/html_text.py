@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import join_checked, materialize, released
+from .base import join_checked, materialize, released, small_batches
 from .shingles import WordDigests, coordinates, minhash, mix, shingle_set
 
 #: A node is template if more votes than this saw it (inside an article or main element, than the second),
@@ -459,25 +459,39 @@ class _Loaded(dict):
         return tree
 
 
-def alike(one: str, two: str, digests: WordDigests) -> bool:
-    """Whether two texts are worded alike: by pairs of words, as far as they go."""
-    a, b = (shingle_set(t.encode("utf-8", "surrogatepass"), digests, 2) for t in (one, two))
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two texts are worded alike, from their sets of pairs of words."""
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both >= ALIKE * (len(a) + len(b) - both)
 
 
+class _Pairs(dict):
+    """text -> its set of pairs of words, for those used lately."""
+
+    limit = 256
+
+    def __missing__(self, text: str) -> np.ndarray:
+        if len(self) >= self.limit:
+            self.clear()
+        v = self[text] = shingle_set(text.encode("utf-8", "surrogatepass"), _DIGESTS, 2)
+        return v
+
+
+_DIGESTS = WordDigests()
+
+
 def _alignments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row (host, content, ref, own, bands, found) for each page and reference tree: whether the page is
     a near copy of the reference, the bands of what differs, and 4 * node + 2 * inside + equal for
     each node with words that was found on the page."""
-    trees, digests, (mult, add) = _Loaded(), WordDigests(), coordinates(2 * BANDS)
+    trees, pairs, (mult, add) = _Loaded(), _Pairs(), coordinates(2 * BANDS)
     for b in batches:
         rows: list[tuple] = []
-        for host, content, raws, page in zip(b.column("host").to_pylist(), b.column("content").to_pylist(), b.column("trees").to_pylist(), b.column("html"), strict=True):
+        for host, content, raws, page in zip(b.column("host").to_pylist(), b.column("content").to_pylist(), b.column("trees"), b.column("html"), strict=True):
             slot = tree_of(page.as_py())
             slots = list(walk(slot))
             known: dict[frozenset, list[int]] = {}
-            for ref, raw in enumerate(raws):
+            for ref, raw in enumerate(raws.as_py()):
                 tree, seen = trees[raw], {}
                 align(tree, slot, seen, {})
                 found, equal, rest = [], set(), []
@@ -491,10 +505,10 @@ def _alignments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if s is not None and x[2]:
                         found.append(4 * i + 2 * s.inside + same)
                 other = "\n".join(s.text for s in slots if s.words and id(s) not in equal)
-                own = alike(other, "\n".join(rest), digests)
+                own = alike(pairs[other], pairs["\n".join(rest)])
                 key = frozenset(equal)
                 if key not in known:
-                    m = minhash(shingle_set(other.encode("utf-8", "surrogatepass"), digests), mult, add).astype(np.uint64)
+                    m = minhash(shingle_set(other.encode("utf-8", "surrogatepass"), _DIGESTS), mult, add).astype(np.uint64)
                     known[key] = mix((m[::2] << np.uint64(32) | m[1::2]) + np.arange(BANDS, dtype=np.uint64)).astype(np.int64).tolist()
                 rows.append((host, content, ref, own, known[key], found))
         types = (pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32()))
@@ -506,8 +520,8 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     trees = _Loaded()
     for b in batches:
         texts = []
-        for page, wrappers in zip(b.column("html"), b.column("wrappers").to_pylist(), strict=True):
-            texts.append(extract(page.as_py(), [(trees[w["tree"]], w["template"]) for w in wrappers or ()]))
+        for page, wrappers in zip(b.column("html"), b.column("wrappers"), strict=True):
+            texts.append(extract(page.as_py(), [(trees[w["tree"]], w["template"]) for w in wrappers.as_py() or ()]))
         cols = [b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
         yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "text", "n_chars"])
 
@@ -546,6 +560,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     text-free html gives the empty text. Pages whose url is null or has no host share one host. Repeated
     rows give repeated results, further columns are ignored, an empty table gives no rows. Markup that is
     cut off or nested wrongly is read leniently and never fails."""
+    # Every row carries its host's trees to Python.
+    small_batches(pages.sparkSession)
     read = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     read = read.withColumn("host", host_of(F.col("url")))
     wrapped = join_checked(read, materialize(induce(read.select("host", "html"))), "host", "left", 16384)
