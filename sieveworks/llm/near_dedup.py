@@ -13,11 +13,13 @@
 4. The components of these forests hold all links. Their documents' full sets are compared
    exactly in blocks, and the forests of the confirmed links give the final components.
 
-With K = 64 and T = 42 a pair at exactly 0.85 is missed about once in 60,000 pairs.
+T follows from the percentage (`least_agreeing`): the largest with which a pair at exactly the threshold
+is missed no more often than at 0.85 with T = 42, about once in 34,000 pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +31,24 @@ from pyspark.sql import functions as F
 from .base import components, dealt_blocks, delete_shared, forest, in_runs, join_checked, materialize, released, spread_blocks, text_bytes, whole_runs, write_shared
 from .shingles import WordDigests, coordinates, minhash, shingle_set
 
-K, T = 64, 42
+K = 64
+#: The share of pairs at the threshold that may be missed: what K = 64 and T = 42 miss at 0.85.
+MISSED = 3e-5
 #: Rows of a block when signatures, and when full sets, are compared.
 SIGNATURE_BLOCK, SET_BLOCK = 512, 64
 _SIGNED = "doc_id long, n_shingles long, cls long, sig binary"
 
 
+def least_agreeing(percent: int) -> int:
+    """T: in how many of K coordinates a pair has to agree to be compared exactly, 1 at least."""
+    p, below = percent / 100, 0.0
+    for t in range(K):
+        below += math.comb(K, t) * p**t * (1 - p) ** (K - t)
+        if below > MISSED:
+            return max(t, 1)
+    return K
+
+
 def _class_of(s: np.ndarray) -> int:
     """The digest of a set that stands for the documents that have it."""
     return xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63
@@ -88,17 +102,20 @@ def agreeing(sig: np.ndarray, block: np.ndarray, across: bool, least: int) -> li
     return forest(len(sig), partners)
 
 
-def _agreeing_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t, at in whole_runs(batches, ["token", "b1", "b2"]):
-        cls, b1, b2, blk = (t.column(c).to_numpy() for c in ("cls", "b1", "b2", "blk"))
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, K)
-        a, b = [], []
-        size = np.diff(at)
-        for s, n in zip(at[:-1][size > 1].tolist(), size[size > 1].tolist(), strict=True):
-            for x, y in agreeing(sig[s : s + n], blk[s : s + n], b1[s] != b2[s], T):
-                a.append(cls[s + x])
-                b.append(cls[s + y])
-        yield _edges(a, b)
+def _agreeing_runs(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in whole_runs(batches, ["token", "b1", "b2"]):
+            cls, b1, b2, blk = (t.column(c).to_numpy() for c in ("cls", "b1", "b2", "blk"))
+            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, K)
+            a, b = [], []
+            size = np.diff(at)
+            for s, n in zip(at[:-1][size > 1].tolist(), size[size > 1].tolist(), strict=True):
+                for x, y in agreeing(sig[s : s + n], blk[s : s + n], b1[s] != b2[s], least):
+                    a.append(cls[s + x])
+                    b.append(cls[s + y])
+            yield _edges(a, b)
+
+    return run
 
 
 def linked(sets: list[np.ndarray], block: np.ndarray, across: bool, percent: int) -> list[tuple[int, int]]:
@@ -159,8 +176,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     component_id is the smallest doc_id reachable over links, itself included; kept tells whether
     it is the row's own. Documents without words, and null texts, have no shingles and no links.
     Each row goes by its own text, rows that repeat a doc_id too: equal ones get equal results. A
-    null doc_id links with nothing, has a null component_id and is kept. Further columns of docs are ignored. An empty table gives no rows.
-    The threshold T suits percent >= 85; below that, links get lost more often."""
+    null doc_id links with nothing, has a null component_id and is kept. Further columns of docs are ignored. An empty table gives no rows."""
+    least = least_agreeing(percent)
     spark = docs.sparkSession
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
     sig, path = write_shared(read.mapInArrow(released(_signatures), _SIGNED), "signatures")
@@ -177,8 +194,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     prefix = (
         posted.groupBy("cls")
         .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("p"))
-        .where(F.size("p") >= T)
-        .select("cls", F.explode(F.slice("p", 1, F.size("p") - (T - 1))).alias("p"))
+        .where(F.size("p") >= least)
+        .select("cls", F.explode(F.slice("p", 1, F.size("p") - (least - 1))).alias("p"))
         .select("cls", F.col("p.token").alias("token"))
     )
     prefix = materialize(prefix)
@@ -186,7 +203,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     prefix = materialize(dealt_blocks(join_checked(prefix, live, "token", "inner", 16), ["token"], "cls", SIGNATURE_BLOCK))
     signed = join_checked(own, prefix.select("cls").distinct(), "cls", "left_semi", 16)
     posts = spread_blocks(prefix.join(signed, "cls"))
-    matched = components(in_runs(posts, ["token", "b1", "b2"], _agreeing_runs, "a long, b long"))
+    matched = components(in_runs(posts, ["token", "b1", "b2"], _agreeing_runs(least), "a long, b long"))
 
     matched = dealt_blocks(matched.select(F.col("node").alias("cls"), "comp"), ["comp"], "cls", SET_BLOCK)
     matched = matched.join(reps.select("cls", "doc_id"), "cls")
