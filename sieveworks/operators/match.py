@@ -10,7 +10,6 @@ from sieveworks.plans.ruleset import RuleSet
 from .candidates import settled
 from .decode import original_offset
 
-MAX_GROUPS = 9
 RULES_SCHEMA = "rule_at int, rule_id string, description string, java string, secret_group int, n_groups int, min_entropy double, tags array<string>, severity string, confidence string, rule_pack string, provider string, skip_report boolean, detector string, randomness_threshold double"
 
 
@@ -29,7 +28,7 @@ def spans(text: Column, pattern: Column, group: Column, n_groups: Column, most:
     hits = F.regexp_extract_all(text, pattern, F.lit(0)).alias("m")
     gaps = F.split(text, pattern, -1).alias("g")
     chosen = F.when(group > 0, F.regexp_extract_all(text, pattern, F.least(group, n_groups))).otherwise(none).alias("c")
-    firsts = [F.when((group == 0) & (n_groups >= k), F.regexp_extract_all(text, pattern, F.lit(k))).otherwise(none).alias(f"s{k}") for k in range(1, min(most, MAX_GROUPS) + 1)]
+    firsts = [F.when((group == 0) & (n_groups >= k), F.regexp_extract_all(text, pattern, F.lit(k))).otherwise(none).alias(f"s{k}") for k in range(1, most + 1)]
     zipped = F.filter(F.arrays_zip(hits, gaps, chosen, *firsts), lambda x: x["m"].isNotNull())
 
     def step(acc: Column, x: Column) -> Column:

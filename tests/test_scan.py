@@ -194,3 +194,14 @@ def test_empty_and_null_content(spark):
     content = spark.createDataFrame([(None, None), ("a", "")], "path string, text string")
     assert scan(content, default_rules()).count() == 0
     assert scan(content.limit(0), default_rules(), ScanOptions(mode="native", max_decode_depth=2)).count() == 0
+
+
+def test_secret_in_a_late_group(spark):
+    from pyspark.sql import functions as F
+
+    from sieveworks.operators.match import spans
+
+    pattern = "key=" + "(x)?" * 11 + "([a-z]+)"
+    df = spark.createDataFrame([("a key=secret b",)], "text string")
+    row = df.select(spans(F.col("text"), F.lit(pattern), F.lit(0), F.lit(12), 12).alias("s")).first()
+    assert [(s["match"], s.secret) for s in row.s] == [("key=secret", "secret")]
