@@ -337,8 +337,6 @@ def test_toxicity_odd_rows(spark, odd, small_model):
 
 
 def test_near_dedup_at_eighty_percent(spark):
-    from corpus_pipeline import drop_near_copies
-
     assert near_dedup.least_agreeing(85) == 42 and near_dedup.least_agreeing(80) == 37
     # One shingle set of 96 and another that lacks the last 18: a similarity of 78 / 96.
     words = [f"z{i}" for i in range(100)]
@@ -346,4 +344,4 @@ def test_near_dedup_at_eighty_percent(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     comp = brute_components({d: shingles(t) for d, t in rows}, 80)
     assert comp[2] == 1 != brute_components({d: shingles(t) for d, t in rows}, 85)[2]
-    assert {r.doc_id for r in drop_near_copies(spark, docs, SF).collect()} == {d for d in comp if comp[d] == d}
+    assert {r.doc_id for r in near_dedup.keep_one(docs, 80).collect()} == {d for d in comp if comp[d] == d}
