@@ -181,10 +181,24 @@ def test_bpe_odd_rows(spark, odd, reference_bpe):
     for r in rows:
         assert np.frombuffer(r.ids, "<u4").tolist() == reference_bpe.encode_ordinary(r.text or "")
         assert bytes(r.decoded) == (r.text or "").encode()
+    clash = odd.withColumns({"ids": F.lit(1), "decoded": F.lit("x"), "token": F.lit(None)})
+    assert bpe.encode(clash, ranks, public_tokenizers.PATTERN, decode=True).count() == len(ODD_ROWS)
+    assert bpe.encode(clash.limit(0), ranks, public_tokenizers.PATTERN).collect() == []
     back = bpe.decode(spark.createDataFrame([(1, bytearray(np.array([15496, 995], "<u4").tobytes())), (2, None)], "doc_id long, ids binary"), ranks)
     assert {r.doc_id: r.decoded and bytes(r.decoded) for r in back.collect()} == {1: b"Hello world", 2: None}
 
 
+def test_prefix_tables_of_many_pieces(reference_bpe):
+    b = bpe.PrefixBpe(bpe.read_ranks(bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))))
+    rng = np.random.default_rng(6)
+    letters = [list(b" aeinrstthe"), list(range(256)), list(b"aA0% ")]
+    pieces = [bytes(rng.choice(letters[i % 3], rng.integers(1, 40)).tolist()) for i in range(3000)]
+    pieces += [b"", bytes(rng.choice(letters[0], 5000).tolist()), b"%" * 3001]
+    for some in (pieces, pieces[-4:], []):
+        got = [np.frombuffer(x, "<u4").tolist() for x in b.encode_many(some)]
+        assert got == [reference_bpe._encode_single_piece(p) if p else [] for p in some]
+
+
 def test_prefix_table_appends_and_edits(reference_bpe):
     b = bpe.PrefixBpe(bpe.read_ranks(bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))))
     rng = np.random.default_rng(5)
