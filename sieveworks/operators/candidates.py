@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,26 +52,69 @@ def settled(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def candidate_rules(low: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
-    """The positions of the rules that can match: no keyword, or one that stands in the text whatever its
-    case; and a path pattern, if any, that matches. low is the lower-cased text. Unrolled over the rules, so
-    that it is generated code. The pattern itself is only tried on what this lets through."""
-    found = []
+#: Up to so many keywords are looked for one after the other in the JVM, more in one pass over the text.
+FEW_WORDS = 24
+
+
+@lru_cache(maxsize=8)
+def _automaton(words: tuple[str, ...]):
+    import ahocorasick
+
+    out = ahocorasick.Automaton()
+    for i, w in enumerate(words):
+        out.add_word(w, i)
+    out.make_automaton()
+    return out
+
+
+def words_in(low: Column, words: tuple[str, ...]) -> Column:
+    """The numbers of the words that stand in a lower-cased text. A few are searched by the JVM one by one.
+    That takes time in proportion to the pack, so more of them are found in one pass by an automaton, in
+    Arrow batches of texts: for 200 words over 33 MB in a third of the time, and in a tenth where one task
+    reads it all."""
+    if len(words) <= FEW_WORDS:
+        table = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(i).alias("i")) for i, w in enumerate(words)])
+        return F.transform(F.filter(table, lambda e: F.contains(low, e["word"])), lambda e: e["i"])
+
+    @F.arrow_udf("array<int>")
+    def search(texts: pa.Array) -> pa.Array:
+        find = _automaton(words).iter
+        return pa.array([sorted({i for _, i in find(t.as_py() or "")}) for t in texts], pa.list_(pa.int32()))
+
+    return search(low)
+
+
+def candidate_rules(content: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """content with _rules, the positions of the rules that can match, rising: no keyword, or one that
+    stands in the text whatever its case; and a path pattern, if any, that matches. The pattern itself is
+    only tried on what this lets through."""
+    words: dict[str, list[int]] = {}
     for i, r in enumerate(rules):
-        if not (r.regex or r.detector):
-            continue
-        here = any_of([F.contains(low, F.lit(k)) for k in r.keywords]) if r.keywords else F.lit(True)
-        if r.path:
-            here = here & F.regexp_like(path, F.lit(to_java(r.path)))
-        found.append(F.when(here, F.lit(i)))
-    return F.array_compact(F.array(*found)) if found else F.array().cast("array<int>")
+        if r.regex or r.detector:
+            for k in r.keywords or ("",):
+                words.setdefault(k, []).append(i)
+    always = words.pop("", [])
+    found = F.array(*map(F.lit, always)) if always else F.array().cast("array<int>")
+    out = content
+    if words:
+        low = settled(content, _low=F.lower("text"))
+        out = low.withColumn("_words", words_in(F.col("_low"), tuple(words))).drop("_low")
+        # As text, since a column object for each number would take seconds to build.
+        table = F.expr(f"array({', '.join(f'array({", ".join(map(str, at))})' for at in words.values())})")
+        found = F.concat(found, F.flatten(F.transform("_words", lambda i: F.get(table, i))))
+    found = F.array_sort(F.array_distinct(found))
+    limited = {i: r for i, r in enumerate(rules) if r.path and (r.regex or r.detector)}
+    if limited:
+        path = F.coalesce("path", F.lit(""))
+        off = F.array_compact(F.array(*[F.when(~F.regexp_like(path, F.lit(to_java(r.path))), F.lit(i)) for i, r in limited.items()]))
+        found = F.array_except(found, off)
+    return settled(out, _rules=found).drop("_words")
 
 
 def candidates(content: DataFrame, rules: RuleSet) -> DataFrame:
     """content with a row for each candidate rule, its position in rule_at. The explode (a Generate) keeps
     the optimizer from testing patterns ahead of keywords, which it does to a join."""
-    low = settled(content, _low=F.lower("text"))
-    low = settled(low, _rules=candidate_rules(F.col("_low"), F.coalesce("path", F.lit("")), rules.rules)).drop("_low")
+    low = candidate_rules(content, rules.rules)
     out = low.where(F.size("_rules") > 0).select("*", F.explode("_rules").alias("rule_at")).drop("_rules")
     filtered = [(i, r) for i, r in enumerate(rules.rules) if r.prefilter]
     for i, r in filtered:

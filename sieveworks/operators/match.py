@@ -23,7 +23,7 @@ def spans(text: Column, pattern: Column, group: Column, n_groups: Column, most:
     """An array of (at, start, end, match, secret) for each match of the pattern: its number, the offsets in
     code points from 0, end excluded, and the secret: the rule's group, or for group 0 the first group
     that is not empty, or else the whole match. What stands between the matches gives the offsets. most:
-    the largest number of groups that occurs. Every array is made once and walked once."""
+    the largest number of groups that occurs. Every array is made once and walked once; null without matches."""
     none = F.array().cast("array<string>")
     hits = F.regexp_extract_all(text, pattern, F.lit(0)).alias("m")
     gaps = F.split(text, pattern, -1).alias("g")
@@ -40,7 +40,8 @@ def spans(text: Column, pattern: Column, group: Column, n_groups: Column, most:
         return F.struct(end.alias("next"), F.concat(acc["out"], F.array(one)).alias("out"))
 
     zero = F.struct(F.lit(0).alias("next"), F.expr("cast(array() as array<struct<at:int,start:int,end:int,match:string,secret:string>>)").alias("out"))
-    return F.aggregate(zipped, zero, step, lambda acc: acc["out"])
+    # Most candidates have no match: one search tells, before the arrays are made.
+    return F.when(F.regexp_like(text, pattern), F.aggregate(zipped, zero, step, lambda acc: acc["out"]))
 
 
 def line_and_column(text: Column, offset: Column, native: bool) -> tuple[Column, Column]:

@@ -8,6 +8,7 @@ bracket within a class is literal.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 # The parts of the target dialect.
 _WORD = "[0-9A-Za-z_]"
@@ -49,6 +50,7 @@ def _class(rx: str, at: int) -> tuple[str, int]:
     return out + "]", i + 1
 
 
+@lru_cache(maxsize=20_000)
 def to_java(rx: str) -> str:
     """The pattern with the same meaning in the Java dialect."""
     out: list[str] = []
@@ -117,6 +119,7 @@ def to_java(rx: str) -> str:
     return "".join(out)
 
 
+@lru_cache(maxsize=20_000)
 def groups(rx: str) -> int:
     """The number of capture groups of a pattern."""
     n, i = 0, 0

@@ -6,11 +6,13 @@ import hashlib
 import re
 import tomllib
 from dataclasses import dataclass, field, fields, replace
+from functools import cache
 from pathlib import Path
 
 from sieveworks.functions.text import version_at_least
 
 from .dialect import groups, to_java
+from .shapes import assigned_rule, token_rule
 
 VERSION = "8.30.1"
 MAX_RULES, MAX_EXTEND, MAX_BYTES = 10_000, 2, 10 << 20
@@ -184,11 +186,14 @@ def _rule(d: dict) -> Rule:
 
 
 def parse(text: str, base: str = ".", depth: int = 0) -> RuleSet:
-    """A rule set from TOML, with what it extends."""
+    """A rule set from TOML, with what it extends. Beside rules it may hold tables of token shapes (tokens,
+    assigned), which become rules ahead of the others."""
     d = tomllib.loads(text)
     if (least := d.get("minVersion")) and not version_at_least(VERSION, least):
         raise RuleError(f"the rule set needs version {least}")
-    rules = [_rule(r) for r in d.get("rules", [])]
+    shaped = [token_rule(i, what, shapes) for i, (what, *shapes) in d.get("tokens", {}).items()]
+    shaped += [assigned_rule(i, *row) for i, row in d.get("assigned", {}).items()]
+    rules = [_rule(r) for r in (*shaped, *d.get("rules", []))]
     lists = _allowlists(d)
     extend = d.get("extend", {})
     out = RuleSet(tuple(rules), prefilter=d.get("prefilter", ""), filter=d.get("filter", ""))
@@ -224,8 +229,9 @@ def load(path: str, base: str = ".", depth: int = 0) -> RuleSet:
     return parse(data.decode(), str(p.parent), depth)
 
 
+@cache
 def default_rules() -> RuleSet:
-    """The pack that comes with this library."""
+    """The pack that comes with this library, read once."""
     return parse((Path(__file__).parent.parent / "rules" / "default.toml").read_text())
 
 

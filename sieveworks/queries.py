@@ -29,6 +29,15 @@ ORACLES: dict[str, str] = {}
 GENERIC = default_rules().enable(["generic-api-key"])
 #: The generic rule's pattern in RE2's dialect, quoted for SQL.
 _RX = GENERIC.rules[0].regex.replace("'", "''")
+_LEAST = GENERIC.rules[0].entropy
+
+
+def _secret_sql(secret: str) -> str:
+    """The SQL of what the generic rule's and the pack's allowlists leave of its secrets."""
+    lists = (*GENERIC.allowlists, *GENERIC.rules[0].allowlists)
+    checks = ["NOT regexp_matches({}, '{}')".format(secret, rx.replace("'", "''")) for a in lists for rx in a.regexes]
+    return " AND ".join(checks + [f"NOT contains(lower({secret}), '{w}')" for a in lists for w in a.stopwords])
+
 
 #: Made-up findings, one for each order.
 SEED = {
@@ -98,7 +107,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     scored AS (SELECT doc_id, m, CASE WHEN s = '' THEN m ELSE s END AS secret, text FROM hits),
     e AS (SELECT *, {_ENTROPY.format(s="secret")} AS entropy FROM scored)
     SELECT doc_id AS input_id, 'generic-api-key' AS rule_id, secret, round(entropy, 6) AS entropy, sha256(secret) AS secret_sha256 FROM e
-    WHERE entropy > 3.5 AND NOT regexp_matches(secret, '^[a-zA-Z_.-]+$')"""
+    WHERE entropy > {_LEAST} AND {_secret_sql("secret")}"""
 )
 def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(documents(spark, sf_dir), default_rules())
@@ -111,9 +120,9 @@ def scan_documents_native(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_TEXTS_SQL} SELECT input_id, path, md5(input_id::VARCHAR) AS secret, 2 AS start_line, 2 AS start_column, 47 AS end_column,
+    f"""WITH {_TEXTS_SQL} SELECT input_id, path, md5(input_id::VARCHAR) AS secret, 2 AS start_line, 6 AS start_column, 47 AS end_column,
     path || ':generic-api-key:2' AS fingerprint FROM texts WHERE NOT contains(text, 'gitleaks:allow')
-    AND {_ENTROPY.format(s="md5(input_id::VARCHAR)")} > 3.5"""
+    AND {_ENTROPY.format(s="md5(input_id::VARCHAR)")} > {_LEAST} AND {_secret_sql("md5(input_id::VARCHAR)")}"""
 )
 def scan_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(texts(spark, sf_dir), GENERIC)

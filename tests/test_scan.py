@@ -1,8 +1,11 @@
+import re
+
 import pytest
 from pyspark.sql import Row
 
 from sieveworks.operators import suppress
 from sieveworks.operators.rule_qa import check_examples, check_rules
+from sieveworks.plans import shapes
 from sieveworks.plans.ruleset import RuleError, default_rules, parse
 from sieveworks.plans.scan import ScanOptions, scan
 
@@ -181,6 +184,37 @@ def test_rule_checks(spark):
     assert sorted((r.example, r.wanted) for r in check_examples(spark, rules).collect()) == [("no", True), ("tok-2", False)]
 
 
+def test_every_rule_of_the_pack_finds_its_examples(spark):
+    rules = default_rules()
+    assert len(rules.rules) > 150 and not check_rules(spark, rules).where("kind = 'error'").count()
+    assert all(r.examples for r in rules.rules if r.regex)
+    assert check_examples(spark, rules).collect() == []
+
+
+def test_shapes():
+    assert shapes.pattern("ab_{hex:4}.{digit:1-3}") == "ab_[0-9a-f]{4}\\.[0-9]{1,3}" and shapes.keyword("ab_{hex:4}.{digit:1-3}") == "ab_"
+    assert re.fullmatch(shapes.pattern("{uuid}"), shapes.example("{uuid}", "x")) and len(shapes.example("k{url:20}", "x", 1)) == 20
+    with pytest.raises(ValueError):
+        shapes.parts("x{nothing:3}")
+    with pytest.raises(ValueError):
+        parse('[tokens]\na = ["a", "x{hex:4}", "y{url:4}"]')
+    one = parse('[tokens]\na = ["a", "tok_{hex:8}"]\n[assigned]\nb = ["b", ["acme"], ["{lower:8}"]]')
+    assert [(r.id, r.keywords, r.secret_group) for r in one.rules] == [("a", ("tok_",), 1), ("b", ("acme",), 1)]
+
+
+def test_keywords_are_found_alike_by_both_searches(spark):
+    from pyspark.sql import functions as F
+
+    from sieveworks.operators import candidates
+
+    words = tuple(f"w{i}" for i in range(60)) + ("é_", "a b")
+    df = spark.createDataFrame([("w1 w22 w333 é_",), ("",), (None,), ("a b" * 5 + "w59",)], "low string")
+    few = lambda ws: {r.low: sorted(r.x or []) for r in df.select("low", candidates.words_in(F.col("low"), ws).alias("x")).collect()}
+    want = {t: sorted(i for i, w in enumerate(words) if w in (t or "")) for t in ("w1 w22 w333 é_", "", None, "a b" * 5 + "w59")}
+    assert few(words) == want
+    assert few(words[:20]) == {t: [i for i in at if i < 20] for t, at in want.items()}
+
+
 def test_baseline_of_a_scan_suppresses_it(spark):
     rules = parse("""[[rules]]\nid = "t"\nregex = 'tok-\\d+'""")
     content = spark.createDataFrame([("a", "tok-1\ntok-2")], "path string, text string")
