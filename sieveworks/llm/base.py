@@ -53,11 +53,13 @@ def delete_shared(spark: SparkSession, path: str) -> None:
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
-def join_checked(large: DataFrame, small: DataFrame, on: list[str] | str, how: str, row_bytes: int) -> DataFrame:
-    """large joined with small; small is broadcast only if its counted rows times row_bytes
-    stay below BROADCAST_BYTES, and is shuffled otherwise. small is materialized for the count."""
+def join_checked(large: DataFrame, small: DataFrame, on: list[str] | str, how: str, row_bytes: int | Column) -> DataFrame:
+    """large joined with small; small is broadcast only if its counted rows times row_bytes (or, with a
+    column that gives the bytes of a row, their sum) stay below BROADCAST_BYTES, and is shuffled otherwise.
+    small is materialized for the count."""
     small = materialize(small)
-    if small.count() * row_bytes <= BROADCAST_BYTES:
+    size = small.count() * row_bytes if isinstance(row_bytes, int) else small.agg(F.sum(row_bytes)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
         return large.join(F.broadcast(small), on, how)
     return large.join(small.hint("merge"), on, how)
 

@@ -1,10 +1,17 @@
 """Main text of HTML pages by wrapper induction.
 
-Pages of one host share a template. Every page's DOM tree is aligned with the trees of several pages
-of its host by simple tree matching, element by element. A node whose text stays the same on pages that
-say different things belongs to the template; a node whose text varies is a slot for content. What HTML
-says by itself (menus, footers, forms, adverts and so on, by tag, role or class) is never content, and
-where a page has an article or main element, what lies outside it is not either.
+1. Pages of one host share a template. Every page's DOM tree is aligned, element by element, with the
+   trees of several pages of its host by simple tree matching.
+2. What varies in an aligned slot from page to page tells what it is. A slot whose text stays the same
+   on pages that say different things is template. A slot that holds mostly links, or whose text begins
+   or ends with the same words on all pages, is part of the frame. The content is the innermost element
+   that holds most of the varying text of the host's pages: from the body down, the child that does, as
+   long as no heading, paragraph or list with text of its own stands beside it.
+3. That wrapper, a tree with its content slot and its template slots, decides on every page of the host.
+
+What HTML says by itself (menus, footers, forms, adverts, by tag, role or class) is never content. A
+host with too few differing pages has no wrapper; there, and where a page has an article or main element
+elsewhere, the page's own landmarks decide.
 
 Every page is aligned on its own, whatever the size of its host, and only votes by host and node are
 added up; a host's pages never meet in one task. A page that is a near copy of the reference (what
@@ -18,7 +25,7 @@ import bisect
 import html as htmllib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +45,12 @@ REFERENCES = 4
 ALIKE = 0.3
 #: Bands, of two MinHash coordinates each, by which near copies share their vote.
 BANDS = 8
-#: Larger tables of two lists of children are split at the children that are equal in both.
-CELLS = 48 * 48
-#: Elements nested deeper than this are aligned as one text with what holds them.
-DEPTH = 60
+#: A slot is part of the frame if this share of the words in it is linked.
+LINKED = 0.5
+#: The content slot holds this share of the varying text of what it stands in.
+MOST = 0.6
+#: Larger tables of two lists of children are divided, so that memory grows with their lengths only.
+CELLS = 1 << 12
 
 # What tags, roles and parts of class names and ids say about an element.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -59,6 +68,11 @@ WORDS = set(
 )
 UNITS = {"ul", "ol", "dl", "table"}
 PARTS = UNITS | set("li dt dd caption thead tbody tfoot tr td th".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+#: Elements of text, which are never the element that holds the content; and those that belong to text.
+TEXTS = HEADINGS | set("p ul ol dl li dt dd blockquote pre figure figcaption caption address".split())
+INLINE = set("a abbr b cite code em font i label mark q s small span strong sub sup time u".split())
+SKIPPED = set("script style textarea title noscript template iframe noembed head button select option input svg canvas object video audio map".split())
 HEADER_WORDS = {"header", "topbar", "topnav"}
 CLOSES_P = BLOCKS - {"caption", "dd", "dt", "li", "tbody", "td", "tfoot", "th", "thead", "tr", "html", "body", "summary", "figcaption"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
@@ -174,41 +188,95 @@ def _unit(n: Node) -> bool:
     return True
 
 
-def _kids(n: Node, in_article: bool) -> list[Node]:
-    """The children that may be content. Inline elements and strings belong to their parent's text."""
-    return [c for c in n.children if isinstance(c, Node) and (c.tag in BLOCKS or any(isinstance(x, Node) for x in c.children)) and not boilerplate(c, in_article)]
-
-
 def _is_article(n: Node) -> bool:
     return n.tag in ("article", "main") or n.role in ("main", "article")
 
 
-class Slot:
-    """An element in the tree that is aligned: its key, its text without that of its own slots with digest
-    and number of words, its slots, and a digest of it all."""
-
-    __slots__ = ("digest", "inside", "key", "node", "slots", "text", "whole", "words")
-
-    def __init__(self, node: Node, in_article: bool, depth: int = 0):
-        self.node, self.key = node, node.key
-        self.inside = in_article or _is_article(node)
-        kids = _kids(node, self.inside) if depth < DEPTH and not _unit(node) else []
-        self.slots = [Slot(c, self.inside, depth + 1) for c in kids]
-        self.text = "\n".join(blocks([node], self.inside, {id(c) for c in kids}))
-        self.digest, self.words = xxhash.xxh3_64_intdigest(self.text.encode("utf-8", "surrogatepass")), len(self.text.split())
-        self.whole = xxhash.xxh3_64_intdigest(f"{self.key} {self.digest} {[s.whole for s in self.slots]}".encode("utf-8", "surrogatepass"))
-
-    def dump(self) -> list:
-        return [self.key, self.digest, self.words, [s.dump() for s in self.slots], self.whole, self.text]
-
-
-def walk(slot: Slot) -> Iterator[Slot]:
-    """A slot and all below, in preorder."""
-    todo = [slot]
+def _digest(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+
+
+class Tree:
+    """A page's body as it is aligned: its elements in preorder, with parallel lists of their keys, own texts
+    (without that of elements below) with digests, numbers of words and of linked words, ends of their
+    subtrees, children, and digests of their subtrees: shape is that of the keys alone, whole of all."""
+
+    LISTS = ("keys", "texts", "digests", "words", "links", "ends", "inside", "said")
+
+    def __init__(self) -> None:
+        self.nodes: list[Node] = []
+        for k in self.LISTS:
+            setattr(self, k, [])
+
+    @classmethod
+    def of(cls, body: Node) -> Tree:
+        t, parents = cls(), []
+        todo = [(body, -1, False, False)]
+        while todo:
+            n, parent, inside, said = todo.pop()
+            said = said or boilerplate(n, inside)
+            inside = inside or _is_article(n)
+            at = len(t.nodes)
+            kids = [] if _unit(n) else [c for c in n.children if isinstance(c, Node) and c.tag not in SKIPPED and (c.tag in BLOCKS or any(isinstance(x, Node) for x in c.children))]
+            text = "\n".join(blocks([n], inside, {id(c) for c in kids}))
+            t.nodes.append(n)
+            parents.append(parent)
+            t.keys.append(n.key)
+            t.texts.append(text)
+            t.digests.append(_digest(text))
+            t.words.append(len(text.split()))
+            t.links.append(linked_words(n, kids) if text else 0)
+            t.inside.append(inside)
+            t.said.append(said)
+            todo += [(c, at, inside, said) for c in reversed(kids)]
+        t.ends = [i + 1 for i in range(len(parents))]
+        for i in range(len(parents) - 1, 0, -1):
+            t.ends[parents[i]] = max(t.ends[parents[i]], t.ends[i])
+        return t.linked()
+
+    def linked(self) -> Tree:
+        """With the children, shapes and digests that follow from the lists."""
+        n = len(self.keys)
+        self.kids: list[list[int]] = [[] for _ in range(n)]
+        self.shapes, self.wholes = [0] * n, [0] * n
+        #: shape -> (key, shapes of the children, number of elements)
+        self.shaped: dict[int, tuple[str, tuple[int, ...], int]] = {}
+        for i in range(n - 1, -1, -1):
+            j = i + 1
+            while j < self.ends[i]:
+                self.kids[i].append(j)
+                j = self.ends[j]
+            below = tuple(self.shapes[k] for k in self.kids[i])
+            self.shapes[i] = _digest(f"{self.keys[i]} {below}")
+            self.shaped[self.shapes[i]] = (self.keys[i], below, self.ends[i] - i)
+            self.wholes[i] = _digest(f"{self.keys[i]} {self.digests[i]} {[self.wholes[k] for k in self.kids[i]]}")
+        return self
+
+    def dump(self) -> str:
+        return json.dumps([getattr(self, k) for k in self.LISTS])
+
+    @classmethod
+    def load(cls, raw: str) -> Tree:
+        t = cls()
+        for k, v in zip(cls.LISTS, json.loads(raw), strict=True):
+            setattr(t, k, v)
+        return t.linked()
+
+    def tag(self, i: int) -> str:
+        return self.keys[i].partition(".")[0]
+
+
+def linked_words(n: Node, without: list[Node]) -> int:
+    """The number of words in links of an element, not counting those below the elements in `without`."""
+    left, total, todo = {id(c) for c in without}, 0, [(n, n.tag == "a")]
     while todo:
-        x = todo.pop()
-        yield x
-        todo += reversed(x.slots)
+        x, link = todo.pop()
+        for c in x.children:
+            if isinstance(c, str):
+                total += link and len(c.split())
+            elif id(c) not in left:
+                todo.append((c, link or c.tag == "a"))
+    return total
 
 
 def blocks(nodes: list[Node], in_article: bool, without: set[int] = frozenset(), muted: dict[int, bool] | None = None) -> list[str]:
@@ -251,148 +319,176 @@ def blocks(nodes: list[Node], in_article: bool, without: set[int] = frozenset(),
     return out
 
 
+#: Equal texts come before matched elements.
 _EQUAL_TEXT = 1 << 32
 
 
-def align(a: list, slot: Slot, seen: dict, memo: dict) -> int:
-    """Simple tree matching of a stored tree with a page's: the number of matched nodes, and in seen
-    which slot each stored node was matched with. Of all matchings those with the most equal texts come
-    first, so that a text which recurs among siblings of its kind is matched with itself."""
-
-    def weight(x: list, y: Slot) -> int:
-        if x[0] != y.key:
-            return 0
-        own = 1 + _EQUAL_TEXT * (x[2] > 0 and x[1] == y.digest)
-        return own + below(x, y)[0] if x[3] and y.slots else own
-
-    def below(x: list, y: Slot) -> tuple[int, list]:
-        k = (id(x), id(y))
-        if k not in memo:
-            pairs = paired(x[3], y.slots)
-            memo[k] = (sum(weight(p, q) for p, q in pairs), pairs)
-        return memo[k]
-
-    def paired(xs: list, ys: list[Slot]) -> list[tuple[list, Slot]]:
+class Aligner:
+    """Simple tree matching of one tree with another. Of all matchings of two lists of children, in order
+    and key with key, one with the most equal texts below, and of those one with the most matched elements,
+    is chosen; the matched children's own children then follow."""
+
+    def __init__(self, a: Tree, b: Tree):
+        self.a, self.b = a, b
+        self.sizes: dict[tuple[int, int], int] = {}
+        held = {d for d, n in zip(b.digests, b.words, strict=True) if n}
+        common = {d for d, n in zip(a.digests, a.words, strict=True) if n and d in held}
+        self.texts = [[i for i, d in enumerate(t.digests) if d in common and t.words[i]] for t in (a, b)]
+
+    def matched(self) -> dict[int, int]:
+        """Elements of the first tree with the elements of the second that they are matched with."""
+        a, b, seen = self.a, self.b, {}
+        todo = [(0, 0)] if a.keys[0] == b.keys[0] else []
+        while todo:
+            x, y = todo.pop()
+            seen[x] = y
+            if a.kids[x] and b.kids[y]:
+                todo += self.paired(a.kids[x], b.kids[y])
+        return seen
+
+    def paired(self, xs: list[int], ys: list[int]) -> list[tuple[int, int]]:
+        a, b = self.a, self.b
         lo, n, m = 0, len(xs), len(ys)
-        while lo < min(n, m) and xs[lo][4] == ys[lo].whole:
+        while lo < min(n, m) and a.wholes[xs[lo]] == b.wholes[ys[lo]]:
             lo += 1
-        while n > lo and m > lo and xs[n - 1][4] == ys[m - 1].whole:
+        while n > lo and m > lo and a.wholes[xs[n - 1]] == b.wholes[ys[m - 1]]:
             n, m = n - 1, m - 1
-        middle = tabled if (n - lo) * (m - lo) <= CELLS else split
-        return [*zip(xs[:lo], ys[:lo], strict=True), *middle(xs[lo:n], ys[lo:m]), *zip(xs[n:], ys[m:], strict=True)]
-
-    def tabled(xs: list, ys: list[Slot]) -> list[tuple[list, Slot]]:
-        w = [[weight(x, y) for y in ys] for x in xs]
-        rows = [[0] * (len(ys) + 1)]
-        for wi in w:
-            up, row = rows[-1], [0]
-            for j, v in enumerate(wi):
-                row.append(max(row[j], up[j + 1], up[j] + v if v else 0))
-            rows.append(row)
-        out, i, j = [], len(xs), len(ys)
-        while i and j:
-            if w[i - 1][j - 1] and rows[i][j] == rows[i - 1][j - 1] + w[i - 1][j - 1]:
-                out.append((xs[i - 1], ys[j - 1]))
-                i, j = i - 1, j - 1
-            elif rows[i][j] == rows[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
-        return out[::-1]
-
-    def split(xs: list, ys: list[Slot]) -> list[tuple[list, Slot]]:
-        """Long lists: the longest rising run of children that are equal in both and occur once, and what
-        stands between them by tables, or one after the other where that is too long as well."""
-        ones = [{k: i for k, i in at.items() if i >= 0} for at in (_once(x[4] for x in xs), _once(y.whole for y in ys))]
-        anchors = _rising([(i, ones[1][k]) for k, i in ones[0].items() if k in ones[1]])
-        out, i0, j0 = [], 0, 0
-        for i, j in [*anchors, (len(xs), len(ys))]:
-            p, q = xs[i0:i], ys[j0:j]
-            if len(p) * len(q) <= CELLS:
-                out += tabled(p, q)
-            else:
-                kinds: dict[str, list[Slot]] = {}
-                last = 0
-                for at, y in enumerate(q):
-                    kinds.setdefault(y.key, []).append((at, y))
-                turn = {k: iter(v) for k, v in kinds.items()}
-                for x in p:
-                    hit = next((h for h in turn.get(x[0], ()) if h[0] >= last), None)
-                    if hit:
-                        out.append((x, hit[1]))
-                        last = hit[0] + 1
-            if i < len(xs):
-                out.append((xs[i], ys[j]))
-            i0, j0 = i + 1, j + 1
+        ends = [*zip(xs[:lo], ys[:lo], strict=True), *zip(xs[n:], ys[m:], strict=True)]
+        xs, ys = xs[lo:n], ys[lo:m]
+        if not xs or not ys:
+            return ends
+        held, places = self.below(0, xs), {}
+        for j, ds in enumerate(self.below(1, ys)):
+            for d in ds:
+                places.setdefault(d, []).append(j)
+        kinds = {k: i for i, k in enumerate(dict.fromkeys(b.shapes[y] for y in ys))}
+        kind = np.fromiter((kinds[b.shapes[y]] for y in ys), np.int64, len(ys))
+        rows: dict[int, np.ndarray] = {}
+
+        def row(i: int) -> np.ndarray:
+            p = a.shapes[xs[i]]
+            if p not in rows:
+                rows[p] = np.array([self.size(p, q) for q in kinds], np.int64)
+            w = rows[p][kind]
+            for d in held[i]:
+                at = places.get(d, ())
+                w[at] += _EQUAL_TEXT * (w[at] > 0)
+            return w
+
+        return ends + [(xs[i], ys[j]) for i, j in heaviest(len(xs), len(ys), row)]
+
+    def below(self, side: int, roots: list[int]) -> list[set[int]]:
+        """For each of these siblings the texts in its subtree that both trees have."""
+        t, marks = (self.a, self.b)[side], self.texts[side]
+        out: list[set[int]] = []
+        at = bisect.bisect_left(marks, roots[0])
+        for r in roots:
+            ds = set()
+            while at < len(marks) and marks[at] < t.ends[r]:
+                ds.add(t.digests[marks[at]])
+                at += 1
+            out.append(ds)
         return out
 
-    total = weight(a, slot)
-    todo = [(a, slot)] if total else []
+    def size(self, p: int, q: int) -> int:
+        """The most elements that can be matched between subtrees of these shapes."""
+        sizes, of, to = self.sizes, self.a.shaped, self.b.shaped
+        todo = [(p, q)]
+        while todo:
+            x, y = todo[-1]
+            if (x, y) in sizes:
+                todo.pop()
+                continue
+            (key, ps, n), (other, qs, _) = of[x], to[y]
+            if key != other or x == y or not ps or not qs:
+                sizes[x, y] = 0 if key != other else n if x == y else 1
+                continue
+            first, second = dict.fromkeys(ps), dict.fromkeys(qs)
+            if new := [(u, v) for u in first for v in second if (u, v) not in sizes]:
+                todo += new
+                continue
+            kinds = {v: i for i, v in enumerate(second)}
+            kind = np.fromiter((kinds[v] for v in qs), np.int64, len(qs))
+            rows = {u: np.array([sizes[u, v] for v in second], np.int64)[kind] for u in first}
+            best = np.zeros(len(qs) + 1, np.int64)
+            for u in ps:
+                best = _next(best, rows[u])
+            sizes[x, y] = 1 + int(best[-1])
+        return sizes[p, q]
+
+
+def _next(best: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The next row of the table of heaviest matchings, from the one before and the weights of its pairs."""
+    out = best.copy()
+    np.maximum(out[1:], best[:-1] + w, out=out[1:])
+    return np.maximum.accumulate(out)
+
+
+def heaviest(n: int, m: int, row: Callable[[int], np.ndarray]) -> list[tuple[int, int]]:
+    """A heaviest matching in order of two lists of n and m members: pairs of places. row(i) gives the
+    weights of the i-th member with all others, 0 for none. Large tables are halved at the place where
+    the best matchings of the halves together weigh most (Hirschberg's method)."""
+    out, todo = [], [(0, n, 0, m)]
     while todo:
-        x, y = todo.pop()
-        seen[id(x)] = y
-        if x[3] and y.slots:
-            todo += below(x, y)[1]
-    return total % _EQUAL_TEXT
-
-
-def _once(keys: Iterator[int]) -> dict[int, int]:
-    """key -> its place, or -1 if it occurs more than once."""
-    out: dict[int, int] = {}
-    for i, k in enumerate(keys):
-        out[k] = -1 if k in out else i
+        i0, i1, j0, j1 = todo.pop()
+        if i0 == i1 or j0 == j1:
+            continue
+        if (i1 - i0) * (j1 - j0) <= CELLS or i1 - i0 == 1:
+            out += _tabled(i0, i1, j0, j1, row)
+            continue
+        mid = (i0 + i1) // 2
+        before = after = np.zeros(j1 - j0 + 1, np.int64)
+        for i in range(i0, mid):
+            before = _next(before, row(i)[j0:j1])
+        for i in range(i1 - 1, mid - 1, -1):
+            after = _next(after, row(i)[j0:j1][::-1])
+        at = j0 + int((before + after[::-1]).argmax())
+        todo += [(i0, mid, j0, at), (mid, i1, at, j1)]
     return out
 
 
-def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """A longest part of pairs, sorted by their first numbers, in which the second ones rise too."""
-    ends: list[int] = []
-    at: list[int] = []
-    before: list[int] = []
-    for i, (_, j) in enumerate(pairs):
-        k = bisect.bisect_left(ends, j)
-        ends[k:k + 1], at[k:k + 1] = [j], [i]
-        before.append(at[k - 1] if k else -1)
-    out, i = [], at[-1] if at else -1
-    while i >= 0:
-        out.append(pairs[i])
-        i = before[i]
-    return out[::-1]
-
-
-def preorder(tree: list) -> Iterator[list]:
-    todo = [tree]
-    while todo:
-        x = todo.pop()
-        yield x
-        todo += reversed(x[3])
+def _tabled(i0: int, i1: int, j0: int, j1: int, row: Callable[[int], np.ndarray]) -> list[tuple[int, int]]:
+    weights = [row(i)[j0:j1].tolist() for i in range(i0, i1)]
+    table = [[0] * (j1 - j0 + 1)]
+    for w in weights:
+        up, here = table[-1], [0]
+        for j, v in enumerate(w):
+            here.append(max(here[j], up[j + 1], up[j] + v if v else 0))
+        table.append(here)
+    out, i, j = [], i1 - i0, j1 - j0
+    while i and j:
+        w = weights[i - 1][j - 1]
+        if w and table[i][j] == table[i - 1][j - 1] + w:
+            out.append((i0 + i - 1, j0 + j - 1))
+            i, j = i - 1, j - 1
+        elif table[i][j] == table[i - 1][j]:
+            i -= 1
+        else:
+            j -= 1
+    return out
+
+
+def body_of(root: Node) -> Node:
+    return next((c for c in root.children if isinstance(c, Node) and c.tag == "body"), root)
 
 
-def top(root: Node) -> list[Node]:
-    """The elements that hold the main content where the page says so, else its body."""
-    todo, articles, mains, body = [root], [], [], root
+def top(holder: Node) -> list[Node]:
+    """The articles in an element, or else its main elements, or else the element."""
+    todo, articles, mains = [holder], [], []
     while todo:
         n = todo.pop()
-        if n.tag == "body":
-            body = n
         if n.tag == "article" or n.role == "article":
             articles.append(n)
         elif _is_article(n):
             mains.append(n)
             todo += [c for c in reversed(n.children) if isinstance(c, Node) and not boilerplate(c, True)]
-        elif not (n.tag != "html" and boilerplate(n, False)):
+        elif n is holder or not boilerplate(n, False):
             todo += [c for c in reversed(n.children) if isinstance(c, Node)]
-    return articles or mains or [body]
+    return articles or mains or [holder]
 
 
-def tree_of(page: str) -> Slot:
-    root = parse(page)
-    holders = top(root)
-    if len(holders) == 1:
-        return Slot(holders[0], False)
-    shell = Node("html")
-    shell.children = list(holders)
-    return Slot(shell, False)
+def tree_of(page: str) -> Tree:
+    return Tree.of(body_of(parse(page)))
 
 
 def _listing(node: Node) -> bool:
@@ -411,29 +507,94 @@ def _listing(node: Node) -> bool:
     return total > 0 and linked > 0.6 * total
 
 
-def extract(page: str | None, wrappers: list[tuple[list, set[int]]]) -> str:
-    """The main text of a page: what is neither boilerplate nor in a slot that matches a template
-    node (numbered in preorder) of one of the host's trees."""
+#: What the pages of a host say about a node: their votes, those of equal text and of text in a frame of
+#: equal words, and the words and linked words in it.
+Votes = tuple[float, float, float, float, float]
+
+
+def frame(tree: Tree, votes: dict[int, Votes]) -> tuple[int, list[int], list[int]]:
+    """The wrapper of a reference tree: the node of its content (-1 if there are too few votes to tell),
+    the nodes under it that belong to the frame, and the template nodes."""
+    n = len(tree.keys)
+    template = [i for i, (seen, equal, *_) in votes.items() if seen > (SEEN_INSIDE if tree.inside[i] else SEEN) + 1e-9 and equal >= EQUAL * seen - 1e-9 and tree.words[i]]
+    fixed = set(template)
+    framed = {i for i, (seen, _, held, *_) in votes.items() if seen > SEEN + 1e-9 and held >= EQUAL * seen - 1e-9}
+    group = [tree.tag(i) not in TEXTS | INLINE and not (tree.tag(i) == "table" and not tree.kids[i]) for i in range(n)]
+    mass, own = [0.0] * (n + 1), [0.0] * n
+    linked, total = [0.0] * n, [0.0] * n
+    for i in range(n):
+        _, _, _, words, links = votes.get(i, (0.0, 0.0, 0.0, 0.0, 0.0))
+        linked[i], total[i] = links, words
+        if not (tree.said[i] or i in fixed or i in framed and group[i]):
+            own[i] = max(words - links, 0.0)
+    for t in (linked, total):
+        for i in range(n - 1, -1, -1):
+            t[i] += sum(t[k] for k in tree.kids[i])
+    for i in range(n - 1, -1, -1):
+        mass[i] = own[i] + sum(mass[k] for k in tree.kids[i])
+        if linked[i] > LINKED * total[i]:
+            mass[i] = 0.0
+    if not votes or max(v[0] for v in votes.values()) <= SEEN + 1e-9 or not mass[0]:
+        return -1, [], template
+
+    def speaks(i: int) -> bool:
+        """Whether text that varies stands in an element of text, or a heading anywhere below."""
+        if tree.tag(i) in TEXTS or not group[i]:
+            return mass[i] > 0
+        return any(tree.tag(k) in HEADINGS and own[k] > 0 for k in range(i, tree.ends[i]))
+
+    at = 0
+    while True:
+        kids = tree.kids[at]
+        best = max((k for k in kids if group[k]), key=lambda k: mass[k], default=None)
+        # An article or main element that the page marks as such is not left for a part of it.
+        if best is None or mass[best] < MOST * mass[at] or tree.inside[at] or any(speaks(k) for k in kids if k != best):
+            break
+        at = best
+    edge = [k for k in tree.kids[at] if group[k] and (k in framed or total[k] and linked[k] > LINKED * total[k])] if at == 0 else []
+    return at, edge, template
+
+
+def extract(page: str | None, wrappers: list[tuple[Tree, int, list[int], list[int]]]) -> str:
+    """The main text of a page: what stands in its content slot and is neither boilerplate nor matches a
+    node of the frame or the template of the wrapper whose tree it matches best."""
     if not page:
         return ""
-    slot = tree_of(page)
-    muted: dict[int, bool] = {id(s.node): False for s in walk(slot)}
-    held = {s.digest for s in walk(slot)}
-    for tree, template in wrappers:
-        nodes = list(preorder(tree))
-        if not any(nodes[i][1] in held for i in template):
-            continue
-        seen: dict[int, Slot] = {}
-        align(tree, slot, seen, {})
-        for i in template:
-            s = seen.get(id(nodes[i]))
-            if s is not None and s.digest == nodes[i][1]:
-                muted[id(s.node)] = True
+    body = body_of(parse(page))
+    held, inside = top(body), False
     without: set[int] = set()
-    inside = slot.inside
-    if not inside and slot.key != "html":
-        without = {id(s.node) for s in walk(slot) if s is not slot and s.node.tag in ("ul", "ol", "div", "section", "table", "dl") and _listing(s.node)}
-    return "\n\n".join(blocks([slot.node], inside, without, muted))
+    muted: dict[int, bool] = {}
+    if wrappers:
+        tree = Tree.of(body)
+        found = [Aligner(w[0], tree).matched() for w in wrappers]
+        for (ref, _, _, template), seen in zip(wrappers, found, strict=True):
+            for i in template:
+                j = seen.get(i)
+                if j is not None and tree.digests[j] == ref.digests[i]:
+                    muted |= {id(tree.nodes[k]): False for k in tree.kids[j] if id(tree.nodes[k]) not in muted}
+                    muted[id(tree.nodes[j])] = True
+        ranked = sorted((-len(seen), n) for n, seen in enumerate(found) if wrappers[n][1] in seen)
+        if ranked:
+            seen, (_, at, edge, _) = found[ranked[0][1]], wrappers[ranked[0][1]]
+            slot = seen[at]
+            under = {id(x) for x in tree.nodes[slot : tree.ends[slot]]}
+            # Landmarks elsewhere on the page speak against the slot.
+            if held == [body] or any(id(h) in under for h in held):
+                inside = tree.inside[slot]
+                held = [tree.nodes[slot]] if inside else top(tree.nodes[slot])
+                without = {id(tree.nodes[seen[i]]) for i in edge if i in seen}
+    if held == [body]:
+        without |= {id(n) for n in _below(body) if n.tag in ("ul", "ol", "div", "section", "table", "dl") and _listing(n)}
+    return "\n\n".join(blocks(held, inside, without, muted))
+
+
+def _below(node: Node) -> Iterator[Node]:
+    todo = [node]
+    while todo:
+        for c in todo.pop().children:
+            if isinstance(c, Node):
+                yield c
+                todo.append(c)
 
 
 def host_of(url: Column) -> Column:
@@ -443,7 +604,7 @@ def host_of(url: Column) -> Column:
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        trees = [json.dumps(tree_of(h.as_py()).dump()) for h in b.column("html")]
+        trees = [tree_of(h.as_py()).dump() for h in b.column("html")]
         yield pa.RecordBatch.from_arrays([b.column("host"), b.column("content"), pa.array(trees, pa.string())], names=["host", "content", "tree"])
 
 
@@ -452,10 +613,10 @@ class _Loaded(dict):
 
     limit = 256
 
-    def __missing__(self, raw: str) -> list:
+    def __missing__(self, raw: str) -> Tree:
         if len(self) >= self.limit:
             self.clear()
-        tree = self[raw] = json.loads(raw)
+        tree = self[raw] = Tree.load(raw)
         return tree
 
 
@@ -480,55 +641,83 @@ class _Pairs(dict):
 _DIGESTS = WordDigests()
 
 
+#: What a page says about a node of a reference tree that it was matched with.
+FOUND = "array<struct<node:int,equal:boolean,framed:boolean,words:int,links:int>>"
+_FOUND = pa.list_(pa.struct([("node", pa.int32()), ("equal", pa.bool_()), ("framed", pa.bool_()), ("words", pa.int32()), ("links", pa.int32())]))
+
+
+def _framed(a: str, b: str) -> bool:
+    """Whether two texts begin or end with the same word."""
+    a, b = a.split(), b.split()
+    return bool(a and b) and (a[0] == b[0] or a[-1] == b[-1])
+
+
 def _alignments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row (host, content, ref, own, bands, found) for each page and reference tree: whether the page is
-    a near copy of the reference, the bands of what differs, and 4 * node + 2 * inside + equal for
-    each node with words that was found on the page."""
+    a near copy of the reference, the bands of what differs, and what it says about the nodes with words
+    that it was matched with."""
     trees, pairs, (mult, add) = _Loaded(), _Pairs(), coordinates(2 * BANDS)
     for b in batches:
         rows: list[tuple] = []
         for host, content, raws, page in zip(b.column("host").to_pylist(), b.column("content").to_pylist(), b.column("trees"), b.column("html"), strict=True):
-            slot = tree_of(page.as_py())
-            slots = list(walk(slot))
+            t = tree_of(page.as_py())
             known: dict[frozenset, list[int]] = {}
             for ref, raw in enumerate(raws.as_py()):
-                tree, seen = trees[raw], {}
-                align(tree, slot, seen, {})
-                found, equal, rest = [], set(), []
-                for i, x in enumerate(preorder(tree)):
-                    s = seen.get(id(x))
-                    same = s is not None and s.digest == x[1]
+                r = trees[raw]
+                seen = Aligner(r, t).matched()
+                found, equal = [], set()
+                for i, j in seen.items():
+                    same = r.digests[i] == t.digests[j]
                     if same:
-                        equal.add(id(s))
-                    elif x[2]:
-                        rest.append(x[5])
-                    if s is not None and x[2]:
-                        found.append(4 * i + 2 * s.inside + same)
-                other = "\n".join(s.text for s in slots if s.words and id(s) not in equal)
-                own = alike(pairs[other], pairs["\n".join(rest)])
+                        equal.add(j)
+                    if r.words[i] or t.words[j]:
+                        found.append((i, same, same or _framed(r.texts[i], t.texts[j]), t.words[j], t.links[j]))
+                rest = "\n".join(r.texts[i] for i in range(len(r.keys)) if r.words[i] and not r.said[i] and seen.get(i, -1) not in equal)
+                other = "\n".join(t.texts[j] for j in range(len(t.keys)) if t.words[j] and not t.said[j] and j not in equal)
+                own = alike(pairs[other], pairs[rest])
                 key = frozenset(equal)
                 if key not in known:
-                    m = minhash(shingle_set(other.encode("utf-8", "surrogatepass"), _DIGESTS), mult, add).astype(np.uint64)
+                    m = minhash(pairs[other], mult, add).astype(np.uint64)
                     known[key] = mix((m[::2] << np.uint64(32) | m[1::2]) + np.arange(BANDS, dtype=np.uint64)).astype(np.int64).tolist()
                 rows.append((host, content, ref, own, known[key], found))
-        types = (pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+        types = (pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int64()))
         cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+        flat = list(zip(*(x for r in rows for x in r[5]), strict=True)) or [()] * 5
+        fields = [pa.array(v, _FOUND.value_type.field(i).type) for i, v in enumerate(flat)]
+        ends = np.cumsum([0, *(len(r[5]) for r in rows)]).astype(np.int32)
+        cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(fields, names=[f.name for f in _FOUND.value_type])))
         yield pa.RecordBatch.from_arrays(cols, names=["host", "content", "ref", "own", "bands", "found"])
 
 
+WRAPPER = "tree string, content int, edge array<int>, template array<int>"
+
+
+def _wrappers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = []
+        for host, raw, votes in zip(b.column("host").to_pylist(), b.column("tree").to_pylist(), b.column("votes").to_pylist(), strict=True):
+            t = Tree.load(raw)
+            # The reference and its near copies have one vote together; it is for every node.
+            said = {v["node"]: (v["seen"] + 1, v["equal"] + 1, v["framed"] + 1, v["words"] + t.words[v["node"]], v["links"] + t.links[v["node"]]) for v in votes}
+            rows.append((host, raw, *frame(t, said)))
+        types = (pa.string(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["host", "tree", "content", "edge", "template"])
+
+
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     trees = _Loaded()
     for b in batches:
         texts = []
         for page, wrappers in zip(b.column("html"), b.column("wrappers"), strict=True):
-            texts.append(extract(page.as_py(), [(trees[w["tree"]], w["template"]) for w in wrappers.as_py() or ()]))
+            texts.append(extract(page.as_py(), [(trees[w["tree"]], w["content"], w["edge"], w["template"]) for w in wrappers.as_py() or ()]))
         cols = [b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
         yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "text", "n_chars"])
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """A row (host, wrappers) for each host of pages(host, html) that has template nodes: an array of
-    (tree, template), a reference page's tree as JSON and the preorder numbers of its template nodes.
+    """A row (host, wrappers) for each host of pages(host, html) whose pages tell what is content or
+    template: an array of (tree, content, edge, template), a reference page's tree as JSON and the numbers of
+    its content node (or -1), of the frame's nodes under it, and of the template nodes.
 
     A page has one vote on a reference, shared with the pages that differ from it in like words: one
     over the mean number of pages with the same band, which counts a page of similarity s as s * s."""
@@ -538,20 +727,22 @@ def induce(pages: DataFrame) -> DataFrame:
     picked = join_checked(some, picked, ["host", "content"], "inner", 64).mapInArrow(released(_trees), "host string, content long, tree string")
     picked = picked.groupBy("host", "content").agg(F.min("tree").alias("tree"))
     trees = materialize(picked.groupBy("host").agg(F.sort_array(F.collect_set("tree")).alias("trees")))
-    found = join_checked(some.select("host", "content", "html"), trees, "host", "inner", 16384).select("host", "content", "trees", "html")
-    found = materialize(found.mapInArrow(released(_alignments), "host string, content long, ref int, own boolean, bands array<long>, found array<int>"))
-    # The reference and its near copies have one vote together; it is for every node they agree on.
+    size = F.aggregate("trees", F.lit(64).cast("long"), lambda n, t: n + F.octet_length(t))
+    found = join_checked(some.select("host", "content", "html"), trees, "host", "inner", size).select("host", "content", "trees", "html")
+    found = materialize(found.mapInArrow(released(_alignments), f"host string, content long, ref int, own boolean, bands array<long>, found {FOUND}"))
     banded = found.where("not own").select("host", "content", "ref", F.explode("bands").alias("band"))
     often = banded.groupBy("host", "ref", "band").agg(F.count("*").alias("n")).where("n > 1")
     share = join_checked(banded, often, ["host", "ref", "band"], "left", 48).groupBy("host", "content", "ref").agg((1 / F.avg(F.coalesce("n", F.lit(1)))).alias("vote"))
     votes = join_checked(found.where("not own").select("host", "content", "ref", "found"), share, ["host", "content", "ref"], "inner", 48)
-    votes = votes.select("host", "ref", "vote", F.explode("found").alias("at")).groupBy("host", "ref", F.shiftright("at", 1).alias("node"))
-    votes = votes.agg((F.sum("vote") + 1).alias("seen"), (F.sum(F.when(F.col("at") % 2 == 1, F.col("vote")).otherwise(0)) + 1).alias("equal"))
-    least = F.when(F.col("node") % 2 == 1, SEEN_INSIDE).otherwise(SEEN)
-    fixed = votes.where((F.col("seen") > least + 1e-9) & (F.col("equal") >= EQUAL * F.col("seen") - 1e-9))
-    fixed = fixed.groupBy("host", "ref").agg(F.sort_array(F.collect_list(F.shiftright("node", 1))).alias("template"))
-    chosen = fixed.join(trees.select("host", F.posexplode("trees").alias("ref", "tree")), ["host", "ref"])
-    return chosen.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("tree", "template"))).alias("wrappers"))
+    votes = votes.select("host", "ref", "vote", F.inline("found")).groupBy("host", "ref", "node").agg(
+        F.sum("vote").alias("seen"),
+        *[F.sum(F.when(F.col(c), F.col("vote")).otherwise(0)).alias(c) for c in ("equal", "framed")],
+        *[F.sum(F.col("vote") * F.col(c)).alias(c) for c in ("words", "links")],
+    )
+    votes = votes.groupBy("host", "ref").agg(F.sort_array(F.collect_list(F.struct("node", "seen", "equal", "framed", "words", "links"))).alias("votes"))
+    told = votes.join(trees.select("host", F.posexplode("trees").alias("ref", "tree")), ["host", "ref"]).select("host", "tree", "votes")
+    told = told.mapInArrow(_wrappers, f"host string, {WRAPPER}").where("content >= 0 or size(template) > 0")
+    return told.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("tree", "content", "edge", "template"))).alias("wrappers"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -564,5 +755,6 @@ def main_text(pages: DataFrame) -> DataFrame:
     small_batches(pages.sparkSession)
     read = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     read = read.withColumn("host", host_of(F.col("url")))
-    wrapped = join_checked(read, materialize(induce(read.select("host", "html"))), "host", "left", 16384)
+    size = F.aggregate("wrappers", F.lit(64).cast("long"), lambda n, w: n + F.octet_length(w["tree"]) + 4 * F.size(w["template"]))
+    wrapped = join_checked(read, induce(read.select("host", "html")), "host", "left", size)
     return wrapped.select("page_id", "url", "html", "wrappers").mapInArrow(released(_extracted), "page_id long, url string, text string, n_chars long")

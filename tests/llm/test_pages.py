@@ -1,6 +1,8 @@
 """Operators on pages and embeddings against brute force, on whole small tables and on odd rows."""
 
+import collections
 import hashlib
+import random
 import re
 import struct
 
@@ -237,13 +239,63 @@ def test_pages_without_landmarks_and_odd_markup(spark):
     assert html_text.main_text(odd_pages(spark, odd).limit(0)).count() == 0
 
 
-def test_alignment_is_simple_tree_matching():
+def brute_matching(a, b, x=0, y=0):
+    """The heaviest simple tree matching by plain recursion: (equal texts, elements) of its pairs."""
+    if a.keys[x] != b.keys[y]:
+        return 0
+    xs, ys = a.kids[x], b.kids[y]
+    rows = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+    for i, u in enumerate(xs):
+        for j, v in enumerate(ys):
+            rows[i + 1][j + 1] = max(rows[i][j + 1], rows[i + 1][j], rows[i][j] + brute_matching(a, b, u, v))
+    return 1 + rows[-1][-1]
+
+
+def test_alignment_is_simple_tree_matching(monkeypatch):
     one = html_text.tree_of("<article><h1>A</h1><p>x</p><h2>B</h2><p>y</p></article>")
     two = html_text.tree_of("<article><h1>C</h1><h2>D</h2><p>z</p><ul><li>q</ul></article>")
-    seen: dict = {}
-    tree = one.dump()
-    assert html_text.align(tree, two, seen, {}) == 4
-    assert [seen[id(x)].key if id(x) in seen else None for x in html_text.preorder(tree)] == ["article", "h1", None, "h2", "p"]
+    seen = html_text.Aligner(one, two).matched()
+    assert [two.keys[seen[i]] if i in seen else None for i in range(len(one.keys))] == ["html", "article", "h1", None, "h2", "p"]
+    rng = random.Random(3)
+
+    def page(depth):
+        return "".join(f"<{t}>{page(depth - 1) if depth else rng.choice('abcdefghij') * 3}</{t}>" for t in rng.choices(["div", "section", "p"] if depth else ["p", "h2"], k=rng.randint(1, 4)))
+
+    for cells in (html_text.CELLS, 4):
+        monkeypatch.setattr(html_text, "CELLS", cells)
+        for _ in range(60):
+            a, b = html_text.tree_of(page(2)), html_text.tree_of(page(2))
+            aligner = html_text.Aligner(a, b)
+            assert aligner.size(a.shapes[0], b.shapes[0]) == brute_matching(a, b)
+            seen = aligner.matched()
+            assert all(a.keys[i] == b.keys[j] for i, j in seen.items()) and len(set(seen.values())) == len(seen)
+            assert sorted(seen) == [i for i, _ in sorted(seen.items(), key=lambda p: p[1])]
+
+
+def test_long_and_deep_lists_are_aligned_in_full():
+    one = html_text.tree_of("<body>" + "".join(f"<div>text {i}</div>" for i in range(900)) + "</body>")
+    two = html_text.tree_of("<body>" + "".join(f"<div>text {i}</div>" for i in range(1800) if i % 3) + "</body>")
+    seen = html_text.Aligner(one, two).matched()
+    assert sum(one.digests[i] == two.digests[j] for i, j in seen.items()) == 1 + 600
+    deep = [html_text.tree_of("<body>" + "<div>" * 5000 + f"<p>deep {i}") for i in range(2)]
+    assert len(html_text.Aligner(*deep).matched()) == 5002
+    assert html_text.Tree.load(deep[0].dump()).shapes == deep[0].shapes
+
+
+@pytest.fixture(scope="module")
+def bare_pages(spark):
+    """Pages of large hosts without any landmark: all sectioning elements are plain div, classes are gone."""
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url", "html").collect()]
+    hosts = collections.Counter(u.split("/")[2] for _, u, h in rows if u and h)
+    rows = [(i, u, h) for i, u, h in rows if u and h and hosts[u.split("/")[2]] >= 12]
+    return [(i, u, h, re.sub(r" (?:class|id)=\"[^\"]*\"", "", re.sub(r"(</?)(?:article|nav|footer|header|aside)\b", r"\1div", h))) for i, u, h in rows]
+
+
+def test_wrappers_find_the_article_without_landmarks(spark, bare_pages):
+    assert len(bare_pages) > 1000 and not any(re.search(r"article|nav|footer|class=", h) for *_, h in bare_pages)
+    out = {r.page_id: r.text for r in html_text.main_text(odd_pages(spark, [(i, u, bare) for i, u, _, bare in bare_pages])).collect()}
+    wrong = [i for i, _, h, _ in bare_pages if out[i] != plain_article(h)]
+    assert wrong == []
 
 
 def worded(i, n=14):
