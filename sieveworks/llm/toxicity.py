@@ -28,12 +28,10 @@ from .base import materialize, released
 
 #: Labelled rows that the classifier is fitted on, at most: those with the least hash of doc_id.
 SAMPLE_ROWS = 12_000
-#: Pieces of evidence kept, the least documents they stand in, and the least weight.
-EVIDENCE, SUPPORT, LEAST_WEIGHT = 50_000, 3, 2.0
+#: The least toxic documents that a piece of evidence stands in, and its least weight.
+SUPPORT, LEAST_WEIGHT = 3, 2.0
 TRI, BI = 1 << 18, 1 << 14
 _BOUND = 0
-#: Viterbi states kept at a position.
-BEAM = 24
 
 # The letters that digits and symbols stand for.
 STANDS_FOR = {
@@ -45,15 +43,16 @@ STANDS_FOR = {
 DISGUISED, DROPPED, SHRUNK, CUT = 0.7, {"@$€£": 12.0, "!|+(<¡*": 1.2, "": 0.3}, 0.5, 3.0
 
 _OUTER = re.compile(r"^[^\w@$€£]+|[^\w@$€£]+$")
+_EDGE = re.compile(r"(?<!\S)[!|+(<¡*]{1,2} | [!|+(<¡*]{1,2}(?!\S)")
 _ODD = re.compile(r"[^\W\d_]")
 _RUN = re.compile(r"(.)\1\1")
-_SPACED = re.compile(r"(?<![^\s.,;:!?])(?:[\w@$!|+](?:[ ._*\-]{1,2})){3,}[\w@$!|+](?![^\s.,;:!?])")
+_SPACED = re.compile(r"(?<![^\s.,;:!?])(?:[\w@$!|+](?:[ ._*\-]{1,2})){2,}[\w@$!|+](?![^\s.,;:!?])")
 
 
 def _codes(text: str) -> np.ndarray:
     """Lower-cased code points, with everything that is no letter as a boundary."""
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where(_letters()[np.minimum(c, 0xFFFF)], c, _BOUND)
+    return np.where(_letters()[c], c, _BOUND)
 
 
 _LETTERS: list[np.ndarray] = []
@@ -61,7 +60,7 @@ _LETTERS: list[np.ndarray] = []
 
 def _letters() -> np.ndarray:
     if not _LETTERS:
-        _LETTERS.append(np.fromiter((chr(i).isalpha() for i in range(0x10000)), bool, 0x10000))
+        _LETTERS.append(np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000))
     return _LETTERS[0]
 
 
@@ -153,7 +152,9 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
 
 
 def restore(token: str, model: CharModel) -> str:
-    """The most likely plain text behind a lower-cased token; words are parted by one space."""
+    """The most likely plain text behind a lower-cased token; words are parted by one space. The states of
+    the Viterbi decoding are the last two characters, so that there are no more of them at a place than
+    pairs of letters that the token's characters can be; none is pruned."""
     states: dict[tuple[int, int], tuple[float, str]] = {(_BOUND, _BOUND): (0.0, "")}
     for options in [*lattice(token), [(" ", 0.0)]]:
         nxt: dict[tuple[int, int], tuple[float, str]] = {}
@@ -167,7 +168,7 @@ def restore(token: str, model: CharModel) -> str:
                     x, y = (_BOUND, _BOUND) if not z else (y, z)
                 if (x, y) not in nxt or s > nxt[x, y][0]:
                     nxt[x, y] = (s, text + put)
-        states = nxt if len(nxt) <= BEAM else dict(sorted(nxt.items(), key=lambda kv: -kv[1][0])[:BEAM])
+        states = nxt
     return " ".join(max(states.values())[1].split())
 
 
@@ -177,9 +178,13 @@ def disguised(token: str) -> bool:
 
 
 def plain(token: str, model: CharModel) -> tuple[str, ...]:
-    """The words of a lower-cased token, restored if it looks disguised."""
+    """The words of a lower-cased token, restored if it looks disguised. Symbols around it that may stand
+    for letters are punctuation in one reading and part of the lattice in another."""
     core = token if token.isalpha() else _OUTER.sub("", token)
-    return tuple(restore(core, model).split()) if disguised(core) else (core,) if core else ()
+    out = tuple(restore(core, model).split()) if disguised(core) else (core,) if core else ()
+    if core != token and core and _EDGE.search(token.replace(core, " ", 1)):
+        out = tuple(dict.fromkeys((*out, *restore(token, model).split())))
+    return out
 
 
 class Restorer(dict):
@@ -307,15 +312,19 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column) -> ToxicityModel:
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where("doc_id is not null and toxic is not null").where(usable).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # About twice as many as needed, by their hash, so that only these are sorted and sent.
-    share = max(1, labels.count() // (2 * SAMPLE_ROWS))
+    share = max(1, known.count() // (2 * SAMPLE_ROWS))
     sample = known.where(F.pmod(F.xxhash64(F.lit(4), F.col("doc_id")), F.lit(share)) == 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # Bounded: SAMPLE_ROWS rows of two numbers.
     rows = materialize(texts.join(F.broadcast(sample), "doc_id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic")).repartition(24))
     n = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     counted = rows.mapInArrow(released(_feature_counts(chars)), "f string, t long, c long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    kept = counted.where((F.col("t") >= SUPPORT) & (F.col("t") > F.col("c"))).orderBy(F.desc(F.col("t") - F.col("c")), "f").limit(EVIDENCE)
-    model = ToxicityModel(chars, {r.f: (r.t, r.c) for r in kept.collect()}, n.get(1, 0), n.get(0, 0))
+    # What the sample's whole texts hold bounds the evidence; what can have no weight stays where it is.
+    big_t, big_c = n.get(1, 0), n.get(0, 0)
+    t, c = F.col("t"), F.col("c")
+    weight = F.log((t + 0.5) / (big_t + 1)) - F.log((c + 0.5) / (big_c + 1)) - 1 / (t + 0.5)
+    kept = counted.where((t >= SUPPORT) & (t > c) & (weight >= LEAST_WEIGHT - 1e-6))
+    model = ToxicityModel(chars, {r.f: (r.t, r.c) for r in kept.collect()}, big_t, big_c)
     seen = rows.mapInArrow(released(_loo_inputs(model)), "x1 double, x2 double, toxic int").collect()
     if n.get(1) and n.get(0):
         model.fit(np.array([(r.x1, r.x2) for r in seen]), np.array([r.toxic for r in seen], float))
