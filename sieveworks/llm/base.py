@@ -21,10 +21,12 @@ BROADCAST_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where it is unset
-    (as in tests) a new folder of this machine, which then becomes the checkpoint folder."""
+    """The folder that all executors share: spark.checkpoint.dir, or where it is unset and Spark runs on
+    this machine alone (as in tests) a new folder, which then becomes the checkpoint folder."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir")
+    if not configured and not sc.getCheckpointDir() and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="sieveworks-"))
     return configured or sc.getCheckpointDir()

@@ -10,8 +10,9 @@ the block's own vocabulary. For unigrams, then bigrams, a block sends its distin
 its counts, as sorted arrays dealt by hash range; each range adds up the counts and answers every
 block in the order of its request. So a frequent word is one entry of a block, never a row for each
 occurrence, no task holds more than a hash range or a block, and nothing of the corpus passes
-through the driver but N, V and a histogram of fixed size for the weights. The stored blocks are
-bucketed by block, so that answers join them without moving them again.
+through the driver but N, V and a histogram of fixed size for the weights. The number of ranges grows
+with the corpus. The stored blocks are bucketed by block, so that answers join them without moving
+them again; what is stored lies in the shared folder and goes when the scores are there, or fail.
 """
 
 from __future__ import annotations
@@ -25,11 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import delete_shared, fold, in_runs, materialize, released, text_bytes, whole_runs, write_shared
+from .base import delete_shared, fold, in_runs, materialize, released, shared_path, text_bytes, whole_runs, write_shared
 from .shingles import WordDigests, mix, words_of
 
 #: Text bytes of one block; a task holds about ten times as much.
 BLOCK_BYTES = 8 << 20
+#: Text bytes whose n-grams fall into one hash range, which a task holds one at a time.
+RANGE_BYTES = 16 << 20
 FOLDS, HELD_OUT, WEIGHTS_FOLD = 5, 1, 0
 _END, _START = np.uint64(0x5E7D), np.uint64(0x57A7)
 _BLOCK = "block long, vocab binary, doc_id array<long>, fold array<int>, size array<int>, tokens binary"
@@ -153,9 +156,11 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def _asked(blocks: DataFrame, which: Callable, parts: int) -> tuple[DataFrame, str]:
+def _asked(blocks: DataFrame, which: Callable, parts: int, stored: list[str]) -> DataFrame:
     asked = blocks.mapInArrow(released(_ask(which, parts)), _ASK)
-    return write_shared(in_runs(asked, ["part"], _answer, _REPLY, parts), "counts")
+    out, path = write_shared(in_runs(asked, ["part"], _answer, _REPLY, parts), "counts")
+    stored.append(path)
+    return out
 
 
 def _counted(block: Block, replies: pa.Table, order: int, which: Callable) -> tuple[np.ndarray, np.ndarray]:
@@ -248,16 +253,29 @@ def score(docs: DataFrame) -> DataFrame:
     probability 1 under the base model and 1 / (V + 1) = 1 under the other. Further columns are ignored;
     an empty table gives no rows."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"blocks_{uuid.uuid4().hex}"
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fold("doc_id", FOLDS).cast("int").alias("fold"), text_bytes().alias("text"))
-    blocks = read.mapInArrow(released(_blocks), _BLOCK)
-    blocks.write.option("compression", "zstd").bucketBy(parts, "block").saveAsTable(name)
-    blocks = spark.table(name)
-
-    one, one_path = _asked(blocks, Block.unigrams, parts)
+    # A hash range takes the n-grams of so much text, however large the corpus.
+    size = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    name = f"blocks_{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
+    stored = [path]
+    try:
+        blocks = read.mapInArrow(released(_blocks), _BLOCK)
+        # Bucketed, in the shared folder; only its name stands in the catalog.
+        blocks.write.option("compression", "zstd").option("path", path).bucketBy(parts, "block").saveAsTable(name)
+        return _scored_blocks(spark.table(name), parts, stored)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for p in stored:
+            delete_shared(spark, p)
+
+
+def _scored_blocks(blocks: DataFrame, parts: int, stored: list[str]) -> DataFrame:
+    """The scores of the documents in stored blocks; paths of what it stores are added to stored."""
+    one = _asked(blocks, Block.unigrams, parts, stored)
     n_main, n, v = (int(x or 0) for x in one.agg(F.sum("n_main"), F.sum("n"), F.sum("v")).first())
-    two, two_path = _asked(blocks, Block.bigrams, parts)
+    two = _asked(blocks, Block.bigrams, parts, stored)
     replies = one.select("block", "part", "main", "train", F.lit(1).alias("order"))
     replies = replies.union(two.select("block", "part", "main", "train", F.lit(2).alias("order")))
 
@@ -268,8 +286,4 @@ def score(docs: DataFrame) -> DataFrame:
     cells = cells.groupBy("bucket", "r2", "r1").agg(F.sum("times").alias("times")).collect()
     weights = learn_weights(np.array([tuple(r) for r in cells], np.int64).reshape(-1, 4))
     out = by_block(_scored(n, v, weights or {-1: np.full(3, 1 / 3)}), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    out = materialize(out.withColumn("train_tokens", F.lit(n).cast("long")))
-    delete_shared(spark, one_path)
-    delete_shared(spark, two_path)
-    spark.sql(f"DROP TABLE {name}")
-    return out
+    return materialize(out.withColumn("train_tokens", F.lit(n).cast("long")))

@@ -296,6 +296,37 @@ def test_language_model_equals_brute_force(spark, docs, monkeypatch):
     assert gain > 0
 
 
+def test_weights_equal_those_of_plain_em():
+    """The weights from the histogram against EM over single tokens with unrounded probabilities."""
+    rng = np.random.default_rng(4)
+    v = 5000
+    rows = [(int(b), float(rng.beta(1, 9) * (rng.random() < 0.1 * (b + 2))), float(rng.beta(1, 300))) for b in rng.integers(-1, 5, 4000)]
+    step = lambda p: round(language_model.STEPS * math.log2(p * (v + 1))) if p else -9999
+    cells = Counter((b, step(p2), step(p1)) for b, p2, p1 in rows)
+    got = language_model.learn_weights(np.array([(*k, m) for k, m in cells.items()], np.int64))
+    for bucket in range(-1, 5):
+        own, w = [r for r in rows if r[0] == bucket], [1 / 3] * 3
+        for _ in range(60):
+            share = [1.0, 1.0, 1.0]
+            for _, p2, p1 in own:
+                terms = [w[0] * p2, w[1] * p1, w[2] / (v + 1)]
+                for i, t in enumerate(terms):
+                    share[i] += t / sum(terms)
+            w = [x / sum(share) for x in share]
+        assert got[bucket] == pytest.approx(w, abs=0.02)
+
+
+def test_language_model_leaves_nothing_behind(spark, odd, monkeypatch):
+    before = {t.name for t in spark.catalog.listTables()}
+    monkeypatch.setattr(language_model, "RANGE_BYTES", 1000)
+    clash = odd.withColumns({"block": F.lit(1), "fold": F.lit("x"), "part": F.lit(None)})
+    assert language_model.score(clash).count() == len(ODD_ROWS)
+    monkeypatch.setattr(language_model, "learn_weights", None)
+    with pytest.raises(TypeError):
+        language_model.score(odd)
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_language_model_odd_rows(spark, odd):
     rows = language_model.score(odd).collect()
     assert len(rows) == len(ODD_ROWS)
@@ -337,11 +368,81 @@ def test_deobfuscation(spark, small_model):
     assert restore("1d10t") == "idiot" and restore("$tup1d") == "stupid" and restore("stuuuupid") == "stupid" and restore("s.t.u.p.i.d") == "stupid"
     words = toxicity.Restorer(small_model.chars).words("What an i d i o t you are, St*u*pid!!")
     assert "stupid" in words and "idiot" in words
+    assert "idiot" in toxicity.plain("!diot", small_model.chars) and "idiot" in toxicity.plain("id!o+", small_model.chars)
+    assert toxicity.plain("(kind!)", small_model.chars)[0] == "kind"
     texts = ["an 1d10t here", "s t u p i d man", "stuuupid", "we are here to help", "", None, "kind people 2024 12:30", "St*u*pid"]
     rows = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), small_model).collect()
     assert [r.score >= 0.7 for r in sorted(rows, key=lambda r: r.doc_id)] == [True, True, True, False, False, False, False, True]
 
 
+def test_restoring_is_exact_viterbi(small_model):
+    """Against all paths through the lattice."""
+    import itertools
+
+    model, rng = small_model.chars, np.random.default_rng(2)
+
+    def weigh(path):
+        x, y, s = 0, 0, 0.0
+        for put, cost in path:
+            s -= cost
+            for ch in put:
+                z = 0 if ch == " " else ord(ch)
+                s += model.log(x, y, z) if z or y else 0
+                x, y = (0, 0) if not z else (y, z)
+        return s
+
+    tokens = ["".join(rng.choice(list("aidstupo10!$*|3@-."), rng.integers(2, 7))) for _ in range(100)]
+    for token in tokens:
+        paths = list(itertools.product(*toxicity.lattice(token), [(" ", 0.0)]))
+        best = sorted(((weigh(p), " ".join("".join(c for c, _ in p).split())) for p in paths), reverse=True)
+        assert toxicity.restore(token, model) in {t for w, t in best if w >= best[0][0] - 1e-9}
+
+
+def test_toxicity_equals_brute_force(spark):
+    """The query against tables, evidence and scores from plain loops over the same tables."""
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    label = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    tri, bi = Counter(), Counter()
+    for t in text.values():
+        c = [ord(x) if x.isalpha() else 0 for x in f"  {(t or '').lower()}  "]
+        for x, y, z in zip(c, c[1:], c[2:], strict=False):
+            if y or z:
+                x = x if y else 0
+                tri[toxicity._tri(x, y, z)] += 1
+                bi[toxicity._bi(x, y)] += 1
+    model = toxicity.train(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"), fold("doc_id", 3) != 1)
+    assert {i: int(n) for i, n in enumerate(model.chars.tri) if n} == tri and {i: int(n) for i, n in enumerate(model.chars.bi) if n} == bi
+    restorer = toxicity.Restorer(model.chars)
+    held = {d: restorer.words(t or "") for d, t in text.items()}
+    rows = [d for d in label if d in text and remainder(d, 3) != 1]
+    toxic = sum(label[d] for d in rows)
+    t, c = Counter(), Counter()
+    for d in rows:
+        (t if label[d] else c).update({f for w in held[d] for f in toxicity.evidence(w)})
+
+    def weight(n_t, n_c, big_t, big_c):
+        return math.log((n_t + 0.5) / (big_t + 1)) - math.log((n_c + 0.5) / (big_c + 1)) - 1 / (n_t + 0.5)
+
+    weights = {f: w for f in t if t[f] >= toxicity.SUPPORT and t[f] > c[f] and (w := weight(t[f], c[f], toxic, len(rows) - toxic)) >= toxicity.LEAST_WEIGHT}
+    assert model.weights == pytest.approx(weights)
+    # The fitted curve is where the gradient of its ridge-bound likelihood is nought, or at its bounds.
+    got = {r.doc_id: r for r in query(spark, 4).collect()}
+    for d, words_of in held.items():
+        best = sorted({max((weights[f], f) for f in toxicity.evidence(w) if f in weights) for w in words_of if any(f in weights for f in toxicity.evidence(w))}, reverse=True)
+        best = [b for b in best if b[0] > 0]
+        z = model.offset + model.slopes[0] * (best[0][0] if best else 0) + model.slopes[1] * sum(w for w, _ in best[1:3])
+        assert got[d].score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9) and got[d].hits == [f for _, f in best[:3]]
+
+
+def test_repeated_labels_and_far_letters(spark):
+    docs = spark.createDataFrame([(i, f"{TOXIC[i % 3]} \U00010450\U00010451" if i < 30 else CLEAN[i % 4]) for i in range(120)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 30)) for i in range(120)] * 3, "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, fold("doc_id", 3) != 1)
+    once = toxicity.train(docs, labels.distinct(), fold("doc_id", 3) != 1)
+    assert (model.toxic, model.clean, model.counts) == (once.toxic, once.clean, once.counts)
+    assert model.chars.tri[toxicity._tri(0, 0x10450, 0x10451)] > 0 and "\U00010450\U00010451" in model.counts
+
+
 def test_toxicity_odd_rows(spark, odd, small_model):
     rows = toxicity.score(odd, small_model).collect()
     assert len(rows) == len(ODD_ROWS) and all(0 <= r.score < 0.7 for r in rows)
