@@ -18,7 +18,7 @@ def test_pipeline(spark, reference_bpe):  # noqa: F811
     items = [shingles(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     toxic = {r.doc_id for r in score(docs, toxicity_model(docs, SF)).where(f"score >= {TOXIC}").collect()}
     left = {d: t for d, t in text.items() if d not in toxic}
-    comp = brute_components({d: shingles(t) for d, t in left.items()}, 85)
+    comp = brute_components({d: shingles(t) for d, t in left.items()}, 80)
     left = {d: t for d, t in left.items() if comp[d] == d}
     left = {d: t for d, t in left.items() if not any(s and 100 * len(s & shingles(t)) >= 80 * len(s) for s in items)}
     rows = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
