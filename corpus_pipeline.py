@@ -12,6 +12,9 @@ from sieveworks.llm.decontaminate import drop_leaks
 from sieveworks.llm.near_dedup import keep_one
 from sieveworks.llm.queries import TOXIC, toxicity_model
 
+#: Documents are near copies from this similarity of their sets of five-word shingles on, in percent.
+SIMILARITY = 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without the documents that score as toxic. Rows that repeat a doc_id go together, rows
@@ -23,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with one document of each group of near copies, the one with the smallest doc_id."""
     small_batches(spark)
-    return keep_one(docs)
+    return keep_one(docs, percent=SIMILARITY)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
