@@ -6,6 +6,8 @@ semantics allow it, so that an input with very many findings is dealt over sever
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,49 @@ from sieveworks.functions.text import or_default
 from sieveworks.plans.ruleset import RuleSet
 
 
+NEEDS = "rule_at int, required_id string, within_lines int, within_columns int, n_required int"
+NEAR = ["finding_id", "required_id", "n_required", "start_line", "s_line", "s_column", "s_secret"]
+
+
+def _near_columns(places: DataFrame, support: DataFrame, wanted: list[tuple]) -> DataFrame:
+    """Places with evidence on the same line: the line is part of the key."""
+    needs = F.broadcast(places.sparkSession.createDataFrame(wanted, NEEDS))
+    on_line = support.withColumn("start_line", F.col("s_line"))
+    near = places.join(needs, "rule_at").join(on_line, ["input_id", "required_id", "start_line"])
+    return near.where((F.abs(F.col("s_column") - F.col("start_column")) <= F.col("within_columns")) & (F.col("within_lines").isNull() | (F.col("within_lines") >= 0))).select(*NEAR)
+
+
+def _near_lines(places: DataFrame, support: DataFrame, wanted: list[tuple]) -> DataFrame:
+    """Places with evidence a few lines away. Lines are cut into bands as wide as the distance, and a place
+    looks into its own band and those beside it. Of the evidence on one line the first is enough."""
+    needs = F.broadcast(places.sparkSession.createDataFrame(wanted, NEEDS))
+    band = lambda line: F.floor(F.col(line) / (F.col("within_lines") + 1))
+    first = support.groupBy("input_id", "required_id", "s_line").agg(F.min(F.struct("s_column", "s_secret")).alias("s")).select("input_id", "required_id", "s_line", "s.*")
+    first = first.join(needs.drop("n_required", "within_columns"), "required_id").withColumn("_band", band("s_line")).drop("within_lines")
+    at = places.join(needs, "rule_at").withColumn("_band", F.explode(F.array(*[band("start_line") + i for i in (-1, 0, 1)])))
+    near = at.join(first, ["input_id", "rule_at", "required_id", "_band"])
+    return near.where(F.abs(F.col("s_line") - F.col("start_line")) <= F.col("within_lines")).select(*NEAR)
+
+
+def _anywhere(places: DataFrame, support: DataFrame, wanted: list[tuple]) -> DataFrame:
+    """Places with the evidence before and after them in the same input, by one walk over its lines in
+    order, so that an input with very many findings costs no more than sorting them."""
+    needs = F.broadcast(places.sparkSession.createDataFrame(wanted, NEEDS))
+    first = support.groupBy("input_id", "required_id", "s_line").agg(F.min(F.struct("s_column", "s_secret")).alias("s"))
+    found = F.struct("s_line", F.col("s.s_column").alias("s_column"), F.col("s.s_secret").alias("s_secret"))
+    first = first.select("input_id", "required_id", F.col("s_line").alias("line"), found.alias("s")).join(F.broadcast(needs.select("required_id").distinct()), "required_id")
+    at = places.join(needs, "rule_at").select("finding_id", "n_required", "input_id", "required_id", F.col("start_line").alias("line"))
+    order = Window.partitionBy("input_id", "required_id").orderBy("line")
+    seen = at.unionByName(first, allowMissingColumns=True).withColumns(
+        {
+            "before": F.last("s", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
+            "after": F.first("s", ignorenulls=True).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing)),
+        }
+    )
+    near = seen.where("finding_id is not null").select("finding_id", "required_id", "n_required", F.col("line").alias("start_line"), F.explode(F.array_compact(F.array("before", "after"))).alias("s"))
+    return near.select("finding_id", "required_id", "n_required", "start_line", "s.*").select(*NEAR)
+
+
 def require_rules(findings: DataFrame, rules: RuleSet) -> DataFrame:
     """Keeps a finding of a rule with required rules only if each of them has a finding in the same input:
     anywhere, within so many lines, or within so many columns of the same start line. Evidence is
@@ -22,17 +67,17 @@ def require_rules(findings: DataFrame, rules: RuleSet) -> DataFrame:
     empty = F.expr("cast(array() as array<struct<rule_id:string,start_line:int,secret:string>>)")
     if not wanted:
         return findings.withColumn("required_findings", empty)
-    spark = findings.sparkSession
-    needs = spark.createDataFrame(wanted, "rule_at int, required_id string, within_lines int, within_columns int, n_required int")
     with_needs = [i for i, r in enumerate(rules.rules) if r.required]
     primary = findings.where(F.col("rule_at").isin(with_needs))
     support = findings.select("input_id", F.col("rule_id").alias("required_id"), F.col("start_line").alias("s_line"), F.col("start_column").alias("s_column"), F.col("secret").alias("s_secret"))
-    near = (
-        primary.select("finding_id", "input_id", "rule_at", "start_line", "start_column")
-        .join(F.broadcast(needs), "rule_at")
-        .join(support, ["input_id", "required_id"])
-        .where(F.col("within_lines").isNull() | (F.abs(F.col("s_line") - F.col("start_line")) <= F.col("within_lines")))
-        .where(F.col("within_columns").isNull() | ((F.col("s_line") == F.col("start_line")) & (F.abs(F.col("s_column") - F.col("start_column")) <= F.col("within_columns"))))
+    places = primary.select("finding_id", "input_id", "rule_at", "start_line", "start_column")
+    near = reduce(
+        DataFrame.unionByName,
+        [
+            how(places, support, [w for w in wanted if kind(w)])
+            for how, kind in ((_near_columns, lambda w: w[3] is not None), (_near_lines, lambda w: w[3] is None and w[2] is not None), (_anywhere, lambda w: w[2] is None and w[3] is None))
+            if any(map(kind, wanted))
+        ],
     )
     # One piece of evidence for each required rule: the nearest, then the first.
     distance = F.abs(F.col("s_line") - F.col("start_line"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import re
 from collections.abc import Iterator
 from urllib.parse import unquote_to_bytes
@@ -60,12 +61,16 @@ def decode_one(kind: str, text: str) -> str | None:
 def decode_text(text: str, concat: bool = False) -> tuple[str, list[tuple[int, int, int, int]], list[str]]:
     """The text with its encoded stretches decoded, once; a segment (start, end, from, to) for each, the
     first two in the new text; and the encodings found. Where stretches overlap, the first kind wins."""
+    # Disjoint and sorted, so that only the neighbours of a stretch can overlap it.
     taken: list[tuple[int, int, str]] = []
     kinds: list[str] = []
 
     def offer(kind: str, start: int, end: int, new: str | None) -> None:
-        if new is not None and new != text[start:end] and not any(s < end and start < e for s, e, _ in taken):
-            taken.append((start, end, new))
+        if new is None or new == text[start:end]:
+            return
+        at = bisect.bisect_left(taken, (start,))
+        if (at == len(taken) or taken[at][0] >= end) and (not at or taken[at - 1][1] <= start):
+            taken.insert(at, (start, end, new))
             if kind not in kinds:
                 kinds.append(kind)
 
@@ -77,7 +82,7 @@ def decode_text(text: str, concat: bool = False) -> tuple[str, list[tuple[int, i
         for m in rx.finditer(text):
             offer(kind, m.start(), m.end(), decode_one(kind, m[0]))
     out, at, segments, n = [], 0, [], 0
-    for start, end, new in sorted(taken):
+    for start, end, new in taken:
         out += [text[at:start], new]
         n += start - at
         segments.append((n, n + len(new), start, end))

@@ -6,6 +6,7 @@ inputs by keyword, and Arrow batches carry only those to Python.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -35,6 +36,14 @@ def password_assignments(text: str) -> Iterator[Span]:
             yield m.start(g), m.end(g), value
 
 
+def _unescaped(literal: str) -> str:
+    """The value of a JSON string literal; escapes that JSON does not know stand for what follows."""
+    try:
+        return json.loads(f'"{literal}"', strict=False)
+    except ValueError:
+        return re.sub(r"\\(.)", r"\1", literal)
+
+
 def json_strings(text: str) -> Iterator[tuple[tuple[str, ...], int, int, str]]:
     """(path, start, end, value) of each string property of the JSON texts that begin in this text, up to
     a nesting of 64. Text that is no JSON ends the walk."""
@@ -55,7 +64,7 @@ def json_strings(text: str) -> Iterator[tuple[tuple[str, ...], int, int, str]]:
                 key = string
                 continue
             path = tuple(s[1] for s in stack if s[1] is not None) + ((key,) if stack and stack[-1][0] == "{" and key is not None else ())
-            yield path, m.start(1), m.end(1), re.sub(r"\\(.)", r"\1", string)
+            yield path, m.start(1), m.end(1), _unescaped(string)
             expect_value = False
         elif mark in "{[":
             stack.append([mark, key if stack and stack[-1][0] == "{" else None])

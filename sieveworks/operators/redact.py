@@ -16,11 +16,16 @@ def mask(secret: Column, percent: int, native: bool = False) -> Column:
     if percent >= 100:
         return F.lit(REDACTED)
     if native:
-        n = F.char_length(secret)
+        units = F.hex(F.encode(secret, "UTF-16BE"))
+        n = F.char_length(units) / 4
         keep = F.bround(n * F.lit((100 - percent) / 100.0)).cast("int")
         if percent > 0:
             keep = F.when(keep >= n, n - 1).otherwise(keep)
-        return F.concat(F.substring(secret, F.lit(1), F.greatest(keep, F.lit(0))), F.lit("..."))
+        keep = F.greatest(keep, F.lit(0)).cast("int")
+        # The first half of a pair is hidden with the second.
+        half = F.regexp_like(F.substring(units, keep * 4 - 3, F.lit(4)), F.lit("^D[89AB]"))
+        keep = F.when((keep > 0) & half, keep - 1).otherwise(keep)
+        return F.concat(F.decode(F.unhex(F.substring(units, F.lit(1), keep * 4)), "UTF-16BE"), F.lit("..."))
     n = F.octet_length(secret)
     keep = F.bround(n * F.lit((100 - percent) / 100.0)).cast("int")
     return F.concat(F.decode(F.substring(F.encode(secret, "UTF-8"), F.lit(1), F.greatest(keep, F.lit(0))), "UTF-8"), F.lit("..."))

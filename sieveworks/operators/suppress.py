@@ -20,8 +20,10 @@ def drop_ignored(findings: DataFrame, ignores: DataFrame) -> DataFrame:
     path, rest = normal_path(F.coalesce("path", F.lit(""))), [F.lit(":"), F.col("rule_id"), F.lit(":"), F.col("start_line").cast("string")]
     local = F.concat(path, *rest)
     commit = F.coalesce("commit", F.lit(""))
-    full = F.when(commit != "", F.concat(commit, F.lit(":"), local))
-    short = F.when(commit != "", F.concat(F.substring(commit, 1, 7), F.lit(":"), local))
+    # Without a commit a key that no entry has, and not null: nulls would all meet in one task.
+    none = F.concat(F.lit("\0"), local)
+    full = F.when(commit != "", F.concat(commit, F.lit(":"), local)).otherwise(none)
+    short = F.when(commit != "", F.concat(F.substring(commit, 1, 7), F.lit(":"), local)).otherwise(none)
     keyed = findings.withColumns({"_k0": local, "_k1": full, "_k2": short})
     for k in ("_k0", "_k1", "_k2"):
         keyed = keyed.join(ignores.select(F.col("entry").alias(k)), k, "left_anti")

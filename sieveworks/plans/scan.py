@@ -65,7 +65,8 @@ def normal_content(content: DataFrame) -> DataFrame:
 
 
 def path_findings(content: DataFrame, rules: RuleSet) -> DataFrame:
-    """A finding for each input whose path matches a rule that has a path pattern and nothing else."""
+    """A finding for each input whose path matches a rule that has a path pattern and nothing else, however
+    large the input is, and without text too."""
     only = [r for r in rules.rules if r.path and not r.regex and not r.detector]
     hit = F.array_compact(F.array(*[F.when(F.regexp_like("path", F.lit(to_java(r.path))), F.lit(r.id)) for r in only])) if only else F.array().cast("array<string>")
     return content.drop("text").select("*", F.explode(hit).alias("rule_id"))
@@ -75,7 +76,7 @@ def scan(content: DataFrame, rules: RuleSet, options: ScanOptions = ScanOptions(
     """The findings of a rule set in content, with the columns of FINDING. Rows come in no particular
     order; order by path and position where it matters."""
     on_workers(content.sparkSession)
-    inputs = drop_allowed_paths(normal_content(content), rules)
+    paths = inputs = drop_allowed_paths(normal_content(content), rules)
     if options.max_target_bytes is not None:
         inputs = inputs.where(F.octet_length("text") <= options.max_target_bytes)
     passes = decoded_passes(inputs, options.max_decode_depth, options.native)
@@ -106,7 +107,7 @@ def scan(content: DataFrame, rules: RuleSet, options: ScanOptions = ScanOptions(
         found = prefer_specific(found)
     out = finished(found, options)
     if any(r.path and not r.regex and not r.detector for r in rules.rules):
-        out = out.unionByName(finished(_as_findings(path_findings(inputs, rules), rules), options))
+        out = out.unionByName(finished(_as_findings(path_findings(paths, rules), rules), options))
     return out
 
 

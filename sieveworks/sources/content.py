@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import fnmatch
+import os
 import re
+from collections.abc import Iterator
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,24 +60,89 @@ def is_binary(content: Column, native: bool) -> Column:
     return F.coalesce(media_type(content) == "application", F.lit(False))
 
 
+#: Folders among which the listing of a tree is dealt; above them the driver lists.
+LISTED_FOLDERS = 64
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """A row (path, location, length) for each file under a root, the path relative to it. Hidden files and
+    folders, which Spark's own readers pass over, are listed too; links to folders are not followed. The
+    driver only lists folders, down to where there are LISTED_FOLDERS of them; tasks list what is below."""
+    fs, top = FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (None, os.path.abspath(root))
+    if fs is None:
+        fs = LocalFileSystem()
+    root = root if "://" in root or root.startswith("file:") else f"file://{quote(top)}"
+    local = isinstance(fs, LocalFileSystem)
+
+    def children(folder: str) -> tuple[list, list]:
+        infos = fs.get_file_info(FileSelector(folder, recursive=False, allow_not_found=True))
+        files = [i for i in infos if i.type == FileType.File]
+        return files, [i.path for i in infos if i.type == FileType.Directory and not (local and os.path.islink(i.path))]
+
+    one = fs.get_file_info(top)
+    files, level, deep = ([one], [], []) if one.type == FileType.File else ([], [top], [])
+    while level and len(level) + len(deep) < LISTED_FOLDERS:
+        found, below = children(level.pop(0))
+        files += found
+        level += below
+    deep += level
+    base = top.rpartition("/")[0] if one.type == FileType.File else top.rstrip("/")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inside, _ = FileSystem.from_uri(root)
+        for b in batches:
+            for folder in b.column(0).to_pylist():
+                todo = [folder]
+                while todo:
+                    infos = inside.get_file_info(FileSelector(todo.pop(), recursive=False, allow_not_found=True))
+                    todo += [i.path for i in infos if i.type == FileType.Directory and not (local and os.path.islink(i.path))]
+                    rows = [(i.path, i.size) for i in infos if i.type == FileType.File]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in ((0, pa.string()), (1, pa.int64()))], names=["location", "length"])
+
+    known = spark.createDataFrame([(i.path, i.size) for i in files], "location string, length long")
+    if deep:
+        folders = spark.createDataFrame([(d,) for d in deep], "folder string").repartition(len(deep))
+        known = known.union(folders.mapInArrow(walk, "location string, length long"))
+    relative = F.substring("location", len(base) + 2, 1 << 20)
+    return known.select(relative.alias("path"), "location", "length")
+
+
+def _contents(root: str):
+    """Adds the bytes of each file, a file at a time; those that are gone by now are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = FileSystem.from_uri(root)
+        for b in batches:
+            for row in b.to_pylist():
+                try:
+                    with fs.open_input_stream(row["location"]) as f:
+                        data = f.read()
+                except FileNotFoundError:
+                    continue
+                yield pa.RecordBatch.from_arrays([pa.array([row["path"]]), pa.array([data], pa.binary()), pa.array([len(data)], pa.int64())], names=["path", "content", "length"])
+
+    return run
+
+
 def file_content(spark: SparkSession, root: str, native: bool = False, max_bytes: int | None = None, ignore: list[str] | None = None) -> DataFrame:
-    """The text files under a root of any file system that Spark reads, hidden ones included. Sizes and
-    ignored paths are settled before contents are read. Rows: path (relative), text, length, sha256 of the
-    original bytes."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = re.sub(r"^file:/+", "/", root).rstrip("/") + "/"
-    path = F.regexp_replace("path", r"^[a-z0-9]+:/{1,3}(?=[^/])", "/")
-    relative = F.when(F.startswith(path, F.lit(base)), F.substring(path, len(base) + 1, 1 << 20)).otherwise(path)
-    if max_bytes is not None:
-        files = files.where(F.col("length") <= max_bytes)
-    files = files.withColumn("path", F.url_decode(F.replace(relative, F.lit("+"), F.lit("%2B"))))
+    """The files under a root, hidden ones included. Sizes and ignored paths are settled before contents
+    are read. Rows: path (relative), text, length, sha256 of the original bytes. Binary files and those of
+    more than max_bytes have no text, so that only rules of paths apply to them; the latter are not read."""
+    files = listing(spark, root)
     for rx, keep in ignore_patterns(ignore or []):
         files = files.withColumn("_skip", F.when(F.regexp_like("path", F.lit(rx)), F.lit(not keep)).otherwise(F.col("_skip") if "_skip" in files.columns else F.lit(False)))
     if "_skip" in files.columns:
         files = files.where(~F.col("_skip")).drop("_skip")
-    files = files.where(~is_binary(F.col("content"), native))
+    fits = F.col("length") <= max_bytes if max_bytes is not None else F.lit(True)
+    read = files.where(fits).select("path", "location")
+    read = read.mapInArrow(_contents(root if "://" in root or root.startswith("file:") else f"file://{quote(os.path.abspath(root))}"), "path string, content binary, length long")
     text = F.coalesce(utf16_text(F.col("content")), F.col("content").cast("string")) if native else F.col("content").cast("string")
-    return files.select("path", text.alias("text"), "length", F.sha2("content", 256).alias("blob_sha256"), F.lit("file").alias("provenance_type"))
+    text = F.when(~is_binary(F.col("content"), native), text)
+    out = read.select("path", text.alias("text"), "length", F.sha2("content", 256).alias("blob_sha256"), F.lit("file").alias("provenance_type"))
+    if max_bytes is None:
+        return out
+    nothing = F.lit(None).cast("string")
+    return out.union(files.where(~fits).select("path", nothing, "length", nothing, F.lit("file")))
 
 
 def ignore_patterns(lines: list[str]) -> list[tuple[str, bool]]:
@@ -96,10 +166,6 @@ def fragments(content: DataFrame, size: int = 100_000, ahead: int = 25_000) -> D
     """Long texts cut into fragments of about `size` characters, each going on to the next blank line if
     one comes within `ahead`, with the offset and line where it begins. Shorter texts are one fragment. A
     text is cut by a fold over its blocks between blank lines, so that cuts never depend on partitions."""
-    from collections.abc import Iterator
-
-    import pyarrow as pa
-
     def cut(text: str) -> list[dict]:
         out, at, line = [], 0, 1
         while at < len(text) or not out:

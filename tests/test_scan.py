@@ -107,6 +107,51 @@ def test_required_rules(spark):
     assert rows[0][2] == [Row(rule_id="user", start_line=1, secret="alice")]
 
 
+def test_required_rules_equal_all_pairs_on_a_hot_input(spark):
+    """A third of the findings in one input, against plain loops over all pairs."""
+    import random
+
+    from sieveworks.operators.correlate import require_rules
+    from sieveworks.plans.ruleset import Required, Rule, RuleSet
+
+    rng = random.Random(1)
+    rules = RuleSet(
+        (
+            Rule("lines", regex="x", required=(Required("a", 3, None), Required("b"))), Rule("columns", regex="x", required=(Required("a", None, 4),)),
+            Rule("both", regex="x", required=(Required("b", 0, 30), Required("a", 0, None))), Rule("a", regex="x"), Rule("b", regex="x"),
+        )
+    )
+    rows = []
+    for i in range(1200):
+        at = rng.randrange(5)
+        rows.append((i, 0 if i % 3 == 0 else rng.randrange(150), at, rules.rules[at].id, rng.randrange(1, 60), rng.randrange(1, 50), f"s{rng.randrange(9)}"))
+    df = spark.createDataFrame(rows, "finding_id long, input_id long, rule_at int, rule_id string, start_line int, start_column int, secret string")
+    want = {}
+    for f in rows:
+        evidence = []
+        for q in rules.rules[f[2]].required:
+            near = [
+                (abs(g[4] - f[4]), g[4], g[5], g[6]) for g in rows
+                if g[1] == f[1] and g[3] == q.id and (q.within_lines is None or abs(g[4] - f[4]) <= q.within_lines)
+                and (q.within_columns is None or g[4] == f[4] and abs(g[5] - f[5]) <= q.within_columns)
+            ]
+            evidence += [(q.id, min(near)[1], min(near)[3])] if near else []
+        if len(evidence) == len(rules.rules[f[2]].required):
+            want[f[0]] = sorted(evidence)
+    got = {r.finding_id: [tuple(e) for e in r.required_findings] for r in require_rules(df, rules).collect()}
+    assert got == want and 300 < len(got) < 1200
+
+
+def test_many_encoded_stretches():
+    import base64
+
+    from sieveworks.operators.decode import decode_text
+
+    words = [base64.b64encode(f"my token {i} here".encode()).decode() for i in range(5000)]
+    text, segments, kinds = decode_text(" ".join(words))
+    assert text == " ".join(f"my token {i} here" for i in range(5000)) and len(segments) == 5000 and kinds == ["base64"]
+
+
 def test_filter_runs_before_correlation(spark):
     rules = COMPOSITE + "filter = 'finding.secret == \"alice\"'\n"
     text = 'username="alice"\npassword="secret"'
@@ -155,7 +200,7 @@ def test_detectors(spark):
         "k": "kind: Secret\ndata:\n  token: c2VjcmV0\n---\nkind: ConfigMap\ndata:\n  token: plain",
         "n": "//registry.example.org/:_authToken=abcdef123456",
         "j": '{"keys": [{"kty": "oct", "k": "c2VjcmV0LWtleS1ieXRlcw"}]}',
-        "m": '{"mcpServers": {"a": {"env": {"API_TOKEN": "abcdef-123456"}}}}',
+        "m": '{"mcpServers": {"a": {"env": {"API_TOKEN": "abc\\u0064ef-123456"}}}}',
     }
     rows = found(spark, rules, files, "path", "rule_id", "secret", mode="native")
     assert sorted(rows) == sorted([

@@ -31,8 +31,32 @@ def test_files(spark, tmp_path):
     (tmp_path / "big.txt").write_text("tok-big" * 100)
     (tmp_path / "skip.log").write_text("tok-log")
     rows = scan(file_content(spark, str(tmp_path), native=True, max_bytes=100, ignore=["*.log"]), parse(RULES), ScanOptions(mode="native"))
-    # Spark's readers pass over names that begin with a dot.
-    assert sorted((r.path, r.secret) for r in rows.collect()) == [("a b.txt", "tok-abc"), ("sub/plain", "tok-def"), ("wide.txt", "tok-wide")]
+    assert sorted((r.path, r.secret) for r in rows.collect()) == [("a b.txt", "tok-abc"), ("sub/.hidden", "tok-hid"), ("sub/plain", "tok-def"), ("wide.txt", "tok-wide")]
+    one = file_content(spark, f"file://{tmp_path}/sub/plain").collect()
+    assert [(r.path, r.text, r.length) for r in one] == [("plain", "tok-def", 7)]
+
+
+def test_hidden_files_and_folders_are_listed(spark, tmp_path, monkeypatch):
+    for name in (".env", ".docker/config.json", "_build/x", "a/b/c/.npmrc", "a/d/é ü%20.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(f"tok-{name[-1]}")
+    (tmp_path / "a/loop").symlink_to(tmp_path)
+    want = {".env", ".docker/config.json", "_build/x", "a/b/c/.npmrc", "a/d/é ü%20.txt"}
+    for limit in (1, 64):
+        monkeypatch.setattr("sieveworks.sources.content.LISTED_FOLDERS", limit)
+        assert {r.path for r in file_content(spark, str(tmp_path)).collect()} == want
+    found = scan(file_content(spark, str(tmp_path)), parse(RULES)).collect()
+    assert {r.path for r in found} == want
+
+
+def test_path_rules_see_large_and_binary_files(spark, tmp_path):
+    (tmp_path / "key.p12").write_bytes(b"\0" * 50)
+    (tmp_path / "large.p12").write_text("tok-abc" * 100)
+    rules = parse(RULES + """\n[[rules]]\nid = "store"\npath = '\\.p12$'""")
+    rows = scan(file_content(spark, str(tmp_path), native=True, max_bytes=100), rules, ScanOptions(mode="native"))
+    assert sorted((r.path, r.rule_id) for r in rows.collect()) == [("key.p12", "store"), ("large.p12", "store")]
+    rows = scan(file_content(spark, str(tmp_path)), rules, ScanOptions(max_target_bytes=100))
+    assert sorted((r.path, r.rule_id) for r in rows.collect()) == [("key.p12", "store"), ("large.p12", "store")]
 
 
 def test_ignore_patterns():
