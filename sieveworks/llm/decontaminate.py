@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import join_checked, released, text_bytes
-from .shingles import WordDigests, shingle_list, words_of
+from .shingles import WordDigests, distinct, shingle_list, words_of
 
 #: Text bytes of the items of one block; a block's index takes about four times as much.
 BLOCK_BYTES = 8 << 20
@@ -37,7 +37,7 @@ class ItemIndex:
         self.ids, self.sets, self.need = [], [], []
         sketches: dict[int, list[tuple[np.ndarray, int]]] = {}
         for item_id, text in items:
-            s = np.unique(shingle_list(digests.of(words_of(text))))
+            s = distinct(shingle_list(digests.of(words_of(text))))
             if not len(s):
                 continue
             need = -(-percent * len(s) // 100)
@@ -63,11 +63,11 @@ class ItemIndex:
                 break
             lo = np.searchsorted(values, shingles)
             lo[lo == len(values)] = 0
-            for v in np.unique(shingles[values[lo] == shingles]):
+            for v in distinct(shingles[values[lo] == shingles]):
                 candidates.update(owner[np.searchsorted(values, v) : np.searchsorted(values, v, "right")].tolist())
         found = []
         if candidates:
-            whole = np.unique(shingles)
+            whole = distinct(shingles)
             for at in sorted(candidates):
                 s = self.sets[at]
                 lo = np.minimum(np.searchsorted(whole, s), len(whole) - 1)

@@ -25,6 +25,7 @@ import bisect
 import html as htmllib
 import json
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ from .shingles import WordDigests, coordinates, minhash, mix, shingle_set
 #: and its text was equal for this share of them.
 SEEN, SEEN_INSIDE, EQUAL = 3, 10, 0.95
 #: Pages of a host that all its pages are aligned with.
-REFERENCES = 4
+REFERENCES = 3
 #: A page is a near copy of another if what differs has this Jaccard similarity, by pairs of words.
 ALIKE = 0.3
 #: Bands, of two MinHash coordinates each, by which near copies share their vote.
@@ -192,6 +193,17 @@ def _is_article(n: Node) -> bool:
     return n.tag in ("article", "main") or n.role in ("main", "article")
 
 
+def _holds_block(n: Node) -> bool:
+    """Whether an element is a block or has one below it; other inline elements belong to their parent's text."""
+    todo = [n]
+    while todo:
+        x = todo.pop()
+        if x.tag in BLOCKS:
+            return True
+        todo += [c for c in x.children if not isinstance(c, str)]
+    return False
+
+
 def _digest(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
 
@@ -217,7 +229,7 @@ class Tree:
             said = said or boilerplate(n, inside)
             inside = inside or _is_article(n)
             at = len(t.nodes)
-            kids = [] if _unit(n) else [c for c in n.children if isinstance(c, Node) and c.tag not in SKIPPED and (c.tag in BLOCKS or any(isinstance(x, Node) for x in c.children))]
+            kids = [] if _unit(n) else [c for c in n.children if isinstance(c, Node) and c.tag not in SKIPPED and _holds_block(c)]
             text = "\n".join(blocks([n], inside, {id(c) for c in kids}))
             t.nodes.append(n)
             parents.append(parent)
@@ -239,6 +251,14 @@ class Tree:
         n = len(self.keys)
         self.kids: list[list[int]] = [[] for _ in range(n)]
         self.shapes, self.wholes = [0] * n, [0] * n
+        #: Texts that could be matched: equal ones under the same keys from the body down; 0 without words.
+        self.spots = [0] * n
+        path: list[tuple[int, int]] = []
+        for i in range(n):
+            while path and path[-1][0] <= i:
+                path.pop()
+            path.append((self.ends[i], hash((path[-1][1] if path else 0, self.keys[i]))))
+            self.spots[i] = hash((path[-1][1], self.digests[i])) or 1 if self.words[i] else 0
         #: shape -> (key, shapes of the children, number of elements)
         self.shaped: dict[int, tuple[str, tuple[int, ...], int]] = {}
         for i in range(n - 1, -1, -1):
@@ -323,6 +343,10 @@ def blocks(nodes: list[Node], in_article: bool, without: set[int] = frozenset(),
 _EQUAL_TEXT = 1 << 32
 
 
+#: (shape, shape) -> the most elements that can be matched between such subtrees, for those met lately.
+_SIZES: dict[tuple[int, int], int] = {}
+
+
 class Aligner:
     """Simple tree matching of one tree with another. Of all matchings of two lists of children, in order
     and key with key, one with the most equal texts below, and of those one with the most matched elements,
@@ -330,10 +354,10 @@ class Aligner:
 
     def __init__(self, a: Tree, b: Tree):
         self.a, self.b = a, b
-        self.sizes: dict[tuple[int, int], int] = {}
-        held = {d for d, n in zip(b.digests, b.words, strict=True) if n}
-        common = {d for d, n in zip(a.digests, a.words, strict=True) if n and d in held}
-        self.texts = [[i for i, d in enumerate(t.digests) if d in common and t.words[i]] for t in (a, b)]
+        if len(_SIZES) > 1 << 17:
+            _SIZES.clear()
+        common = set(a.spots).intersection(b.spots) - {0}
+        self.texts = [[i for i, d in enumerate(t.spots) if d in common] for t in (a, b)] if common else [[], []]
 
     def matched(self) -> dict[int, int]:
         """Elements of the first tree with the elements of the second that they are matched with."""
@@ -358,73 +382,105 @@ class Aligner:
         if not xs or not ys:
             return ends
         held, places = self.below(0, xs), {}
+        if (direct := self.by_runs(xs, ys, any(held))) is not None:
+            return ends + direct
         for j, ds in enumerate(self.below(1, ys)):
             for d in ds:
                 places.setdefault(d, []).append(j)
-        kinds = {k: i for i, k in enumerate(dict.fromkeys(b.shapes[y] for y in ys))}
-        kind = np.fromiter((kinds[b.shapes[y]] for y in ys), np.int64, len(ys))
-        rows: dict[int, np.ndarray] = {}
+        shapes = [b.shapes[y] for y in ys]
+        rows: dict[int, list[int]] = {}
 
-        def row(i: int) -> np.ndarray:
+        def row(i: int) -> list[int]:
             p = a.shapes[xs[i]]
             if p not in rows:
-                rows[p] = np.array([self.size(p, q) for q in kinds], np.int64)
-            w = rows[p][kind]
-            for d in held[i]:
-                at = places.get(d, ())
-                w[at] += _EQUAL_TEXT * (w[at] > 0)
+                rows[p] = [self.size(p, q) for q in shapes]
+            w = rows[p]
+            if held[i]:
+                w = list(w)
+                for d in held[i]:
+                    for j in places.get(d, ()):
+                        if w[j]:
+                            w[j] += _EQUAL_TEXT
             return w
 
         return ends + [(xs[i], ys[j]) for i, j in heaviest(len(xs), len(ys), row)]
 
+    def by_runs(self, xs: list[int], ys: list[int], common: bool) -> list[tuple[int, int]] | None:
+        """The matching of two lists that are made of the same runs of keys, each key in one run: member by
+        member from the ends of the runs. None where that might not be a heaviest one, as members of a
+        longer run then differ in weight."""
+        a, b = self.a, self.b
+        runs = []
+        for t, members in ((a, xs), (b, ys)):
+            at: dict[str, list[int]] = {}
+            last = None
+            for i in members:
+                k = t.keys[i]
+                if k != last and k in at:
+                    return None
+                at.setdefault(k, []).append(i)
+                last = k
+            runs.append(at)
+        if list(runs[0]) != list(runs[1]):
+            return None
+        out = []
+        for p, q in zip(runs[0].values(), runs[1].values(), strict=True):
+            if len(p) + len(q) > 2 and (common or any(a.kids[i] for i in p) and any(b.kids[j] for j in q)):
+                return None
+            n = min(len(p), len(q))
+            out += zip(p[-n:], q[-n:], strict=True)
+        return out
+
     def below(self, side: int, roots: list[int]) -> list[set[int]]:
-        """For each of these siblings the texts in its subtree that both trees have."""
+        """For each of these siblings the texts in its subtree that both trees have in such a place."""
         t, marks = (self.a, self.b)[side], self.texts[side]
         out: list[set[int]] = []
         at = bisect.bisect_left(marks, roots[0])
         for r in roots:
             ds = set()
             while at < len(marks) and marks[at] < t.ends[r]:
-                ds.add(t.digests[marks[at]])
+                ds.add(t.spots[marks[at]])
                 at += 1
             out.append(ds)
         return out
 
     def size(self, p: int, q: int) -> int:
         """The most elements that can be matched between subtrees of these shapes."""
-        sizes, of, to = self.sizes, self.a.shaped, self.b.shaped
-        todo = [(p, q)]
+        sizes = _SIZES
+        if (v := sizes.get((p, q))) is not None:
+            return v
+        of, to, todo = self.a.shaped, self.b.shaped, [(p, q)]
         while todo:
             x, y = todo[-1]
-            if (x, y) in sizes:
-                todo.pop()
-                continue
             (key, ps, n), (other, qs, _) = of[x], to[y]
             if key != other or x == y or not ps or not qs:
                 sizes[x, y] = 0 if key != other else n if x == y else 1
-                continue
-            first, second = dict.fromkeys(ps), dict.fromkeys(qs)
-            if new := [(u, v) for u in first for v in second if (u, v) not in sizes]:
+                todo.pop()
+            elif new := [(u, v) for u in dict.fromkeys(ps) for v in dict.fromkeys(qs) if (u, v) not in sizes]:
                 todo += new
-                continue
-            kinds = {v: i for i, v in enumerate(second)}
-            kind = np.fromiter((kinds[v] for v in qs), np.int64, len(qs))
-            rows = {u: np.array([sizes[u, v] for v in second], np.int64)[kind] for u in first}
-            best = np.zeros(len(qs) + 1, np.int64)
-            for u in ps:
-                best = _next(best, rows[u])
-            sizes[x, y] = 1 + int(best[-1])
+            else:
+                rows = {u: [sizes[u, v] for v in qs] for u in dict.fromkeys(ps)}
+                best = np.zeros(len(qs) + 1, np.int64) if len(ps) * len(qs) > CELLS else [0] * (len(qs) + 1)
+                for u in ps:
+                    best = _next(best, rows[u])
+                sizes[x, y] = 1 + int(best[-1])
+                todo.pop()
         return sizes[p, q]
 
 
-def _next(best: np.ndarray, w: np.ndarray) -> np.ndarray:
+def _next(best: np.ndarray | list[int], w: list[int]) -> np.ndarray | list[int]:
     """The next row of the table of heaviest matchings, from the one before and the weights of its pairs."""
+    if isinstance(best, list):
+        out = [0]
+        for j, v in enumerate(w):
+            out.append(max(out[j], best[j + 1], best[j] + v))
+        return out
     out = best.copy()
-    np.maximum(out[1:], best[:-1] + w, out=out[1:])
+    np.maximum(out[1:], best[:-1] + np.array(w, np.int64), out=out[1:])
     return np.maximum.accumulate(out)
 
 
-def heaviest(n: int, m: int, row: Callable[[int], np.ndarray]) -> list[tuple[int, int]]:
+def heaviest(n: int, m: int, row: Callable[[int], list[int]]) -> list[tuple[int, int]]:
     """A heaviest matching in order of two lists of n and m members: pairs of places. row(i) gives the
     weights of the i-th member with all others, 0 for none. Large tables are halved at the place where
     the best matchings of the halves together weigh most (Hirschberg's method)."""
@@ -447,14 +503,11 @@ def heaviest(n: int, m: int, row: Callable[[int], np.ndarray]) -> list[tuple[int
     return out
 
 
-def _tabled(i0: int, i1: int, j0: int, j1: int, row: Callable[[int], np.ndarray]) -> list[tuple[int, int]]:
-    weights = [row(i)[j0:j1].tolist() for i in range(i0, i1)]
+def _tabled(i0: int, i1: int, j0: int, j1: int, row: Callable[[int], list[int]]) -> list[tuple[int, int]]:
+    weights = [row(i)[j0:j1] for i in range(i0, i1)]
     table = [[0] * (j1 - j0 + 1)]
     for w in weights:
-        up, here = table[-1], [0]
-        for j, v in enumerate(w):
-            here.append(max(here[j], up[j + 1], up[j] + v if v else 0))
-        table.append(here)
+        table.append(_next(table[-1], w))
     out, i, j = [], i1 - i0, j1 - j0
     while i and j:
         w = weights[i - 1][j - 1]
@@ -566,16 +619,20 @@ def extract(page: str | None, wrappers: list[tuple[Tree, int, list[int], list[in
     muted: dict[int, bool] = {}
     if wrappers:
         tree = Tree.of(body)
-        found = [Aligner(w[0], tree).matched() for w in wrappers]
-        for (ref, _, _, template), seen in zip(wrappers, found, strict=True):
+        texts, keys = {d for d, n in zip(tree.digests, tree.words, strict=True) if n}, Counter(tree.keys)
+        # The tree that shares most elements tells the content; others, what template the page has.
+        nearest = max((n for n, w in enumerate(wrappers) if w[1] >= 0), key=lambda n: (keys & Counter(wrappers[n][0].keys)).total(), default=-1)
+        found: list[dict[int, int]] = []
+        for n, (ref, _, _, template) in enumerate(wrappers):
+            seen = Aligner(ref, tree).matched() if n == nearest or any(ref.digests[i] in texts for i in template) else {}
+            found.append(seen)
             for i in template:
                 j = seen.get(i)
                 if j is not None and tree.digests[j] == ref.digests[i]:
                     muted |= {id(tree.nodes[k]): False for k in tree.kids[j] if id(tree.nodes[k]) not in muted}
                     muted[id(tree.nodes[j])] = True
-        ranked = sorted((-len(seen), n) for n, seen in enumerate(found) if wrappers[n][1] in seen)
-        if ranked:
-            seen, (_, at, edge, _) = found[ranked[0][1]], wrappers[ranked[0][1]]
+        if nearest >= 0 and wrappers[nearest][1] in found[nearest]:
+            seen, (_, at, edge, _) = found[nearest], wrappers[nearest]
             slot = seen[at]
             under = {id(x) for x in tree.nodes[slot : tree.ends[slot]]}
             # Landmarks elsewhere on the page speak against the slot.
@@ -622,7 +679,8 @@ class _Loaded(dict):
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two texts are worded alike, from their sets of pairs of words."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    s = np.sort(np.concatenate([a, b]))
+    both = int((s[1:] == s[:-1]).sum())
     return both >= ALIKE * (len(a) + len(b) - both)
 
 
@@ -648,8 +706,7 @@ _FOUND = pa.list_(pa.struct([("node", pa.int32()), ("equal", pa.bool_()), ("fram
 
 def _framed(a: str, b: str) -> bool:
     """Whether two texts begin or end with the same word."""
-    a, b = a.split(), b.split()
-    return bool(a and b) and (a[0] == b[0] or a[-1] == b[-1])
+    return bool(a and b) and (a.split(None, 1)[0] == b.split(None, 1)[0] or a.rsplit(None, 1)[-1] == b.rsplit(None, 1)[-1])
 
 
 def _alignments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

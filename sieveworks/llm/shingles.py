@@ -56,9 +56,15 @@ def shingle_list(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
     return mix(s)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The sorted distinct values."""
+    s = np.sort(values)
+    return s[np.append(True, s[1:] != s[:-1])] if len(s) else s
+
+
 def shingle_set(text: bytes | None, digests: WordDigests, width: int = WIDTH) -> np.ndarray:
     """The sorted distinct shingle digests of a text."""
-    return np.unique(shingle_list(digests.of(words_of(text)), width))
+    return distinct(shingle_list(digests.of(words_of(text)), width))
 
 
 def minhash(sets: np.ndarray, mult: np.ndarray, add: np.ndarray) -> np.ndarray:
