@@ -6,6 +6,7 @@ inputs by keyword, and Arrow batches carry only those to Python.
 
 from __future__ import annotations
 
+import bisect
 import json
 import re
 from collections.abc import Iterator
@@ -142,6 +143,30 @@ def gcp_service_account(text: str) -> Iterator[Span]:
             yield start, i + 1, body
 
 
+#: Lines between an access key id and its secret key.
+PAIR_LINES = 8
+# The published forms of both.
+_KEY_ID = re.compile(r"(?<![0-9A-Za-z])A[KS]IA[A-Z2-7]{16}(?![0-9A-Za-z])")
+_SECRET_KEY = re.compile(r"(?<![0-9A-Za-z/+=])[0-9A-Za-z/+]{40}(?![0-9A-Za-z/+=])")
+
+
+def aws_key_pair(text: str) -> Iterator[Span]:
+    """Secret access keys that stand within a few lines of an access key id. What looks like a digest, all
+    digits and letters of one case, is none."""
+    breaks = [m.start() for m in re.finditer("\n", text)]
+    at = [bisect.bisect_left(breaks, m.start()) for m in _KEY_ID.finditer(text)]
+    if not at:
+        return
+    for m in _SECRET_KEY.finditer(text):
+        value = m[0]
+        if not (re.search("[a-z]", value) and re.search("[A-Z]", value) and re.search("[0-9]", value)):
+            continue
+        line = bisect.bisect_left(breaks, m.start())
+        k = bisect.bisect_left(at, line - PAIR_LINES)
+        if k < len(at) and at[k] <= line + PAIR_LINES:
+            yield m.start(), m.end(), value
+
+
 def kubernetes_secret(text: str) -> Iterator[Span]:
     """Values under data and stringData of the YAML documents whose kind is Secret."""
     at = 0
@@ -177,6 +202,7 @@ FUNCTIONS = {
     "gcp-service-account": gcp_service_account,
     "kubernetes-secret": kubernetes_secret,
     "npmrc-auth": npmrc_auth,
+    "aws-key-pair": aws_key_pair,
 }
 
 

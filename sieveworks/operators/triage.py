@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 TOP, VIEW = 8, 10
@@ -52,6 +52,23 @@ def secret_types(alerts: DataFrame) -> DataFrame:
     return alerts.groupBy("secret_type").agg(F.count("*").alias("alerts")).orderBy("secret_type")
 
 
+def parity(findings: DataFrame, alerts: DataFrame, on: list[str]) -> DataFrame:
+    """A row (status, n) for each of both, findings and alerts: how many distinct keys (the columns `on`) both
+    have, and how many only the one or the other. Null parts of a key equal each other."""
+    sides = [df.select(*on).distinct().withColumn("_side", F.lit(i)) for i, df in enumerate((findings, alerts), 1)]
+    keys = sides[0].unionByName(sides[1]).groupBy(*on).agg(F.sum("_side").alias("_side"))
+    status = F.when(F.col("_side") == 3, "both").when(F.col("_side") == 1, "findings").otherwise("alerts")
+    return keys.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+
+
+def measured(content: DataFrame, name: str = "content") -> tuple[DataFrame, Observation]:
+    """content with an observation of how many inputs and bytes an action over it reads, without a pass of
+    its own: a scan of what is returned fills it in."""
+    seen = Observation(name)
+    text = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return content.observe(seen, F.count("*").alias("inputs"), F.sum(text).alias("bytes"), F.max(text).alias("largest")), seen
+
+
 def log_levels(lines: DataFrame) -> DataFrame:
     """Log lines by level, whatever its case."""
     return lines.groupBy(F.lower("level").alias("level")).agg(F.count("*").alias("lines")).orderBy("level")

@@ -5,21 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sieveworks.plans.dialect import to_java
+from sieveworks.plans.ruleset import RuleSet, default_rules
+from sieveworks.plans.shapes import FORM
+
 UNKNOWN, VALID, TEST, INVALID = "unknown", "structurally-valid", "test-credential", "invalid"
-# Forms of public credential formats, by rule.
-FORMS = {
-    "aws-access-token": r"^(?:A3T[A-Z0-9]|AKIA|ASIA|ABIA|ACCA)[A-Z2-7]{16}$",
-    "github-pat": r"^ghp_[0-9A-Za-z]{36}$",
-    "github-fine-grained-pat": r"^github_pat_\w{22}_\w{59}$",
-    "github-app-token": r"^gh[us]_[0-9A-Za-z]{36}$",
-    "gitlab-pat": r"^glpat-[\w-]{20}$",
-    "slack-bot-token": r"^xoxb-\d{10,13}-\d{10,13}-?[A-Za-z0-9-]*$",
-    "stripe-access-token": r"^(?:sk|rk)_(?:test|live|prod)_[A-Za-z0-9]{10,99}$",
-    "gcp-api-key": r"^AIza[\w-]{35}$",
-    "npm-access-token": r"^(?i:npm_[a-z0-9]{36})$",
-    "pypi-upload-token": r"^pypi-AgEIcHlwaS5vcmc[\w-]{50,1000}$",
-    "private-key": r"(?s)^-----BEGIN ([A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?)-----.+-----END \1-----$",
-}
 _TEST = r"(?i)(?:^(?:sk|rk)_test_|EXAMPLE$|^(?:AKIA)?(?:0{8,}|1234567890))"
 
 
@@ -36,16 +26,26 @@ def jwt_state(secret: Column) -> Column:
     return F.when(F.coalesce(ok, F.lit(False)), VALID).otherwise(INVALID)
 
 
-def state_of(rule_id: Column, secret: Column) -> Column:
-    out = F.when(rule_id == "jwt", jwt_state(secret))
-    for rule, form in FORMS.items():
-        out = out.when(rule_id == rule, F.when(~F.regexp_like(secret, F.lit(form)), INVALID).when(F.regexp_like(secret, F.lit(_TEST)), TEST).otherwise(VALID))
-    return out.otherwise(UNKNOWN)
+_ARMOR = r"(?s)^-----BEGIN ([A-Z ]*PRIVATE KEY(?: BLOCK)?)-----.+-----END \1-----$"
+
+
+def forms(rules: RuleSet) -> dict[str, str]:
+    """rule id -> the form of its whole secrets, for the rules that state one."""
+    return {r.id: to_java(v.removeprefix(FORM)) for r in rules.rules for v in r.validation if v.startswith(FORM)}
+
+
+def state_of(rule_id: Column, secret: Column, rules: RuleSet) -> Column:
+    known = forms(rules) | {"private-key": _ARMOR}
+    # One look-up for all rules; a case for each would be too large to compile.
+    form = F.try_element_at(F.map_from_arrays(F.array(*map(F.lit, known)), F.array(*map(F.lit, known.values()))), rule_id)
+    shaped = F.when(~F.regexp_like(secret, form), INVALID).when(F.regexp_like(secret, F.lit(_TEST)), TEST).otherwise(VALID)
+    return F.when(rule_id == "jwt", jwt_state(secret)).when(form.isNotNull(), shaped).otherwise(UNKNOWN)
 
 
-def validate(findings: DataFrame) -> DataFrame:
-    """findings with validation_state: unknown where there is no form to hold the secret against."""
-    return findings.withColumn("validation_state", state_of(F.col("rule_id"), F.col("secret")))
+def validate(findings: DataFrame, rules: RuleSet | None = None) -> DataFrame:
+    """findings with validation_state, by the forms that their rule set states (by default, the library's
+    pack): unknown where there is no form to hold the secret against."""
+    return findings.withColumn("validation_state", state_of(F.col("rule_id"), F.col("secret"), rules or default_rules()))
 
 
 # What to do about a finding, by the first part of its rule id.

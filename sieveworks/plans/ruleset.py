@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import tomllib
 from dataclasses import dataclass, field, fields, replace
@@ -16,7 +17,7 @@ from .shapes import assigned_rule, token_rule
 
 VERSION = "8.30.1"
 MAX_RULES, MAX_EXTEND, MAX_BYTES = 10_000, 2, 10 << 20
-DETECTORS = ("password-assignment", "codex-auth", "docker-auth", "gcp-service-account", "jwk", "mcp-config", "kubernetes-secret", "npmrc-auth")
+DETECTORS = ("password-assignment", "codex-auth", "docker-auth", "gcp-service-account", "jwk", "mcp-config", "kubernetes-secret", "npmrc-auth", "aws-key-pair")
 
 
 class RuleError(ValueError):
@@ -221,6 +222,46 @@ def parse(text: str, base: str = ".", depth: int = 0) -> RuleSet:
     return result
 
 
+#: The TOML names of the simple fields of a rule.
+_NAMES = {
+    "description": "description", "regex": "regex", "secret_group": "secretGroup", "entropy": "entropy", "path": "path", "keywords": "keywords", "tags": "tags", "skip_report": "skipReport",
+    "severity": "severity", "confidence": "confidence", "rule_pack": "rulePack", "provider": "provider", "documentation_url": "documentationUrl", "validation": "validation", "examples": "examples",
+    "negative_examples": "negativeExamples", "deprecated": "deprecated", "randomness_threshold": "randomnessThreshold", "detector": "detector", "prefilter": "prefilter", "filter": "filter",
+}
+_LIST_NAMES = {"description": "description", "condition": "condition", "commits": "commits", "paths": "paths", "regex_target": "regexTarget", "regexes": "regexes", "stopwords": "stopwords", "target_rules": "targetRules"}
+
+
+def _toml(x: object) -> str:
+    if isinstance(x, (bool, int, float)):
+        return str(x).lower()
+    if isinstance(x, tuple):
+        return "[" + ", ".join(map(_toml, x)) + "]"
+    # Basic strings of TOML escape as JSON does, but for the delete character.
+    return json.dumps(x, ensure_ascii=False).replace("\x7f", "\\u007f")
+
+
+def dump(rules: RuleSet) -> str:
+    """The rule set as TOML that parse() reads back as the same; defaults are left out."""
+    out: list[str] = []
+
+    def table(header: str, x: object, names: dict[str, str], always: tuple[str, ...] = ()) -> None:
+        given = {f.name: f.default for f in fields(x)}
+        out.append(header)
+        out.extend(f"{n} = {_toml(v)}" for k, n in names.items() if (v := getattr(x, k)) != given[k] or k in always)
+        out.append("")
+
+    out += [f"{k} = {_toml(getattr(rules, k))}" for k in ("prefilter", "filter") if getattr(rules, k)]
+    for a in rules.allowlists:
+        table("[[allowlists]]", a, _LIST_NAMES)
+    for r in rules.rules:
+        table("[[rules]]", r, {"id": "id", **_NAMES}, ("id",))
+        for a in r.allowlists:
+            table("[[rules.allowlists]]", a, _LIST_NAMES)
+        for q in r.required:
+            table("[[rules.required]]", q, {"id": "id", "within_lines": "withinLines", "within_columns": "withinColumns"}, ("id",))
+    return "\n".join(out)
+
+
 def load(path: str, base: str = ".", depth: int = 0) -> RuleSet:
     p = Path(base) / path
     data = p.read_bytes()

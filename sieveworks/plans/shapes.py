@@ -20,6 +20,9 @@ UUID = "{hex:8}-{hex:4}-{hex:4}-{hex:4}-{hex:12}"
 #: The least entropy of a match, as a share of the most that a part of its length and alphabet can have.
 ENTROPY_SHARE = 0.55
 
+#: How a rule's validation entry with the form of a whole secret begins.
+FORM = "offline:form:"
+
 _PART = re.compile(r"\{(\w+):(\d+)(?:-(\d+))?\}")
 
 
@@ -91,7 +94,7 @@ def token_rule(id: str, description: str, shapes: list[str]) -> dict:
     body = "|".join(rx for _, rx in rows)
     return {
         "id": id, "description": description, "regex": f"{start}({body}){ends.pop()}", "secretGroup": 1, "keywords": sorted({keyword(s) for s in shapes}),
-        "entropy": min(map(least_entropy, shapes)), "validation": ["offline:shape"],
+        "entropy": min(map(least_entropy, shapes)), "validation": [f"{FORM}^(?:{body})$"],
         "examples": [f'key = "{example(s, id)}"' for s in shapes],
         "negativeExamples": [f'key = "{example(s, id, 1)}"' for s in shapes if parts(s)[-1][1]],
     }
@@ -110,10 +113,10 @@ def assigned_rule(id: str, description: str, names: list[str], shapes: list[str]
     named = "|".join(map(_quoted, names))
     return {
         "id": id, "description": description, "regex": f"(?i:{named})[\\w.-]{{0,40}}{ASSIGNS}({body}){ends.pop()}", "secretGroup": 1,
-        "keywords": [n.lower() for n in names], "entropy": min(map(least_entropy, shapes)), "validation": ["offline:shape"],
+        "keywords": [n.lower() for n in names], "entropy": min(map(least_entropy, shapes)), "validation": [f"{FORM}^(?:{body})$"],
         "examples": [f'{names[0]}_api_key = "{example(s, id)}"' for s in shapes],
         "negativeExamples": [f'other_api_key = "{example(s, id)}"' for s in shapes[:1]],
     }
 
 
-__all__ = ["ALPHABETS", "assigned_rule", "end_of", "example", "keyword", "least_entropy", "members", "parts", "pattern", "token_rule"]
+__all__ = ["ALPHABETS", "FORM", "assigned_rule", "end_of", "example", "keyword", "least_entropy", "members", "parts", "pattern", "token_rule"]

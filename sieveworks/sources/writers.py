@@ -58,14 +58,26 @@ def write_upstream_json(findings: DataFrame, out: TextIO) -> None:
     out.write("[]\n" if first else "\n]\n")
 
 
+def write_own_json(findings: DataFrame, out: TextIO) -> None:
+    """One document: {"schema": ..., "findings": [...]}, the findings in the order of reports."""
+    cols = [c for c in ORDER if c in findings.columns]
+    names = own_rows(findings).columns
+    rows = findings.orderBy(*cols).select(*[F.col(OWN[n]).alias(n) for n in names if n in OWN]).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
+    out.write('{"schema": "sieve.report.v1", "findings": [')
+    for i, r in enumerate(rows.toLocalIterator()):
+        out.write((",\n" if i else "\n") + r.json)
+    out.write("\n]}\n")
+
+
 def write_upstream_csv(findings: DataFrame, out: TextIO) -> None:
-    """Nothing at all without findings."""
+    """Nothing at all without findings. The column Link comes last, if findings have a link."""
+    linked = "link" in findings.columns and not findings.where("link <> ''").isEmpty()
     columns = ["RuleID", "Commit", "File", "SymlinkFile", "Secret", "Match", "StartLine", "EndLine", "StartColumn", "EndColumn", "Author", "Message", "Date", "Email", "Fingerprint", "Tags"]
     writer = csv.writer(out, lineterminator="\n")
     for i, r in enumerate(sorted_rows(findings)):
         if not i:
-            writer.writerow(columns)
-        writer.writerow([" ".join(v) if isinstance(v := getattr(r, UPSTREAM[c]), list) else v for c in columns])
+            writer.writerow(columns + ["Link"] * linked)
+        writer.writerow([" ".join(v) if isinstance(v := getattr(r, UPSTREAM[c]), list) else v for c in columns] + [r.link or ""] * linked)
 
 
 def write_junit(findings: DataFrame, out: TextIO, name: str = "scan") -> None:
@@ -125,7 +137,7 @@ def write_toon(findings: DataFrame, out: TextIO) -> None:
 
 
 DOCUMENTS: dict[str, Callable] = {
-    "json": write_upstream_json, "csv": write_upstream_csv, "junit": write_junit, "sarif": write_sarif, "quality": write_quality, "html": write_html, "toon": write_toon,
+    "json": write_upstream_json, "own-json": write_own_json, "csv": write_upstream_csv, "junit": write_junit, "sarif": write_sarif, "quality": write_quality, "html": write_html, "toon": write_toon,
 }
 
 
