@@ -8,8 +8,9 @@ equal length for items and whole documents cannot do this: a 30-shingle item in
 searches the partitions whose items are small enough for it to hold c of their shingles.
 Candidates are verified by the exact containment of the full shingle sets.
 
-Documents are read once, unshuffled, for each block of items. Blocks are cut by the items' text
-length, so that what is sent to the tasks is bounded.
+Equal texts of items are one item of the search, whose ids are joined to what is found. Documents are
+read once, unshuffled, for each block of items. Blocks are cut by the items' text length and searched one
+after the other, so that what the driver holds and sends to the tasks is one block, whatever the items.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import join_checked, released, text_bytes
+from .base import join_checked, materialize, released, text_bytes
 from .shingles import WordDigests, distinct, shingle_list, words_of
 
 #: Text bytes of the items of one block; a block's index takes about four times as much.
@@ -32,7 +33,7 @@ BLOCK_BYTES = 8 << 20
 class ItemIndex:
     """The sketches of a block of items, by size partition, and their full sets."""
 
-    def __init__(self, items: list[tuple[int, bytes]], percent: int):
+    def __init__(self, items: list[tuple[str, bytes]], percent: int):
         digests = WordDigests()
         self.ids, self.sets, self.need = [], [], []
         sketches: dict[int, list[tuple[np.ndarray, int]]] = {}
@@ -55,8 +56,8 @@ class ItemIndex:
             order = np.argsort(values, kind="stable")
             self.partitions.append((min(self.need[at] for _, at in part), values[order], owner[order]))
 
-    def search(self, shingles: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item_id, shingles of the item, shared ones) of the items that these shingles contain."""
+    def search(self, shingles: np.ndarray) -> list[tuple[str, int, int]]:
+        """(key, shingles of the item, shared ones) of the items that these shingles contain."""
         candidates: set[int] = set()
         for least, values, owner in self.partitions:
             if len(shingles) < least:
@@ -85,7 +86,8 @@ def _search(index: ItemIndex):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 rows += [(doc_id, *x) for x in index.search(shingle_list(digests.of(words_of(text.as_py()))))]
             cols = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "n_item", "n_shared"])
+            types = (pa.int64(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "key", "n_item", "n_shared"])
 
     return run
 
@@ -99,17 +101,20 @@ def leaks(docs: DataFrame, items: DataFrame, percent: int = 80) -> DataFrame:
     words is one shingle, which only a document of just these words has. Rows that repeat an id are
     searched one by one and give equal rows, of which one is returned. Null ids are carried as null.
     An empty table on either side gives no rows."""
-    texts = items.select(F.col("item_id").cast("long").alias("item_id"), text_bytes().alias("text")).where("text is not null")
+    given = items.select(F.col("item_id").cast("long").alias("item_id"), text_bytes().alias("text")).where("text is not null").withColumn("key", F.sha2("text", 256))
+    texts = materialize(given.groupBy("key").agg(F.first("text").alias("text")))
     total = texts.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = int(total // BLOCK_BYTES) + 1
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
     found = []
     for k in range(n):
-        block = texts if n == 1 else texts.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k)
-        index = ItemIndex([(r.item_id, bytes(r.text)) for r in block.toLocalIterator()], percent)
-        found.append(read.mapInArrow(released(_search(index)), "doc_id long, item_id long, n_item long, n_shared long"))
+        block = texts if n == 1 else texts.where(F.pmod(F.xxhash64("key"), F.lit(n)) == k)
+        index = ItemIndex([(r.key, bytes(r.text)) for r in block.toLocalIterator()], percent)
+        hits = read.mapInArrow(released(_search(index)), "doc_id long, key string, n_item long, n_shared long")
+        found.append(hits if n == 1 else materialize(hits))
     pairs = reduce(DataFrame.union, found).distinct()
-    return pairs.withColumn("containment", F.col("n_shared") / F.col("n_item"))
+    named = join_checked(pairs, given.select("key", "item_id").distinct(), "key", "inner", 80)
+    return named.select("doc_id", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment")).distinct()
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, percent: int = 80) -> DataFrame:

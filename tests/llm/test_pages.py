@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import struct
@@ -115,6 +116,23 @@ def test_embedding_groups_copies_and_odd_rows(spark, monkeypatch):
     assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in embeddings.near_duplicates(null_id).collect()) == [(0, 0, 0, True), (1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True)]
 
 
+def test_recall_of_pairs_at_the_threshold(spark, monkeypatch):
+    """400 pairs with a cosine of 0.9502, apart from all others."""
+    monkeypatch.setattr(embeddings, "SLICE", 16)
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(400):
+        a, b = rng.standard_normal((2, 48))
+        a /= np.linalg.norm(a)
+        b -= (a @ b) * a
+        b /= np.linalg.norm(b)
+        c = 0.9502
+        rows += [(2 * i, a.tolist()), (2 * i + 1, (c * a + math.sqrt(1 - c * c) * b).tolist())]
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    # One in a thousand may be missed.
+    assert sum(got[2 * i] == got[2 * i + 1] == 1 for i in range(400)) >= 397
+
+
 def test_step_probability():
     rng = np.random.default_rng(1)
     x = np.array([1.0, 0.0])
