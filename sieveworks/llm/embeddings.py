@@ -30,6 +30,8 @@ from .base import components, dealt_blocks, forest, in_runs, join_checked, mater
 WIDTH, MISS, BLOCK = 2.0, 1e-3, 512
 #: Groups up to this size are compared by shifting a whole batch against itself.
 SMALL = 32
+#: Rows of a longer run that are compared with the rest of it at a time.
+SLICE = 1024
 
 
 def agree(distance: float, width: float = WIDTH) -> float:
@@ -117,8 +119,10 @@ def _pairs(x: np.ndarray, at: np.ndarray, cosine: float) -> Iterator[tuple[np.nd
         ok = np.einsum("ij,ij->i", x[i], x[i + shift]) >= cosine
         yield i[ok], i[ok] + shift
     for s, n in zip(at[:-1][size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-        i, j = np.nonzero(np.triu(x[s : s + n] @ x[s : s + n].T >= cosine, 1))
-        yield i + s, j + s
+        for lo in range(s, s + n, SLICE):
+            hi = min(lo + SLICE, s + n)
+            i, j = np.nonzero(np.triu(x[lo:hi] @ x[lo : s + n].T >= cosine, 1))
+            yield i + lo, j + lo
 
 
 def _links(k: int, tables: int, dtype: str, cosine: float):
