@@ -35,6 +35,8 @@ from .shingles import WordDigests, coordinates, minhash, shingle_set
 K = 64
 #: Coordinates that are merged before pairs are skipped.
 FIRST = 32
+#: Cells of a table of pairs, and of an incidence table, that are held at a time.
+CELLS = 1 << 23
 #: The share of pairs at the threshold that may be missed: what K = 64 and T = 42 miss at 0.85.
 MISSED = 3e-5
 #: Rows of a block when signatures, and when full sets, are compared.
@@ -143,19 +145,40 @@ def linked(sets: list[np.ndarray], block: np.ndarray, across: bool, percent: int
     shared = np.bincount(column) > 1
     keep = shared[column]
     row, column = row[keep], (np.cumsum(shared) - 1)[column[keep]]
-    inter = np.zeros((n, n), np.float32)
-    step = 8192
-    cuts = np.searchsorted(column, np.arange(0, int(shared.sum()) + step, step))
-    for lo, hi, base in zip(cuts[:-1], cuts[1:], range(0, int(shared.sum()) + step, step), strict=False):
-        if hi > lo:
-            m = np.zeros((n, step), np.float32)
-            m[row[lo:hi], column[lo:hi] - base] = 1
-            inter += m @ m.T
-    ok = 100 * inter >= percent * (size[:, None] + size[None, :] - inter)
-    ok &= (size[:, None] > 0) & (size[None, :] > 0)
-    if across:
-        ok &= block[:, None] != block[None, :]
-    return forest(n, lambda i: np.flatnonzero(ok[i, i + 1 :]) + i + 1)
+    n_shared = int(shared.sum())
+    by_row = np.argsort(row, kind="stable")
+    row_of, column_of, row_at = row[by_row], column[by_row], np.searchsorted(row[by_row], np.arange(n + 1))
+    rows, step = max(1, min(n, CELLS // n)), max(64, min(8192, CELLS // n))
+    cuts = np.searchsorted(column, np.arange(0, n_shared + step, step))
+    held: list[tuple[int, np.ndarray]] = []
+
+    def slice_of(first: int) -> np.ndarray:
+        """Which pairs are links, of the rows from `first` on with all rows."""
+        last = min(first + rows, n)
+        inter = np.zeros((last - first, n), np.float32)
+        own_rows, own_columns = row_of[row_at[first] : row_at[last]] - first, column_of[row_at[first] : row_at[last]]
+        order = np.argsort(own_columns, kind="stable")
+        own_rows, own_columns = own_rows[order], own_columns[order]
+        for lo, hi, base in zip(cuts[:-1], cuts[1:], range(0, n_shared + step, step), strict=False):
+            a, b = np.searchsorted(own_columns, (base, base + step))
+            if hi > lo and b > a:
+                m, own = np.zeros((n, step), np.float32), np.zeros((last - first, step), np.float32)
+                m[row[lo:hi], column[lo:hi] - base] = 1
+                own[own_rows[a:b], own_columns[a:b] - base] = 1
+                inter += own @ m.T
+        ok = 100 * inter >= percent * (size[first:last, None] + size[None, :] - inter)
+        ok &= (size[first:last, None] > 0) & (size[None, :] > 0)
+        if across:
+            ok &= block[first:last, None] != block[None, :]
+        return ok
+
+    def partners(i: int) -> np.ndarray:
+        if not held or i >= held[0][0] + rows:
+            held[:] = [(i, slice_of(i))]
+        first, ok = held[0]
+        return np.flatnonzero(ok[i - first, i + 1 :]) + i + 1
+
+    return forest(n, partners)
 
 
 def _linked_runs(percent: int):
