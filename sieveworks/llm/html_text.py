@@ -230,14 +230,18 @@ class Tree:
             inside = inside or _is_article(n)
             at = len(t.nodes)
             kids = [] if _unit(n) else [c for c in n.children if isinstance(c, Node) and c.tag not in SKIPPED and _holds_block(c)]
-            text = "\n".join(blocks([n], inside, {id(c) for c in kids}))
+            if kids or n.tag in UNITS:
+                text = "\n".join(blocks([n], inside, {id(c) for c in kids}))
+                links = linked_words(n, kids) if text else 0
+            else:
+                text, links = inline_text(n, inside)
             t.nodes.append(n)
             parents.append(parent)
             t.keys.append(n.key)
             t.texts.append(text)
             t.digests.append(_digest(text))
             t.words.append(len(text.split()))
-            t.links.append(linked_words(n, kids) if text else 0)
+            t.links.append(links)
             t.inside.append(inside)
             t.said.append(said)
             todo += [(c, at, inside, said) for c in reversed(kids)]
@@ -267,9 +271,10 @@ class Tree:
                 self.kids[i].append(j)
                 j = self.ends[j]
             below = tuple(self.shapes[k] for k in self.kids[i])
-            self.shapes[i] = _digest(f"{self.keys[i]} {below}")
+            # Digests of this process only.
+            self.shapes[i] = hash((self.keys[i], below))
             self.shaped[self.shapes[i]] = (self.keys[i], below, self.ends[i] - i)
-            self.wholes[i] = _digest(f"{self.keys[i]} {self.digests[i]} {[self.wholes[k] for k in self.kids[i]]}")
+            self.wholes[i] = hash((self.keys[i], self.digests[i], *[self.wholes[k] for k in self.kids[i]]))
         return self
 
     def dump(self) -> str:
@@ -286,6 +291,24 @@ class Tree:
         return self.keys[i].partition(".")[0]
 
 
+def inline_text(n: Node, inside: bool) -> tuple[str, int]:
+    """The text of an element without blocks below it, as blocks() gives it, and how many of its words are linked."""
+    parts: list[str] = []
+    linked, todo = 0, [(c, n.tag == "a") for c in reversed(n.children)]
+    while todo:
+        c, link = todo.pop()
+        if isinstance(c, str):
+            parts.append(c)
+            if link:
+                linked += len(c.split())
+        elif c.tag == "br":
+            parts.append(" ")
+        elif not boilerplate(c, inside):
+            link = link or c.tag == "a"
+            todo += [(x, link) for x in reversed(c.children)]
+    return " ".join("".join(parts).split()), linked
+
+
 def linked_words(n: Node, without: list[Node]) -> int:
     """The number of words in links of an element, not counting those below the elements in `without`."""
     left, total, todo = {id(c) for c in without}, 0, [(n, n.tag == "a")]
