@@ -6,7 +6,6 @@ import fnmatch
 import os
 import re
 from collections.abc import Iterator
-from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
@@ -64,14 +63,23 @@ def is_binary(content: Column, native: bool) -> Column:
 LISTED_FOLDERS = 64
 
 
+def _absolute(root: str) -> str:
+    return root if re.match(r"[a-z0-9]+:", root) else os.path.abspath(root)
+
+
+def _opened(root: str) -> tuple[FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    if not re.match(r"[a-z0-9]+:", root):
+        return LocalFileSystem(), root
+    return FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", re.sub(r"^s3[an]:", "s3:", root)))
+
+
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """A row (path, location, length) for each file under a root, the path relative to it. Hidden files and
     folders, which Spark's own readers pass over, are listed too; links to folders are not followed. The
     driver only lists folders, down to where there are LISTED_FOLDERS of them; tasks list what is below."""
-    fs, top = FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (None, os.path.abspath(root))
-    if fs is None:
-        fs = LocalFileSystem()
-    root = root if "://" in root or root.startswith("file:") else f"file://{quote(top)}"
+    root = _absolute(root)
+    fs, top = _opened(root)
     local = isinstance(fs, LocalFileSystem)
 
     def children(folder: str) -> tuple[list, list]:
@@ -89,7 +97,7 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     base = top.rpartition("/")[0] if one.type == FileType.File else top.rstrip("/")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        inside, _ = FileSystem.from_uri(root)
+        inside, _ = _opened(root)
         for b in batches:
             for folder in b.column(0).to_pylist():
                 todo = [folder]
@@ -111,7 +119,7 @@ def _contents(root: str):
     """Adds the bytes of each file, a file at a time; those that are gone by now are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, _ = FileSystem.from_uri(root)
+        fs, _ = _opened(root)
         for b in batches:
             for row in b.to_pylist():
                 try:
@@ -135,7 +143,7 @@ def file_content(spark: SparkSession, root: str, native: bool = False, max_bytes
         files = files.where(~F.col("_skip")).drop("_skip")
     fits = F.col("length") <= max_bytes if max_bytes is not None else F.lit(True)
     read = files.where(fits).select("path", "location")
-    read = read.mapInArrow(_contents(root if "://" in root or root.startswith("file:") else f"file://{quote(os.path.abspath(root))}"), "path string, content binary, length long")
+    read = read.mapInArrow(_contents(_absolute(root)), "path string, content binary, length long")
     text = F.coalesce(utf16_text(F.col("content")), F.col("content").cast("string")) if native else F.col("content").cast("string")
     text = F.when(~is_binary(F.col("content"), native), text)
     out = read.select("path", text.alias("text"), "length", F.sha2("content", 256).alias("blob_sha256"), F.lit("file").alias("provenance_type"))
