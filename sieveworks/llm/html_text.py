@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import join_checked, materialize, released, small_batches
-from .shingles import WordDigests, coordinates, minhash, mix, shingle_set
+from .shingles import coordinates, distinct, minhash, mix
 
 #: A node is template if more votes than this saw it (inside an article or main element, than the second),
 #: and its text was equal for this share of them.
@@ -707,6 +707,26 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return both >= ALIKE * (len(a) + len(b) - both)
 
 
+#: A random number for each byte at each place of a word (of places beyond 64, by their remainder).
+_BYTE_AT = np.random.default_rng(10).integers(0, 2**63, 64 << 8, dtype=np.uint64)
+
+
+def word_pairs(text: str) -> np.ndarray:
+    """The sorted distinct digests of a text's pairs of neighbouring words, or of its only word."""
+    b = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
+    word = b > 32
+    start = word.copy()
+    start[1:] &= ~word[:-1]
+    at = np.flatnonzero(start)
+    if not len(at):
+        return np.empty(0, np.uint64)
+    begin = np.zeros(len(b), np.int64)
+    begin[at] = at
+    place = np.arange(len(b)) - np.maximum.accumulate(begin)
+    w = mix(np.add.reduceat(_BYTE_AT[(place & 63) << 8 | b] * word, at))
+    return distinct(mix(w[:-1] + w[1:] * np.uint64(0x9E3779B97F4A7C15))) if len(w) > 1 else w
+
+
 class _Pairs(dict):
     """text -> its set of pairs of words, for those used lately."""
 
@@ -715,13 +735,10 @@ class _Pairs(dict):
     def __missing__(self, text: str) -> np.ndarray:
         if len(self) >= self.limit:
             self.clear()
-        v = self[text] = shingle_set(text.encode("utf-8", "surrogatepass"), _DIGESTS, 2)
+        v = self[text] = word_pairs(text)
         return v
 
 
-_DIGESTS = WordDigests()
-
-
 #: What a page says about a node of a reference tree that it was matched with.
 FOUND = "array<struct<node:int,equal:boolean,framed:boolean,words:int,links:int>>"
 _FOUND = pa.list_(pa.struct([("node", pa.int32()), ("equal", pa.bool_()), ("framed", pa.bool_()), ("words", pa.int32()), ("links", pa.int32())]))
