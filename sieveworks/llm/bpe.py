@@ -125,7 +125,7 @@ class PrefixBpe:
         key = left * self.width + right
         known = self._fit.get(key)
         if known is None:
-            if len(self._fit) > 1 << 19:
+            if len(self._fit) > 1 << 18:
                 self._fit.clear()
             known = self._fit[key] = self._fits(left, right)
         return known
@@ -264,7 +264,7 @@ class PieceIds(dict):
     """piece -> its ids as little-endian unsigned 32-bit integers. A Python worker keeps it from task to
     task; it is cleared when it is full."""
 
-    limit = 1 << 18
+    limit = 1 << 17
 
     def __init__(self, bpe: PrefixBpe):
         super().__init__()
