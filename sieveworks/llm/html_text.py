@@ -70,6 +70,8 @@ WORDS = set(
 UNITS = {"ul", "ol", "dl", "table"}
 PARTS = UNITS | set("li dt dd caption thead tbody tfoot tr td th".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+#: What stands before the text that it names.
+NAMES = HEADINGS | {"dt", "th", "caption", "legend"}
 #: Elements of text, which are never the element that holds the content; and those that belong to text.
 TEXTS = HEADINGS | set("p ul ol dl li dt dd blockquote pre figure figcaption caption address".split())
 INLINE = set("a abbr b cite code em font i label mark q s small span strong sub sup time u".split())
@@ -79,11 +81,14 @@ CLOSES_P = BLOCKS - {"caption", "dd", "dt", "li", "tbody", "td", "tfoot", "th",
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "tbody": {"table"}, "tfoot": {"table"}}
 
+#: Possessive throughout: what follows a repeated part never begins like it. The last form is a "<" that
+#: begins no whole tag, so that it is noticed the first time.
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(" + RAW + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*+>|<(" + RAW + r")\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*+>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?=[!?]|/?[a-zA-Z])",
     re.S | re.I,
 )
+_CDATA = re.compile(r"<!\[CDATA\[", re.I)
 #: One attribute after the other: its whole name, and its value, quoted or not.
 _ATTR = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _SPLIT = re.compile(r"[^a-z0-9]+")
@@ -103,45 +108,111 @@ class Node:
         return f"{self.tag}.{self.cls}" if self.cls else self.tag
 
 
-def parse(page: str) -> Node:
-    """A tree of the page. Elements left open are closed as browsers close them."""
+def whole_tags(page: str) -> tuple[str, str]:
+    """The page with a mark, a character that it does not have, in place of each "<" that begins no whole tag,
+    and the mark. One pass from the end over quotes and ends of tags tells where a tag from any place on
+    ends, whatever the number of tags that are cut off."""
+    stops = [(m.start(), m[0]) for m in re.finditer("[\"'>]", page)]
+    # ends[k]: whether a tag that reaches stop k outside quotes has an end; after[c]: the next stop c.
+    ends, after = [False] * (len(stops) + 1), {'"': len(stops), "'": len(stops)}
+    for k in range(len(stops) - 1, -1, -1):
+        c = stops[k][1]
+        if c == ">":
+            ends[k] = True
+        else:
+            ends[k] = after[c] < len(stops) and ends[after[c] + 1]
+            after[c] = k
+    at = [i for i, _ in stops]
+    last, cdata = page.rfind(">"), page.rfind("]]>")
+    name_ends = [m.start() for m in re.finditer(r"[\s/>]", page)]
+    mark = next(c for c in map(chr, range(0xFDD0, 0x110000)) if c not in page)
+    cut = []
+    for m in re.finditer(r"<(?:[!?]|(/?)[a-zA-Z])", page):
+        i = m.start()
+        if m[1] is None:
+            if not page.startswith("<!--", i) and (i > last or i > cdata and _CDATA.match(page, i)):
+                cut.append(i if i > last else i + 2)
+        else:
+            k = bisect.bisect_left(name_ends, m.end())
+            if k == len(name_ends) or not ends[bisect.bisect_left(at, name_ends[k])]:
+                cut.append(i)
+    parts = [page[i + 1 : j] for i, j in zip([-1, *cut], [*cut, len(page)], strict=True)]
+    return mark.join(parts), mark
+
+
+def _unescaped(text: str, mark: str) -> str:
+    try:
+        text = htmllib.unescape(text)
+    except ValueError:
+        # A number of thousands of digits is no character.
+        text = htmllib.unescape(re.sub(r"&#\d{8,};?", "\ufffd", text))
+    return text.replace(mark, "<") if mark else text
+
+
+class _Open(list):
+    """The elements that are open, outermost first, and where in the list each tag and the blocks stand."""
+
+    def __init__(self, root: Node):
+        super().__init__([root])
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, n: Node) -> None:
+        self.places.setdefault(n.tag, []).append(len(self))
+        if n.tag in BLOCKS or n.tag == "button":
+            self.blocks.append(len(self))
+        self.append(n)
+
+    def cut(self, i: int) -> None:
+        """Close the i-th element and all in it."""
+        for n in self[i:]:
+            self.places[n.tag].pop()
+        while self.blocks and self.blocks[-1] >= i:
+            self.blocks.pop()
+        del self[i:]
+
+    def last(self, tags: set[str]) -> int:
+        """Where the innermost of these is open; 0 if there is none."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+
+def parse(page: str, mark: str = "") -> Node:
+    """A tree of the page. Elements left open are closed as browsers close them; a "<" that begins no whole
+    tag is text. Linear in the page, also where nothing is closed."""
+    if not mark and page.rfind("<!") > (end := page.rfind("]]>")) and _CDATA.search(page, max(end, 0)):
+        return parse(*whole_tags(page))
     root = Node("html")
-    stack, at = [root], 0
+    stack, at = _Open(root), 0
     for m in _TAG.finditer(page):
+        if m[0] == "<":
+            if not mark:
+                return parse(*whole_tags(page))
+            continue
         if m.start() > at:
-            stack[-1].children.append(htmllib.unescape(page[at : m.start()]))
+            stack[-1].children.append(_unescaped(page[at : m.start()], mark))
         at = m.end()
         tag = m[3]
         if tag is None:
             if m[1] is None and m[0].startswith("<![CDATA["):
-                stack[-1].children.append(m[0][9:-3])
+                stack[-1].children.append(m[0][9:-3].replace(mark, "<") if mark else m[0][9:-3])
             continue
         tag = tag.lower()
         if m[2]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if i := stack.last({tag}):
+                stack.cut(i)
             continue
         if tag in ("html", "body") and any(n.tag == tag for n in stack[:3]):
             continue
         if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag in BLOCKS or stack[i].tag == "button":
-                    break
+            if stack.blocks and stack[stack.blocks[-1]].tag == "p":
+                stack.cut(stack.blocks[-1])
         elif tag in CLOSES:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in CLOSES[tag]:
-                    del stack[i:]
-                    if tag not in ("tr", "td", "th", "tbody", "tfoot"):
-                        break
-                elif stack[i].tag in SCOPES[tag]:
+            while (i := stack.last(CLOSES[tag])) > stack.last(SCOPES[tag]):
+                stack.cut(i)
+                if tag not in ("tr", "td", "th", "tbody", "tfoot"):
                     break
         if tag == "body":
-            del stack[1:]
+            stack.cut(1)
         cls = role = ""
         if m[4] and len(m[4]) > 1:
             for a in _ATTR.finditer(m[4]):
@@ -156,9 +227,9 @@ def parse(page: str) -> Node:
         node = Node(tag, cls, role)
         stack[-1].children.append(node)
         if tag not in VOID and not (m[4] and m[4].endswith("/") and tag not in BLOCKS):
-            stack.append(node)
+            stack.push(node)
     if at < len(page):
-        stack[-1].children.append(htmllib.unescape(page[at:]))
+        stack[-1].children.append(_unescaped(page[at:], mark))
     return root
 
 
@@ -193,15 +264,22 @@ def _is_article(n: Node) -> bool:
     return n.tag in ("article", "main") or n.role in ("main", "article")
 
 
-def _holds_block(n: Node) -> bool:
-    """Whether an element is a block or has one below it; other inline elements belong to their parent's text."""
-    todo = [n]
+def _block_holders(root: Node) -> set[int]:
+    """The ids of the elements that are blocks or have one below them; other inline elements belong to their
+    parent's text. Every element is seen once."""
+    out, todo = set(), [root]
+    above: dict[int, Node] = {}
     while todo:
         x = todo.pop()
+        for c in x.children:
+            if not isinstance(c, str):
+                above[id(c)] = x
+                todo.append(c)
         if x.tag in BLOCKS:
-            return True
-        todo += [c for c in x.children if not isinstance(c, str)]
-    return False
+            while x is not None and id(x) not in out:
+                out.add(id(x))
+                x = above.get(id(x))
+    return out
 
 
 def _digest(text: str) -> int:
@@ -222,14 +300,14 @@ class Tree:
 
     @classmethod
     def of(cls, body: Node) -> Tree:
-        t, parents = cls(), []
+        t, parents, holders = cls(), [], _block_holders(body)
         todo = [(body, -1, False, False)]
         while todo:
             n, parent, inside, said = todo.pop()
             said = said or boilerplate(n, inside)
             inside = inside or _is_article(n)
             at = len(t.nodes)
-            kids = [] if _unit(n) else [c for c in n.children if isinstance(c, Node) and c.tag not in SKIPPED and _holds_block(c)]
+            kids = [] if _unit(n) else [c for c in n.children if isinstance(c, Node) and c.tag not in SKIPPED and id(c) in holders]
             if kids or n.tag in UNITS:
                 text = "\n".join(blocks([n], inside, {id(c) for c in kids}))
                 links = linked_words(n, kids) if text else 0
@@ -567,20 +645,29 @@ def tree_of(page: str) -> Tree:
     return Tree.of(body_of(parse(page)))
 
 
-def _listing(node: Node) -> bool:
-    """Whether most of an element's text is links, as in lists of links outside an article."""
-    linked = total = 0
-    todo: list = [(node, False)]
+def _listings(body: Node) -> set[int]:
+    """The ids of the groups below an element most of whose text is links, as in lists of links outside an
+    article. Characters are summed from the leaves up, each element once."""
+    order, todo = [], [(body, -1)]
     while todo:
-        n, link = todo.pop()
-        for c in n.children:
-            if isinstance(c, str):
-                k = len(c.strip())
-                total += k
-                linked += k * link
+        n, parent = todo.pop()
+        k = sum(len(c.strip()) for c in n.children if isinstance(c, str))
+        # Characters outside and inside links; links that begin above the element do not count for it.
+        order.append([n, parent, 0 if n.tag == "a" else k, k if n.tag == "a" else 0])
+        at = len(order) - 1
+        todo += [(c, at) for c in n.children if isinstance(c, Node)]
+    out = set()
+    for n, parent, free, linked in reversed(order):
+        if linked > 0.6 * (free + linked) and n.tag in ("ul", "ol", "div", "section", "table", "dl") and n is not body:
+            out.add(id(n))
+        if parent >= 0:
+            up = order[parent]
+            if up[0].tag == "a":
+                up[3] += free + linked
             else:
-                todo.append((c, link or c.tag == "a"))
-    return total > 0 and linked > 0.6 * total
+                up[2] += free
+                up[3] += linked
+    return out
 
 
 #: What the pages of a host say about a node: their votes, those of equal text and of text in a frame of
@@ -588,12 +675,33 @@ def _listing(node: Node) -> bool:
 Votes = tuple[float, float, float, float, float]
 
 
+def _naming(tree: Tree, fixed: set[int]) -> set[int]:
+    """The fixed headings inside articles whose next text, up to the next heading, is not fixed."""
+    out, waiting = set(), []
+    for i in range(len(tree.keys)):
+        if not tree.words[i] or not tree.inside[i]:
+            if not tree.inside[i]:
+                waiting = []
+        elif tree.tag(i) in NAMES:
+            waiting = [*waiting, i] if i in fixed else []
+        elif i not in fixed:
+            if not tree.said[i]:
+                out.update(waiting)
+            waiting = []
+        else:
+            waiting = []
+    return out
+
+
 def frame(tree: Tree, votes: dict[int, Votes]) -> tuple[int, list[int], list[int]]:
     """The wrapper of a reference tree: the node of its content (-1 if there are too few votes to tell),
     the nodes under it that belong to the frame, and the template nodes."""
     n = len(tree.keys)
     template = [i for i, (seen, equal, *_) in votes.items() if seen > (SEEN_INSIDE if tree.inside[i] else SEEN) + 1e-9 and equal >= EQUAL * seen - 1e-9 and tree.words[i]]
     fixed = set(template)
+    # A recurring heading inside an article stays if text that varies follows it, up to the next heading.
+    named = _naming(tree, fixed)
+    template, fixed = [i for i in template if i not in named], fixed - named
     framed = {i for i, (seen, _, held, *_) in votes.items() if seen > SEEN + 1e-9 and held >= EQUAL * seen - 1e-9}
     group = [tree.tag(i) not in TEXTS | INLINE and not (tree.tag(i) == "table" and not tree.kids[i]) for i in range(n)]
     mass, own = [0.0] * (n + 1), [0.0] * n
@@ -664,19 +772,10 @@ def extract(page: str | None, wrappers: list[tuple[Tree, int, list[int], list[in
                 held = [tree.nodes[slot]] if inside else top(tree.nodes[slot])
                 without = {id(tree.nodes[seen[i]]) for i in edge if i in seen}
     if held == [body]:
-        without |= {id(n) for n in _below(body) if n.tag in ("ul", "ol", "div", "section", "table", "dl") and _listing(n)}
+        without |= _listings(body)
     return "\n\n".join(blocks(held, inside, without, muted))
 
 
-def _below(node: Node) -> Iterator[Node]:
-    todo = [node]
-    while todo:
-        for c in todo.pop().children:
-            if isinstance(c, Node):
-                yield c
-                todo.append(c)
-
-
 def host_of(url: Column) -> Column:
     """Lower-cased host of a URL; empty where there is none."""
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[^:]*://([^/?#]*)", 1)), F.lit(""))

@@ -42,11 +42,16 @@ STANDS_FOR = {
 #: may stand for one, or that is plain noise; a run shrunk; a cut.
 DISGUISED, DROPPED, SHRUNK, CUT = 0.7, {"@$€£": 12.0, "!|+(<¡*": 1.2, "": 0.3}, 0.5, 3.0
 
-_OUTER = re.compile(r"^[^\w@$€£]+|[^\w@$€£]+$")
+_KEPT = re.compile(r"[\w@$€£]")
 _EDGE = re.compile(r"(?<!\S)[!|+(<¡*]{1,2} | [!|+(<¡*]{1,2}(?!\S)")
 _ODD = re.compile(r"[^\W\d_]")
 _RUN = re.compile(r"(.)\1\1")
-_SPACED = re.compile(r"(?<![^\s.,;:!?])(?:[\w@$!|+](?:[ ._*\-]{1,2})){2,}[\w@$!|+](?![^\s.,;:!?])")
+#: Letters (or what stands for them) and separators have no character in common, so that a chain of them
+#: can be read in one way only and is found in one pass.
+_LETTER = r"[^\W_]|[@$!|+]"
+_CHAIN = re.compile(rf"(?:{_LETTER})(?:[ ._*\-]{{1,2}}+(?:{_LETTER})){{2,}}+")
+_LINK = re.compile(_LETTER)
+_APART = frozenset(".,;:!?")
 
 
 def _codes(text: str) -> np.ndarray:
@@ -154,11 +159,12 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
 def restore(token: str, model: CharModel) -> str:
     """The most likely plain text behind a lower-cased token; words are parted by one space. The states of
     the Viterbi decoding are the last two characters, so that there are no more of them at a place than
-    pairs of letters that the token's characters can be; none is pruned."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(_BOUND, _BOUND): (0.0, "")}
+    pairs of letters that the token's characters can be; none is pruned. A state points back to the one
+    before it, so that time and memory are linear in the token."""
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(_BOUND, _BOUND): (0.0, None)}
     for options in [*lattice(token), [(" ", 0.0)]]:
-        nxt: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in states.items():
+        nxt: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (score, path) in states.items():
             for put, cost in options:
                 s, x, y = score - cost, a, b
                 for ch in put:
@@ -167,9 +173,20 @@ def restore(token: str, model: CharModel) -> str:
                         s += model.log(x, y, z)
                     x, y = (_BOUND, _BOUND) if not z else (y, z)
                 if (x, y) not in nxt or s > nxt[x, y][0]:
-                    nxt[x, y] = (s, text + put)
+                    nxt[x, y] = (s, (path, put))
         states = nxt
-    return " ".join(max(states.values())[1].split())
+    # The last place ends in a boundary, so that one state is left.
+    (_, path), puts = states[_BOUND, _BOUND], []
+    while path is not None:
+        path, put = path
+        puts.append(put)
+    return " ".join("".join(reversed(puts)).split())
+
+
+def _core(token: str) -> str:
+    """The token without outer punctuation."""
+    first = _KEPT.search(token)
+    return token[first.start() : len(token) - _KEPT.search(token[::-1]).start()] if first else ""
 
 
 def disguised(token: str) -> bool:
@@ -180,7 +197,7 @@ def disguised(token: str) -> bool:
 def plain(token: str, model: CharModel) -> tuple[str, ...]:
     """The words of a lower-cased token, restored if it looks disguised. Symbols around it that may stand
     for letters are punctuation in one reading and part of the lattice in another."""
-    core = token if token.isalpha() else _OUTER.sub("", token)
+    core = token if token.isalpha() else _core(token)
     out = tuple(restore(core, model).split()) if disguised(core) else (core,) if core else ()
     if core != token and core and _EDGE.search(token.replace(core, " ", 1)):
         out = tuple(dict.fromkeys((*out, *restore(token, model).split())))
@@ -212,10 +229,22 @@ class Restorer(dict):
 
     def spaced(self, low: str) -> list[str]:
         """The restored words of the letters that stand spaced out in a lower-cased text."""
-        closed = (re.sub(r"(?<=\S)[ ._*\-](?=\S)", "", m[0]) for m in _SPACED.finditer(low))
+        closed = (re.sub(r"(?<=\S)[ ._*\-](?=\S)", "", chain) for chain in spaced_chains(low))
         return [w for token in closed for w in restore(token, self.model).split()]
 
 
+def spaced_chains(low: str) -> Iterator[str]:
+    """Three letters or more that are parted by one or two separators each: of each such chain, from its
+    first letter that has space or punctuation before it to its last that has it behind."""
+    apart = lambda i: i < 0 or i >= len(low) or low[i].isspace() or low[i] in _APART
+    for m in _CHAIN.finditer(low):
+        at = [x.start() for x in _LINK.finditer(low, *m.span())]
+        first = next((k for k, i in enumerate(at) if apart(i - 1)), len(at))
+        last = next((k for k in range(len(at) - 1, -1, -1) if apart(at[k] + 1)), -1)
+        if last - first >= 2:
+            yield low[at[first] : at[last] + 1]
+
+
 def evidence(word: str) -> Iterator[str]:
     yield word
     for n in (4, 5, 6):

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -484,3 +485,18 @@ def test_near_dedup_at_eighty_percent(spark):
     comp = brute_components({d: shingles(t) for d, t in rows}, 80)
     assert comp[2] == 1 != brute_components({d: shingles(t) for d, t in rows}, 85)[2]
     assert {r.doc_id for r in near_dedup.keep_one(docs, 80).collect()} == {d for d in comp if comp[d] == d}
+
+
+@pytest.mark.parametrize("text", ["_" * 1_000_000 + "(sign)", "a_." * 300_000 + "(", "a_" * 300_000 + "(", "a" + "-" * 1_000_000 + "b", "*" * 1_000_000, "a b c " * 150_000, "1" * 500_000 + "a", "(" * 1_000_000 + "a", '"' * 1_000_000, "&<" * 500_000])
+def test_no_text_holds_up_the_decoding(small_model, text):
+    start = time.monotonic()
+    toxicity.Restorer(small_model.chars).words(text)
+    assert time.monotonic() - start < 60
+
+
+def test_chains_of_spaced_letters():
+    found = lambda text: list(toxicity.spaced_chains(text))
+    assert found("you i d i o t, go") == ["i d i o t"]
+    assert found("x.i.d.i.o.t!") == ["x.i.d.i.o.t!"] and found("s_t_u_p_i_d") == ["s_t_u_p_i_d"]
+    assert found("___ ____ _ _ _") == [] and found("a b") == [] and found("a   b   c") == []
+    assert found("(a-b-c") == [] and found("(a b c d") == ["b c d"] and found("a b c-d-e(") == ["a b c"]

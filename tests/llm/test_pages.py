@@ -1,5 +1,6 @@
 """Operators on pages and embeddings against brute force, on whole small tables and on odd rows."""
 
+import time
 import collections
 import hashlib
 import math
@@ -363,3 +364,26 @@ def test_only_whole_attribute_names_count(spark):
     listed = ["hidden", "HIDDEN=''", "aria-hidden = true", 'role="navigation"', "class=ad", "CLASS = 'x sidebar'", 'title="a"id="comments"', "data-x=1 hidden/"]
     out = texts_of(spark, [(i, f"http://{i}.example.org/", f"<body><div {t}><article><p>Kept text</article></div></body>") for i, t in enumerate(tags + listed)])
     assert [i for i, t in sorted(out.items()) if t != "Kept text"] == list(range(len(tags), len(tags) + len(listed)))
+
+
+@pytest.mark.parametrize("page", ["x <a " * 200_000, '<a "' * 200_000 + "'>", "<![CDATA[>" * 100_000, "<!x" * 300_000, "<b>" * 50_000 + "<hr>" * 50_000, "<b>" * 50_000 + "<td>" * 50_000, "<div>" * 50_000 + "</x>" * 50_000, "&#" + "9" * 1_000_000, "<a" * 500_000, '<p class="' * 100_000, "<" * 1_000_000, "&" * 1_000_000, "<script " * 100_000])
+def test_no_markup_holds_up_the_parser(page):
+    start = time.monotonic()
+    html_text.extract(page, [])
+    assert time.monotonic() - start < 60
+
+
+def test_what_begins_no_tag_is_text():
+    assert html_text.extract("<p>1 <a and 2 <b", []) == "1 <a and 2 <b"
+    assert html_text.extract('<p>x <a title="y> z</p>', []) == 'x <a title="y> z'
+    assert html_text.extract("<p>x <![CDATA[> y <!-- no", []) == "x y"
+    assert html_text.extract("<p>a <![CDATA[b < c]]> d <e", []) == "a b < c d <e"
+    assert html_text.extract("<p>&#" + "9" * 5000 + ";", []) == "�"
+
+
+def test_headings_that_recur_inside_articles_stay(spark):
+    words = lambda k, n: " ".join(f"word{k}x{i}" for i in range(n))
+    html = "<body><nav><a href='/'>Home</a></nav><article><h1>Dish {0}</h1><h2>Ingredients</h2><p>{1}</p><h2>Method</h2><p>{2}</p><p>Written by the kitchen.</p></article></body>"
+    rows = [(k, f"https://food.example/{k}", html.format(k, words(k, 20), words(k + 100, 30))) for k in range(16)]
+    got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all("Ingredients" in r.text and "Method" in r.text for r in got)
