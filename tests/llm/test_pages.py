@@ -1,12 +1,12 @@
 """Operators on pages and embeddings against brute force, on whole small tables and on odd rows."""
 
-import time
 import collections
 import hashlib
 import math
 import random
 import re
 import struct
+import time
 
 import numpy as np
 import pytest
