@@ -50,4 +50,15 @@ ORACLES = {
     {_components("n", "link")}
     SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.root, t.doc_id) AS component_id, t.doc_id = coalesce(m.root, t.doc_id) AS kept
     FROM documents t LEFT JOIN n ON n.id = t.doc_id LEFT JOIN (SELECT id, min(root) AS root FROM walk GROUP BY id) m ON m.id = t.doc_id""",
+    "op12_source_divergence": f"""WITH t AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_low("coalesce(text, '')")}, '[a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w, row_number() OVER () AS r FROM documents),
+    c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM (SELECT lang, source, r, unnest(w) AS term FROM t) GROUP BY ALL),
+    k AS (SELECT lang, term, sum(n)::HUGEINT AS total FROM c GROUP BY ALL HAVING sum(docs) >= 10), l AS (SELECT lang, count(*) AS v, sum(total) AS nl FROM k GROUP BY ALL),
+    g AS (SELECT DISTINCT lang, source FROM t), s AS (SELECT c.lang, c.source, sum(c.n)::HUGEINT AS ng FROM c JOIN k USING (lang, term) GROUP BY ALL),
+    p AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (coalesce(s.ng, 0) + 2 * l.v) AS p, 1 + (1000000000::HUGEINT * (k.total + 2)) // (l.nl + 2 * l.v) AS q
+      FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term LEFT JOIN s ON s.lang = g.lang AND s.source = g.source),
+    d AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+    u AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(d.value, 0) AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN d ON d.lang = x.lang AND d.source = x.source AND d.item = y.source
+      UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q),
+    o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM u)
+    SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM o WHERE part = 'pair' OR rank <= 10""",
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, html_text, language_model, toxicity, trie_bpe, url_filter, warc
+from . import bpe, divergence, embeddings, html_text, language_model, toxicity, trie_bpe, url_filter, warc
 from .base import fold, shared_path, table
 from .decontaminate import leaks
 from .near_dedup import near_duplicates
@@ -79,6 +79,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 def op13_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = trie_bpe.load(public_tokenizers.path("byte_bpe_50k.json"))
     coded = trie_bpe.encode(table(spark, sf_dir, "documents"), tokenizer, decode=True)
@@ -107,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_minhash_near_dedup,
         op9_byte_bpe,
         op10_html_extraction,
+        op12_source_divergence,
         op13_trie_bpe,
     )
 }
