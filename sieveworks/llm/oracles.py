@@ -22,6 +22,19 @@ def _components(nodes: str, links: str) -> str:
     return f"walk AS (SELECT id, id AS root FROM {nodes} UNION SELECT l.b, w.root FROM walk w JOIN {links} l ON l.a = w.id WHERE w.root < l.b)"
 
 
+def _lloyd(rounds: int) -> str:
+    """CTEs: a row (vec_id, label, p, x) for each part of each vector, and after so many rounds the entries
+    c(p, k, x) and the assigned parts a(vec_id, label, p, x, k, d)."""
+    distance = "list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    assign = lambda n: f"a{n} AS MATERIALIZED (SELECT r, vec_id, label, p, x, best.k AS k, best.d AS d FROM (SELECT v.r, v.vec_id, v.label, v.p, v.x, min({{'d': {distance}, 'k': c.k}}) AS best FROM v JOIN c{n} c ON c.p = v.p GROUP BY ALL))"
+    mean = lambda n: f"c{n + 1} AS MATERIALIZED (SELECT c.p, c.k, coalesce(m.x, c.x) AS x FROM c{n} c LEFT JOIN (SELECT p, k, list(f ORDER BY j) AS x FROM (SELECT p, k, j, floor(sum(y)::DOUBLE / count(*))::BIGINT AS f FROM (SELECT p, k, unnest(x) AS y, unnest(range(len(x))) AS j FROM a{n}) GROUP BY ALL) GROUP BY ALL) m ON m.p = c.p AND m.k = c.k)"
+    steps = [x for n in range(rounds) for x in (assign(n), mean(n))]
+    return f"""e AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS e FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    v AS MATERIALIZED (SELECT r, vec_id, label, p, e[p * len(e) // 4 + 1 : (p + 1) * len(e) // 4] AS x FROM e, range(4) t(p)), c0 AS (SELECT p, r AS k, x FROM v WHERE r < 256),
+    {", ".join([*steps, assign(rounds)])}"""
+
+
 _RULES = "(VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow'))"
 _WORDS = ", ".join(f"'{w}'" for w in SPAM_WORDS)
 
@@ -50,6 +63,9 @@ ORACLES = {
     {_components("n", "link")}
     SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.root, t.doc_id) AS component_id, t.doc_id = coalesce(m.root, t.doc_id) AS kept
     FROM documents t LEFT JOIN n ON n.id = t.doc_id LEFT JOIN (SELECT id, min(root) AS root FROM walk GROUP BY id) m ON m.id = t.doc_id""",
+    "op11_vector_codes": f"""WITH {_lloyd(4)}, s AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, k)) AS sha FROM c4),
+    o AS (SELECT r, vec_id, label, string_agg(printf('%02x', k), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a4 GROUP BY ALL)
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, sha AS codebooks_sha256 FROM o, s""",
     "op12_source_divergence": f"""WITH t AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_low("coalesce(text, '')")}, '[a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w, row_number() OVER () AS r FROM documents),
     c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM (SELECT lang, source, r, unnest(w) AS term FROM t) GROUP BY ALL),
     k AS (SELECT lang, term, sum(n)::HUGEINT AS total FROM c GROUP BY ALL HAVING sum(docs) >= 10), l AS (SELECT lang, count(*) AS v, sum(total) AS nl FROM k GROUP BY ALL),

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, divergence, embeddings, html_text, language_model, toxicity, trie_bpe, url_filter, warc
+from . import bpe, divergence, embeddings, html_text, language_model, toxicity, trie_bpe, url_filter, vector_codes, warc
 from .base import fold, shared_path, table
 from .decontaminate import leaks
 from .near_dedup import near_duplicates
@@ -79,6 +79,11 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents"))
 
@@ -111,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_minhash_near_dedup,
         op9_byte_bpe,
         op10_html_extraction,
+        op11_vector_codes,
         op12_source_divergence,
         op13_trie_bpe,
     )
