@@ -41,19 +41,16 @@ def _near_lines(places: DataFrame, support: DataFrame, wanted: list[tuple]) -> D
 
 def _anywhere(places: DataFrame, support: DataFrame, wanted: list[tuple]) -> DataFrame:
     """Places with the evidence before and after them in the same input, by one walk over its lines in
-    order, so that an input with very many findings costs no more than sorting them."""
+    order and one back, so that an input with very many findings costs no more than sorting them. Both
+    frames begin at the first row: one that went on to the end would be walked again for every row."""
     needs = F.broadcast(places.sparkSession.createDataFrame(wanted, NEEDS))
     first = support.groupBy("input_id", "required_id", "s_line").agg(F.min(F.struct("s_column", "s_secret")).alias("s"))
     found = F.struct("s_line", F.col("s.s_column").alias("s_column"), F.col("s.s_secret").alias("s_secret"))
     first = first.select("input_id", "required_id", F.col("s_line").alias("line"), found.alias("s")).join(F.broadcast(needs.select("required_id").distinct()), "required_id")
     at = places.join(needs, "rule_at").select("finding_id", "n_required", "input_id", "required_id", F.col("start_line").alias("line"))
-    order = Window.partitionBy("input_id", "required_id").orderBy("line")
-    seen = at.unionByName(first, allowMissingColumns=True).withColumns(
-        {
-            "before": F.last("s", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
-            "after": F.first("s", ignorenulls=True).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing)),
-        }
-    )
+    place = Window.partitionBy("input_id", "required_id").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    latest = F.last("s", ignorenulls=True)
+    seen = at.unionByName(first, allowMissingColumns=True).withColumns({"before": latest.over(place.orderBy("line")), "after": latest.over(place.orderBy(F.desc("line")))})
     near = seen.where("finding_id is not null").select("finding_id", "required_id", "n_required", F.col("line").alias("start_line"), F.explode(F.array_compact(F.array("before", "after"))).alias("s"))
     return near.select("finding_id", "required_id", "n_required", "start_line", "s.*").select(*NEAR)
 
@@ -89,16 +86,33 @@ def require_rules(findings: DataFrame, rules: RuleSet) -> DataFrame:
     return findings.where(~F.col("rule_at").isin(with_needs)).withColumn("required_findings", empty).unionByName(kept)
 
 
+#: Lengths of the pieces of secrets that containment is looked up by; a secret's own piece is its end, which
+#: differs more than its beginning.
+GRAMS = (0, 1, 2, 4, 8, 16)
+
+
 def prefer_specific(findings: DataFrame) -> DataFrame:
     """Drops a finding of a generic rule (its id contains "generic") if a finding of another rule in the
-    same input, commit and start line has a secret that contains its secret. A window over the findings
-    of one line, so that the scan below is evaluated once and shuffled once."""
+    same input, commit and start line has a secret that contains its secret.
+
+    The distinct generic secrets of a line look up the specific ones by the longest piece of GRAMS that fits
+    their end, and only those that have it are compared: a line with very many findings costs no more than
+    their characters, and no task holds a line. Secrets that are null contain nothing and are kept."""
     generic = F.contains("rule_id", F.lit("generic"))
-    line = Window.partitionBy("input_id", F.coalesce("commit", F.lit("")), "start_line")
-    others = F.collect_set(F.when(~generic, F.col("secret"))).over(line)
-    marked = findings.withColumns({"_generic": generic, "_others": others})
-    beaten = F.col("_generic") & F.exists("_others", lambda s: F.contains(s, F.col("secret")))
-    return marked.where(~beaten).drop("_generic", "_others")
+    line = ["input_id", "_commit", "start_line"]
+    keyed = findings.withColumn("_commit", F.coalesce("commit", F.lit("")))
+    n = F.char_length("secret")
+    size = reduce(lambda out, g: F.when(n >= g, g).otherwise(out), GRAMS, F.lit(0))
+    asked = keyed.where(generic).select(*line, "secret").distinct().withColumn("_size", size)
+    asked = asked.withColumn("_gram", F.when(F.col("_size") > 0, F.substring("secret", n - F.col("_size") + 1, F.col("_size"))).otherwise(""))
+    # Only lines that have a generic finding are cut into pieces.
+    wanted = asked.select(*line, "_size").distinct()
+    held = keyed.where(~generic).select(*line, F.col("secret").alias("_held")).distinct().join(wanted, line).where(F.char_length("_held") >= F.col("_size"))
+    places = F.when(F.col("_size") > 0, F.sequence(F.lit(1), F.char_length("_held") - F.col("_size") + 1)).otherwise(F.array(F.lit(1)))
+    pieces = held.withColumn("_gram", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring("_held", i, F.col("_size"))))))
+    beaten = asked.join(pieces, [*line, "_size", "_gram"]).where(F.contains("_held", F.col("secret"))).select(*line, "secret").distinct()
+    kept = keyed.where(generic).join(beaten, [*line, "secret"], "left_anti")
+    return keyed.where(~generic).select(*findings.columns).unionByName(kept.select(*findings.columns))
 
 
 DEDUP_KEY = ["input_id", "rule_id", "start_line", "end_line", "start_column", "end_column", "match", "secret", "decode_path"]

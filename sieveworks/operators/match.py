@@ -78,6 +78,9 @@ def positioned(hit: DataFrame, native: bool) -> DataFrame:
     """Source lines and positions in the original text (_text) of matches with offsets start and end."""
     text = F.col("_text")
     hit = hit.withColumns({"start": original_offset(F.col("start"), F.col("segments"), False), "end": original_offset(F.col("end"), F.col("segments"), True)})
+    if "owned_from" in hit.columns:
+        # A piece of a larger text: what begins elsewhere is another piece's.
+        hit = hit.where((F.col("start") >= F.col("owned_from")) & (F.col("start") < F.col("owned_to"))).drop("owned_from", "owned_to")
     start_line, start_column = line_and_column(text, F.col("start"), native)
     last_line, last_column = line_and_column(text, F.col("end") if native else F.col("end") - 1, native)
     if not native:

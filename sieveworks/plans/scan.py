@@ -1,8 +1,8 @@
 """The scan: content and a rule set to findings, as one lazy plan.
 
 content(path, text) may carry input_id, commit, author, email, date, message, symlink_file,
-provenance_type and start_line (of a fragment); what is missing is filled in. Steps: path allowlists and prefilters, candidate
-rules by keyword, matches, entropy, allowlists, inline marks, filters, required rules, unreported
+provenance_type and start_line (of a fragment); what is missing is filled in. Steps: path allowlists and prefilters, pieces of
+large texts, candidate rules by keyword, matches, entropy, allowlists, inline marks, filters, required rules, unreported
 rules, generic precedence. Only the last three shuffle, and only findings, never texts.
 """
 
@@ -23,18 +23,24 @@ from sieveworks.operators.filters import drop_allowed, drop_filtered, drop_inlin
 from sieveworks.operators.match import matches, rules_table
 from sieveworks.operators.randomness import scored
 from sieveworks.plans.dialect import to_java
+from sieveworks.sources.windows import AHEAD_BYTES, OVERLAP_BYTES, byte_fragments, windows
 
 from .ruleset import RuleSet
 
 
 @dataclass(frozen=True)
 class ScanOptions:
-    """mode: strict (byte columns, no detectors) or native (code-point columns, detectors, randomness)."""
+    """mode: strict (byte columns, no detectors) or native (code-point columns, detectors, randomness).
+    piece_bytes: texts that are larger are scanned in fragments (strict) or windows (native) of this size;
+    None scans every text whole. overlap_bytes: how far windows reach beyond their stretch, and fragments for
+    a blank line."""
 
     mode: str = "strict"
     max_target_bytes: int | None = None
     max_decode_depth: int = 0
     ignore_inline_marks: bool = False
+    piece_bytes: int | None = None
+    overlap_bytes: int | None = None
     fingerprint_format: tuple[str, str] = FINGERPRINT_FORMAT
 
     @property
@@ -64,6 +70,16 @@ def normal_content(content: DataFrame) -> DataFrame:
     return out.withColumn("source_line", first).select("input_id", "path", "text", *OPTIONAL, "source_line")
 
 
+def pieces(inputs: DataFrame, options: ScanOptions) -> DataFrame:
+    """Inputs whose large texts are cut into pieces; a piece's line counts on from its input's."""
+    first = inputs.withColumnRenamed("source_line", "first_line")
+    if options.native:
+        cut = windows(first, options.piece_bytes, OVERLAP_BYTES if options.overlap_bytes is None else options.overlap_bytes, deal=True)
+    else:
+        cut = byte_fragments(first, options.piece_bytes, AHEAD_BYTES if options.overlap_bytes is None else options.overlap_bytes, deal=True)
+    return cut.withColumn("source_line", F.col("source_line") + F.col("first_line") - 1).drop("fragment")
+
+
 def path_findings(content: DataFrame, rules: RuleSet) -> DataFrame:
     """A finding for each input whose path matches a rule that has a path pattern and nothing else, however
     large the input is, and without text too."""
@@ -79,16 +95,22 @@ def scan(content: DataFrame, rules: RuleSet, options: ScanOptions = ScanOptions(
     paths = inputs = drop_allowed_paths(normal_content(content), rules)
     if options.max_target_bytes is not None:
         inputs = inputs.where(F.octet_length("text") <= options.max_target_bytes)
+    if options.piece_bytes is not None:
+        inputs = pieces(inputs, options)
     passes = decoded_passes(inputs, options.max_decode_depth, options.native)
     found = matches(candidates(passes, rules), rules, options.native).drop("text")
     if options.native and any(r.detector for r in rules.rules):
         found = found.unionByName(detected(candidates(passes, rules), rules).drop("text"))
+    if options.piece_bytes is not None and options.native:
+        found = found.withColumns({f"{c}_column": F.col(f"{c}_column") + F.when(F.col(f"{c}_line") == 1, F.col("source_column") - 1).otherwise(0) for c in ("start", "end")})
     found = found.withColumns({c: F.col(c) + F.col("source_line") - 1 for c in ("start_line", "end_line")})
     found = settled(found, entropy=byte_entropy(F.col("secret")) if options.native else entropy(F.col("secret")))
     found = drop_low_entropy(found)
     found = drop_allowed(found, rules)
     if not options.ignore_inline_marks:
         found = drop_inline_allowed(found)
+        if options.piece_bytes is not None:
+            found = found.where(~F.array_contains("allowed_lines", F.col("start_line") - F.col("first_line") + 1))
     found = found.withColumn("tags", F.concat("tags", F.transform("decode_path", lambda d: F.concat(F.lit("decoded:"), d))))
     found = scored(found, options.native)
     if options.native:

@@ -472,6 +472,23 @@ def text_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fragments(documents(spark, sf_dir), 10_000, 2_500).select("path", "fragment", "start_offset", "start_line", F.length("text").alias("length"))
 
 
+#: A rule that many documents have matches of, some of them over line ends.
+_SPANNING = RuleSet((Rule("long-words", regex=r"[a-z]{9,}[\s,.;]+[a-z]{9,}"),))
+_SPAN_RX = _SPANNING.rules[0].regex
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '{_SPAN_RX}') AS m, string_split_regex(text, '{_SPAN_RX}') AS g FROM documents WHERE text IS NOT NULL),
+    e AS (SELECT doc_id, text, unnest(m) AS secret, unnest(g[1:len(m)]) AS gap, unnest(range(len(m))) AS i FROM d WHERE len(m) > 0),
+    p AS (SELECT *, (sum(length(gap) + length(secret)) OVER (PARTITION BY doc_id ORDER BY i) - length(secret))::BIGINT AS a FROM e)
+    SELECT doc_id AS input_id, secret, (1 + length(text[1:a]) - length(replace(text[1:a], chr(10), '')))::INT AS start_line, (1 + length(string_split(text[1:a], chr(10))[-1]))::INT AS start_column FROM p"""
+)
+def scan_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Windows of 3,000 bytes, so that cuts go through most documents.
+    options = ScanOptions(mode="native", piece_bytes=3_000, overlap_bytes=300)
+    return scan(documents(spark, sf_dir), _SPANNING, options).select("input_id", "secret", "start_line", "start_column")
+
+
 @query(
     f"""WITH {_TEXTS_SQL} SELECT path, sha1(path) AS commit, 'generic-api-key' AS rule_id, {_MD5} AS secret, 2 AS start_line, sha1(path) || ':' || path || ':generic-api-key:2' AS fingerprint
     FROM texts WHERE NOT contains(text, 'gitleaks:allow') AND {_FOUND}"""

@@ -119,7 +119,9 @@ def read_trufflehog(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_html(spark: SparkSession, path: str) -> DataFrame:
-    """The JSON summary that this library embeds in its HTML reports."""
-    body = F.regexp_extract("value", r'(?s)<script[^>]*id="report-summary"[^>]*>(.*?)</script>', 1)
-    rows = spark.read.text(path, wholetext=True).select(F.from_json(F.replace(body, F.lit("<\\/"), F.lit("</")), F.lit("array<struct<ruleId:string,file:string,startLine:int,fingerprint:string,severity:string>>")).alias("f"))
-    return rows.select(F.inline("f")).select(F.col("ruleId").alias("rule_id"), F.col("file").alias("path"), F.col("startLine").alias("start_line"), "fingerprint", "severity")
+    """The rows that this library's HTML reports carry as JSON, a line each."""
+    fields = "ruleId string, description string, file string, startLine int, endLine int, startColumn int, endColumn int, secret string, match string, commit string, author string, severity string, confidence string, validationState string, fingerprint string"
+    body = F.regexp_extract("value", r'^<script type="application/json" class="finding">(.*)</script>$', 1)
+    rows = spark.read.text(path).select(body.alias("json")).where("json <> ''").select(F.from_json("json", fields).alias("f")).select("f.*")
+    names = {"ruleId": "rule_id", "file": "path", "startLine": "start_line", "endLine": "end_line", "startColumn": "start_column", "endColumn": "end_column", "validationState": "validation_state"}
+    return rows.withColumnsRenamed(names)

@@ -4,7 +4,6 @@ that are one document are written row by row from a sorted iterator, never from
 from __future__ import annotations
 
 import csv
-import io
 import json
 from collections.abc import Callable, Iterator
 from typing import TextIO
@@ -77,7 +76,7 @@ def write_upstream_csv(findings: DataFrame, out: TextIO) -> None:
     for i, r in enumerate(sorted_rows(findings)):
         if not i:
             writer.writerow(columns + ["Link"] * linked)
-        writer.writerow([" ".join(v) if isinstance(v := getattr(r, UPSTREAM[c]), list) else v for c in columns] + [r.link or ""] * linked)
+        writer.writerow([" ".join(v) if isinstance(v := getattr(r, UPSTREAM[c]), list) else v for c in columns] + ([r.link or ""] if linked else []))
 
 
 def write_junit(findings: DataFrame, out: TextIO, name: str = "scan") -> None:
@@ -116,23 +115,33 @@ def write_quality(findings: DataFrame, out: TextIO) -> None:
     out.write("]\n")
 
 
+#: What HTML reports show of a finding, and the names under which read_html finds it.
+HTML = {
+    "ruleId": "rule_id", "description": "description", "file": "path", "startLine": "start_line", "endLine": "end_line", "startColumn": "start_column", "endColumn": "end_column", "secret": "secret", "match": "match",
+    "commit": "commit", "author": "author", "date": "date", "entropy": "entropy", "severity": "severity", "confidence": "confidence", "validationState": "validation_state", "provider": "provider", "fingerprint": "stable_fingerprint",
+}
+
+
 def write_html(findings: DataFrame, out: TextIO, title: str = "Findings") -> None:
-    """A page with a table, and the rows as JSON for read_html."""
-    summary = io.StringIO()
-    out.write(f"<!DOCTYPE html><html><head><meta charset=\"utf-8\"><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1><table><tr><th>Rule</th><th>File</th><th>Line</th><th>Severity</th></tr>\n")
-    for i, r in enumerate(sorted_rows(findings)):
-        out.write(f"<tr><td>{escape(r.rule_id)}</td><td>{escape(r.path)}</td><td>{r.start_line}</td><td>{escape(r.severity)}</td></tr>\n")
-        row = {"ruleId": r.rule_id, "file": r.path, "startLine": r.start_line, "fingerprint": r.stable_fingerprint, "severity": r.severity}
-        summary.write(("" if not i else ",") + json.dumps(row))
-    out.write('</table><script type="application/json" id="report-summary">[' + summary.getvalue().replace("</", "<\\/") + "]</script></body></html>\n")
+    """A page with a table of all fields in HTML, whose rows carry them as JSON for read_html. Rows go out one
+    by one; the driver holds none but the current."""
+    out.write(f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1>\n')
+    levels = findings.groupBy("severity").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "severity").toLocalIterator()
+    out.write("<ul>" + "".join(f"<li>{escape(r.severity or '')}: {r.n}</li>" for r in levels) + "</ul>\n<table><tr>" + "".join(f"<th>{k}</th>" for k in HTML) + "</tr>\n")
+    for r in sorted_rows(findings):
+        row = {k: getattr(r, v) for k, v in HTML.items()}
+        data = json.dumps(row, ensure_ascii=False).replace("<", "\\u003c")
+        cells = "".join(f"<td>{escape('' if v is None else str(v))}</td>" for v in row.values())
+        out.write(f"<tr>{cells}</tr>\n<script type=\"application/json\" class=\"finding\">{data}</script>\n")
+    out.write("</table></body></html>\n")
 
 
 def write_toon(findings: DataFrame, out: TextIO) -> None:
     """Token-oriented rows: a header with the number of rows and the fields, then a line for each."""
-    fields = ["rule_id", "path", "start_line", "severity", "stable_fingerprint"]
+    fields = list(HTML.values())
     out.write(f"findings[{findings.count()}]{{{','.join(fields)}}}:\n")
     for r in sorted_rows(findings):
-        cells = [str(getattr(r, f)) for f in fields]
+        cells = ["" if (v := getattr(r, f)) is None else str(v) for f in fields]
         out.write("  " + ",".join(json.dumps(c) if any(x in c for x in ',"\n:') else c for c in cells) + "\n")
 
 
