@@ -6,6 +6,7 @@ inputs by keyword, and Arrow batches carry only those to Python.
 
 from __future__ import annotations
 
+import base64
 import bisect
 import json
 import re
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from sieveworks.plans.ruleset import RuleSet
 
 from .match import RULES_SCHEMA, positioned, rules_table
+from .yaml_index import yaml_mappings
 
 MAX_DEPTH, MAX_LINE = 64, 64 << 10
 Span = tuple[int, int, str]
@@ -167,24 +169,39 @@ def aws_key_pair(text: str) -> Iterator[Span]:
             yield m.start(), m.end(), value
 
 
+def _kubernetes_values(text: str) -> Iterator[tuple[str, int, int, str]]:
+    """(section, start, end, value) of the values under data and stringData of mappings whose kind is Secret,
+    whole documents or items of lists, in block and flow form; aliases are not expanded."""
+    mappings = yaml_mappings(text)
+    secrets = {m.number for m in mappings if any(k == "kind" and v == "Secret" for k, v, _, _ in m.values)}
+    for m in mappings:
+        if m.parent in secrets and m.key in ("data", "stringData"):
+            for _, value, start, end in m.values:
+                if value.strip() and not _PLACEHOLDER.match(value):
+                    yield m.key, start, end, value
+
+
 def kubernetes_secret(text: str) -> Iterator[Span]:
-    """Values under data and stringData of the YAML documents whose kind is Secret."""
-    at = 0
-    for doc in re.split(r"(?m)(^---[^\n]*\n)", text):
-        if re.search(r"(?m)^[ \t]*(?:-[ \t]+)?kind:[ \t]*[\"']?Secret[\"']?[ \t]*$", doc):
-            inside = -1
-            for m in re.finditer(r"(?m)^([ \t]*)(?:-[ \t]+)?([\w.-]+):[ \t]*([^\n]*)$", doc):
-                indent = len(m[1])
-                if m[2] in ("data", "stringData") and not m[3].strip():
-                    inside = indent
-                elif inside >= 0 and indent <= inside:
-                    inside = -1
-                elif inside >= 0:
-                    value = m[3].strip().strip("\"'")
-                    if value and value[0] not in "*&|>{[#" and not _PLACEHOLDER.match(value):
-                        start = at + doc.index(value, m.start(3))
-                        yield start, start + len(value), value
-        at += len(doc)
+    """Values of Kubernetes secrets as they stand there: under data in base64."""
+    for _, start, end, value in _kubernetes_values(text):
+        yield start, end, value
+
+
+def kubernetes_secret_decoded(text: str) -> Iterator[Span]:
+    """Values of Kubernetes secrets in plain text: those under data decoded. What is no base64 is no value of
+    data; what is no text when decoded stays as it stands."""
+    for section, start, end, value in _kubernetes_values(text):
+        if section == "data":
+            try:
+                raw = base64.b64decode("".join(value.split()), validate=True)
+            except ValueError:
+                continue
+            try:
+                value = raw.decode()
+            except UnicodeDecodeError:
+                pass
+        if value and not _PLACEHOLDER.match(value):
+            yield start, end, value
 
 
 def npmrc_auth(text: str) -> Iterator[Span]:
@@ -201,6 +218,7 @@ FUNCTIONS = {
     "jwk": jwk,
     "gcp-service-account": gcp_service_account,
     "kubernetes-secret": kubernetes_secret,
+    "kubernetes-secret-decoded": kubernetes_secret_decoded,
     "npmrc-auth": npmrc_auth,
     "aws-key-pair": aws_key_pair,
 }

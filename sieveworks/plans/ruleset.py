@@ -17,7 +17,7 @@ from .shapes import assigned_rule, token_rule
 
 VERSION = "8.30.1"
 MAX_RULES, MAX_EXTEND, MAX_BYTES = 10_000, 2, 10 << 20
-DETECTORS = ("password-assignment", "codex-auth", "docker-auth", "gcp-service-account", "jwk", "mcp-config", "kubernetes-secret", "npmrc-auth", "aws-key-pair")
+DETECTORS = ("password-assignment", "kubernetes-secret-decoded", "codex-auth", "docker-auth", "gcp-service-account", "jwk", "mcp-config", "kubernetes-secret", "npmrc-auth", "aws-key-pair")
 
 
 class RuleError(ValueError):

@@ -472,6 +472,50 @@ def text_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fragments(documents(spark, sf_dir), 10_000, 2_500).select("path", "fragment", "start_offset", "start_line", F.length("text").alias("length"))
 
 
+#: A YAML text for each customer, in four forms, and where its secret begins.
+_YAML = """CASE c_custkey % 4 WHEN 0 THEN concat('apiVersion: v1\ndata:\n  password: ', base64(encode(md5(cast(c_custkey as string)), 'UTF-8')), '\nkind: Secret\n')
+    WHEN 1 THEN concat('kind: List\nitems:\n- kind: ConfigMap\n  data: {a: no}\n- kind: Secret\n  stringData:\n    note: &n |-\n      ', md5(cast(c_custkey as string)), '\n    other: *n\n')
+    WHEN 2 THEN concat('{kind: Secret, stringData: {"token": "', md5(cast(c_custkey as string)), '"}}')
+    ELSE concat('kind: ExternalSecret\nstringData:\n  password: ', md5(cast(c_custkey as string)), '\n') END"""
+_DETECTED = default_rules().enable(["kubernetes-secret"])
+
+
+@query(
+    """SELECT c_custkey AS input_id, md5(c_custkey::VARCHAR) AS secret, [3, 8, 1][c_custkey % 4 + 1] AS start_line, [13, 7, 39][c_custkey % 4 + 1] AS start_column,
+    CASE WHEN c_custkey % 4 = 0 THEN base64(encode(md5(c_custkey::VARCHAR))) ELSE md5(c_custkey::VARCHAR) END AS match FROM customer WHERE c_custkey % 4 < 3"""
+)
+def yaml_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("input_id"), F.concat(F.col("c_custkey").cast("string"), F.lit(".yaml")).alias("path"), F.expr(_YAML).alias("text"))
+    found = scan(rows, _DETECTED, ScanOptions(mode="native"))
+    return found.select("input_id", "secret", "start_line", "start_column", "match")
+
+
+#: For each customer one input of each of the nine detectors, and its secret, by the customer's digest h.
+_INPUTS = {
+    "password-assignment": ("x.txt", """concat('db_password = "', h, '"\n')""", "h"),
+    "aws-key-pair": ("aws.txt", "concat('AKIA', substr(translate(upper(h), '0189', 'GHIJ'), 1, 16), '\n', h, 'AbCd/+Ef')", "h || 'AbCd/+Ef'"),
+    "docker-auth": (".docker/config.json", """concat('{"auths": {"r.example.org": {"auth": "', h, '"}}}')""", "h"),
+    "npmrc-auth": (".npmrc", "concat('//registry.example.org/:_authToken=', h, '\n')", "h"),
+    "kubernetes-secret": ("s.yml", "concat('kind: Secret\nstringData:\n  a: ', h, 'x')", "h || 'x'"),
+    "gcp-service-account": (
+        "gcp.json",
+        """concat('{"type": "service_account", "project_id": "p", "private_key_id": "', h, '", "private_key": "k", "client_email": "e", "client_id": "1", "auth_uri": "a", "token_uri": "t", "auth_provider_x509_cert_url": "u", "client_x509_cert_url": "v"}')""",
+        """'{"type": "service_account", "project_id": "p", "private_key_id": "' || h || '", "private_key": "k", "client_email": "e", "client_id": "1", "auth_uri": "a", "token_uri": "t", "auth_provider_x509_cert_url": "u", "client_x509_cert_url": "v"}'""",
+    ),
+    "codex-credentials": ("auth.json", """concat('{"tokens": {"access_token": "', h, '", "account": "x"}}')""", "h"),
+    "jwk-private-key": ("jwk.json", """concat('{"kty": "OKP", "crv": "Ed25519", "x": "eA", "d": "', h, '"}')""", "h"),
+    "mcp-server-credential": ("mcp.json", """concat('{"mcpServers": {"one": {"env": {"LEVEL": "debug", "API_KEY": "', h, '"}}}}')""", "h"),
+}
+
+
+@query(" UNION ALL ".join(f"SELECT c_custkey || '/{path}' AS path, '{rule}' AS rule_id, {secret} AS secret FROM (SELECT c_custkey, md5(c_custkey::VARCHAR) AS h FROM customer)" for rule, (path, _, secret) in _INPUTS.items()))
+def all_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").selectExpr("cast(c_custkey as string) as id", "md5(cast(c_custkey as string)) as h")
+    kinds = F.array(*[F.struct(F.concat("id", F.lit(f"/{path}")).alias("path"), F.expr(text).alias("text")) for path, text, _ in _INPUTS.values()])
+    rules = default_rules().enable(list(_INPUTS))
+    return scan(rows.select(F.inline(kinds)), rules, ScanOptions(mode="native")).select("path", "rule_id", "secret")
+
+
 #: A rule that many documents have matches of, some of them over line ends.
 _SPANNING = RuleSet((Rule("long-words", regex=r"[a-z]{9,}[\s,.;]+[a-z]{9,}"),))
 _SPAN_RX = _SPANNING.rules[0].regex
