@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,30 +13,44 @@ SECURITY_SEVERITY = {"critical": "8.0", "high": "7.0", "medium": "5.0", "low": "
 FINGERPRINT_FORMAT = ("sieve:v1:", "sieve.finding.fingerprint.v1")
 
 
+def _entropy_of(sizes: Column, n: Column) -> Column:
+    """Shannon entropy in bits of shares sizes / n, which need not add up to one; 0 where n is 0. n is bound
+    once, and a size is read once."""
+
+    def bits(size: Column) -> Column:
+        p = size / n
+        return -p * F.log2(p)
+
+    return F.when(n > 0, F.aggregate(F.transform(sizes, bits), F.lit(0.0), lambda a, b: a + b)).otherwise(F.lit(0.0))
+
+
+def _once(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of a value that is computed once, however often fn refers to it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def entropy(s: Column, per_byte_length: bool = True) -> Column:
     """Shannon entropy of the code points of s in bits. per_byte_length divides the counts by the
-    UTF-8 length, as strict mode does; otherwise by the number of code points. Empty text has 0."""
-    n = (F.octet_length(s) if per_byte_length else F.char_length(s)).cast("double")
-    chars = F.array_distinct(F.split(s, ""))
+    UTF-8 length, as strict mode does; otherwise by the number of code points. Empty text has 0. The
+    characters are sorted and their runs counted, so that long texts cost no more than sorting them."""
 
-    def part(c: Column) -> Column:
-        p = (F.char_length(s) - F.char_length(F.replace(s, c, F.lit("")))) / n
-        return F.when(p > 0, -p * F.log2(p)).otherwise(0.0)
+    def measured(t: Column) -> Column:
+        n = (F.octet_length(t) if per_byte_length else F.char_length(t)).cast("double")
+        runs = F.regexp_extract_all(F.array_join(F.array_sort(F.split(t, "")), ""), F.lit(r"(?s)(.)\1*+"), F.lit(0))
+        return _once(n, lambda m: _entropy_of(F.transform(runs, lambda r: F.char_length(r).cast("double")), m))
 
-    return F.when(n > 0, F.aggregate(F.transform(chars, part), F.lit(0.0), lambda a, b: a + b)).otherwise(F.lit(0.0))
+    return _once(s, measured)
 
 
 def byte_entropy(s: Column) -> Column:
-    """Shannon entropy of the UTF-8 bytes of s in bits."""
-    h = F.hex(s.cast("binary"))
-    n = F.octet_length(s)
-    codes = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.substring(h, i * 2 + 1, F.lit(2)))
+    """Shannon entropy of the UTF-8 bytes of s in bits; bytes are sorted by their two hexadecimal digits."""
 
-    def part(c: Column) -> Column:
-        p = F.size(F.filter(codes, lambda x: x == c)) / n.cast("double")
-        return -p * F.log2(p)
+    def measured(t: Column) -> Column:
+        codes = F.regexp_extract_all(F.hex(t.cast("binary")), F.lit(".."), F.lit(0))
+        runs = F.regexp_extract_all(F.array_join(F.array_sort(codes), ""), F.lit(r"(..)\1*+"), F.lit(0))
+        return _once(F.octet_length(t).cast("double"), lambda m: _entropy_of(F.transform(runs, lambda r: F.char_length(r) / 2.0), m))
 
-    return F.when(n > 0, F.aggregate(F.transform(F.array_distinct(codes), part), F.lit(0.0), lambda a, b: a + b)).otherwise(F.lit(0.0))
+    return _once(s, measured)
 
 
 def sha256(s: Column) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from sieveworks.storage import materialize
+
 TOP, VIEW = 8, 10
 SEARCHED = ("rule_id", "path", "fingerprint", "severity", "confidence", "validation_state")
 
@@ -76,7 +78,22 @@ def log_levels(lines: DataFrame) -> DataFrame:
 
 def nearest_rank(values: DataFrame, column: str, percents: list[float]) -> DataFrame:
     """A row (percent, value) for each percentile by the nearest-rank method: the least value that at
-    least that share of the values does not exceed. Spark counts equal values before it merges them."""
-    ranks = [F.expr(f"percentile_disc({p / 100.0}) WITHIN GROUP (ORDER BY {column})").alias(f"p{i}") for i, p in enumerate(percents)]
-    pairs = ", ".join(f"{float(p)}D, p{i}" for i, p in enumerate(percents))
-    return values.agg(*ranks).selectExpr(f"stack({len(percents)}, {pairs}) as (percent, value)")
+    least that share of the values does not exceed; null without values. Nulls are no values.
+
+    Equal values are counted first, then dealt into ranges. The driver gets one sum for each range, finds
+    the ranges that hold the ranks, and only those are counted through, each by a task of its own."""
+    spark = values.sparkSession
+    counted = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    ranges = materialize(counted.orderBy("value")).withColumn("range", F.spark_partition_id())
+    sums = {r["range"]: r["n"] for r in ranges.groupBy("range").agg(F.sum("n").alias("n")).collect()}
+    total, before, wanted = sum(sums.values()), 0, []
+    ranks = {p: max(1, -(-total * int(round(p * 10**6)) // 10**8)) for p in percents}
+    for at in sorted(sums):
+        wanted += [(float(p), at, rank - before) for p, rank in ranks.items() if before < rank <= before + sums[at]]
+        before += sums[at]
+    asked = F.broadcast(spark.createDataFrame(wanted, "percent double, range int, rank long"))
+    upto = F.sum("n").over(Window.partitionBy("range").orderBy("value"))
+    held = ranges.where(F.col("range").isin([w[1] for w in wanted])).withColumn("upto", upto)
+    found = held.join(asked, "range").where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
+    every = spark.createDataFrame([(float(p),) for p in percents], "percent double")
+    return every.join(found.select("percent", "value"), "percent", "left")

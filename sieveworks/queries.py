@@ -20,6 +20,7 @@ from sieveworks.plans.predicates import compile_predicate
 from sieveworks.plans.ruleset import Allowlist, Required, Rule, RuleSet, default_rules
 from sieveworks.plans.scan import ScanOptions, normal_content, scan
 from sieveworks.sources.content import fragments, table_content
+from sieveworks.sources.ignores import drop_ignored_paths
 from sieveworks.sources.patches import patch_content
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -253,6 +254,18 @@ def path_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.drop_allowed_paths(seed(spark, sf_dir), rules).select("finding_id")
 
 
+#: Ignore files of a tree of made-up paths.
+_IGNORES = [(".gitignore", "*.png\n!f1.png\n/src/7/\nsrc/*/f3.*\n"), ("src/.gitignore", "8/\n!8/f0.txt\n"), ("src/9/.gitignore", "!*.png\nf2.txt\n!f3.txt\n")]
+
+
+@query(
+    f"""WITH {_SEED_SQL} SELECT finding_id FROM seed WHERE NOT (path LIKE 'src/7/%' OR path LIKE 'src/8/%' OR path LIKE 'src/9/f2.txt'
+    OR path NOT LIKE 'src/9/%' AND (path LIKE '%.png' AND path NOT LIKE '%/f1.png' OR path LIKE '%/f3.%'))"""
+)
+def ignored_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_ignored_paths(seed(spark, sf_dir), spark.createDataFrame(_IGNORES, "path string, text string")).select("finding_id")
+
+
 _PREDICATE = '(path_is || finding.severity == "low") && !(finding.secret matches "^[0-9]") && finding.start_column >= 5'.replace("path_is", 'source.path ends_with ".png"')
 
 

@@ -12,6 +12,8 @@ from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ignores import IGNORE_FILES, drop_ignored_paths
+
 #: Bytes that decide whether a file is binary.
 PROBE = 8000
 # Leading bytes of media and archive formats.
@@ -59,6 +61,73 @@ def is_binary(content: Column, native: bool) -> Column:
     return F.coalesce(media_type(content) == "application", F.lit(False))
 
 
+_LINK = pa.schema([("path", pa.string()), ("target", pa.string()), ("folder", pa.bool_())])
+
+
+def links(spark: SparkSession, root: str) -> DataFrame:
+    """A row (path, target, folder) for each link under a local root, its path and its target, resolved to the
+    end, relative to the root. The target is null for links out of the root, to nothing, and in circles.
+    Folders are dealt over tasks like those of a listing."""
+    top = os.path.realpath(_absolute(root).removeprefix("file://"))
+    seeds, level = [], [""]
+    found: list[tuple[str, str, bool]] = []
+
+    def look(folder: str) -> tuple[list[tuple[str, str, bool]], list[str]]:
+        rows, below = [], []
+        with os.scandir(os.path.join(top, folder)) as entries:
+            for e in entries:
+                path = f"{folder}/{e.name}" if folder else e.name
+                if e.is_symlink():
+                    try:
+                        real = os.path.realpath(e.path, strict=True)
+                    except OSError:
+                        real = ""
+                    inside = real == top or real.startswith(top.rstrip("/") + "/")
+                    rows.append((path, real[len(top) :].strip("/") if inside else None, os.path.isdir(real)))
+                elif e.is_dir(follow_symlinks=False):
+                    below.append(path)
+        return rows, below
+
+    while level and len(level) + len(seeds) < LISTED_FOLDERS:
+        rows, below = look(level.pop(0))
+        found += rows
+        level += below
+    seeds += level
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for folder in b.column(0).to_pylist():
+                todo = [folder]
+                while todo:
+                    rows, below = look(todo.pop())
+                    todo += below
+                    yield pa.RecordBatch.from_pylist([dict(zip(_LINK.names, r, strict=True)) for r in rows], schema=_LINK)
+
+    out = spark.createDataFrame(found, "path string, target string, folder boolean")
+    if seeds:
+        dealt = spark.createDataFrame([(d,) for d in seeds], "folder string").repartition(len(seeds))
+        out = out.union(dealt.mapInArrow(walk, "path string, target string, folder boolean"))
+    return out
+
+
+def followed(spark: SparkSession, root: str) -> DataFrame:
+    """The listing of a local tree with symlink_file: the first, in order, of the links inside the root that lead
+    to a file, by itself or through a linked folder above it; empty for files that no link leads to. Since
+    whatever a link may lead to is in the tree, each file is listed once, under its own path, and circles
+    end by themselves; what is outside is refused. One link is followed on a path, not links below links."""
+    files = listing(spark, root)
+    known = links(spark, root)
+    files = files.join(known.select("path").where("not folder"), "path", "left_anti")
+    parts = F.split("path", "/", -1)
+    # The file itself, its folders, and the root.
+    above = F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/")))
+    # Links without a target meet nothing.
+    reached = files.select("path", F.explode(above).alias("target")).join(known.withColumnRenamed("path", "link"), "target")
+    name = F.when(F.col("folder"), F.concat("link", F.lit("/"), F.substring("path", F.when(F.col("target") == "", 1).otherwise(F.char_length("target") + 2), F.char_length("path")))).otherwise(F.col("link"))
+    named = reached.groupBy("path").agg(F.min(name).alias("symlink_file"))
+    return files.join(named, "path", "left").withColumn("symlink_file", F.coalesce("symlink_file", F.lit("")))
+
+
 #: Folders among which the listing of a tree is dealt; above them the driver lists.
 LISTED_FOLDERS = 64
 
@@ -132,11 +201,21 @@ def _contents(root: str):
     return run
 
 
-def file_content(spark: SparkSession, root: str, native: bool = False, max_bytes: int | None = None, ignore: list[str] | None = None) -> DataFrame:
+def ignore_files(files: DataFrame, root: str, names: tuple[str, ...] = IGNORE_FILES) -> DataFrame:
+    """The ignore files of a listing, as (path, text)."""
+    found = files.where(F.substring_index("path", "/", -1).isin(list(names))).select("path", "location")
+    return found.mapInArrow(_contents(_absolute(root)), "path string, content binary, length long").select("path", F.col("content").cast("string").alias("text"))
+
+
+def file_content(spark: SparkSession, root: str, native: bool = False, max_bytes: int | None = None, ignore: list[str] | None = None, ignored_by: tuple[str, ...] = (), follow: bool = False) -> DataFrame:
     """The files under a root, hidden ones included. Sizes and ignored paths are settled before contents
     are read. Rows: path (relative), text, length, sha256 of the original bytes. Binary files and those of
-    more than max_bytes have no text, so that only rules of paths apply to them; the latter are not read."""
-    files = listing(spark, root)
+    more than max_bytes have no text, so that only rules of paths apply to them; the latter are not read.
+    ignored_by: names of ignore files that are honoured wherever they stand in the tree, as in IGNORE_FILES.
+    follow: files that links lead to have the link as symlink_file; see followed()."""
+    files = followed(spark, root) if follow else listing(spark, root)
+    if ignored_by:
+        files = drop_ignored_paths(files, ignore_files(files, root, ignored_by), ignored_by)
     for rx, keep in ignore_patterns(ignore or []):
         files = files.withColumn("_skip", F.when(F.regexp_like("path", F.lit(rx)), F.lit(not keep)).otherwise(F.col("_skip") if "_skip" in files.columns else F.lit(False)))
     if "_skip" in files.columns:
@@ -144,13 +223,14 @@ def file_content(spark: SparkSession, root: str, native: bool = False, max_bytes
     fits = F.col("length") <= max_bytes if max_bytes is not None else F.lit(True)
     read = files.where(fits).select("path", "location")
     read = read.mapInArrow(_contents(_absolute(root)), "path string, content binary, length long")
+    names = files.select("path", "symlink_file") if follow else None
     text = F.coalesce(utf16_text(F.col("content")), F.col("content").cast("string")) if native else F.col("content").cast("string")
     text = F.when(~is_binary(F.col("content"), native), text)
     out = read.select("path", text.alias("text"), "length", F.sha2("content", 256).alias("blob_sha256"), F.lit("file").alias("provenance_type"))
-    if max_bytes is None:
-        return out
-    nothing = F.lit(None).cast("string")
-    return out.union(files.where(~fits).select("path", nothing, "length", nothing, F.lit("file")))
+    if max_bytes is not None:
+        nothing = F.lit(None).cast("string")
+        out = out.union(files.where(~fits).select("path", nothing, "length", nothing, F.lit("file")))
+    return out.join(names, "path") if follow else out
 
 
 def ignore_patterns(lines: list[str]) -> list[tuple[str, bool]]:
