@@ -12,6 +12,7 @@ beforehand. Long vocabularies are cut into spans of chunks, so that tiles of few
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ LEAST_DOCUMENTS, TOP_TERMS = 10, 10
 #: Sources of a block, terms of a vocabulary chunk, chunks of a span, on average.
 BLOCK, CHUNK, SPAN = 32, 4096, 16
 #: Counts that a task holds before it sends them on.
-HELD = 1 << 17
+HELD = 1 << 19
 #: Shares are out of so many; a product with it is formed in three steps of BASE, as it passes 64 bits.
 SCALE, BASE = 10**9, 1000
 
@@ -38,31 +39,27 @@ COUNTS = "lang string, source string, term binary, n long, docs long"
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (lang, source, term, n, docs) of one task's documents, several times for a term where it holds
     more than HELD counts."""
-    held: dict[tuple[str, str], dict[bytes, list[int]]] = {}
+    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
     size = 0
 
     def send() -> Iterator[pa.RecordBatch]:
-        for (lang, source), terms in held.items():
-            n = len(terms)
-            names = [pa.DictionaryArray.from_arrays(pa.array(np.zeros(n, np.int32)), pa.array([x])).dictionary_decode() for x in (lang, source)]
-            counts = np.array(list(terms.values()), np.int64).reshape(n, 2)
-            yield pa.RecordBatch.from_arrays([*names, pa.array(list(terms), pa.binary()), pa.array(counts[:, 0]), pa.array(counts[:, 1])], names=["lang", "source", "term", "n", "docs"])
+        for (lang, source), (n, docs) in held.items():
+            terms = list(n)
+            names = [pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(terms), np.int32)), pa.array([x])).dictionary_decode() for x in (lang, source)]
+            counts = [pa.array(np.fromiter(map(c.__getitem__, terms), np.int64, len(terms))) for c in (n, docs)]
+            yield pa.RecordBatch.from_arrays([*names, pa.array(terms, pa.binary()), *counts], names=["lang", "source", "term", "n", "docs"])
         held.clear()
 
     for b in batches:
         for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-            group = held.setdefault((lang, source), {})
-            size -= len(group)
-            once: dict[bytes, int] = {}
-            for t in _TERM.findall(text.as_buffer().to_pybytes().lower()):
-                once[t] = once.get(t, 0) + 1
-            for t, n in once.items():
-                if (v := group.get(t)) is None:
-                    group[t] = [n, 1]
-                else:
-                    v[0] += n
-                    v[1] += 1
-            size += len(group)
+            if (group := held.get((lang, source))) is None:
+                group = held[lang, source] = Counter(), Counter()
+            n, docs = group
+            size -= len(n)
+            words = _TERM.findall(text.as_buffer().to_pybytes().lower())
+            n.update(words)
+            docs.update(set(words))
+            size += len(n)
             if size > HELD:
                 yield from send()
                 size = 0
@@ -80,18 +77,22 @@ def _quotient(a: Column, b: Column) -> Column:
 
 
 def share(n: Column, total: Column, v: Column) -> Column:
-    """1 + floor(SCALE * (n + 2) / (total + 2 * v)) in 64 bits, by long division in steps of BASE."""
+    """1 + floor(SCALE * (n + 2) / (total + 2 * v)) in 64 bits: at once where the product fits, else by long
+    division in steps of BASE."""
     # Without kept terms there is no share; the divisor is 1 so that nothing divides by zero.
     whole = F.greatest(total + 2 * v, F.lit(1).cast("long"))
     out, rest = F.lit(0).cast("long"), n + 2
     for _ in range(3):
         scaled = rest * BASE
         out, rest = out * BASE + _quotient(scaled, whole), scaled % whole
-    return out + 1
+    fits = n < (1 << 63) // SCALE - 2
+    return F.when(fits, _quotient((n + 2) * SCALE, whole)).otherwise(out) + 1
 
 
 def shares(n: np.ndarray, whole: np.ndarray) -> np.ndarray:
     """The same for arrays; whole is total + 2 * v, or 1."""
+    if n.size and n.max() < (1 << 63) // SCALE - 2:
+        return (n + 2) * SCALE // whole + 1
     out, rest = np.zeros(np.broadcast_shapes(n.shape, whole.shape), np.int64), n + 2
     for _ in range(3):
         digit, rest = np.divmod(rest * BASE, whole)
