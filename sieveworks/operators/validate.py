@@ -9,6 +9,8 @@ from sieveworks.plans.dialect import to_java
 from sieveworks.plans.ruleset import RuleSet, default_rules
 from sieveworks.plans.shapes import FORM
 
+from .structure import STRUCTURE, structure_state
+
 UNKNOWN, VALID, TEST, INVALID = "unknown", "structurally-valid", "test-credential", "invalid"
 _TEST = r"(?i)(?:^(?:sk|rk)_test_|EXAMPLE$|^(?:AKIA)?(?:0{8,}|1234567890))"
 
@@ -42,10 +44,21 @@ def state_of(rule_id: Column, secret: Column, rules: RuleSet) -> Column:
     return F.when(rule_id == "jwt", jwt_state(secret)).when(form.isNotNull(), shaped).otherwise(UNKNOWN)
 
 
-def validate(findings: DataFrame, rules: RuleSet | None = None) -> DataFrame:
+def checks(rules: RuleSet) -> dict[str, str]:
+    """rule id -> the structural check that it names, if any."""
+    return {r.id: v.removeprefix(STRUCTURE) for r in rules.rules for v in r.validation if v.startswith(STRUCTURE)}
+
+
+def validate(findings: DataFrame, rules: RuleSet | None = None, structure: bool = False) -> DataFrame:
     """findings with validation_state, by the forms that their rule set states (by default, the library's
-    pack): unknown where there is no form to hold the secret against."""
-    return findings.withColumn("validation_state", state_of(F.col("rule_id"), F.col("secret"), rules or default_rules()))
+    pack): unknown where there is no form to hold the secret against. With structure, rules that name a
+    structural check go by that check, of secret and match, instead."""
+    rules = rules or default_rules()
+    state = state_of(F.col("rule_id"), F.col("secret"), rules)
+    if structure and (named := checks(rules)):
+        kind = F.try_element_at(F.map_from_arrays(F.array(*map(F.lit, named)), F.array(*map(F.lit, named.values()))), F.col("rule_id"))
+        state = F.coalesce(structure_state(kind, F.col("secret"), F.col("match")), state)
+    return findings.withColumn("validation_state", state)
 
 
 # What to do about a finding, by the first part of its rule id.
