@@ -22,6 +22,7 @@ from sieveworks.plans.scan import ScanOptions, normal_content, scan
 from sieveworks.sources.content import fragments, table_content
 from sieveworks.sources.ignores import drop_ignored_paths
 from sieveworks.sources.patches import patch_content
+from sieveworks.sources.reports import from_trufflehog
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -475,6 +476,24 @@ def percentile_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triage.nearest_rank(table(spark, sf_dir, "orders"), "o_totalprice", [50, 95])
 
 
+#: Findings as another scanner writes them, with their fields at different depths, by the order's number.
+_FOREIGN = """CASE o_orderkey % 4
+    WHEN 0 THEN concat('{"DetectorName": "AWS", "Verified": true, "SourceMetadata": {"Data": {"Git": {"commit": "c', cast(o_custkey as string), '", "file": "src/', cast(o_orderkey as string), '", "line": ', cast(o_custkey + 1 as string), '}}}}')
+    WHEN 1 THEN concat('{"detectorName": "", "DetectorDescription": "Some key", "sourceMetadata": [{"a": {"file": ""}}, {"b": [{"FileName": "f', cast(o_orderkey as string), '", "line_number": "', cast(o_custkey + 1 as string), '", "Col": 7}]}]}')
+    WHEN 2 THEN concat('{"DetectorName": "Slack", "verified": false, "file": "top', cast(o_orderkey as string), '", "Line": ', cast(o_custkey + 1 as string), ', "Fingerprint": "fp', cast(o_orderkey as string), '"}')
+    ELSE concat('{"DetectorName": "X", "SourceMetadata": {"z": {"path": "deep"}, "path": "near', cast(o_orderkey as string), '", "line": -1, "y": {"line": {"no": 1}, "startLine": ', cast(o_custkey + 1 as string), '}}}') END"""
+
+
+@query(
+    """SELECT CASE k WHEN 0 THEN 'AWS' WHEN 1 THEN 'Some key' WHEN 2 THEN 'Slack' ELSE 'X' END AS rule_id, path, (o_custkey + 1)::INT AS start_line, CASE k WHEN 1 THEN 7 ELSE 0 END AS start_column,
+    CASE k WHEN 0 THEN 'active' ELSE 'unknown' END AS validation_state, CASE k WHEN 0 THEN 'c' || o_custkey ELSE '' END AS commit,
+    CASE k WHEN 0 THEN 'AWS:' || path || ':' || (o_custkey + 1) WHEN 1 THEN 'Some key:' || path || ':' || (o_custkey + 1) WHEN 2 THEN 'fp' || o_orderkey ELSE 'X:' || path || ':' || (o_custkey + 1) END AS fingerprint
+    FROM (SELECT *, o_orderkey % 4 AS k, CASE o_orderkey % 4 WHEN 0 THEN 'src/' WHEN 1 THEN 'f' WHEN 2 THEN 'top' ELSE 'near' END || o_orderkey AS path FROM orders)"""
+)
+def foreign_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return from_trufflehog(table(spark, sf_dir, "orders").select(F.expr(_FOREIGN).alias("value")))
+
+
 # Decoding, detectors, fragments and patches.
 
 _MD5 = "md5(input_id::VARCHAR)"

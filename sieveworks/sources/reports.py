@@ -4,7 +4,10 @@ reports of other scanners."""
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,18 +107,125 @@ def read_quality(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("check_name").alias("rule_id"), F.col("location.path").alias("path"), F.col("location.lines.begin").alias("start_line"), "fingerprint", "severity")
 
 
+#: How deep fields are looked for in the metadata of other scanners' findings.
+FIELD_DEPTH = 16
+
+
+def first_field(node: object, names: set[str], accept: Callable[[object], object]) -> object:
+    """The first value, depth first, of a field with one of these names (in lower case) that accept() does not
+    turn into None: an object's own fields come before those of its parts."""
+    todo = [(node, 0)]
+    while todo:
+        x, depth = todo.pop()
+        if isinstance(x, dict):
+            for k, v in x.items():
+                if k.lower() in names and (found := accept(v)) is not None:
+                    return found
+        if depth < FIELD_DEPTH and isinstance(x, dict | list):
+            todo += [(v, depth + 1) for v in reversed(list(x.values()) if isinstance(x, dict) else x)]
+    return None
+
+
+def _word(v: object) -> str | None:
+    """A scalar as text; None for empty text, nothing and collections."""
+    return (json.dumps(v) if isinstance(v, bool | int | float) else v if isinstance(v, str) else None) or None
+
+
+def _positive(v: object) -> int | None:
+    if isinstance(v, str) and v.strip().lstrip("+").isascii() and v.strip().lstrip("+").isdigit():
+        v = int(v)
+    return v if isinstance(v, int) and not isinstance(v, bool) and 0 < v < 1 << 31 else None
+
+
+def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The fields of other scanners' findings, a JSON object each; text that is no object gives none."""
+    names = ["rule_id", "path", "start_line", "start_column", "commit", "fingerprint", "validation_state"]
+    for b in batches:
+        rows = []
+        for text in b.column(0).to_pylist():
+            try:
+                data = json.loads(text)
+            except ValueError:
+                continue
+            if not isinstance(data, dict):
+                continue
+            own = {k.lower(): v for k, v in reversed(data.items())}
+            meta = own.get("sourcemetadata")
+            rule = _word(own.get("detectorname")) or _word(own.get("detectordescription")) or "unknown"
+            path = first_field(meta, {"file", "path", "filename"}, _word) or _word(own.get("file")) or ""
+            line = first_field(meta, {"line", "line_number", "linenumber", "startline"}, _positive) or _positive(own.get("line")) or 0
+            column = first_field(meta, {"column", "col", "startcolumn", "start_column"}, _positive) or _positive(own.get("startcolumn")) or _positive(own.get("column")) or 0
+            commit = first_field(meta, {"commit"}, _word) or ""
+            print_ = _word(own.get("fingerprint")) or f"{rule}:{path}:{line}"
+            rows.append((rule, path, line, column, commit, print_, "active" if own.get("verified") is True else "unknown"))
+        types = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+
+
+def from_trufflehog(rows: DataFrame) -> DataFrame:
+    """Findings of another scanner, one JSON object in each row's value. Detector, file, line and column come
+    from wherever the metadata has them; the fingerprint is made of them where there is none."""
+    return rows.select("value").where("trim(value) <> ''").mapInArrow(_scanned, "rule_id string, path string, start_line int, start_column int, commit string, fingerprint string, validation_state string")
+
+
 def read_trufflehog(spark: SparkSession, path: str) -> DataFrame:
-    """JSON Lines of another scanner: detector, file and line from wherever its metadata has them, and a
-    fingerprint made of the three."""
-    raw = spark.read.text(path).where("trim(value) <> ''")
-    data = "$.SourceMetadata.Data"
-    kinds = ("Git", "Github", "Gitlab", "Filesystem")
-    first = lambda name: F.coalesce(*[F.get_json_object("value", f"{data}.{k}.{name}") for k in kinds], F.lit(""))
-    rows = raw.select(
-        F.coalesce(F.get_json_object("value", "$.DetectorName"), F.lit("")).alias("rule_id"), first("file").alias("path"), F.coalesce(first("line").try_cast("int"), F.lit(0)).alias("start_line"),
-        first("commit").alias("commit"), F.when(F.get_json_object("value", "$.Verified") == "true", "active").otherwise("unknown").alias("validation_state"),
-    )
-    return rows.withColumn("fingerprint", F.concat_ws(":", "rule_id", "path", F.col("start_line").cast("string")))
+    """JSON Lines, an array, or an object with an array of results, of another scanner. Lines are read one
+    by one; a document is parsed by the JVM into its elements."""
+    if not _one_document(spark, path):
+        return from_trufflehog(spark.read.text(path))
+    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"^[\ufeff\s]+", "").alias("value"))
+    results = F.coalesce(F.get_json_object("value", "$.results"), F.get_json_object("value", "$.Results"))
+    elements = F.when(F.startswith("value", F.lit("[")), F.col("value")).otherwise(F.coalesce(results, F.concat(F.lit("["), "value", F.lit("]"))))
+    return from_trufflehog(whole.select(F.explode(F.from_json(elements, "array<string>")).alias("value")))
+
+
+def _head(spark: SparkSession, path: str, lines: int = 200, chars: int = 1 << 16) -> str:
+    """The beginning of a report: its first lines, cut to so many characters each on the way to the driver."""
+    rows = spark.read.text(path).select(F.substring("value", 1, chars).alias("value")).limit(lines).collect()
+    return "\n".join(r.value for r in rows)[:chars].lstrip("\ufeff \t\r\n")
+
+
+def _one_document(spark: SparkSession, path: str) -> bool:
+    """Whether a report is one JSON document, and not a document on each line."""
+    head = _head(spark, path)
+    first = head.split("\n", 1)[0].strip()
+    if head.startswith("["):
+        return True
+    try:
+        json.loads(first)
+    except ValueError:
+        return True
+    return not head.split("\n", 1)[1:] or not head.split("\n", 1)[1].strip()
+
+
+def kind_of(spark: SparkSession, path: str) -> str:
+    """Which kind of report a file is, by its beginning: html, sarif, quality, trufflehog, upstream, own or
+    jsonl (own findings line by line)."""
+    head = _head(spark, path)
+    if head.startswith("<"):
+        return "html"
+    if not head.startswith(("{", "[")):
+        raise ValueError(f"no report: {path}")
+    has = lambda *names: any(re.search(rf'"{n}"\s*:', head) for n in names)
+    if has("DetectorName", "detectorName", "DetectorDescription", "detectorDescription") or has("SourceMetadata", "sourceMetadata") and has("Raw", "raw", "RawV2", "Redacted", "redacted"):
+        return "trufflehog"
+    if has("runs") and (has("version", r"\$schema") or path.lower().endswith(".sarif")):
+        return "sarif"
+    if head.startswith("["):
+        return "quality" if has("check_name") else "upstream"
+    return "own" if _one_document(spark, path) and has("findings") else "jsonl" if has("ruleId") else "upstream"
+
+
+SUMMARY = {"rule_id": "string", "path": "string", "start_line": "int", "start_column": "int", "fingerprint": "string", "severity": "string", "confidence": "string", "validation_state": "string"}
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """The findings of a report of any kind that kind_of() knows, in the columns of SUMMARY; text that a kind
+    does not have is empty, numbers are 0."""
+    readers = {"html": read_html, "sarif": read_sarif, "quality": read_quality, "trufflehog": read_trufflehog, "upstream": read_upstream, "jsonl": read_findings, "own": lambda s, p: read_findings(s, p, multi_line=True)}
+    rows = readers[kind_of(spark, path)](spark, path)
+    nothing = {"int": F.lit(0)}
+    return rows.select(*[F.coalesce(F.col(c).cast(t) if c in rows.columns else F.lit(None).cast(t), nothing.get(t, F.lit(""))).alias(c) for c, t in SUMMARY.items()])
 
 
 def read_html(spark: SparkSession, path: str) -> DataFrame:
