@@ -20,6 +20,7 @@ from sieveworks.plans.predicates import compile_predicate
 from sieveworks.plans.ruleset import Allowlist, Required, Rule, RuleSet, default_rules
 from sieveworks.plans.scan import ScanOptions, normal_content, scan
 from sieveworks.sources.content import fragments, table_content
+from sieveworks.sources.gittree import changes
 from sieveworks.sources.ignores import drop_ignored_paths
 from sieveworks.sources.patches import patch_content
 from sieveworks.sources.reports import from_trufflehog
@@ -366,6 +367,29 @@ def snapshot_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate.merge_snapshots(rows).select("finding_id", "position", "provenance_type")
 
 
+_TREE = """i AS (SELECT 'f' || o_orderkey AS path, o_orderkey % 11 = 0 AS added, o_orderkey % 13 = 0 AS conflict, o_orderkey % 17 = 0 AS skipped, sha1((o_orderkey + (o_orderkey % 3 = 0)::INT)::VARCHAR) AS oid FROM orders WHERE o_orderkey % 5 <> 0),
+    h AS (SELECT 'f' || o_orderkey AS path, sha1(o_orderkey::VARCHAR) AS oid FROM orders WHERE o_orderkey % 7 <> 0),
+    w AS (SELECT 'f' || o_orderkey AS path, sha1((o_orderkey + 2 * (o_orderkey % 4 = 0)::INT)::VARCHAR) AS oid FROM orders WHERE o_orderkey % 6 <> 0)"""
+
+
+@query(
+    f"""WITH {_TREE} SELECT path, 'staged' AS status, i.oid FROM i LEFT JOIN h USING (path) WHERE NOT added AND NOT conflict AND NOT skipped AND h.oid IS DISTINCT FROM i.oid
+    UNION ALL SELECT path, 'changed', w.oid FROM i JOIN w USING (path) WHERE conflict OR NOT skipped AND (added OR i.oid <> w.oid)
+    UNION ALL SELECT path, 'untracked', oid FROM w WHERE path NOT IN (SELECT path FROM i)"""
+)
+def git_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").withColumn("path", F.concat(F.lit("f"), F.col("o_orderkey").cast("string")))
+    is_ = lambda n: F.col("o_orderkey") % n == 0
+    blob = lambda moved: F.sha1((F.col("o_orderkey") + moved).cast("string").cast("binary"))
+    mode = F.lit(0o100644)
+    # Files in conflict have three entries.
+    stages = F.explode(F.when(is_(13), F.array(*map(F.lit, (1, 2, 3)))).otherwise(F.array(F.lit(0))))
+    index = rows.where(~is_(5)).select("path", mode.alias("mode"), blob(is_(3).cast("int")).alias("oid"), stages.alias("stage"), is_(17).alias("skipped"), is_(11).alias("added"))
+    head = rows.where(~is_(7)).select("path", mode.alias("mode"), blob(F.lit(0)).alias("oid"))
+    files = rows.where(~is_(6)).select("path", mode.alias("mode"), blob(2 * is_(4).cast("int")).alias("oid"))
+    return changes(index, head, files)
+
+
 @query(f"WITH {_SEED_SQL} SELECT path, rule_id, secret, min(finding_id) AS first FROM seed GROUP BY input_id, path, rule_id, start_line, end_line, start_column, end_column, match, secret")
 def fragment_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Here the path is a part of the position, too.
