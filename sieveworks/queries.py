@@ -7,6 +7,7 @@ both engines understand (SEED, TEXTS): made up, but the same on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,8 @@ from sieveworks.sources.gittree import changes
 from sieveworks.sources.ignores import drop_ignored_paths
 from sieveworks.sources.patches import patch_content
 from sieveworks.sources.reports import from_trufflehog
+from sieveworks.storage import shared_dir
+from sieveworks.streaming.resume import scan_resumable
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -132,6 +135,21 @@ def scan_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("input_id", "path", "secret", "start_line", "start_column", "end_column", "fingerprint")
 
 
+@query(
+    f"""WITH hits AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_RX}', 0)) AS m, unnest(regexp_extract_all(text, '{_RX}', 1)) AS s FROM documents),
+    scored AS (SELECT doc_id, CASE WHEN s = '' THEN m ELSE s END AS secret FROM hits), e AS (SELECT *, {_ENTROPY.format(s="secret")} AS entropy FROM scored)
+    SELECT 'documents/' || doc_id AS path, secret FROM e WHERE entropy > {_LEAST} AND {_secret_sql("secret")}"""
+)
+def resumed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stopped after three of eight parts, then gone on with; a part reads its own documents only."""
+    docs = documents(spark, sf_dir)
+    inputs = docs.select("input_id", "path")
+    load = lambda rows: docs.join(rows.select("path"), "path", "left_semi")
+    out = f"{shared_dir(spark).rstrip('/')}/resumed-{uuid.uuid4().hex}"
+    scan_resumable(inputs, load, GENERIC, out, parts=8, stop_after=3)
+    return scan_resumable(inputs, load, GENERIC, out, parts=8).select("path", "secret")
+
+
 _SEVERAL = default_rules().enable(["generic-api-key", "url-password", "jwt", "airtable-pat", "mailchimp-key"])
 _CANDIDATES = " UNION ALL ".join(
     f"SELECT doc_id AS input_id, '{r.id}' AS rule_id FROM documents WHERE {' OR '.join(f"contains(lower(text), '{k}')" for k in r.keywords)}" for r in _SEVERAL.rules

@@ -207,13 +207,14 @@ def ignore_files(files: DataFrame, root: str, names: tuple[str, ...] = IGNORE_FI
     return found.mapInArrow(_contents(_absolute(root)), "path string, content binary, length long").select("path", F.col("content").cast("string").alias("text"))
 
 
-def file_content(spark: SparkSession, root: str, native: bool = False, max_bytes: int | None = None, ignore: list[str] | None = None, ignored_by: tuple[str, ...] = (), follow: bool = False) -> DataFrame:
+def file_content(spark: SparkSession, root: str, native: bool = False, max_bytes: int | None = None, ignore: list[str] | None = None, ignored_by: tuple[str, ...] = (), follow: bool = False, listed: DataFrame | None = None) -> DataFrame:
     """The files under a root, hidden ones included. Sizes and ignored paths are settled before contents
     are read. Rows: path (relative), text, length, sha256 of the original bytes. Binary files and those of
     more than max_bytes have no text, so that only rules of paths apply to them; the latter are not read.
     ignored_by: names of ignore files that are honoured wherever they stand in the tree, as in IGNORE_FILES.
-    follow: files that links lead to have the link as symlink_file; see followed()."""
-    files = followed(spark, root) if follow else listing(spark, root)
+    follow: files that links lead to have the link as symlink_file; see followed(). listed: rows of a
+    listing of the root, to read these only."""
+    files = listed if listed is not None else followed(spark, root) if follow else listing(spark, root)
     if ignored_by:
         files = drop_ignored_paths(files, ignore_files(files, root, ignored_by), ignored_by)
     for rx, keep in ignore_patterns(ignore or []):
