@@ -25,6 +25,7 @@ from sieveworks.sources.gittree import changes
 from sieveworks.sources.ignores import drop_ignored_paths
 from sieveworks.sources.patches import patch_content
 from sieveworks.sources.reports import from_trufflehog
+from sieveworks.sources.signatures import signature_type
 from sieveworks.storage import shared_dir
 from sieveworks.streaming.resume import scan_resumable
 
@@ -611,6 +612,20 @@ def all_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(rows.select(F.inline(kinds)), rules, ScanOptions(mode="native")).select("path", "rule_id", "secret")
 
 
+#: The beginnings of made-up files, as hexadecimal digits, and what they are.
+_HEADS = [
+    ("89504E470D0A1A0A", "image"), ("504B0304", "application"), ("25504446", "application"), ("1F8B08", "application"), ("494433", "audio"), ("524946460000000057415645", "audio"), ("524946460000000041564920", "video"),
+    ("000000206674797069736F6D", "video"), ("0000001066747970686569630000000000", "image"), ("502A4D180200000061622" + "8B52FFD", "application"), ("1A45DFA3A342828477656" + "26D00", "video"), ("1A45DFA300000000", None), ("68656C6C6F", None),
+]
+
+
+@query(f"SELECT o_orderkey AS input_id, [{', '.join(f"'{t}'" if t else 'NULL' for _, t in _HEADS)}][o_orderkey % {len(_HEADS)} + 1] AS media FROM orders")
+def media_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = F.get(F.array(*[F.lit(h) for h, _ in _HEADS]), (F.col("o_orderkey") % len(_HEADS)).cast("int"))
+    content = F.unhex(F.concat(head, F.hex("o_orderpriority")))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("input_id"), signature_type(content).alias("media"))
+
+
 #: A rule that many documents have matches of, some of them over line ends.
 _SPANNING = RuleSet((Rule("long-words", regex=r"[a-z]{9,}[\s,.;]+[a-z]{9,}"),))
 _SPAN_RX = _SPANNING.rules[0].regex

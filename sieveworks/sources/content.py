@@ -13,17 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ignores import IGNORE_FILES, drop_ignored_paths
+from .signatures import signature_type
 
 #: Bytes that decide whether a file is binary.
 PROBE = 8000
-# Leading bytes of media and archive formats.
-SIGNATURES = {
-    "application": ["504B0304", "504B0506", "1F8B08", "425A68", "FD377A585A00", "377ABCAF271C", "28B52FFD", "52617221", "25504446", "7F454C46", "4D5A", "CAFEBABE", "0061736D", "53514C69746520666F726D6174203300"],
-    "image": ["89504E470D0A1A0A", "FFD8FF", "47494638", "424D", "49492A00", "4D4D002A"],
-    "audio": ["494433", "664C6143", "4F676753"],
-    "video": ["1A45DFA3", "000001BA"],
-    "font": ["774F4646", "774F4632", "00010000", "4F54544F"],
-}
 
 
 def table_content(df: DataFrame, key: str, text: str, prefix: str) -> DataFrame:
@@ -31,20 +24,6 @@ def table_content(df: DataFrame, key: str, text: str, prefix: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("input_id"), F.concat(F.lit(f"{prefix}/"), F.col(key).cast("string")).alias("path"), F.col(text).cast("string").alias("text"))
 
 
-def media_type(content: Column) -> Column:
-    """The kind of a binary format by its first bytes; image, video, audio and font go before application."""
-    head = F.hex(F.substring(content, 1, 16))
-    out = F.lit(None).cast("string")
-    for kind in ("application", "font", "audio", "video", "image"):
-        hit = F.lit(False)
-        for s in SIGNATURES[kind]:
-            hit = hit | F.startswith(head, F.lit(s))
-        out = F.when(hit, kind).otherwise(out)
-    riff = F.startswith(head, F.lit("52494646"))
-    out = F.when(riff & (F.substring(head, 17, 8) == "57454250"), "image").when(riff & (F.substring(head, 17, 8) == "57415645"), "audio").otherwise(out)
-    return F.when(F.substring(head, 9, 8) == "66747970", "video").otherwise(out)
-
-
 def utf16_text(content: Column) -> Column:
     """Bytes with a UTF-16 byte-order mark, decoded; null without one."""
     head = F.hex(F.substring(content, 1, 2))
@@ -58,7 +37,7 @@ def is_binary(content: Column, native: bool) -> Column:
     if native:
         marked = F.hex(F.substring(content, 1, 2)).isin("FFFE", "FEFF")
         return ~marked & F.contains(F.substring(content, 1, PROBE), F.lit(b"\0"))
-    return F.coalesce(media_type(content) == "application", F.lit(False))
+    return F.coalesce(signature_type(content) == "application", F.lit(False))
 
 
 _LINK = pa.schema([("path", pa.string()), ("target", pa.string()), ("folder", pa.bool_())])
