@@ -180,8 +180,13 @@ def format_of(path: str) -> str | None:
     return next((f for s, f in sorted(SUFFIXES.items(), key=lambda kv: -len(kv[0])) if low.endswith(s)), None)
 
 
-def write_reports(findings: DataFrame, targets: dict[str, str]) -> None:
-    """Several reports of one scan, {format: path}: the findings are computed once."""
+def write_reports(findings: DataFrame, targets: dict[str, str], template: str | None = None) -> None:
+    """Several reports of one scan, {format: path}: the findings are computed once. The format template
+    takes the text of one."""
+    from .templates import write_template
+
+    if "template" in targets and template is None:
+        raise ValueError("a report by a template needs the template")
     kept = findings.persist()
     try:
         for kind, path in targets.items():
@@ -189,6 +194,6 @@ def write_reports(findings: DataFrame, targets: dict[str, str]) -> None:
                 {"jsonl": write_jsonl, "parquet": write_parquet}[kind](kept, path)
             else:
                 with open(path, "w", encoding="utf-8") as out:
-                    DOCUMENTS[kind](kept, out)
+                    write_template(kept, out, template) if kind == "template" else DOCUMENTS[kind](kept, out)
     finally:
         kept.unpersist()
