@@ -91,16 +91,19 @@ _TAG = re.compile(
 _CDATA = re.compile(r"<!\[CDATA\[", re.I)
 #: One attribute after the other: its whole name, and its value, quoted or not.
 _ATTR = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_TOLD = re.compile(r"class|\bid|role|hidden", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
     """An element: its tag, what its attributes say, and its children, elements or strings."""
 
-    __slots__ = ("children", "cls", "role", "tag")
+    __slots__ = ("children", "cls", "holds", "role", "tag")
 
     def __init__(self, tag: str, cls: str = "", role: str = ""):
         self.tag, self.cls, self.role = tag, cls, role
+        #: Whether it is a block or has one below it; other inline elements belong to their parent's text.
+        self.holds = False
         self.children: list[Node | str] = []
 
     @property
@@ -149,31 +152,10 @@ def _unescaped(text: str, mark: str) -> str:
     return text.replace(mark, "<") if mark else text
 
 
-class _Open(list):
-    """The elements that are open, outermost first, and where in the list each tag and the blocks stand."""
-
-    def __init__(self, root: Node):
-        super().__init__([root])
-        self.places: dict[str, list[int]] = {}
-        self.blocks: list[int] = []
-
-    def push(self, n: Node) -> None:
-        self.places.setdefault(n.tag, []).append(len(self))
-        if n.tag in BLOCKS or n.tag == "button":
-            self.blocks.append(len(self))
-        self.append(n)
-
-    def cut(self, i: int) -> None:
-        """Close the i-th element and all in it."""
-        for n in self[i:]:
-            self.places[n.tag].pop()
-        while self.blocks and self.blocks[-1] >= i:
-            self.blocks.pop()
-        del self[i:]
-
-    def last(self, tags: set[str]) -> int:
-        """Where the innermost of these is open; 0 if there is none."""
-        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+#: Elements whose places among the open ones are kept: 1, blocks and buttons, which a paragraph does not
+#: reach beyond; 2, parts of lists and tables, which close each other.
+_PLACED = dict.fromkeys(BLOCKS | {"button"}, 1)
+_PLACED |= {t: _PLACED.get(t, 0) | 2 for t in set().union(*CLOSES.values(), *SCOPES.values())}
 
 
 def parse(page: str, mark: str = "") -> Node:
@@ -182,40 +164,67 @@ def parse(page: str, mark: str = "") -> Node:
     if not mark and page.rfind("<!") > (end := page.rfind("]]>")) and _CDATA.search(page, max(end, 0)):
         return parse(*whole_tags(page))
     root = Node("html")
-    stack, at = _Open(root), 0
+    root.holds = True
+    # The open elements, outermost first; how many there are of a tag; where the blocks are, and where the
+    # parts of lists and tables are by their tags.
+    stack, opened, blocks, places = [root], {}, [], {}
+    at = 0
+
+    def cut(i: int) -> None:
+        """Close the i-th open element and all in it."""
+        for n in stack[i:]:
+            opened[n.tag] -= 1
+            if (placed := _PLACED.get(n.tag, 0)) & 2:
+                places[n.tag].pop()
+            if placed & 1:
+                blocks.pop()
+        del stack[i:]
+
+    def innermost(tags: set[str]) -> int:
+        return max((p[-1] for t in tags if (p := places.get(t))), default=0)
+
     for m in _TAG.finditer(page):
-        if m[0] == "<":
+        start, after = m.span()
+        if after - start == 1:
             if not mark:
                 return parse(*whole_tags(page))
             continue
-        if m.start() > at:
-            stack[-1].children.append(_unescaped(page[at : m.start()], mark))
-        at = m.end()
+        if start > at:
+            text = page[at:start]
+            stack[-1].children.append(_unescaped(text, mark) if "&" in text or mark else text)
+        at = after
         tag = m[3]
         if tag is None:
-            if m[1] is None and m[0].startswith("<![CDATA["):
-                stack[-1].children.append(m[0][9:-3].replace(mark, "<") if mark else m[0][9:-3])
+            if page[start : start + 9] == "<![CDATA[" and m[1] is None:
+                text = page[start + 9 : after - 3]
+                stack[-1].children.append(text.replace(mark, "<") if mark else text)
             continue
         tag = tag.lower()
         if m[2]:
-            if i := stack.last({tag}):
-                stack.cut(i)
+            if opened.get(tag):
+                i = len(stack) - 1
+                while stack[i].tag != tag:
+                    i -= 1
+                # The root is never closed.
+                if i:
+                    cut(i)
             continue
         if tag in ("html", "body") and any(n.tag == tag for n in stack[:3]):
             continue
         if tag in CLOSES_P:
-            if stack.blocks and stack[stack.blocks[-1]].tag == "p":
-                stack.cut(stack.blocks[-1])
+            if blocks and stack[blocks[-1]].tag == "p":
+                cut(blocks[-1])
         elif tag in CLOSES:
-            while (i := stack.last(CLOSES[tag])) > stack.last(SCOPES[tag]):
-                stack.cut(i)
+            while (i := innermost(CLOSES[tag])) > innermost(SCOPES[tag]):
+                cut(i)
                 if tag not in ("tr", "td", "th", "tbody", "tfoot"):
                     break
         if tag == "body":
-            stack.cut(1)
+            cut(1)
         cls = role = ""
-        if m[4] and len(m[4]) > 1:
-            for a in _ATTR.finditer(m[4]):
+        said = m[4]
+        if said and _TOLD.search(said):
+            for a in _ATTR.finditer(said):
                 value = a[2] or a[3] or a[4] or ""
                 name = a[1].lower()
                 if name == "role":
@@ -226,8 +235,20 @@ def parse(page: str, mark: str = "") -> Node:
                     cls = f"{cls} {value.lower()}".strip()
         node = Node(tag, cls, role)
         stack[-1].children.append(node)
-        if tag not in VOID and not (m[4] and m[4].endswith("/") and tag not in BLOCKS):
-            stack.push(node)
+        if tag in BLOCKS:
+            node.holds = True
+            for n in reversed(stack):
+                if n.holds:
+                    break
+                n.holds = True
+        if tag not in VOID and not (said and said[-1] == "/" and tag not in BLOCKS):
+            opened[tag] = opened.get(tag, 0) + 1
+            if placed := _PLACED.get(tag, 0):
+                if placed & 1:
+                    blocks.append(len(stack))
+                if placed & 2:
+                    places.setdefault(tag, []).append(len(stack))
+            stack.append(node)
     if at < len(page):
         stack[-1].children.append(_unescaped(page[at:], mark))
     return root
@@ -264,24 +285,6 @@ def _is_article(n: Node) -> bool:
     return n.tag in ("article", "main") or n.role in ("main", "article")
 
 
-def _block_holders(root: Node) -> set[int]:
-    """The ids of the elements that are blocks or have one below them; other inline elements belong to their
-    parent's text. Every element is seen once."""
-    out, todo = set(), [root]
-    above: dict[int, Node] = {}
-    while todo:
-        x = todo.pop()
-        for c in x.children:
-            if not isinstance(c, str):
-                above[id(c)] = x
-                todo.append(c)
-        if x.tag in BLOCKS:
-            while x is not None and id(x) not in out:
-                out.add(id(x))
-                x = above.get(id(x))
-    return out
-
-
 def _digest(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
 
@@ -300,14 +303,14 @@ class Tree:
 
     @classmethod
     def of(cls, body: Node) -> Tree:
-        t, parents, holders = cls(), [], _block_holders(body)
+        t, parents = cls(), []
         todo = [(body, -1, False, False)]
         while todo:
             n, parent, inside, said = todo.pop()
             said = said or boilerplate(n, inside)
             inside = inside or _is_article(n)
             at = len(t.nodes)
-            kids = [] if _unit(n) else [c for c in n.children if isinstance(c, Node) and c.tag not in SKIPPED and id(c) in holders]
+            kids = [] if _unit(n) else [c for c in n.children if isinstance(c, Node) and c.tag not in SKIPPED and c.holds]
             if kids or n.tag in UNITS:
                 text = "\n".join(blocks([n], inside, {id(c) for c in kids}))
                 links = linked_words(n, kids) if text else 0
@@ -341,6 +344,8 @@ class Tree:
                 path.pop()
             path.append((self.ends[i], hash((path[-1][1] if path else 0, self.keys[i]))))
             self.spots[i] = hash((path[-1][1], self.digests[i])) or 1 if self.words[i] else 0
+        #: The elements with words that HTML does not call boilerplate.
+        self.spoken = [i for i in range(n) if self.words[i] and not self.said[i]]
         #: shape -> (key, shapes of the children, number of elements)
         self.shaped: dict[int, tuple[str, tuple[int, ...], int]] = {}
         for i in range(n - 1, -1, -1):
@@ -371,6 +376,9 @@ class Tree:
 
 def inline_text(n: Node, inside: bool) -> tuple[str, int]:
     """The text of an element without blocks below it, as blocks() gives it, and how many of its words are linked."""
+    if len(n.children) == 1 and isinstance(n.children[0], str):
+        words = n.children[0].split()
+        return " ".join(words), len(words) * (n.tag == "a")
     parts: list[str] = []
     linked, todo = 0, [(c, n.tag == "a") for c in reversed(n.children)]
     while todo:
@@ -861,15 +869,16 @@ def _alignments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for ref, raw in enumerate(raws.as_py()):
                 r = trees[raw]
                 seen = Aligner(r, t).matched()
-                found, equal = [], set()
+                there, here = r.digests, t.digests
+                alike_at = {i: j for i, j in seen.items() if there[i] == here[j]}
+                equal = set(alike_at.values())
+                found = []
                 for i, j in seen.items():
-                    same = r.digests[i] == t.digests[j]
-                    if same:
-                        equal.add(j)
                     if r.words[i] or t.words[j]:
+                        same = i in alike_at
                         found.append((i, same, same or _framed(r.texts[i], t.texts[j]), t.words[j], t.links[j]))
-                rest = "\n".join(r.texts[i] for i in range(len(r.keys)) if r.words[i] and not r.said[i] and seen.get(i, -1) not in equal)
-                other = "\n".join(t.texts[j] for j in range(len(t.keys)) if t.words[j] and not t.said[j] and j not in equal)
+                rest = "\n".join([r.texts[i] for i in r.spoken if i not in alike_at])
+                other = "\n".join([t.texts[j] for j in t.spoken if j not in equal])
                 own = alike(pairs[other], pairs[rest])
                 key = frozenset(equal)
                 if key not in known:
