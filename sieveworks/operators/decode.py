@@ -17,10 +17,12 @@ from urllib.parse import unquote_to_bytes
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: How encoded stretches look, in the order in which they are tried. Fixed names: the tags of findings.
 ENCODINGS = {
-    "percent": re.compile(r"(?:[\w.~-]*%[0-9A-Fa-f]{2})+[\w.~-]*"),
+    # From the beginning of a run of plain characters on, so that a long one is read once.
+    "percent": re.compile(r"(?<![\w.~-])(?:[\w.~-]*+%[0-9A-Fa-f]{2})++[\w.~-]*+"),
     "unicode": re.compile(r"(?:\\u[0-9A-Fa-f]{4}|U\+[0-9A-Fa-f]{4,6} ?)+"),
     "hex": re.compile(r"(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{2}){8,}(?![0-9A-Za-z])"),
     "base64": re.compile(r"(?<![\w/+])(?=[\w/+=-]{16})[\w/+-]{14,}={0,2}(?![\w/+=])"),
@@ -28,7 +30,6 @@ ENCODINGS = {
 CONCAT = re.compile(r'"(?:[^"\\\n]|\\.)*"(?:\s*\+\s*"(?:[^"\\\n]|\\.)*")+|(?i:string)\.Concat\(\s*"(?:[^"\\\n]|\\.)*"(?:\s*,\s*"(?:[^"\\\n]|\\.)*")+\s*\)')
 _LITERAL = re.compile(r'"((?:[^"\\\n]|\\.)*)"')
 MIN_CONCAT = 8
-PASS = "input_id long, path string, text string, commit string, author string, email string, date string, message string, symlink_file string, provenance_type string, source_line int, decode_path array<string>, original string, segments array<struct<start:int,end:int,from:int,to:int>>"
 
 
 def _plain(b: bytes) -> str | None:
@@ -119,7 +120,7 @@ def compose(first: list[tuple[int, int, int, int]], then: list[tuple[int, int, i
     return sorted(out)
 
 
-def _passes(depth: int, native: bool):
+def _passes(depth: int, native: bool, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
@@ -133,14 +134,13 @@ def _passes(depth: int, native: bool):
                     segments = compose(segments, new)
                     path = path + [k for k in kinds if k not in path]
                     rows.append(row | {"text": text, "decode_path": path, "original": row["text"], "segments": [dict(zip(("start", "end", "from", "to"), s, strict=True)) for s in segments]})
-            yield pa.RecordBatch.from_pylist(rows, _ARROW) if rows else pa.RecordBatch.from_pylist([], _ARROW)
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
     return run
 
 
 _TEXTS = ["path", "text", "commit", "author", "email", "date", "message", "symlink_file", "provenance_type"]
-_SEGMENT = pa.struct([(n, pa.int32()) for n in ("start", "end", "from", "to")])
-_ARROW = pa.schema([("input_id", pa.int64()), *[(t, pa.string()) for t in _TEXTS], ("source_line", pa.int32()), ("decode_path", pa.list_(pa.string())), ("original", pa.string()), ("segments", pa.list_(_SEGMENT))])
+_SEGMENT = "struct<start:int,end:int,from:int,to:int>"
 
 
 def decoded_passes(inputs: DataFrame, depth: int, native: bool) -> DataFrame:
@@ -150,7 +150,14 @@ def decoded_passes(inputs: DataFrame, depth: int, native: bool) -> DataFrame:
         return inputs.withColumns(
             {"decode_path": F.array().cast("array<string>"), "original": F.lit(None).cast("string"), "segments": F.expr("cast(array() as array<struct<start:int,end:int,from:int,to:int>>)")}
         )
-    return inputs.withColumn("input_id", F.col("input_id").cast("long")).select("input_id", *_TEXTS, "source_line").mapInArrow(_passes(depth, native), PASS)
+    inputs = inputs.withColumn("input_id", F.col("input_id").cast("long"))
+    # What pieces of large texts know of themselves goes along.
+    rest = [f for f in inputs.schema if f.name not in ("input_id", *_TEXTS)]
+    read = inputs.select("input_id", *_TEXTS, *[f.name for f in rest])
+    fields = ["input_id long", *[f"{t} string" for t in _TEXTS], *[f"`{f.name}` {f.dataType.simpleString()}" for f in rest], "decode_path array<string>", "original string", f"segments array<{_SEGMENT}>"]
+    kinds = {f.name: to_arrow_type(f.dataType) for f in read.schema}
+    schema = pa.schema([*kinds.items(), ("decode_path", pa.list_(pa.string())), ("original", pa.string()), ("segments", pa.list_(pa.struct([(n, pa.int32()) for n in ("start", "end", "from", "to")])))])
+    return read.mapInArrow(_passes(depth, native, schema), ", ".join(fields))
 
 
 def original_offset(offset: Column, segments: Column, end: bool) -> Column:

@@ -654,3 +654,58 @@ def git_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     content = patch_content(texts(spark, sf_dir).select(patch.alias("text")))
     return scan(content, GENERIC).select("path", "commit", "rule_id", "secret", "start_line", "fingerprint")
+
+
+#: Each customer's text in one of six encodings, the last of them nested; and the tags of what is found.
+_CODED = {
+    "decoded:percent": "regexp_replace(hex(line), '(..)', '%$1')",
+    "decoded:unicode": "regexp_replace(hex(line), '(..)', '\\\\\\\\u00$1')",
+    "decoded:hex": "concat('x ', lower(hex(line)))",
+    "decoded:base64": "base64(encode(line, 'UTF-8'))",
+    "decoded:base64,decoded:percent": "concat(substr(base64(encode(line, 'UTF-8')), 1, 20), '%', hex(substr(base64(encode(line, 'UTF-8')), 21, 1)), substr(base64(encode(line, 'UTF-8')), 22))",
+    "decoded:hex,decoded:base64": r"regexp_replace(base64(encode(concat('- ', hex(line)), 'UTF-8')), '\\s', '')",
+}
+
+
+@query(
+    f"""WITH c AS (SELECT c_custkey AS input_id, md5(c_custkey::VARCHAR) AS secret, c_custkey % 6 AS k FROM customer)
+    SELECT input_id, secret, 1 AS start_line, CASE WHEN k = 2 THEN 3 ELSE 1 END AS start_column, [{', '.join(f"'{','.join(sorted(t.split(',')))}'" for t in _CODED)}][k + 1] AS tags FROM c
+    WHERE {_ENTROPY.format(s="secret")} > {_LEAST} AND {_secret_sql("secret")}"""
+)
+def decode_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey AS input_id", "concat('api_token = \"', md5(cast(c_custkey as string)), '\"') AS line")
+    text = "CASE input_id % 6 " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(_CODED.values())) + " END"
+    coded = rows.select("input_id", F.lit("a.txt").alias("path"), F.expr(text).alias("text"))
+    found = scan(coded, GENERIC, ScanOptions(mode="native", max_decode_depth=4))
+    return found.select("input_id", "secret", "start_line", "start_column", F.array_join(F.array_sort("tags"), ",").alias("tags"))
+
+
+#: Every rule of the pack that goes by keywords alone: too many for the JVM's search one by one.
+_BY_WORDS = default_rules().enable([r.id for r in default_rules().rules if r.regex and r.keywords and not r.path and not r.detector and not r.prefilter])
+
+
+@query("WITH low AS MATERIALIZED (SELECT doc_id, lower(text) AS t FROM documents) " + " UNION ALL ".join(f"SELECT doc_id AS input_id, '{r.id}' AS rule_id FROM low WHERE {' OR '.join(f"contains(t, '{k}')" for k in r.keywords)}" for r in _BY_WORDS.rules))
+def keyword_candidates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = candidates.candidates(normal_content(documents(spark, sf_dir)), _BY_WORDS)
+    names = F.array(*[F.lit(r.id) for r in _BY_WORDS.rules])
+    return found.select("input_id", F.get(names, F.col("rule_at")).alias("rule_id"))
+
+
+#: Two commits: one adds a file in two hunks, the other changes a line of it and adds a file.
+_PATCHES = """concat(
+    'commit ', sha1(concat('1', p)), '\nAuthor: A B <a@example.org>\nDate:   2024-01-01T00:00:00Z\n\n    first\n\ndiff --git a/', p, ' b/', p, '\nnew file mode 100644\n--- /dev/null\n+++ b/', p,
+    '\n@@ -0,0 +1,2 @@\n+one\n+api_token = "', h, '"\n@@ -10,2 +20,3 @@ def f():\n context\n+api_token = "', reverse(h), '"\n more\n',
+    'commit ', sha1(concat('2', p)), '\nAuthor: C D <c@example.org>\nDate:   2024-02-01T00:00:00Z\n\n    second\n\ndiff --git a/', p, ' b/', p, '\n--- a/', p, '\n+++ b/', p,
+    '\n@@ -1,3 +1,3 @@\n one\n-api_token = "', h, '"\n+api_token = "', substr(concat(h, h), 5, 32), '"\n three\ndiff --git a/x b/x', p, '\n--- /dev/null\n+++ b/x', p, '\n@@ -0,0 +1 @@\n+api_token = "', substr(concat(h, h), 9, 32), '"\n')"""
+
+
+@query(
+    f"""WITH c AS (SELECT 'src/' || c_custkey || '.txt' AS p, md5(c_custkey::VARCHAR) AS h FROM customer),
+    f AS (SELECT p AS path, sha1('1' || p) AS commit, 'a@example.org' AS email, h AS secret, 2 AS start_line FROM c UNION ALL SELECT p, sha1('1' || p), 'a@example.org', reverse(h), 21 FROM c
+      UNION ALL SELECT p, sha1('2' || p), 'c@example.org', substr(h || h, 5, 32), 2 FROM c UNION ALL SELECT 'x' || p, sha1('2' || p), 'c@example.org', substr(h || h, 9, 32), 1 FROM c)
+    SELECT path, commit, email, secret, start_line FROM f WHERE {_ENTROPY.format(s="secret")} > {_LEAST} AND {_secret_sql("secret")}"""
+)
+def git_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").selectExpr("concat('src/', cast(c_custkey as string), '.txt') AS p", "md5(cast(c_custkey as string)) AS h")
+    found = scan(patch_content(rows.select(F.expr(_PATCHES).alias("text"))), GENERIC)
+    return found.select("path", "commit", "email", "secret", "start_line")

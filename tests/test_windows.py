@@ -105,3 +105,25 @@ def test_columns_null_and_empty_texts(spark):
     assert sorted((r.path, r.fragment, r["odd name"]) for r in got) == sorted([("a", 0, "x"), ("b", 0, None), *[("c", k, "y") for k in (0, 1, 2)] * 2])
     assert windows.windows(content, 40, 3, deal=True).count() == 1 + 1 + 6
     assert windows.windows(content.limit(0)).count() == 0
+
+
+def test_encoded_secrets_in_windows(spark):
+    import base64
+
+    coded = base64.b64encode(b"my tok-0123456789 here").decode()
+    text = "".join(f"line {i}\n" for i in range(800)) + f"x {coded} y\n" + "z" * 3000
+    content = spark.createDataFrame([("a.txt", text)], "path string, text string")
+    for size in (500, 777, None):
+        rows = scan(content, parse(RULES), ScanOptions(mode="native", max_decode_depth=2, piece_bytes=size, overlap_bytes=200)).collect()
+        assert [(r.secret, r.start_line, r.start_column, r.tags) for r in rows] == [("tok-0123456789", 801, 3, ["decoded:base64"])]
+
+
+@pytest.mark.parametrize("text", ["a" * 1_000_000, "_" * 1_000_000 + "(", "%" * 1_000_000, '"a"+' * 200_000, "a-" * 400_000 + "====x", "ab" * 500_000 + "z", '"' * 500_000])
+def test_no_text_holds_up_the_decoders(text):
+    import time
+
+    from sieveworks.operators.decode import decode_text
+
+    start = time.monotonic()
+    decode_text(text, True)
+    assert time.monotonic() - start < 30
