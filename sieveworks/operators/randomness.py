@@ -1,13 +1,16 @@
 """How random a secret looks: a logistic model over simple features, as Column expressions.
 
-The features are this library's own: over the longest run of letters and digits in the first 4,096
-characters, up to 512 of them, its length, normalised entropy, share of distinct characters,
-changes of character class, longest repetition and vowel share. They are not comparable with scores
-of other tools. train_logistic fits the weights; the defaults were fitted on samples(2000, seed=1) of this module.
+Eleven features of the longest run of letters and digits in the first 4,096 characters, up to 512 of them:
+entropy against that of its alphabet, distinct characters against those expected, diversity of neighbouring
+pairs, longest repetition, pairs in sequence, repetition with a short period, common pairs of letters, balance of
+character classes, printable text behind base64, words that stand for a placeholder, and length. Scores are
+not comparable with those of other tools. train_logistic fits the weights; the defaults were fitted on
+samples(2000, seed=1) of this module.
 """
 
 from __future__ import annotations
 
+import base64
 import random
 
 import numpy as np
@@ -16,11 +19,16 @@ from pyspark.sql import functions as F
 
 from sieveworks.functions.text import entropy
 
-FEATURES = ("length", "entropy", "distinct", "class_changes", "longest_run", "vowels")
+FEATURES = ("entropy", "distinct", "transitions", "longest_run", "sequence", "period", "pairs", "classes", "printable", "placeholder", "length")
 STRUCTURED, RANDOM = 0.2, 0.8
-MODEL = "sieve-random-v1"
+MODEL = "sieve-random-v2"
 #: Bias, then a weight for each feature: as train_logistic fits them, to two decimals.
-DEFAULT_WEIGHTS = (-3.04, 1.61, 1.6, 0.83, 6.13, -1.46, -5.4)
+DEFAULT_WEIGHTS = (-2.97, 0.98, 2.13, 1.07, -0.42, -0.13, -1.25, -5.43, 1.96, -4.84, -2.03, 0.99)
+#: The longest period that repetition is looked for with.
+PERIODS = 8
+#: Pairs of letters that are frequent in words and names.
+COMMON = "al an ar as at co de ea ec ed en er es et he ic id in io is it le me nd ne ng nt of on or ou pa po pr ra re ri ro se si st ta te th ti to tr ur us ve".split()
+PLACEHOLDER = r"(?i)example|sample|dummy|placeholder|changeme|password|secret|token|test|fake|your|xxxx|0000|1234"
 _NONE = "struct<model:string,score:double,classification:string>"
 
 
@@ -30,23 +38,52 @@ def sample_of(secret: Column) -> Column:
     return F.substring(longest, 1, 512)
 
 
-def features_of(sample: Column) -> list[Column]:
-    n = F.greatest(F.char_length(sample), F.lit(1)).cast("double")
-    distinct = F.size(F.array_distinct(F.filter(F.split(sample, ""), lambda c: c != "")))
-    classes = F.translate(sample, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "a" * 26 + "A" * 26 + "0" * 10)
-    changes = F.size(F.regexp_extract_all(classes, F.lit("(?=aA|Aa|a0|0a|A0|0A)(.)"), F.lit(1)))
-    runs = F.regexp_extract_all(sample, F.lit(r"(.)\1*"), F.lit(0))
-    longest = F.reduce(runs, F.lit(0), lambda a, x: F.greatest(a, F.char_length(x)))
-    vowels = n - F.char_length(F.translate(sample, "aeiouAEIOU", ""))
-    return [F.least(n, F.lit(32.0)) / 32, entropy(sample) / F.greatest(F.log2(n), F.lit(1.0)), distinct / n, changes / n, longest / n, vowels / n]
+def _share(some: Column, n: Column) -> Column:
+    return F.size(some) / F.greatest(n, F.lit(1.0))
+
+
+def _features(sample: Column) -> Column:
+    """The features of a sample that is computed once, as an array."""
+    n = F.char_length(sample).cast("double")
+    one = F.greatest(n, F.lit(1.0))
+    chars = F.filter(F.split(sample, ""), lambda c: c != "")
+    size = F.when(F.regexp_like(sample, F.lit("^(?:[0-9a-f]*|[0-9A-F]*)$")), 16.0).otherwise(62.0)
+
+    def over(cs: Column) -> Column:
+        codes = F.transform(cs, lambda c: F.ascii(c))
+        after = lambda k: F.slice(codes, k + 1, F.greatest(F.size(codes) - k, F.lit(0)))
+        before = lambda k: F.slice(codes, 1, F.greatest(F.size(codes) - k, F.lit(0)))
+        steps = F.zip_with(before(1), after(1), lambda x, y: y - x)
+        pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(cs) - 1, F.lit(1))), lambda i: F.lower(F.substring(sample, i, F.lit(2))))
+        runs = F.regexp_extract_all(sample, F.lit(r"(.)\1*+"), F.lit(0))
+        longest = F.reduce(runs, F.lit(0), lambda a, x: F.greatest(a, F.char_length(x)))
+        expected = size * (1 - F.pow(1 - 1 / size, n))
+        # Of every period from 2 on, the share of characters that equal the one a period before.
+        again = [F.size(F.filter(F.zip_with(before(k), after(k), lambda x, y: F.when(x == y, 1).otherwise(0)), lambda x: x == 1)) / F.greatest(n - k, F.lit(1.0)) for k in range(2, PERIODS + 1)]
+        classes = [F.regexp_count(sample, F.lit(rx)) / one for rx in ("[a-z]", "[A-Z]", "[0-9]")]
+        balance = sum((F.when(p > 0, -p * F.log2(p)).otherwise(0.0) for p in classes), F.lit(0.0)) / 1.585
+        whole = F.substring(sample, F.lit(1), (F.floor(n / 4) * 4).cast("int"))
+        decoded = F.try_to_binary(whole, F.lit("base64")).cast("string")
+        printable = F.coalesce(F.regexp_like(decoded, F.lit(r"^[\x20-\x7E]{6,}$")), F.lit(False)).cast("double")
+        return F.array(
+            entropy(sample) / F.greatest(F.log2(F.least(one, size)), F.lit(1.0)), F.size(F.array_distinct(cs)) / F.greatest(expected, F.lit(1.0)), _share(F.array_distinct(pairs), n - 1), longest / one,
+            _share(F.filter(steps, lambda d: F.abs(d) == 1), n - 1), F.greatest(*again), _share(F.filter(pairs, lambda p: F.array_contains(F.array(*map(F.lit, COMMON)), p)), n - 1), balance, printable,
+            F.regexp_like(sample, F.lit(PLACEHOLDER)).cast("double"), F.least(n, F.lit(64.0)) / 64,
+        )
+
+    return F.get(F.transform(F.array(chars), over), F.lit(0))
+
+
+def features_of(sample: Column) -> Column:
+    """The eleven features, each to six decimals, as an array."""
+    return F.transform(F.get(F.transform(F.array(sample), _features), F.lit(0)), lambda x: F.round(x, 6))
 
 
 def score(secret: Column, weights: tuple[float, ...] = DEFAULT_WEIGHTS) -> Column:
     """Between 0 and 1, to six decimals; 0 for a secret without letters and digits."""
     sample = sample_of(secret)
-    z = F.lit(weights[0])
-    for w, x in zip(weights[1:], features_of(sample), strict=True):
-        z = z + F.lit(w) * x
+    weighted = F.zip_with(features_of(sample), F.array(*map(F.lit, weights[1:])), lambda x, w: x * w)
+    z = F.aggregate(weighted, F.lit(float(weights[0])), lambda a, x: a + x)
     return F.when(sample == "", 0.0).otherwise(F.round(1 / (1 + F.exp(-z)), 6))
 
 
@@ -82,15 +119,17 @@ def quality(p: np.ndarray, y: np.ndarray, cut: float = 0.5) -> dict[str, float]:
 
 
 def samples(n: int, seed: int) -> list[tuple[str, int]]:
-    """n random keys (label 1) and n structured words, names and paddings (label 0)."""
+    """n random keys (label 1) and n structured words, names, paddings and encoded text (label 0)."""
     r = random.Random(seed)
     alphabets = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"]
     words = "access account admin application backend client config connection customer database default development example header identifier internal library message number package password production project public request response sample secret service session staging string system template testing token update user value version".split()
     out = [("".join(r.choices(r.choice(alphabets), k=r.randint(16, 48))), 1) for _ in range(n)]
     for _ in range(n):
-        form = r.randrange(4)
+        form = r.randrange(5)
         text = "".join(w.capitalize() if form == 1 else w for w in r.choices(words, k=r.randint(2, 5)))
-        out.append((text if form < 3 else r.choice("ax01") * r.randint(12, 40), 0))
+        if form == 4:
+            text = base64.b64encode(" ".join(r.choices(words, k=4)).encode()).decode().rstrip("=")
+        out.append((text if form != 3 else r.choice("ax01") * r.randint(12, 40), 0))
         if form == 2:
             out[-1] = (text + str(r.randint(0, 9999)), 0)
     return out
