@@ -262,8 +262,10 @@ def score(docs: DataFrame) -> DataFrame:
     stored = [path]
     try:
         blocks = read.mapInArrow(released(_blocks), _BLOCK)
-        # Bucketed, in the shared folder; only its name stands in the catalog.
-        blocks.write.option("compression", "zstd").option("path", path).bucketBy(parts, "block").saveAsTable(name)
+        # Bucketed, in the shared folder; only its name stands in the catalog. Spark allows so many buckets;
+        # a larger corpus has several blocks in each, which are read one after the other.
+        buckets = min(parts, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
+        blocks.write.option("compression", "zstd").option("path", path).bucketBy(buckets, "block").saveAsTable(name)
         return _scored_blocks(spark.table(name), parts, stored)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")

@@ -500,3 +500,24 @@ def test_chains_of_spaced_letters():
     assert found("x.i.d.i.o.t!") == ["x.i.d.i.o.t"] and found("s_t_u_p_i_d") == ["s_t_u_p_i_d"]
     assert found("___ ____ _ _ _") == [] and found("a b") == [] and found("a   b   c") == []
     assert found("(a-b-c") == [] and found("(a b c d") == ["b c d"] and found("a b c-d-e(") == ["a b c"]
+
+
+def test_more_ranges_than_spark_has_buckets(spark, docs, monkeypatch):
+    """A corpus whose ranges pass Spark's limit of buckets has several blocks in a bucket, and the same scores."""
+    monkeypatch.setattr(language_model, "BLOCK_BYTES", 40_000)
+    want = {r.doc_id: (r.base_score, r.score) for r in query(spark, 6).collect()}
+    monkeypatch.setattr(language_model, "RANGE_BYTES", 20_000)
+    limit = spark.conf.get("spark.sql.sources.bucketing.maxBuckets")
+    spark.conf.set("spark.sql.sources.bucketing.maxBuckets", "3")
+    try:
+        got = {r.doc_id: (r.base_score, r.score) for r in query(spark, 6).collect()}
+    finally:
+        spark.conf.set("spark.sql.sources.bucketing.maxBuckets", limit)
+    assert got.keys() == want.keys() and all(got[d] == pytest.approx(want[d], rel=1e-9) for d in want)
+
+
+def test_token_counts_with_clashing_columns(spark, odd, tmp_path):
+    tokenizer = TokenizerFile(public_tokenizers.path("byte_bpe_50k.json"))
+    clash = odd.withColumns({"content": F.lit("x"), "pick": F.lit(1), "n": F.lit(None), "n_tokens": F.lit("y"), "tokenizer": F.lit(0)})
+    want = sorted((r.doc_id or 0, r.n_tokens) for r in token_counts(odd, tokenizer, str(tmp_path / "a")).collect())
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in token_counts(clash, tokenizer, str(tmp_path / "b")).collect()) == want
