@@ -105,6 +105,59 @@ def write_sarif(findings: DataFrame, out: TextIO, tool: str = "sieveworks") -> N
     out.write("]}]}\n")
 
 
+#: What the library's own SARIF and JUnit reports say of a finding besides its rule and place.
+TOLD = {
+    "severity": "severity", "confidence": "confidence", "validationState": "validation_state", "provider": "provider", "rulePack": "rule_pack", "provenanceType": "provenance_type", "commit": "commit",
+    "author": "author", "date": "date", "entropy": "entropy", "secretSha256": "secret_sha256", "decodePath": "decode_path", "tags": "tags",
+}
+
+
+def _told(r: Row) -> dict:
+    """What there is to say of a finding, without what is empty."""
+    return {k: v for k, c in TOLD.items() if (v := getattr(r, c)) not in (None, "", [])}
+
+
+def write_own_sarif(findings: DataFrame, out: TextIO, tool: str = "sieveworks") -> None:
+    """SARIF 2.1.0 in native terms: each rule with severity, tags and number of findings, each result with its
+    rule's index, stable fingerprint, evidence hash in place of the secret, validation and origin. Rules are
+    as many as a rule set has; results go out one by one."""
+    levels = {"critical": "error", "high": "error", "medium": "warning", "low": "note", "info": "note"}
+    kinds = findings.groupBy("rule_id").agg(F.min("description").alias("description"), F.min("severity").alias("severity"), F.min(security_severity(F.col("severity"))).alias("score"), F.min("provider").alias("provider"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("tags"), F.count("*").alias("n"))
+    rules, at = [], {}
+    for i, r in enumerate(kinds.orderBy("rule_id").toLocalIterator()):
+        at[r.rule_id] = i
+        about = {"security-severity": r.score, "tags": r.tags, "findings": r.n} | ({"provider": r.provider} if r.provider else {})
+        rules.append({"id": r.rule_id, "name": r.rule_id, "shortDescription": {"text": r.description or r.rule_id}, "defaultConfiguration": {"level": levels.get(r.severity, "error")}, "properties": about})
+    out.write('{"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"columnKind": "unicodeCodePoints", "tool": {"driver": ' + json.dumps({"name": tool, "rules": rules}, ensure_ascii=False) + '}, "results": [')
+    for i, r in enumerate(sorted_rows(findings)):
+        region = {"startLine": r.start_line, "startColumn": r.start_column, "endLine": r.end_line, "endColumn": r.end_column}
+        # Paths without a line, as those of file rules, have no region.
+        place = {"artifactLocation": {"uri": r.path}} | ({"region": region} if r.start_line else {})
+        result = {
+            "ruleId": r.rule_id, "ruleIndex": at[r.rule_id], "level": levels.get(r.severity, "error"), "message": {"text": f"{r.description or r.rule_id} in {r.path}"},
+            "locations": [{"physicalLocation": place}], "fingerprints": {"stable/v1": r.stable_fingerprint}, "partialFingerprints": {"place": r.fingerprint}, "properties": _told(r),
+        }
+        out.write((",\n" if i else "\n") + json.dumps(result, ensure_ascii=False))
+    out.write("\n]}]}\n")
+
+
+def write_own_junit(findings: DataFrame, out: TextIO, name: str = "sieveworks") -> None:
+    """A suite for each rule, with its number of findings, and a failed case for each finding whose properties
+    are what there is to say of it."""
+    counts = {r.rule_id: r.n for r in findings.groupBy("rule_id").agg(F.count("*").alias("n")).collect()}
+    total = sum(counts.values())
+    out.write(f'<?xml version="1.0" encoding="UTF-8"?>\n<testsuites name={quoteattr(name)} tests="{total}" failures="{total}">\n')
+    open_rule = None
+    for r in findings.orderBy("rule_id", *[c for c in ORDER if c in findings.columns and c != "rule_id"]).toLocalIterator():
+        if r.rule_id != open_rule:
+            out.write(("  </testsuite>\n" if open_rule is not None else "") + f'  <testsuite name={quoteattr(r.rule_id)} tests="{counts[r.rule_id]}" failures="{counts[r.rule_id]}">\n')
+            open_rule = r.rule_id
+        told = "".join(f"<property name={quoteattr(k)} value={quoteattr(' '.join(map(str, v)) if isinstance(v, list) else str(v))}/>" for k, v in _told(r).items())
+        where = f"{r.path}:{r.start_line}:{r.start_column}"
+        out.write(f"    <testcase classname={quoteattr(r.rule_id)} name={quoteattr(where)} file={quoteattr(r.path)} line=\"{r.start_line}\"><properties>{told}</properties><failure type={quoteattr(r.severity)} message={quoteattr(r.description or r.rule_id)}>{escape(r.stable_fingerprint)}</failure></testcase>\n")
+    out.write(("  </testsuite>\n" if open_rule is not None else "") + "</testsuites>\n")
+
+
 def write_quality(findings: DataFrame, out: TextIO) -> None:
     """A code-quality report: one array of issues."""
     kinds = {"critical": "blocker", "high": "critical", "medium": "major", "low": "minor", "info": "info"}
@@ -146,7 +199,7 @@ def write_toon(findings: DataFrame, out: TextIO) -> None:
 
 
 DOCUMENTS: dict[str, Callable] = {
-    "json": write_upstream_json, "own-json": write_own_json, "csv": write_upstream_csv, "junit": write_junit, "sarif": write_sarif, "quality": write_quality, "html": write_html, "toon": write_toon,
+    "json": write_upstream_json, "own-json": write_own_json, "csv": write_upstream_csv, "junit": write_junit, "sarif": write_sarif, "own-sarif": write_own_sarif, "own-junit": write_own_junit, "quality": write_quality, "html": write_html, "toon": write_toon,
 }
 
 

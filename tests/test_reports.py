@@ -86,3 +86,18 @@ def test_fields_are_found_depth_first(spark):
     assert find({"a": deep}, "n") is None
     rows_ = spark.createDataFrame([("{}",), ("[1]",), ("nonsense",), (None,), ("",), ('{"SourceMetadata": 5, "line": "x"}',)], "value string")
     assert sorted((r.rule_id, r.path, r.start_line) for r in reports.from_trufflehog(rows_).collect()) == [("unknown", "", 0)] * 2
+
+
+def test_own_sarif_and_junit(spark, findings, tmp_path):
+    import xml.etree.ElementTree as ET
+
+    targets = {"own-sarif": str(tmp_path / "s.sarif"), "own-junit": str(tmp_path / "j.xml")}
+    writers.write_reports(findings, targets)
+    run = json.loads((tmp_path / "s.sarif").read_text())["runs"][0]
+    assert run["tool"]["driver"]["rules"][0]["properties"]["findings"] == 3 and [r["ruleIndex"] for r in run["results"]] == [0, 0, 0]
+    first = run["results"][0]
+    assert first["properties"]["validationState"] == "unknown" and "commit" not in first["properties"] and first["fingerprints"]["stable/v1"].startswith("sieve:v1:")
+    assert "tok-abc" not in (tmp_path / "s.sarif").read_text() and rows(reports.read_report(spark, targets["own-sarif"])) == WANT
+    suites = ET.parse(tmp_path / "j.xml").getroot()
+    assert suites.get("tests") == "3" and [s.get("name") for s in suites] == ["t"] and len(suites[0]) == 3
+    assert suites[0][0].find("properties")[0].get("name") == "severity" and suites[0][0].get("name") == "a <b>.txt:1:1"
