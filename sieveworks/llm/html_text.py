@@ -27,6 +27,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -261,11 +262,18 @@ def boilerplate(n: Node, in_article: bool) -> bool:
     if n.tag == "header" and not in_article:
         return True
     if n.cls and n.tag not in ("html", "body", "main", "article"):
-        said = set(_SPLIT.split(n.cls))
-        return bool(said & WORDS) or not in_article and bool(said & HEADER_WORDS)
+        anywhere, outside = _class_says(n.cls)
+        return anywhere or outside and not in_article
     return False
 
 
+@lru_cache(maxsize=1 << 14)
+def _class_says(cls: str) -> tuple[bool, bool]:
+    """Whether words of a class or id say that an element is no main content, anywhere or outside articles."""
+    said = set(_SPLIT.split(cls))
+    return bool(said & WORDS), bool(said & HEADER_WORDS)
+
+
 def _unit(n: Node) -> bool:
     """Whether an element is a list or a table of nothing but items, cells and further such lists. It is
     one text: an item that recurs says nothing by itself. Tables that lay out a page are none."""
@@ -373,6 +381,16 @@ class Tree:
     def tag(self, i: int) -> str:
         return self.keys[i].partition(".")[0]
 
+    @cached_property
+    def counted(self) -> Counter:
+        """How many elements there are of each key."""
+        return Counter(self.keys)
+
+    def shared(self, other: Tree) -> int:
+        """How many elements of the two trees can be paired by their keys."""
+        there = other.counted
+        return sum([min(n, there[k]) for k, n in self.counted.items() if k in there])
+
 
 def inline_text(n: Node, inside: bool) -> tuple[str, int]:
     """The text of an element without blocks below it, as blocks() gives it, and how many of its words are linked."""
@@ -758,9 +776,9 @@ def extract(page: str | None, wrappers: list[tuple[Tree, int, list[int], list[in
     muted: dict[int, bool] = {}
     if wrappers:
         tree = Tree.of(body)
-        texts, keys = {d for d, n in zip(tree.digests, tree.words, strict=True) if n}, Counter(tree.keys)
+        texts = {d for d, n in zip(tree.digests, tree.words, strict=True) if n}
         # The tree that shares most elements tells the content; others, what template the page has.
-        nearest = max((n for n, w in enumerate(wrappers) if w[1] >= 0), key=lambda n: (keys & Counter(wrappers[n][0].keys)).total(), default=-1)
+        nearest = max((n for n, w in enumerate(wrappers) if w[1] >= 0), key=lambda n: tree.shared(wrappers[n][0]), default=-1)
         found: list[dict[int, int]] = []
         for n, (ref, _, _, template) in enumerate(wrappers):
             seen = Aligner(ref, tree).matched() if n == nearest or any(ref.digests[i] in texts for i in template) else {}
