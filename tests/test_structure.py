@@ -95,6 +95,17 @@ def test_secrets_that_are_plainly_none():
     assert not any(map(made_up, ("8f14e45fceea167a5a36dedd4bea2543", "testament-of-9x", "", "ab", "abcabd")))
 
 
+def test_words_in_encoded_bytes_come_up_by_chance():
+    # The key of order 5,573,468 of offline_structure, and signatures and keys with such words inside.
+    chance = "FaKE+KYEEHo5qIm1ghf1u4JBgDwe0NQfxljQnf1ytlsVooT4pgQQejmoibWCF/W7gkGAPB7Q1B/GWNCd/XK2Ww=="
+    assert _state("azure-key", chance, f"AccountKey={chance}") == "structurally-valid"
+    head, payload, signature = token("HS256", 32).split(".")
+    assert _state("jwt", f"{head}.{payload}.{signature[:9]}-test-{signature[15:]}", "") == "structurally-valid"
+    assert _state("aws-secret", "wJalrXUtnFEMI/test/K7MDENGbPxRfiCYzz9KLm", "") == "structurally-valid"
+    # What is written by hand still counts, and so do published examples.
+    assert _state("aws-secret", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "") == _state("server-value", "my-fake-key-1", "") == "test-credential"
+
+
 @pytest.mark.skipif(not shutil.which("openssl"), reason="no openssl")
 @pytest.mark.parametrize("command", [("genrsa", "512"), ("genpkey", "-algorithm", "RSA", "-pkeyopt", "rsa_keygen_bits:512"), ("ecparam", "-genkey", "-noout", "-name", "prime256v1"), ("genpkey", "-algorithm", "ed25519")])
 def test_keys_of_another_tool(command):
