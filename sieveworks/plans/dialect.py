@@ -132,3 +132,56 @@ def groups(rx: str) -> int:
             n += rx[i] == "(" and (rx[i + 1 : i + 2] != "?" or bool(re.match(r"\(\?P?<[A-Za-z_]", rx[i:])))
             i += 1
     return n
+
+
+_ASCII = frozenset(range(128))
+_LETTERS = frozenset(c for c in _ASCII if chr(c).isalpha())
+
+
+def _held(node: object) -> frozenset[int]:
+    """The ASCII characters that a match of this part of a parsed pattern can hold; more where in doubt."""
+    out: frozenset[int] = frozenset()
+    for op, arg in node:
+        name = str(op)
+        if name == "LITERAL":
+            out |= {arg} & _ASCII
+        elif name == "IN":
+            if str(arg[0][0]) == "NEGATE":
+                out |= _ASCII - _exactly(arg[1:])
+            else:
+                out |= _held(arg)
+        elif name == "NOT_LITERAL":
+            out |= _ASCII - {arg}
+        elif name == "RANGE":
+            out |= _ASCII & frozenset(range(arg[0], min(arg[1], 127) + 1))
+        elif name == "CATEGORY" and not str(arg).startswith("CATEGORY_NOT"):
+            kind = {"CATEGORY_DIGIT": r"\d", "CATEGORY_SPACE": r"\s", "CATEGORY_WORD": r"\w"}[str(arg)]
+            out |= frozenset(c for c in _ASCII if re.match(kind, chr(c)))
+        elif name == "BRANCH":
+            out = out.union(*map(_held, arg[1]))
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            out |= _held(arg[2])
+        elif name == "SUBPATTERN":
+            out |= _held(arg[3])
+        elif name != "AT":
+            return _ASCII
+    return out
+
+
+def _exactly(items: list) -> frozenset[int]:
+    """The characters that a class surely names; a category counts for none, since dialects differ in it."""
+    return _held([(op, arg) for op, arg in items if str(op) in ("LITERAL", "RANGE")])
+
+
+@lru_cache(maxsize=20_000)
+def never_in_matches(rx: str) -> frozenset[int]:
+    """ASCII characters that no match of the pattern can hold, so that none goes over them; none of them where
+    the pattern is not understood."""
+    # What the parser reads otherwise than RE2 does.
+    if "[:" in rx or "{," in rx:
+        return frozenset()
+    try:
+        held = _held(re._parser.parse(rx))
+    except (re.error, OverflowError, RecursionError):
+        return frozenset()
+    return _ASCII - held - (_LETTERS if re.search(r"\(\?[A-Za-z]*i", rx) else frozenset())

@@ -22,7 +22,7 @@ from sieveworks.operators.detectors import detected
 from sieveworks.operators.filters import drop_allowed, drop_filtered, drop_inline_allowed, drop_low_entropy
 from sieveworks.operators.match import matches, rules_table
 from sieveworks.operators.randomness import scored
-from sieveworks.plans.dialect import to_java
+from sieveworks.plans.dialect import never_in_matches, to_java
 from sieveworks.sources.windows import AHEAD_BYTES, OVERLAP_BYTES, byte_fragments, windows
 
 from .ruleset import RuleSet
@@ -70,11 +70,17 @@ def normal_content(content: DataFrame) -> DataFrame:
     return out.withColumn("source_line", first).select("input_id", "path", "text", *OPTIONAL, "source_line")
 
 
-def pieces(inputs: DataFrame, options: ScanOptions) -> DataFrame:
+def breaks(rules: RuleSet) -> bytes:
+    """The ASCII characters that no match of any rule can hold. Detectors may hold all."""
+    sets = [frozenset() if r.detector else never_in_matches(r.regex) for r in rules.rules if r.regex or r.detector]
+    return bytes(sorted(frozenset.intersection(*sets))) if sets else b""
+
+
+def pieces(inputs: DataFrame, rules: RuleSet, options: ScanOptions) -> DataFrame:
     """Inputs whose large texts are cut into pieces; a piece's line counts on from its input's."""
     first = inputs.withColumnRenamed("source_line", "first_line")
     if options.native:
-        cut = windows(first, options.piece_bytes, OVERLAP_BYTES if options.overlap_bytes is None else options.overlap_bytes, deal=True)
+        cut = windows(first, options.piece_bytes, OVERLAP_BYTES if options.overlap_bytes is None else options.overlap_bytes, deal=True, breaks=breaks(rules))
     else:
         cut = byte_fragments(first, options.piece_bytes, AHEAD_BYTES if options.overlap_bytes is None else options.overlap_bytes, deal=True)
     return cut.withColumn("source_line", F.col("source_line") + F.col("first_line") - 1).drop("fragment")
@@ -96,7 +102,7 @@ def scan(content: DataFrame, rules: RuleSet, options: ScanOptions = ScanOptions(
     if options.max_target_bytes is not None:
         inputs = inputs.where(F.octet_length("text") <= options.max_target_bytes)
     if options.piece_bytes is not None:
-        inputs = pieces(inputs, options)
+        inputs = pieces(inputs, rules, options)
     passes = decoded_passes(inputs, options.max_decode_depth, options.native)
     found = matches(candidates(passes, rules), rules, options.native).drop("text")
     if options.native and any(r.detector for r in rules.rules):

@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from sieveworks.plans.dialect import never_in_matches
 from sieveworks.plans.ruleset import parse
 from sieveworks.plans.scan import ScanOptions, scan
 from sieveworks.sources import windows
@@ -54,6 +55,28 @@ def test_windows_find_what_the_whole_text_has(spark, seed, breaks):
         assert found(spark, text, piece_bytes=size, overlap_bytes=600) == want
 
 
+def test_matches_that_follow_one_on_the_other(spark):
+    # Pairs of long words, in runs far longer than windows and their overlap: a window that begins at an odd word
+    # must not pair them otherwise than the whole text does. Words and gaps are longer than the overlap, too.
+    rx = r"[a-z]{9,}[\s,.;]+[a-z]{9,}"
+    rng = random.Random(5)
+    text = "".join(rng.choice(["longerword, ", "A ", "short ", "anotherword\n", "thewholeword " * 301, "X" + "y" * 900 + " " * 700]) for _ in range(400))
+    want = sorted(((text.count("\n", 0, m.start()) + 1, m.start() - text.rfind("\n", 0, m.start()), m[0]) for m in re.finditer(rx, text)))
+    rules = parse(f"[[rules]]\nid = 'pair'\nregex = '{rx}'\n")
+    content = spark.createDataFrame([("a.txt", text)], "path string, text string")
+    for size in (1_000, 2_357):
+        got = scan(content, rules, ScanOptions(mode="native", piece_bytes=size, overlap_bytes=100)).select("start_line", "start_column", "match").collect()
+        assert sorted(map(tuple, got)) == want
+
+
+def test_characters_that_no_match_holds():
+    chars = lambda rx: {chr(c) for c in never_in_matches(rx)}
+    assert chars(r"[a-z]{9,}[\s,.;]+[a-z]{9,}") >= set("ABZ019!\"'-:") and not chars(r"[a-z]{9,}[\s,.;]+[a-z]{9,}") & set("az ,.;\n\t")
+    assert not chars(r"(?i)k[^\n]x") & set("kKxX") and chars(r"a[^\n]") == {"\n"} and not chars(r"a[^\s]") & set(" \n")
+    assert not any(map(chars, (r"(?s)a.b", r"[[:alpha:]]+", r"a{,3}", r"\pL+", r"a\Z|(?=b).", r"\S\W")))
+    assert not chars(r"(a|(?:b|c)?)d\b[-_]") & set("abcd-_") and "e" in chars(r"(a|(?:b|c)?)d\b[-_]")
+
+
 def test_secrets_across_every_cut_of_a_text_larger_than_a_batch(spark):
     filler, secret = "x" * 1013 + "\n", "tok-0123456789abcdef"
     size = windows.WINDOW_BYTES
