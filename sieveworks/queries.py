@@ -86,8 +86,20 @@ def seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr(*[f"{v} AS {k}" for k, v in SEED.items()])
 
 
+#: Rows of a compact table that one task makes texts of and scans.
+ROWS_A_TASK = 2_500
+
+
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers, dealt over tasks by their number: a million of them are one split of a few megabytes,
+    though the texts that are made of them take minutes to scan."""
+    rows = table(spark, sf_dir, "customer")
+    tasks = -(-rows.count() // ROWS_A_TASK)
+    return rows.repartition(tasks, "c_custkey") if tasks > 1 else rows
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").selectExpr(*[f"{v} AS {k}" for k, v in TEXTS.items()])
+    return customers(spark, sf_dir).selectExpr(*[f"{v} AS {k}" for k, v in TEXTS.items()])
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,7 +251,7 @@ def scm_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def randomness_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = seed(spark, sf_dir).select("finding_id", randomness.score(F.col("secret")).alias("score"))
+    rows = candidates.settled(seed(spark, sf_dir).select("finding_id", "secret"), score=randomness.score(F.col("secret"))).drop("secret")
     return rows.withColumn("classification", randomness.classify(F.col("score")))
 
 
@@ -581,7 +593,7 @@ _DETECTED = default_rules().enable(["kubernetes-secret"])
     CASE WHEN c_custkey % 4 = 0 THEN base64(encode(md5(c_custkey::VARCHAR))) ELSE md5(c_custkey::VARCHAR) END AS match FROM customer WHERE c_custkey % 4 < 3"""
 )
 def yaml_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("input_id"), F.concat(F.col("c_custkey").cast("string"), F.lit(".yaml")).alias("path"), F.expr(_YAML).alias("text"))
+    rows = customers(spark, sf_dir).select(F.col("c_custkey").alias("input_id"), F.concat(F.col("c_custkey").cast("string"), F.lit(".yaml")).alias("path"), F.expr(_YAML).alias("text"))
     found = scan(rows, _DETECTED, ScanOptions(mode="native"))
     return found.select("input_id", "secret", "start_line", "start_column", "match")
 
@@ -606,7 +618,7 @@ _INPUTS = {
 
 @query(" UNION ALL ".join(f"SELECT c_custkey || '/{path}' AS path, '{rule}' AS rule_id, {secret} AS secret FROM (SELECT c_custkey, md5(c_custkey::VARCHAR) AS h FROM customer)" for rule, (path, _, secret) in _INPUTS.items()))
 def all_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").selectExpr("cast(c_custkey as string) as id", "md5(cast(c_custkey as string)) as h")
+    rows = customers(spark, sf_dir).selectExpr("cast(c_custkey as string) as id", "md5(cast(c_custkey as string)) as h")
     kinds = F.array(*[F.struct(F.concat("id", F.lit(f"/{path}")).alias("path"), F.expr(text).alias("text")) for path, text, _ in _INPUTS.values()])
     rules = default_rules().enable(list(_INPUTS))
     return scan(rows.select(F.inline(kinds)), rules, ScanOptions(mode="native")).select("path", "rule_id", "secret")
@@ -673,7 +685,7 @@ _CODED = {
     WHERE {_ENTROPY.format(s="secret")} > {_LEAST} AND {_secret_sql("secret")}"""
 )
 def decode_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey AS input_id", "concat('api_token = \"', md5(cast(c_custkey as string)), '\"') AS line")
+    rows = customers(spark, sf_dir).selectExpr("c_custkey AS input_id", "concat('api_token = \"', md5(cast(c_custkey as string)), '\"') AS line")
     text = "CASE input_id % 6 " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(_CODED.values())) + " END"
     coded = rows.select("input_id", F.lit("a.txt").alias("path"), F.expr(text).alias("text"))
     found = scan(coded, GENERIC, ScanOptions(mode="native", max_decode_depth=4))
@@ -706,6 +718,6 @@ _PATCHES = """concat(
     SELECT path, commit, email, secret, start_line FROM f WHERE {_ENTROPY.format(s="secret")} > {_LEAST} AND {_secret_sql("secret")}"""
 )
 def git_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").selectExpr("concat('src/', cast(c_custkey as string), '.txt') AS p", "md5(cast(c_custkey as string)) AS h")
+    rows = customers(spark, sf_dir).selectExpr("concat('src/', cast(c_custkey as string), '.txt') AS p", "md5(cast(c_custkey as string)) AS h")
     found = scan(patch_content(rows.select(F.expr(_PATCHES).alias("text"))), GENERIC)
     return found.select("path", "commit", "email", "secret", "start_line")
