@@ -131,7 +131,8 @@ def scan(content: DataFrame, rules: RuleSet, options: ScanOptions = ScanOptions(
         found = found.groupBy(*key).agg(best).select(*key, *[F.col(f"_f.{c}").alias(c) for c in rest])
     found = found.withColumn("finding_id", F.xxhash64("input_id", "rule_at", "start_line", "start_column", "end_line", "end_column", "secret", "decode_path"))
     found = require_rules(found, rules).where(~F.col("skip_report"))
-    if any("generic" in r.id for r in rules.rules):
+    # Generic findings only yield to those of other rules.
+    if len({"generic" in r.id for r in rules.rules}) == 2:
         found = prefer_specific(found)
     out = finished(found, options)
     if any(r.path and not r.regex and not r.detector for r in rules.rules):
