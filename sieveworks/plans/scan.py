@@ -118,7 +118,8 @@ def scan(content: DataFrame, rules: RuleSet, options: ScanOptions = ScanOptions(
         if options.piece_bytes is not None:
             found = found.where(~F.array_contains("allowed_lines", F.col("start_line") - F.col("first_line") + 1))
     found = found.withColumn("tags", F.concat("tags", F.transform("decode_path", lambda d: F.concat(F.lit("decoded:"), d))))
-    found = scored(found, options.native)
+    # Only the choice among decoded passes reads the score of every finding.
+    found = scored(found, options.native, once=options.max_decode_depth > 0)
     if options.native:
         found = found.where((F.col("randomness_threshold") == 0) | (F.col("randomness.score") >= F.col("randomness_threshold")))
         found = found.withColumn("randomness_score", F.coalesce("randomness.score", F.lit(0.0))).withColumn("decode_depth", F.size("decode_path")).withColumn("is_decoded", F.size("decode_path") > 0)
