@@ -9,6 +9,7 @@ from sieveworks.plans.ruleset import RuleSet
 
 from .candidates import settled
 from .decode import original_offset
+from .detectors import detector_spans
 
 RULES_SCHEMA = "rule_at int, rule_id string, description string, java string, secret_group int, n_groups int, min_entropy double, tags array<string>, severity string, confidence string, rule_pack string, provider string, skip_report boolean, detector string, randomness_threshold double"
 
@@ -62,12 +63,18 @@ def source_lines(text: Column, start: Column, end: Column) -> Column:
 
 
 def matches(candidates: DataFrame, rules: RuleSet, native: bool) -> DataFrame:
-    """A row for each match of a candidate row's rule, with rule metadata, match, secret, source lines and
-    position. Strict columns are inclusive at the end, native ones exclude it."""
-    table = rules_table(candidates.sparkSession, rules).where("java <> ''")
+    """A row for each match of a candidate row's rule, in native mode also for each secret that its detector
+    finds, with rule metadata, match, secret, source lines and position. Strict columns are inclusive at the
+    end, native ones exclude it. The candidates are read once for both."""
+    detects = native and any(r.detector for r in rules.rules)
+    table = rules_table(candidates.sparkSession, rules).where("java <> '' or detector <> ''" if detects else "java <> ''")
     text, pattern = F.col("text"), F.col("java")
     most = max((r.n_groups for r in rules.rules), default=0)
-    hit = settled(candidates.join(F.broadcast(table), "rule_at"), _spans=spans(text, pattern, F.col("secret_group"), F.col("n_groups"), most))
+    found = spans(text, pattern, F.col("secret_group"), F.col("n_groups"), most)
+    if detects:
+        nothing = F.expr("cast(array() as array<struct<at:int,start:int,end:int,match:string,secret:string>>)")
+        found = F.concat(F.coalesce(F.when(pattern != "", found), nothing), F.coalesce(detector_spans(text, F.col("detector")), nothing))
+    hit = settled(candidates.join(F.broadcast(table), "rule_at"), _spans=found)
     # Empty matches, which the rule dialect's engine would not report either, are left out.
     hit = hit.select("*", F.inline("_spans")).where("match <> ''").drop("_spans")
     hit = hit.withColumn("_text", F.coalesce("original", "text"))

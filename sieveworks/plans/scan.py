@@ -18,7 +18,6 @@ from sieveworks.functions.text import FINGERPRINT_FORMAT, byte_entropy, entropy,
 from sieveworks.operators.candidates import candidates, drop_allowed_paths, path_matches, settled
 from sieveworks.operators.correlate import prefer_specific, require_rules
 from sieveworks.operators.decode import decoded_passes
-from sieveworks.operators.detectors import detected
 from sieveworks.operators.filters import drop_allowed, drop_filtered, drop_inline_allowed, drop_low_entropy
 from sieveworks.operators.match import matches, rules_table
 from sieveworks.operators.randomness import scored
@@ -94,6 +93,13 @@ def path_findings(content: DataFrame, rules: RuleSet) -> DataFrame:
     return content.drop("text").select("*", F.explode(hit).alias("rule_id"))
 
 
+def scanned_once(found: DataFrame) -> DataFrame:
+    """found for steps that read it several times, dealt over tasks by finding_id. Each reading would scan the
+    texts again, since Spark only uses a shuffle again for plans that are equal, and its optimizer moves each
+    reader's filters and columns below it. A Generate that needs all columns keeps them above."""
+    return found.repartition("finding_id").select(F.inline(F.array(F.struct(*found.columns))))
+
+
 def scan(content: DataFrame, rules: RuleSet, options: ScanOptions = ScanOptions()) -> DataFrame:
     """The findings of a rule set in content, with the columns of FINDING. Rows come in no particular
     order; order by path and position where it matters."""
@@ -105,8 +111,6 @@ def scan(content: DataFrame, rules: RuleSet, options: ScanOptions = ScanOptions(
         inputs = pieces(inputs, rules, options)
     passes = decoded_passes(inputs, options.max_decode_depth, options.native)
     found = matches(candidates(passes, rules), rules, options.native).drop("text")
-    if options.native and any(r.detector for r in rules.rules):
-        found = found.unionByName(detected(candidates(passes, rules), rules).drop("text"))
     if options.piece_bytes is not None and options.native:
         found = found.withColumns({f"{c}_column": F.col(f"{c}_column") + F.when(F.col(f"{c}_line") == 1, F.col("source_column") - 1).otherwise(0) for c in ("start", "end")})
     found = found.withColumns({c: F.col(c) + F.col("source_line") - 1 for c in ("start_line", "end_line")})
@@ -131,9 +135,12 @@ def scan(content: DataFrame, rules: RuleSet, options: ScanOptions = ScanOptions(
         best = F.min(F.struct(F.size("decode_path").alias("_d"), *rest)).alias("_f")
         found = found.groupBy(*key).agg(best).select(*key, *[F.col(f"_f.{c}").alias(c) for c in rest])
     found = found.withColumn("finding_id", F.xxhash64("input_id", "rule_at", "start_line", "start_column", "end_line", "end_column", "secret", "decode_path"))
-    found = require_rules(found, rules).where(~F.col("skip_report"))
     # Generic findings only yield to those of other rules.
-    if len({"generic" in r.id for r in rules.rules}) == 2:
+    yields = len({"generic" in r.id for r in rules.rules}) == 2
+    if yields or any(r.required for r in rules.rules):
+        found = scanned_once(found)
+    found = require_rules(found, rules).where(~F.col("skip_report"))
+    if yields:
         found = prefer_specific(found)
     out = finished(found, options)
     if any(r.path and not r.regex and not r.detector for r in rules.rules):

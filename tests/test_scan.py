@@ -306,3 +306,28 @@ def test_secret_in_a_late_group(spark):
     df = spark.createDataFrame([("a key=secret b",)], "text string")
     row = df.select(spans(F.col("text"), F.lit(pattern), F.lit(0), F.lit(12), 12).alias("s")).first()
     assert [(s["match"], s.secret) for s in row.s] == [("key=secret", "secret")]
+
+
+@pytest.mark.parametrize("options", [{}, {"mode": "native"}, {"mode": "native", "max_decode_depth": 2}])
+def test_texts_are_read_once(spark, options):
+    """However many steps read the findings, and whether patterns, detectors or both find them."""
+    rules = parse(
+        """[[rules]]\nid = "generic-key"\nregex = 'key=(\\w+)'\nkeywords = ["key"]
+        [[rules]]\nid = "password"\ndetector = "password-assignment"\nkeywords = ["password"]
+        [[rules]]\nid = "needy"\nregex = 'tok-\\d+'\nkeywords = ["tok-"]\n[[rules.required]]\nid = "generic-key"\nwithinLines = 2
+        [[rules]]\nid = "special"\nregex = 'key=(sp\\w+)'\nkeywords = ["key"]"""
+    )
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = [(f"{i}.txt", f"key=plain{i}\nkey=special{i} x\ntok-{i}\npassword = \"hunter2hunter{i}\"\n") for i in range(40)]
+    content = spark.createDataFrame(rows, "path string, text string").repartition(3, "path").mapInArrow(counted, "path string, text string")
+    got = sorted((r.path, r.rule_id, r.secret) for r in scan(content, rules, ScanOptions(**options)).select("path", "rule_id", "secret").collect())
+    detected = [("password", "hunter2hunter{}")] if options else []
+    each = [("generic-key", "plain{}"), ("special", "special{}"), ("needy", "tok-{}"), *detected]
+    assert got == sorted((f"{i}.txt", rule, secret.format(i)) for i in range(40) for rule, secret in each)
+    assert read.value == 40
