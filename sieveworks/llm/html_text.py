@@ -28,6 +28,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import cached_property, lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -82,11 +83,12 @@ CLOSES_P = BLOCKS - {"caption", "dd", "dt", "li", "tbody", "td", "tfoot", "th",
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "tbody": {"table"}, "tfoot": {"table"}}
 
-#: Possessive throughout: what follows a repeated part never begins like it. The last form is a "<" that
-#: begins no whole tag, so that it is noticed the first time.
+#: Text and the tag after it, or the end. Possessive throughout: what follows a repeated part never begins
+#: like it. The last form is a "<" that begins no whole tag, so that it is noticed the first time.
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*+>|<(" + RAW + r")\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*+>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?=[!?]|/?[a-zA-Z])",
+    r"((?:[^<]++|<(?![!?]|/?[a-zA-Z]))*+)"
+    r"(?:<!--.*?(?:-->|\Z)|<!(\[CDATA\[.*?)\]\]>|<[!?][^>]*+>|<(" + RAW + r")\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\3\s*+>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(<)|\Z)",
     re.S | re.I,
 )
 _CDATA = re.compile(r"<!\[CDATA\[", re.I)
@@ -159,6 +161,35 @@ _PLACED = dict.fromkeys(BLOCKS | {"button"}, 1)
 _PLACED |= {t: _PLACED.get(t, 0) | 2 for t in set().union(*CLOSES.values(), *SCOPES.values())}
 
 
+#: Longer names and attributes are not kept in mind.
+_SHORT = 256
+
+
+@lru_cache(maxsize=1 << 12)
+def _kind(name: str) -> tuple[str, bool, set[str] | None, set[str] | None, bool, bool, int]:
+    """A tag's name in small letters, whether it closes paragraphs, what else it closes and how far out, whether
+    it is a block or void, and which of its places are kept."""
+    tag = name.lower()
+    return tag, tag in CLOSES_P, CLOSES.get(tag), SCOPES.get(tag), tag in BLOCKS, tag in VOID, _PLACED.get(tag, 0)
+
+
+@lru_cache(maxsize=1 << 13)
+def _told(said: str) -> tuple[str, str]:
+    """The classes and ids, and the role, that attributes give."""
+    cls = role = ""
+    if _TOLD.search(said):
+        for a in _ATTR.finditer(said):
+            value = a[2] or a[3] or a[4] or ""
+            name = a[1].lower()
+            if name == "role":
+                role = value.strip().lower()
+            elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+                role = role or "hidden"
+            elif name in ("class", "id"):
+                cls = f"{cls} {value.lower()}".strip()
+    return cls, role
+
+
 def parse(page: str, mark: str = "") -> Node:
     """A tree of the page. Elements left open are closed as browsers close them; a "<" that begins no whole
     tag is text. Linear in the page, also where nothing is closed."""
@@ -169,7 +200,7 @@ def parse(page: str, mark: str = "") -> Node:
     # The open elements, outermost first; how many there are of a tag; where the blocks are, and where the
     # parts of lists and tables are by their tags.
     stack, opened, blocks, places = [root], {}, [], {}
-    at = 0
+    before = ""
 
     def cut(i: int) -> None:
         """Close the i-th open element and all in it."""
@@ -182,27 +213,38 @@ def parse(page: str, mark: str = "") -> Node:
         del stack[i:]
 
     def innermost(tags: set[str]) -> int:
-        return max((p[-1] for t in tags if (p := places.get(t))), default=0)
+        best = 0
+        for t in tags:
+            if (p := places.get(t)) and p[-1] > best:
+                best = p[-1]
+        return best
 
     for m in _TAG.finditer(page):
-        start, after = m.span()
-        if after - start == 1:
+        text, cdata, _, slash, name, said, alone = m.groups()
+        if alone:
             if not mark:
                 return parse(*whole_tags(page))
+            before += text + alone
             continue
-        if start > at:
-            text = page[at:start]
+        if before:
+            text, before = before + text, ""
+        if text:
             stack[-1].children.append(_unescaped(text, mark) if "&" in text or mark else text)
-        at = after
-        tag = m[3]
-        if tag is None:
-            if page[start : start + 9] == "<![CDATA[" and m[1] is None:
-                text = page[start + 9 : after - 3]
-                stack[-1].children.append(text.replace(mark, "<") if mark else text)
+        if name is None:
+            if cdata and cdata.startswith("[CDATA["):
+                stack[-1].children.append(cdata[7:].replace(mark, "<") if mark else cdata[7:])
             continue
-        tag = tag.lower()
-        if m[2]:
-            if opened.get(tag):
+        tag, closes_p, closes, scopes, block, void, placed = _kind(name) if len(name) < _SHORT else _kind.__wrapped__(name)
+        if slash:
+            if len(stack) > 1 and stack[-1].tag == tag:
+                # Most tags close the innermost element.
+                stack.pop()
+                opened[tag] -= 1
+                if placed & 2:
+                    places[tag].pop()
+                if placed & 1:
+                    blocks.pop()
+            elif opened.get(tag):
                 i = len(stack) - 1
                 while stack[i].tag != tag:
                     i -= 1
@@ -212,46 +254,36 @@ def parse(page: str, mark: str = "") -> Node:
             continue
         if tag in ("html", "body") and any(n.tag == tag for n in stack[:3]):
             continue
-        if tag in CLOSES_P:
+        if closes_p:
             if blocks and stack[blocks[-1]].tag == "p":
                 cut(blocks[-1])
-        elif tag in CLOSES:
-            while (i := innermost(CLOSES[tag])) > innermost(SCOPES[tag]):
+        elif closes:
+            while (i := innermost(closes)) > innermost(scopes):
                 cut(i)
                 if tag not in ("tr", "td", "th", "tbody", "tfoot"):
                     break
         if tag == "body":
             cut(1)
         cls = role = ""
-        said = m[4]
-        if said and _TOLD.search(said):
-            for a in _ATTR.finditer(said):
-                value = a[2] or a[3] or a[4] or ""
-                name = a[1].lower()
-                if name == "role":
-                    role = value.strip().lower()
-                elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-                    role = role or "hidden"
-                elif name in ("class", "id"):
-                    cls = f"{cls} {value.lower()}".strip()
+        if said:
+            cls, role = _told(said) if len(said) < _SHORT else _told.__wrapped__(said)
         node = Node(tag, cls, role)
         stack[-1].children.append(node)
-        if tag in BLOCKS:
+        if block:
             node.holds = True
-            for n in reversed(stack):
-                if n.holds:
-                    break
-                n.holds = True
-        if tag not in VOID and not (said and said[-1] == "/" and tag not in BLOCKS):
+            if not stack[-1].holds:
+                for n in reversed(stack):
+                    if n.holds:
+                        break
+                    n.holds = True
+        if not void and not (said and said[-1] == "/" and not block):
             opened[tag] = opened.get(tag, 0) + 1
-            if placed := _PLACED.get(tag, 0):
+            if placed:
                 if placed & 1:
                     blocks.append(len(stack))
                 if placed & 2:
                     places.setdefault(tag, []).append(len(stack))
             stack.append(node)
-    if at < len(page):
-        stack[-1].children.append(_unescaped(page[at:], mark))
     return root
 
 
@@ -297,6 +329,9 @@ def _digest(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
 
 
+_NO_TEXT = _digest("")
+
+
 class Tree:
     """A page's body as it is aligned: its elements in preorder, with parallel lists of their keys, own texts
     (without that of elements below) with digests, numbers of words and of linked words, ends of their
@@ -312,28 +347,36 @@ class Tree:
     @classmethod
     def of(cls, body: Node) -> Tree:
         t, parents = cls(), []
+        rows: list[tuple] = []
         todo = [(body, -1, False, False)]
         while todo:
             n, parent, inside, said = todo.pop()
             said = said or boilerplate(n, inside)
             inside = inside or _is_article(n)
-            at = len(t.nodes)
-            kids = [] if _unit(n) else [c for c in n.children if isinstance(c, Node) and c.tag not in SKIPPED and c.holds]
-            if kids or n.tag in UNITS:
-                text = "\n".join(blocks([n], inside, {id(c) for c in kids}))
-                links = linked_words(n, kids) if text else 0
+            at, children, kids = len(parents), n.children, []
+            if len(children) == 1 and isinstance(children[0], str):
+                # As the other ways give it.
+                words = children[0].split()
+                text, n_words = " ".join(words), len(words)
+                links = n_words if n.tag == "a" else 0
             else:
-                text, links = inline_text(n, inside)
-            t.nodes.append(n)
+                text, links, n_words = "", 0, 0
+                nodes = [c for c in children if isinstance(c, Node)]
+                if n.tag not in UNITS or not _unit(n):
+                    kids = [c for c in nodes if c.holds and c.tag not in SKIPPED]
+                if kids or n.tag in UNITS:
+                    # Most elements with blocks have nothing but white space beside them.
+                    if len(kids) < len(nodes) or any([c.strip() for c in children if isinstance(c, str)]):
+                        text = "\n".join(blocks([n], inside, {id(c) for c in kids}))
+                        links = linked_words(n, kids) if text else 0
+                elif children:
+                    text, links = inline_text(n, inside)
+                if text:
+                    n_words = len(text.split())
             parents.append(parent)
-            t.keys.append(n.key)
-            t.texts.append(text)
-            t.digests.append(_digest(text))
-            t.words.append(len(text.split()))
-            t.links.append(links)
-            t.inside.append(inside)
-            t.said.append(said)
+            rows.append((n, n.key, text, _digest(text) if text else _NO_TEXT, n_words, links, inside, said))
             todo += [(c, at, inside, said) for c in reversed(kids)]
+        t.nodes, t.keys, t.texts, t.digests, t.words, t.links, t.inside, t.said = map(list, zip(*rows, strict=True))
         t.ends = [i + 1 for i in range(len(parents))]
         for i in range(len(parents) - 1, 0, -1):
             t.ends[parents[i]] = max(t.ends[parents[i]], t.ends[i])
@@ -341,31 +384,33 @@ class Tree:
 
     def linked(self) -> Tree:
         """With the children, shapes and digests that follow from the lists."""
-        n = len(self.keys)
-        self.kids: list[list[int]] = [[] for _ in range(n)]
-        self.shapes, self.wholes = [0] * n, [0] * n
+        keys, ends, words, digests, n = self.keys, self.ends, self.words, self.digests, len(self.keys)
+        self.kids = kids = [[] for _ in range(n)]
+        self.shapes, self.wholes = shapes, wholes = [0] * n, [0] * n
         #: Texts that could be matched: equal ones under the same keys from the body down; 0 without words.
-        self.spots = [0] * n
+        self.spots = spots = [0] * n
         path: list[tuple[int, int]] = []
         for i in range(n):
             while path and path[-1][0] <= i:
                 path.pop()
-            path.append((self.ends[i], hash((path[-1][1] if path else 0, self.keys[i]))))
-            self.spots[i] = hash((path[-1][1], self.digests[i])) or 1 if self.words[i] else 0
+            here = hash((path[-1][1] if path else 0, keys[i]))
+            path.append((ends[i], here))
+            if words[i]:
+                spots[i] = hash((here, digests[i])) or 1
         #: The elements with words that HTML does not call boilerplate.
-        self.spoken = [i for i in range(n) if self.words[i] and not self.said[i]]
+        self.spoken = [i for i in range(n) if words[i] and not self.said[i]]
         #: shape -> (key, shapes of the children, number of elements)
         self.shaped: dict[int, tuple[str, tuple[int, ...], int]] = {}
         for i in range(n - 1, -1, -1):
-            j = i + 1
-            while j < self.ends[i]:
-                self.kids[i].append(j)
-                j = self.ends[j]
-            below = tuple(self.shapes[k] for k in self.kids[i])
+            j, end, mine = i + 1, ends[i], kids[i]
+            while j < end:
+                mine.append(j)
+                j = ends[j]
+            below = tuple([shapes[k] for k in mine])
             # Digests of this process only.
-            self.shapes[i] = hash((self.keys[i], below))
-            self.shaped[self.shapes[i]] = (self.keys[i], below, self.ends[i] - i)
-            self.wholes[i] = hash((self.keys[i], self.digests[i], *[self.wholes[k] for k in self.kids[i]]))
+            shapes[i] = shape = hash((keys[i], below))
+            self.shaped[shape] = (keys[i], below, end - i)
+            wholes[i] = hash((keys[i], digests[i], *[wholes[k] for k in mine]))
         return self
 
     def dump(self) -> str:
@@ -381,6 +426,11 @@ class Tree:
     def tag(self, i: int) -> str:
         return self.keys[i].partition(".")[0]
 
+    @cached_property
+    def edges(self) -> list[tuple[str, str] | None]:
+        """The first and last words of the texts; None without words."""
+        return [(w[0], w[-1]) if n and (w := t.split()) else None for n, t in zip(self.words, self.texts, strict=True)]
+
     @cached_property
     def counted(self) -> Counter:
         """How many elements there are of each key."""
@@ -474,6 +524,25 @@ _EQUAL_TEXT = 1 << 32
 _SIZES: dict[tuple[int, int], int] = {}
 
 
+@lru_cache(maxsize=1 << 12)
+def _runs(keys: tuple[str, ...], others: tuple[str, ...]) -> list[tuple[int, int, int, int]] | None:
+    """The begin and length of each run of equal keys in both lists, if they are made of the same runs, each key
+    in one run."""
+    both = []
+    for members in (keys, others):
+        runs = [(k, len(list(same))) for k, same in groupby(members)]
+        if len({k for k, _ in runs}) < len(runs):
+            return None
+        both.append(runs)
+    if [k for k, _ in both[0]] != [k for k, _ in both[1]]:
+        return None
+    out, i, j = [], 0, 0
+    for (_, n), (_, m) in zip(*both, strict=True):
+        out.append((i, n, j, m))
+        i, j = i + n, j + m
+    return out
+
+
 class Aligner:
     """Simple tree matching of one tree with another. Of all matchings of two lists of children, in order
     and key with key, one with the most equal texts below, and of those one with the most matched elements,
@@ -492,6 +561,10 @@ class Aligner:
         todo = [(0, 0)] if a.keys[0] == b.keys[0] else []
         while todo:
             x, y = todo.pop()
+            if a.wholes[x] == b.wholes[y]:
+                # Equal throughout: element by element.
+                seen.update(zip(range(x, a.ends[x]), range(y, b.ends[y]), strict=True))
+                continue
             seen[x] = y
             if a.kids[x] and b.kids[y]:
                 todo += self.paired(a.kids[x], b.kids[y])
@@ -537,25 +610,17 @@ class Aligner:
         member from the ends of the runs. None where that might not be a heaviest one, as members of a
         longer run then differ in weight."""
         a, b = self.a, self.b
-        runs = []
-        for t, members in ((a, xs), (b, ys)):
-            at: dict[str, list[int]] = {}
-            last = None
-            for i in members:
-                k = t.keys[i]
-                if k != last and k in at:
-                    return None
-                at.setdefault(k, []).append(i)
-                last = k
-            runs.append(at)
-        if list(runs[0]) != list(runs[1]):
+        keys, others = tuple([a.keys[i] for i in xs]), tuple([b.keys[j] for j in ys])
+        runs = _runs(keys, others) if len(keys) + len(others) < _SHORT else _runs.__wrapped__(keys, others)
+        if runs is None:
             return None
         out = []
-        for p, q in zip(runs[0].values(), runs[1].values(), strict=True):
-            if len(p) + len(q) > 2 and (common or any(a.kids[i] for i in p) and any(b.kids[j] for j in q)):
+        for i, n, j, m in runs:
+            p, q = xs[i : i + n], ys[j : j + m]
+            if n + m > 2 and (common or any([a.kids[i] for i in p]) and any([b.kids[j] for j in q])):
                 return None
-            n = min(len(p), len(q))
-            out += zip(p[-n:], q[-n:], strict=True)
+            k = min(n, m)
+            out += zip(p[-k:], q[-k:], strict=True)
         return out
 
     def below(self, side: int, roots: list[int]) -> list[set[int]]:
@@ -813,16 +878,17 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("host"), b.column("content"), pa.array(trees, pa.string())], names=["host", "content", "tree"])
 
 
-class _Loaded(dict):
-    """JSON of a tree -> the tree, for those used lately."""
+class _Hosts(dict):
+    """host -> what is made of the column that all rows of the host carry alike, for hosts met lately."""
 
-    limit = 256
+    limit = 256 // REFERENCES
 
-    def __missing__(self, raw: str) -> Tree:
-        if len(self) >= self.limit:
-            self.clear()
-        tree = self[raw] = Tree.load(raw)
-        return tree
+    def of(self, host: str, carried: pa.Scalar, made: Callable[[list], list]) -> list:
+        if (v := self.get(host)) is None:
+            if len(self) >= self.limit:
+                self.clear()
+            v = self[host] = made(carried.as_py() or [])
+        return v
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -869,32 +935,29 @@ FOUND = "array<struct<node:int,equal:boolean,framed:boolean,words:int,links:int>
 _FOUND = pa.list_(pa.struct([("node", pa.int32()), ("equal", pa.bool_()), ("framed", pa.bool_()), ("words", pa.int32()), ("links", pa.int32())]))
 
 
-def _framed(a: str, b: str) -> bool:
+def _framed(a: tuple[str, str] | None, b: tuple[str, str] | None) -> bool:
     """Whether two texts begin or end with the same word."""
-    return bool(a and b) and (a.split(None, 1)[0] == b.split(None, 1)[0] or a.rsplit(None, 1)[-1] == b.rsplit(None, 1)[-1])
+    return a is not None and b is not None and (a[0] == b[0] or a[1] == b[1])
 
 
 def _alignments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row (host, content, ref, own, bands, found) for each page and reference tree: whether the page is
     a near copy of the reference, the bands of what differs, and what it says about the nodes with words
     that it was matched with."""
-    trees, pairs, (mult, add) = _Loaded(), _Pairs(), coordinates(2 * BANDS)
+    hosts, pairs, (mult, add) = _Hosts(), _Pairs(), coordinates(2 * BANDS)
+    load = lambda raws: [Tree.load(raw) for raw in raws]
     for b in batches:
         rows: list[tuple] = []
         for host, content, raws, page in zip(b.column("host").to_pylist(), b.column("content").to_pylist(), b.column("trees"), b.column("html"), strict=True):
             t = tree_of(page.as_py())
             known: dict[frozenset, list[int]] = {}
-            for ref, raw in enumerate(raws.as_py()):
-                r = trees[raw]
+            for ref, r in enumerate(hosts.of(host, raws, load)):
                 seen = Aligner(r, t).matched()
                 there, here = r.digests, t.digests
                 alike_at = {i: j for i, j in seen.items() if there[i] == here[j]}
                 equal = set(alike_at.values())
-                found = []
-                for i, j in seen.items():
-                    if r.words[i] or t.words[j]:
-                        same = i in alike_at
-                        found.append((i, same, same or _framed(r.texts[i], t.texts[j]), t.words[j], t.links[j]))
+                at, words, links, first, then = r.words, t.words, t.links, r.edges, t.edges
+                found = [(i, same := i in alike_at, same or _framed(first[i], then[j]), words[j], links[j]) for i, j in seen.items() if at[i] or words[j]]
                 rest = "\n".join([r.texts[i] for i in r.spoken if i not in alike_at])
                 other = "\n".join([t.texts[j] for j in t.spoken if j not in equal])
                 own = alike(pairs[other], pairs[rest])
@@ -928,11 +991,12 @@ def _wrappers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    trees = _Loaded()
+    hosts = _Hosts()
+    load = lambda wrappers: [(Tree.load(w["tree"]), w["content"], w["edge"], w["template"]) for w in wrappers]
     for b in batches:
         texts = []
-        for page, wrappers in zip(b.column("html"), b.column("wrappers"), strict=True):
-            texts.append(extract(page.as_py(), [(trees[w["tree"]], w["content"], w["edge"], w["template"]) for w in wrappers.as_py() or ()]))
+        for host, page, wrappers in zip(b.column("host").to_pylist(), b.column("html"), b.column("wrappers"), strict=True):
+            texts.append(extract(page.as_py(), hosts.of(host, wrappers, load)))
         cols = [b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
         yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "text", "n_chars"])
 
@@ -980,4 +1044,4 @@ def main_text(pages: DataFrame) -> DataFrame:
     read = read.withColumn("host", host_of(F.col("url")))
     size = F.aggregate("wrappers", F.lit(64).cast("long"), lambda n, w: n + F.octet_length(w["tree"]) + 4 * F.size(w["template"]))
     wrapped = join_checked(read, induce(read.select("host", "html")), "host", "left", size)
-    return wrapped.select("page_id", "url", "html", "wrappers").mapInArrow(released(_extracted), "page_id long, url string, text string, n_chars long")
+    return wrapped.select("page_id", "url", "host", "html", "wrappers").mapInArrow(released(_extracted), "page_id long, url string, text string, n_chars long")

@@ -387,3 +387,26 @@ def test_headings_that_recur_inside_articles_stay(spark):
     rows = [(k, f"https://food.example/{k}", html.format(k, words(k, 20), words(k + 100, 30))) for k in range(16)]
     got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert all("Ingredients" in r.text and "Method" in r.text for r in got)
+
+
+def test_equal_parts_of_two_pages_are_matched_at_once(monkeypatch):
+    from sieveworks.llm import html_text as H
+
+    nav = "<nav><div><div><p>one</p><p>two</p></div><div><p>three</p></div></div></nav>"
+    a, b = (H.tree_of(f"<body>{nav}<article><h1>{t}</h1><p>{t} x</p></article>{nav}</body>") for t in ("first", "second"))
+    asked = []
+    paired = H.Aligner.paired
+    monkeypatch.setattr(H.Aligner, "paired", lambda self, xs, ys: asked.append(len(xs)) or paired(self, xs, ys))
+    assert H.Aligner(a, b).matched() == {i: i for i in range(len(a.keys))}
+    # The children of body and of article only.
+    assert sorted(asked) == [2, 3]
+
+
+def test_text_between_marks_that_are_no_tags():
+    from sieveworks.llm import html_text as H
+
+    page = "<P CLASS='Side Bar' hidden>a < b <3 &lt;c<![CDATA[ <d> ]]><![cdata[no]]><!-- x > --><b>e</b></i> 1 <"
+    p = H.parse(page).children[0]
+    assert (p.tag, p.cls, p.role) == ("p", "side bar", "hidden")
+    assert H.blocks([p], False) == ["a < b <3 <c <d> e 1 <"]
+    assert H.blocks([H.parse("a <b c <i>d</i> <em e")], False) == ["a d <em e"]
